@@ -21,6 +21,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read(spark, sf_dir, "labels").selectExpr("doc_id", f"{name} AS label")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import toxicity
+
+    return toxicity.classify(read(spark, sf_dir, "documents"), _labels(spark, sf_dir, "toxic"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import quality
+
+    return quality.classify(read(spark, sf_dir, "documents"), _labels(spark, sf_dir, "quality"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
