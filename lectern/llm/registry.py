@@ -37,9 +37,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), _labels(spark, sf_dir, "quality"))
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import rules
+
+    return rules.judge(read(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import warc
+
+    return warc.archive(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lectern.llm import rules, warc
+
+    return {"op2_rules": rules.SQL, "op10_warc": warc.SQL}
