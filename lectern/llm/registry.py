@@ -25,6 +25,12 @@ def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, "labels").selectExpr("doc_id", f"{name} AS label")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import licenses
+
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import toxicity
 
@@ -54,6 +60,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lectern.llm import rules, warc
+    from lectern.llm import licenses, rules, warc
 
-    return {"op2_rules": rules.SQL, "op10_warc": warc.SQL}
+    return {"op2_rules": rules.SQL, "op3_licenses": licenses.sql(), "op10_warc": warc.SQL}
