@@ -83,7 +83,7 @@ def telling_words(known: list[list[str]], least: float) -> list[str]:
     """Words such that every unit that reaches ``least`` for some template has one of them.
 
     A match shares ``least / (2 - least)`` of a template's bigrams at least, so
-    it cannot miss a larger set of them; words are taken, most useful first,
+    it cannot miss a larger set of them; words are taken, long and useful ones first,
     until those that occur in so many bigrams of each template are covered.
     """
     spare = [int(len(b) * (1 - least / (2 - least)) + 1e-9) for b in known]
@@ -101,7 +101,7 @@ def telling_words(known: list[list[str]], least: float) -> list[str]:
                 for w in set(x.split(" ")):
                     count[w] = count.get(w, 0) + 1
             for w, n in count.items():
-                gain[w] = gain.get(w, 0.0) + min(n, need) / need * min(len(w), 8)
+                gain[w] = gain.get(w, 0.0) + min(n, need) / need * 10.0 ** min(len(w), 7)
         chosen.append(min(gain, key=lambda w: (-gain[w], w)))
 
 

@@ -49,6 +49,12 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import pii
+
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import warc
 
