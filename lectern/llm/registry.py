@@ -43,6 +43,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), _labels(spark, sf_dir, "quality"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import decontaminate
+
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import rules
 
