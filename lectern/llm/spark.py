@@ -34,8 +34,27 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    let_go(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs are removed when the driver collects its garbage; ask for that."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def settle_bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Like ``settle``, as a bucketed table: grouping by ``column`` needs no further shuffle.
+
+    The table is external, in the shared folder, under a name of its own.
+    """
+    spark = df.sparkSession
+    name = f"lectern_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, column)
+    dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    let_go(spark)
+    return spark.table(name)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
