@@ -306,3 +306,13 @@ def join(docs: DataFrame) -> DataFrame:
     out = rows.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document, that with the smallest id, of each component; rows without id stay."""
+    found = settle(join(docs))
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi")
+    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)

@@ -185,3 +185,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     scored = featured.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score under ``threshold``.
+
+    Statistics are computed once for the fit and once more for the verdict,
+    which spares a shuffle of all texts.
+    """
+    model = fit(featurise(docs), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(model.score(features(part.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
