@@ -1,15 +1,436 @@
-"""One query per operator, each with the SQL that DuckDB can run for it."""
+"""One query per operator over the driver's tables, and the SQL that DuckDB runs for it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+from lectern.operators import chunking, headings, layout, retrieval, sections, validate
+from lectern.plans import sql
+from lectern.plans.sql import LEAST, MOST, OVER
+from lectern.sources import fixtures
+from lectern.sources.fixtures import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.block_rows(_docs(spark, d))
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return layout.units(_blocks(spark, d))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return headings.with_parents(headings.font_events(_units(spark, d)))
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    return sections.build(_units(spark, d), _events(spark, d))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_records(_sections(spark, d), _units(spark, d), MOST, OVER, LEAST)
+
+
+def _h1(c: str = "html"):
+    return F.regexp_extract(c, "(?s)<h1>(.*?)</h1>", 1)
+
+
+@query
+def token_count(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+
+
+@query
+def word_count(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"))
+
+
+@query
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    dirty = F.concat("html", F.lit("\r\nx\r"))
+    return table(spark, d, "pages").select("page_id", F.length(T.clean_value(dirty)).cast("long").alias("n"), F.md5(T.clean_value(dirty)).alias("digest"))
+
+
+@query
+def collapse_whitespace(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(T.collapse_whitespace(F.col("text"))).alias("digest"))
+
+
+@query
+def slugify(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.slugify(_h1()).alias("slug"))
+
+
+@query
+def title_variants(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    lead = F.when(k == 0, F.concat(F.lit("Chapter "), F.col("doc_id").cast("string"), F.lit(": "))).when(k == 1, "Appendix B - ").when(k == 2, "Part iv. ").otherwise("")
+    title = F.concat(lead, F.left(F.substring_index("text", "\n", 1), F.lit(60)))
+    return _docs(spark, d).select("doc_id", F.array_join(T.title_variants(title), " | ").alias("variants"))
+
+
+@query
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query
+def stable_point_id(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.point_id(fixtures.document_id()).alias("point_id"))
+
+
+@query
+def preview(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query
+def file_digest(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def block_flatten(spark: SparkSession, d: str) -> DataFrame:
+    rows = fixtures.block_rows(_docs(spark, d))
+    nested = rows.groupBy("document_id", "page_number").agg(F.collect_list(F.struct("block_index", "text", F.lit(False).alias("is_repeated_margin"))).alias("blocks"))
+    return layout.flatten(nested).select("document_id", "page_number", "block_index", "source_block_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def unit_numbering(spark: SparkSession, d: str) -> DataFrame:
+    return _units(spark, d).select("document_id", "source_block_id", "global_index")
+
+
+@query
+def command_lines(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.command_lines(_docs(spark, d)).filter(layout.is_command(F.col("text"))).select("document_id", "pos", "text")
+
+
+@query
+def code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    lines = fixtures.command_lines(_docs(spark, d)).withColumn("block", F.floor(F.col("pos") / 5).cast("int"))
+    return layout.classify_code(lines, "document_id", "block")
+
+
+@query
+def margin_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return layout.repeated_margins(fixtures.book_pages(_docs(spark, d)))
+
+
+@query
+def margin_removal(spark: SparkSession, d: str) -> DataFrame:
+    return layout.remove_margins(fixtures.book_pages(_docs(spark, d)))
+
+
+@query
+def page_report(spark: SparkSession, d: str) -> DataFrame:
+    return layout.page_report(layout.remove_margins(fixtures.book_pages(_docs(spark, d))))
+
+
+@query
+def body_font_size(spark: SparkSession, d: str) -> DataFrame:
+    return headings.body_font_size(_units(spark, d))
+
+
+@query
+def heading_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return headings.with_body(_units(spark, d)).filter(headings.is_candidate(F.col("body_font_size"))).select("document_id", "global_index", T.collapse_whitespace(F.col("text")).alias("title"))
+
+
+@query
+def heading_levels(spark: SparkSession, d: str) -> DataFrame:
+    return headings.with_body(_units(spark, d)).select("document_id", "global_index", headings.level(F.col("body_font_size")).alias("level"))
+
+
+@query
+def level_stack_parent(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).select("document_id", "event_id", "level", "parent_event_id")
+
+
+@query
+def heading_path(spark: SparkSession, d: str) -> DataFrame:
+    return headings.heading_paths(_events(spark, d)).select("document_id", "event_id", F.array_join("heading_path", " > ").alias("heading_path"))
+
+
+@query
+def heading_similarity(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "pages")
+    return b.select("page_id", T.heading_similarity(T.title_variants(F.concat(F.lit("Chapter 1: "), _h1())), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("similarity"))
+
+
+def _toc(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("font_size")
+    rows = _blocks(spark, d).filter(size > 10)
+    order = F.row_number().over(headings.W.partitionBy("document_id").orderBy("pos"))
+    lv = F.when(size == 16, 1).when(size == 12, 2).otherwise(3)
+    return headings.toc_parents(rows.select("document_id", order.alias("toc_order"), F.col("text").alias("title"), lv.alias("level"), "page_number"))
+
+
+@query
+def toc_parents(spark: SparkSession, d: str) -> DataFrame:
+    return _toc(spark, d).select("document_id", "toc_id", "level", "parent_toc_id")
+
+
+@query
+def toc_anchor(spark: SparkSession, d: str) -> DataFrame:
+    return headings.toc_anchors(_toc(spark, d), _units(spark, d))
+
+
+@query
+def section_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return sections.assign(_units(spark, d), _events(spark, d)).select("document_id", "global_index", "event_id")
+
+
+@query
+def section_records(spark: SparkSession, d: str) -> DataFrame:
+    keep = ("document_id", "section_id", "parent_section_id", "section_number", "title", "level", "page_start", "page_end", "character_count", "word_count", "contains_code", "indexable")
+    return _sections(spark, d).select(*keep, F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("source_block_ids", ",").alias("block_ids"), F.md5("text").alias("digest"))
+
+
+@query
+def section_table_ids(spark: SparkSession, d: str) -> DataFrame:
+    tables = _blocks(spark, d).select("document_id", "page_number").distinct()
+    tables = tables.withColumn("table_index", F.lit(1)).withColumn("table_id", F.concat("document_id", F.format_string("/page-%04d/table-001", F.col("page_number"))))
+    return sections.table_ids(_sections(spark, d), tables).select("document_id", "section_id", F.array_join("table_ids", ",").alias("table_ids"))
+
+
+@query
+def indexable_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).select("document_id", "event_id", T.is_indexable_title(F.col("title")).alias("indexable"))
+
+
+@query
+def section_report(spark: SparkSession, d: str) -> DataFrame:
+    return sections.report(_sections(spark, d))
+
+
+def _doc_atoms(spark: SparkSession, d: str) -> DataFrame:
+    parts = _blocks(spark, d).select("document_id", F.col("pos").alias("block_order"), "page_number", "source_block_id", F.lit(False).alias("likely_code_block"), F.posexplode(T.split_tokens(F.col("text"), MOST)).alias("part", "text"))
+    return parts.withColumn("token_count", T.token_count(F.col("text")))
+
+
+@query
+def split_oversized(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_atoms(spark, d).select("document_id", F.col("block_order").alias("pos"), "part", F.col("token_count").alias("tokens"), F.md5("text").alias("digest"))
+
+
+@query
+def section_atoms(spark: SparkSession, d: str) -> DataFrame:
+    kept = _sections(spark, d).filter("indexable")
+    return chunking.atoms(kept, _units(spark, d), MOST).select("document_id", "section_id", "source_block_id", "part", "page_number", "token_count")
+
+
+@query
+def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
+    made = chunking.chunk(_doc_atoms(spark, d), MOST, OVER, "document_id")
+    return made.select("document_id", "chunk_number", "token_count", "page_start", "page_end", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query
+def parent_records(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.parents(_sections(spark, d)).select("document_id", "parent_id", "level", "page_start", "page_end", "character_count", "token_count_approx", "content_hash")
+
+
+@query
+def chunk_records(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("chunk_id", "parent_id", "document_id", "chunk_number", "page_start", "page_end", "character_count", "token_count_approx", "contains_code", "content_hash")
+
+
+@query
+def embedding_text(spark: SparkSession, d: str) -> DataFrame:
+    text = chunking.embedding_text(F.col("document_id"), F.col("heading_path"), F.lit(2024), F.lit(None).cast("string"), F.substring_index("document_id", "-", 1), F.col("text"))
+    return _chunks(spark, d).select("chunk_id", F.md5(text).alias("digest"))
+
+
+@query
+def lexical_text(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("chunk_id", F.md5(retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text"))).alias("digest"))
+
+
+@query
+def payload(spark: SparkSession, d: str) -> DataFrame:
+    stored = retrieval.payload(_chunks(spark, d))
+    return stored.select("chunk_id", F.from_json("payload", "parent_id string, token_count_approx long, contains_code boolean").alias("p")).select("chunk_id", "p.*")
+
+
+@query
+def chunk_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.deduplicate(_docs(spark, d), "doc_id", scope=("source",)).select("doc_id", "content_hash")
+
+
+@query
+def chunk_report(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.report(_chunks(spark, d), "document_id")
+
+
+@query
+def missing_blocks(spark: SparkSession, d: str) -> DataFrame:
+    known = _units(spark, d).filter("NOT likely_code_block")
+    return chunking.blocks_of(_sections(spark, d), known).filter("missing").select("document_id", "section_id", "source_block_id")
+
+
+@query
+def avg_doc_length(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.average_length(_docs(spark, d)).select(F.bround("avg_length", 4).alias("avg_length"))
+
+
+@query
+def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.postings(_docs(spark, d), "doc_id")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _lexical(texts: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    n, avg = texts.count(), retrieval.average_length(texts).first().avg_length
+    return retrieval.bm25(retrieval.postings(texts, key), asked, key, n, avg)
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _lexical(_docs(spark, d), _asked(spark, d), "doc_id").select("query_id", "doc_id", "score", "rank")
+
+
+def _probes(vectors: DataFrame) -> DataFrame:
+    return vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return retrieval.dense(v, _probes(v), "vec_id")
+
+
+@query
+def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return retrieval.dense(v.filter("label = 3"), _probes(v), "vec_id")
+
+
+def _fused(spark: SparkSession, d: str, limit: int | None) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    asked = table(spark, d, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "embedding")
+    near = retrieval.dense(v, asked, "vec_id").withColumnRenamed("vec_id", "doc_id")
+    return retrieval.fuse([_lexical(_docs(spark, d), _asked(spark, d), "doc_id"), near], "doc_id", limit)
+
+
+@query
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d, None)
+
+
+@query
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    hits = _fused(spark, d, retrieval.CANDIDATES).join(_docs(spark, d).select("doc_id", F.col("source").alias("parent_id")), "doc_id")
+    return retrieval.diversify(hits).select("query_id", "doc_id", "parent_id", "score", "position")
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "conversations")
+    return t.select(F.format_string("conv-%06d/turn-%03d", "conv_id", "turn").alias("chunk_id"), F.format_string("conv-%06d", "conv_id").alias("parent_id"), F.col("role").alias("document_id"), F.col("turn").alias("chunk_number"), "text", F.col("turn").alias("page_start"), F.col("turn").alias("page_end"))
+
+
+def _convs(turns: DataFrame) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct("chunk_number", "text")))
+    return turns.groupBy("parent_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"))
+
+
+def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    turns = _turns(spark, d)
+    found = _lexical(turns, _asked(spark, d), "chunk_id").select("query_id", "chunk_id", "rank")
+    return retrieval.diversify(found.join(turns, "chunk_id")), turns
+
+
+@query
+def diversify(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d)[0].select("query_id", "chunk_id", "parent_id", "position")
+
+
+def _context(spark: SparkSession, d: str, mode: str, limit: int = retrieval.PARENT_LIMIT) -> DataFrame:
+    hits, turns = _hits(spark, d)
+    return retrieval.contexts(hits, _convs(turns), turns, mode, limit=limit)
+
+
+def _shown(passages: DataFrame) -> DataFrame:
+    return passages.select("query_id", "position", "context_type", "parent_id", "page_start", "page_end", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def context_child(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_context(spark, d, "child"))
+
+
+@query
+def context_parent(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_context(spark, d, "parent"))
+
+
+@query
+def context_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_context(spark, d, "neighbors"))
+
+
+@query
+def context_auto(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_context(spark, d, "auto", limit=300))
+
+
+@query
+def merge_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _context(spark, d, "neighbors").select("query_id", "position", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.within_budget(_context(spark, d, "auto", limit=300), 600).select("query_id", "position", "truncated", "token_count_approx")
+
+
+@query
+def truncate_budget(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(T.truncate_tokens(F.col("text"), 100)).alias("digest"))
+
+
+@query
+def validate_corpus(spark: SparkSession, d: str) -> DataFrame:
+    turns = _turns(spark, d)
+    return validate.violations(_convs(turns), turns.withColumn("chunk_id", F.col("parent_id")))
+
+
+@query
+def orphan_chunks(spark: SparkSession, d: str) -> DataFrame:
+    turns = _turns(spark, d)
+    return validate.orphans(turns.filter("document_id = 'user'").select("parent_id"), turns).select("chunk_id")
+
+
+@query
+def index_report(spark: SparkSession, d: str) -> DataFrame:
+    chunks, parents = _chunks(spark, d), chunking.parents(_sections(spark, d))
+    texts = chunks.select(retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text")).alias("text"))
+    return validate.index_report(parents, chunks, retrieval.average_length(texts), 64)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    known = sql.queries()
+    return {name: known[name] for name in _QUERIES if name in known}
