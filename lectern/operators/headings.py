@@ -85,6 +85,26 @@ def with_parents(events: DataFrame) -> DataFrame:
     return events.withColumn("parent_event_id", parent)
 
 
+def with_level_paths(events: DataFrame) -> DataFrame:
+    """``heading_path`` where parents come from levels, by the same window as ``with_parents``.
+
+    Nothing between an event and its parent is at the parent's level or above,
+    so the ancestor of each level is the latest earlier event at that level,
+    as long as no level is skipped.
+    """
+    past = W.partitionBy("document_id").orderBy("anchor_index").rowsBetween(W.unboundedPreceding, -1)
+    latest = lambda k: F.last(F.when(F.col("level") <= k, F.struct("level", "title")), ignorenulls=True).over(past).alias(str(k))
+    rows = events.withColumn("_above", F.array(*(F.struct(F.coalesce(latest(k)["level"], F.lit(0)).alias("level"), latest(k)["title"].alias("title")) for k in range(1, LEVELS))))
+    start = F.struct(F.array("title").alias("path"), F.lit(True).alias("on"))
+    up = F.when(F.col("level") > 1, F.reverse(F.slice("_above", F.lit(1), F.col("level") - 1))).otherwise(F.slice("_above", 1, 0))
+
+    def climb(acc: Column, a: Column) -> Column:
+        on = acc["on"] & (a["level"] == F.col("level") - F.size(acc["path"]))
+        return F.struct(F.when(on, F.concat(F.array(a["title"]), acc["path"])).otherwise(acc["path"]).alias("path"), on.alias("on"))
+
+    return rows.withColumn("heading_path", F.aggregate(up, start, climb, lambda acc: acc["path"])).drop("_above")
+
+
 def heading_paths(events: DataFrame, deepest: int = LEVELS) -> DataFrame:
     """``document_id, event_id, heading_path``: titles from the top to the event.
 

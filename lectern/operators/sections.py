@@ -44,10 +44,12 @@ def table_ids(spans: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def build(units: DataFrame, events: DataFrame, least: int = LEAST_CHARACTERS) -> DataFrame:
-    """Section records from events (with ``parent_event_id``) and units."""
+    """Section records from events (with ``parent_event_id``, and ``heading_path`` if known) and units."""
     named = numbered(events)
     ids = named.select("document_id", F.col("event_id").alias("parent_event_id"), F.col("section_id").alias("parent_section_id"))
-    head = named.join(ids, ["document_id", "parent_event_id"], "left").join(heading_paths(events), ["document_id", "event_id"])
+    head = named.join(ids, ["document_id", "parent_event_id"], "left")
+    if "heading_path" not in events.columns:
+        head = head.join(heading_paths(events), ["document_id", "event_id"])
     order = F.array_sort(F.collect_list(F.struct("global_index", "text", "source_block_id")))
     body = assign(units, events).groupBy("document_id", "event_id").agg(
         order.alias("parts"), F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.bool_or("likely_code_block").alias("contains_code")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from lectern.plans import sql
 from lectern.plans.sql import LEAST, MOST, OVER
 from lectern.sources import fixtures
 from lectern.sources.fixtures import table
+from lectern.sources.sinks import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -31,20 +33,43 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.block_rows(_docs(spark, d))
 
 
+class Corpus:
+    """The stages of one query over the documents, each written once."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.blocks = _blocks(spark, d)
+
+    @cached_property
+    def units(self) -> DataFrame:
+        return stage(layout.units(self.blocks))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return stage(headings.with_level_paths(headings.with_parents(headings.font_events(self.units))))
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        return stage(sections.build(self.units, self.events))
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return chunking.chunk_records(self.sections, self.units, MOST, OVER, LEAST)
+
+
 def _units(spark: SparkSession, d: str) -> DataFrame:
     return layout.units(_blocks(spark, d))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return headings.with_parents(headings.font_events(_units(spark, d)))
+    return Corpus(spark, d).events
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
-    return sections.build(_units(spark, d), _events(spark, d))
+    return Corpus(spark, d).sections
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_records(_sections(spark, d), _units(spark, d), MOST, OVER, LEAST)
+    return Corpus(spark, d).chunks
 
 
 def _h1(c: str = "html"):
@@ -165,7 +190,7 @@ def level_stack_parent(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def heading_path(spark: SparkSession, d: str) -> DataFrame:
-    return headings.heading_paths(_events(spark, d)).select("document_id", "event_id", F.array_join("heading_path", " > ").alias("heading_path"))
+    return headings.heading_paths(_events(spark, d).drop("heading_path")).select("document_id", "event_id", F.array_join("heading_path", " > ").alias("heading_path"))
 
 
 @query
@@ -189,12 +214,13 @@ def toc_parents(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def toc_anchor(spark: SparkSession, d: str) -> DataFrame:
-    return headings.toc_anchors(_toc(spark, d), _units(spark, d))
+    return headings.toc_anchors(_toc(spark, d), Corpus(spark, d).units)
 
 
 @query
 def section_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return sections.assign(_units(spark, d), _events(spark, d)).select("document_id", "global_index", "event_id")
+    c = Corpus(spark, d)
+    return sections.assign(c.units, c.events).select("document_id", "global_index", "event_id")
 
 
 @query
@@ -232,8 +258,8 @@ def split_oversized(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def section_atoms(spark: SparkSession, d: str) -> DataFrame:
-    kept = _sections(spark, d).filter("indexable")
-    return chunking.atoms(kept, _units(spark, d), MOST).select("document_id", "section_id", "source_block_id", "part", "page_number", "token_count")
+    c = Corpus(spark, d)
+    return chunking.atoms(c.sections.filter("indexable"), c.units, MOST).select("document_id", "section_id", "source_block_id", "part", "page_number", "token_count")
 
 
 @query
@@ -281,8 +307,8 @@ def chunk_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def missing_blocks(spark: SparkSession, d: str) -> DataFrame:
-    known = _units(spark, d).filter("NOT likely_code_block")
-    return chunking.blocks_of(_sections(spark, d), known).filter("missing").select("document_id", "section_id", "source_block_id")
+    c = Corpus(spark, d)
+    return chunking.blocks_of(c.sections, c.units.filter("NOT likely_code_block")).filter("missing").select("document_id", "section_id", "source_block_id")
 
 
 @query
@@ -422,7 +448,8 @@ def orphan_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def index_report(spark: SparkSession, d: str) -> DataFrame:
-    chunks, parents = _chunks(spark, d), chunking.parents(_sections(spark, d))
+    c = Corpus(spark, d)
+    chunks, parents = stage(c.chunks), chunking.parents(c.sections)
     texts = chunks.select(retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text")).alias("text"))
     return validate.index_report(parents, chunks, retrieval.average_length(texts), 64)
 

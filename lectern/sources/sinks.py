@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +47,19 @@ def upsert(rows: DataFrame, path: str, key: str = "id") -> DataFrame:
 def printable(hits: DataFrame, preview) -> DataFrame:
     """One line for each hit."""
     return hits.select(F.concat_ws("  ", F.col("position").cast("string"), F.round("score", 4).cast("string"), "chunk_id", preview).alias("line"))
+
+
+def stage(rows: DataFrame) -> DataFrame:
+    """Write a stage's result into the shared folder and read it back, so later stages do not compute it again.
+
+    The folder is the cluster's ``spark.checkpoint.dir``; a local one is made
+    only where that setting is absent.
+    """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lectern.stage.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("lectern.stage.dir", folder)
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
