@@ -8,10 +8,14 @@ that can change the components, exactly:
 1. Documents with equal sets are one node (distance 0).
 2. Any two nodes within the radius share one of their first
    ``n - ceil(0.75 n) + 1`` shingles in a common order (rare ones first).  The
-   nodes with such a shingle in common form a run; its smallest node is the
-   pivot.  The runs of one pivot make up its Voronoi region: nodes at distance
-   1 from every pivot are in none, and a node near several pivots is
-   replicated to each of their regions, so every link lies inside a region.
+   nodes with such a shingle in common form a run.  Set size is the distance
+   to the empty set, so links join sizes within a factor of 0.75; runs are cut
+   into windows of such sizes, each node in two of them.  Windows of a few
+   nodes are compared directly, if sizes and the shingle's places in both sets
+   allow a link.  In larger ones the smallest node is the pivot.  The windows
+   of one pivot make up its Voronoi region: nodes at distance 1 from every
+   pivot are in none, and a node near several pivots is replicated to each of
+   their regions, so every other link lies inside a region.
 3. The distance of each member to its pivot is computed.  Members within the
    radius link to the pivot, hence belong to one component, and need not be
    compared with each other.
@@ -53,7 +57,9 @@ PERCENT = 75
 RADIUS = 0.25
 
 #: Frequent shingles: least count and greatest number (16 bytes each) sent to the tasks.
-COMMON_LEAST, COMMON_MOST = 16, 1 << 18
+COMMON_LEAST, COMMON_MOST = 2, 1 << 18
+#: Runs up to this size are compared pair by pair.
+SMALL_RUN = 8
 #: Members of a ring and of a block that are compared pair by pair; deeper levels at most.
 RING_PAIRS, BLOCK, PIVOTS, LEVELS = 1 << 17, 64, 4, 3
 
@@ -126,8 +132,22 @@ def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), dtype), np.array([len(b) // size for b in blobs], np.int64)
 
 
+def _meta(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A set's size (22 bits, cut) and a shingle's relative place in it (10 bits, rounded down)."""
+    return (at * 1023 // n << 22 | np.minimum(n, (1 << 22) - 1)).astype(np.uint32)
+
+
+def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets with these sizes and places of their first common shingle can link."""
+    na, nb = (a & 0x3FFFFF).astype(np.int64), (b & 0x3FFFFF).astype(np.int64)
+    left = np.minimum(na - (a >> 22) * na // 1023, nb - (b >> 22) * nb // 1023)
+    # overlap of t / (1 + t) of both sizes, t = PERCENT / 100
+    fits = left * (100 + PERCENT) >= PERCENT * (na + nb)
+    return fits & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) | (np.maximum(na, nb) == 0x3FFFFF)
+
+
 def first_regions(nodes: DataFrame) -> DataFrame:
-    """Distinct ``pivot, x`` of all runs of nodes ``rep, prefix``."""
+    """Distinct ``pivot, x, star`` of all runs of nodes ``rep, n, prefix``; without ``star`` a pair of a small run."""
     buckets = 4 * shuffle_width(nodes.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,29 +156,44 @@ def first_regions(nodes: DataFrame) -> DataFrame:
                 continue
             key, n = _flat(batch.column("prefix"), np.uint64)
             owner = np.repeat(batch.column("rep").to_numpy(), n)
+            meta = _meta(np.repeat(batch.column("n").to_numpy(), n), spread(np.zeros(len(n), np.int64), n))
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            key, owner, bucket = key[order], owner[order], bucket[order]
+            key, owner, meta, bucket = key[order], owner[order], meta[order], bucket[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cut[:-1]]), pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["bucket", "keys", "owners"]
-            )
+            blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for c in (key, owner, meta)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *blobs], ["bucket", "keys", "owners", "metas"])
 
     def runs(table: pa.Table) -> pa.Table:
-        key, _ = _flat(table.column("keys"), np.uint64)
-        owner, _ = _flat(table.column("owners"), np.int64)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([head, [len(key)]]))
-        head, size = head[size > 1], size[size > 1]
-        x = owner[spread(head + 1, size - 1)]
-        pivot = np.repeat(owner[head], size - 1)
-        pair = np.unique(np.stack([pivot, x], axis=1)[pivot != x], axis=0)
-        return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["pivot", "x"])
-
-    dealt = nodes.select("rep", "prefix").mapInArrow(deal, "bucket int, keys binary, owners binary")
-    return dealt.groupBy("bucket").applyInArrow(runs, "pivot long, x long").distinct()
+        key, owner, meta = (_flat(table.column(c), t)[0] for c, t in (("keys", np.uint64), ("owners", np.int64), ("metas", np.uint32)))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        many = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
+        key, owner, meta = key[many], owner[order][many], meta[order][many]
+        size = np.floor(np.log(np.maximum(meta & 0x3FFFFF, 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
+        key, owner, meta, size = np.tile(key, 2), np.tile(owner, 2), np.tile(meta, 2), np.concatenate([size, size + 1])
+        order = np.lexsort((owner, size, key))
+        key, owner, meta, size = key[order], owner[order], meta[order], size[order]
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size[1:] != size[:-1])])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate([head, [len(key)]]))
+        large = n > SMALL_RUN
+        pivots = [np.repeat(owner[head[large]], n[large] - 1)]
+        others = [owner[spread(head[large] + 1, n[large] - 1)]]
+        stars = len(pivots[0])
+        for step in range(1, SMALL_RUN):
+            own = ~large & (n > step)
+            a = spread(head[own], n[own] - step)
+            ok = _possible(meta[a], meta[a + step])
+            pivots.append(owner[a][ok])
+            others.append(owner[a + step][ok])
+        pair = np.stack([np.concatenate(pivots), np.concatenate(others), np.arange(sum(map(len, pivots))) < stars], axis=1)
+        pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
+        return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(pair[:, 2] == 1)], ["pivot", "x", "star"])
+
+    dealt = nodes.select("rep", "n", "prefix").mapInArrow(deal, "bucket int, keys binary, owners binary, metas binary")
+    found = dealt.groupBy("bucket").applyInArrow(runs, "pivot long, x long, star boolean")
+    return found.groupBy("pivot", "x").agg(F.bool_or("star").alias("star"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -185,7 +220,7 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """``region, pivot, x, d, linked`` for ``region, pivot, x``.
+    """``region, pivot, x, star, d, linked`` for ``region, pivot, x, star``.
 
     Both joins are plain sort-merge joins: one row of the sets meets the many
     rows of a hot pivot, and the skew join splits those.
@@ -203,11 +238,11 @@ def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
                 union = len(p) + len(x) - both
                 d.append(1 - both / union)
                 linked.append(100 * both >= PERCENT * union)
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("pivot"), batch.column("x"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["region", "pivot", "x", "d", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("pivot"), batch.column("x"), batch.column("star"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["region", "pivot", "x", "star", "d", "linked"])
 
     with_x = regions.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
     with_both = with_x.join(sets.select(F.col("doc_id").alias("pivot"), F.col("s").alias("sp")), "pivot")
-    return with_both.select("region", "pivot", "x", "sx", "sp").mapInArrow(run, "region long, pivot long, x long, d double, linked boolean")
+    return with_both.select("region", "pivot", "x", "star", "sx", "sp").mapInArrow(run, "region long, pivot long, x long, star boolean, d double, linked boolean")
 
 
 def rings(measured: DataFrame, labels: DataFrame) -> DataFrame:
@@ -277,7 +312,7 @@ def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         found = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("x").alias("b"))
         links = found if links is None else links.union(found)
         labels = settle(components(links))
-        members = rings(measured, labels)
+        members = rings(measured.filter("star"), labels)
         large = (F.col("n") * F.col("n_rest") > RING_PAIRS) if level < LEVELS else F.lit(False)
         links = links.union(settle(block_links(members.filter(~large), sets)))
         members = members.filter(large)
@@ -286,7 +321,7 @@ def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         # the rest's members with the least hashes are the next pivots
         ranked = members.filter("rest").groupBy("region").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("x"), F.greatest(F.lit(1), F.floor(F.col("n_rest") / (8 * PIVOTS)))) == 0, F.struct(F.xxhash64("x").alias("h"), F.col("x").alias("p"))))), 1, PIVOTS).alias("ps"))
         pivots = ranked.select("region", F.explode("ps.p").alias("pivot"))
-        regions = settle(members.select("region", "x").join(pivots, "region").filter("x <> pivot").select(F.xxhash64("region", "pivot").alias("region"), "pivot", "x"))
+        regions = settle(members.select("region", "x").join(pivots, "region").filter("x <> pivot").select(F.xxhash64("region", "pivot").alias("region"), "pivot", "x", F.lit(True).alias("star")))
     return components(links)
 
 
@@ -294,7 +329,7 @@ def join(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     docs = docs.select("doc_id", "text")
     table = settle(shingled(docs, common_shingles(docs)))
-    nodes = settle(table.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")))
+    nodes = settle(table.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")))
     linked = settle(linked_components(docs, nodes))
     rows = table.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "rep"), "digest", "left")
     # a doc_id with several texts unites their components
