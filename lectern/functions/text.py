@@ -121,8 +121,9 @@ def split_paragraphs(c: Column) -> Column:
 def truncate_tokens(c: Column, budget: Column | int) -> Column:
     """The text up to the end of its token number ``budget``."""
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    cut = F.regexp_extract(c, F.concat(F.lit(r"(?U)^((?:\s*+(?:[\p{L}\p{N}_]++|[^\p{L}\p{N}_\s])){"), F.greatest(budget, F.lit(1)).cast("string"), F.lit("})")), 1)
-    return F.when(budget <= 0, "").when(token_count(c) <= budget, c).otherwise(strip(cut))
+    pattern = F.concat(F.lit(r"(?U)^((?:\s*+(?:[\p{L}\p{N}_]++|[^\p{L}\p{N}_\s])){"), F.greatest(budget, F.lit(1)).cast("string"), F.lit("})"))
+    cut = F.call_function("regexp_extract", c, pattern, F.lit(1))
+    return F.when(budget <= 0, "").when(token_count(c) <= budget, c).otherwise(F.regexp_replace(cut, r"(?U)\s+\z", ""))
 
 
 def split_tokens(c: Column, most: int) -> Column:

@@ -443,7 +443,7 @@ def validate_corpus(spark: SparkSession, d: str) -> DataFrame:
 @query
 def orphan_chunks(spark: SparkSession, d: str) -> DataFrame:
     turns = _turns(spark, d)
-    return validate.orphans(turns.filter("document_id = 'user'").select("parent_id"), turns).select("chunk_id")
+    return validate.orphans(turns.filter("chunk_number = 4").select("parent_id"), turns).select("chunk_id")
 
 
 @query

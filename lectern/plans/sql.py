@@ -282,7 +282,7 @@ SELECT query_id, doc_id, parent_id, score, (row_number() OVER (PARTITION BY quer
 SELECT query_id, position::INT AS position, upto > 600 AS truncated, least(n, 600 - (upto - n))::BIGINT AS token_count_approx FROM summed WHERE upto <= 600 OR 600 - (upto - n) >= {R.LEAST_CUT}""",
         "truncate_budget": f"SELECT doc_id, md5(CASE WHEN {tokens('text')} <= 100 THEN text ELSE {cut('text', '100')} END) AS digest FROM documents",
         "validate_corpus": "WITH c AS (SELECT conv_id, turn, text FROM conversations) SELECT 'chunk-id-twice' AS rule, printf('conv-%06d', conv_id) AS id FROM c GROUP BY conv_id HAVING count(*) > 1",
-        "orphan_chunks": "SELECT printf('conv-%06d/turn-%03d', conv_id, turn) AS chunk_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'user')",
+        "orphan_chunks": "SELECT printf('conv-%06d/turn-%03d', conv_id, turn) AS chunk_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 4)",
         "index_report": f"""{with_}{CHUNKS}, named AS (SELECT document_id, title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text AS t FROM chunks)
 SELECT (SELECT count(DISTINCT document_id) FROM chunks) AS document_count, (SELECT count(*) FROM sections WHERE indexable) AS parent_count, (SELECT count(*) FROM chunks) AS chunk_count,
 (SELECT round_even(avg(len(regexp_extract_all({casefold('t')}, '[\\p{{L}}\\p{{N}}_]+'))), 4) FROM named) AS average_lexical_length, 64 AS dense_dimension""",
