@@ -27,8 +27,8 @@ that can change the components, exactly:
    ones are joined member by member in blocks of bounded size.
 
 The order of shingles only affects cost: those counted as frequent come last.
-Frequencies are lower bounds gathered from all documents (counts of at least
-two inside a slice), of which a bounded number is sent to all tasks.
+Frequencies come from all documents; a bounded number of the most frequent
+shingles is sent to all tasks.
 
 A null or empty text has an empty set, ``n_shingles`` 0, and is linked with
 nothing.  Every input row gives one row.  Rows that share a ``doc_id`` are one
@@ -49,15 +49,15 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import spread
 from lectern.llm.graph import components
-from lectern.llm.spark import settle, shuffle_width
+from lectern.llm.spark import let_go, settle, shuffle_width
 from lectern.llm.words import hash_words, slices, split_words, windows
 
 SHINGLE = 5
 PERCENT = 75
 RADIUS = 0.25
 
-#: Frequent shingles: least count and greatest number (16 bytes each) sent to the tasks.
-COMMON_LEAST, COMMON_MOST = 2, 1 << 18
+#: Frequent shingles: percent of each set that is counted, least count, and greatest number (16 bytes each) sent to the tasks.
+COUNTED, COMMON_LEAST, COMMON_MOST = 40, 3, 1 << 19
 #: Runs up to this size are compared pair by pair.
 SMALL_RUN = 8
 #: Members of a ring and of a block that are compared pair by pair; deeper levels at most.
@@ -81,18 +81,40 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Frequent shingles, most frequent last."""
+    """Frequent shingles, most frequent last.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Counts the ``COUNTED`` lowest percent of each set by hash, which holds all
+    shingles that the hash order alone would put first.  A slice sends each
+    distinct shingle once, so a shingle of all documents is no hot key.
+    """
+    buckets = 4 * shuffle_width(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 16 << 20):
                 sets = shingle_sets(part.column("text"))
-                token, count = np.unique(np.concatenate(sets), return_counts=True)
-                many = count > 1
-                yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many])], ["token", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "token").limit(COMMON_MOST).select("token").toArrow()
+                token, n = np.unique(np.concatenate([s[: len(s) * COUNTED // 100 + 1] for s in sets]), return_counts=True)
+                bucket = (token % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                token, n, bucket = token[order], np.minimum(n[order], 65535).astype(np.uint16), bucket[order]
+                if not len(token):
+                    continue
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+                blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for c in (token, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *blobs], ["bucket", "tokens", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        token, n = _flat(table.column("tokens"), np.uint64)[0], _flat(table.column("counts"), np.uint16)[0]
+        order = np.argsort(token)
+        token, n = token[order], n[order].astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        n = np.add.reduceat(n, head) if len(head) else n
+        many = n >= COMMON_LEAST
+        return pa.table([pa.array(token[head][many].view(np.int64)), pa.array(n[many])], ["token", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(total, "token long, n long")
+    top = counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).select("token").toArrow()
+    let_go(docs.sparkSession)
     return top.column("token").to_numpy().view(np.uint64)[::-1].copy()
 
 
