@@ -123,7 +123,7 @@ SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages),
 h AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS holder FROM p)
 SELECT page_id, size::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
-  CASE WHEN size < 1000 OR page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN size < 1000 OR page_id = holder THEN NULL ELSE holder END AS refers_to, TRUE AS verified
+  CASE WHEN size < 1000 OR page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN size < 1000 OR page_id IS NOT DISTINCT FROM holder THEN NULL ELSE holder END AS refers_to, TRUE AS verified
 FROM h
 """

@@ -1,0 +1,270 @@
+"""Each operator against brute force, an exact round trip, SQL or held-out accuracy, on awkward rows."""
+
+import hashlib
+import random
+import re
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import bpe, decontaminate, jaccard, licenses, pii, quality, registry, rules, substrings, toxicity, warc
+from lectern.llm.graph import components
+
+D = "/root/testdata/sf0.001"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+random.seed(11)
+VOCAB = [f"w{i}" for i in range(400)] + ["Straße", "ÉTÉ", "日本", "The", "the"]
+BASE = [random.choice(VOCAB) for _ in range(300)]
+
+
+def changed(words, n):
+    out = list(words)
+    for _ in range(n):
+        out[random.randrange(len(out))] = random.choice(VOCAB)
+    return out
+
+
+TEXTS = [None, "", "   \n\t ", "one", "one two three", "One TWO three", "a\x0bb\x1cc d e f g", "x " * 3000, "same words here again and again"]
+TEXTS += [" ".join(BASE)] * 3 + [" ".join(changed(BASE, k)) for k in (1, 2, 3, 5, 8, 10, 12, 14, 16, 20) for _ in range(3)]
+TEXTS += [" ".join(random.choice(VOCAB) for _ in range(random.randrange(1, 200))) for _ in range(30)]
+TEXTS += ["  ".join([*BASE[40:110], *(random.choice(VOCAB) for _ in range(80))]) for _ in range(15)]
+ROWS = list(enumerate(TEXTS))
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, region string, b int, label int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"src{i % 3}" if i % 5 else None, len(t or ""), 1.0, "r", 1, 0) for i, t in ROWS]
+    return spark.createDataFrame(rows, EXTRA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], EXTRA)
+
+
+def sets(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+
+
+def brute_components(rows):
+    parent = {i: i for i, _ in rows}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    s = {i: sets(t) for i, t in rows}
+    for a, b in combinations(s, 2):
+        if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: (len(s[i]), find(i)) for i in s}
+
+
+@pytest.mark.parametrize("small,ring", [(8, 1 << 17), (1, 1 << 17), (1, 4)])
+def test_jaccard_equals_brute_force(docs, monkeypatch, small, ring):
+    monkeypatch.setattr(jaccard, "SMALL_RUN", small)
+    monkeypatch.setattr(jaccard, "RING_PAIRS", ring)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
+    assert got == brute_components(ROWS)
+
+
+def test_jaccard_odd_ids(spark, empty):
+    text = " ".join(BASE[:40])
+    rows = [(None, text), (5, text), (5, text), (7, text + " x"), (5, "other words entirely " * 9), (9, "other words entirely " * 9), (3, None)]
+    got = sorted(((r.doc_id or -1, r.component_id or -1) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(-1, -1), (3, 3), (5, 5), (5, 5), (5, 5), (7, 5), (9, 5)]
+    assert jaccard.join(empty).count() == 0
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.id: r.component for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def brute_removal(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w = WORD.findall(t or "")
+        gone, new = set(), []
+        for k in range(len(w) - 49):
+            key = tuple(w[k : k + 50])
+            if key in seen:
+                gone |= set(range(k, k + 50))
+            new.append(key)
+        seen |= set(new)
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def test_substrings_equal_brute_force(docs, empty, spark):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(docs).collect()}
+    assert got == brute_removal(ROWS)
+    assert substrings.deduplicate(empty).count() == 0
+    text = " ".join(BASE[:80])
+    odd = spark.createDataFrame([(None, text), (4, text), (4, text), (4, text + " y"), (6, "z " + text)], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.n_removed) for r in substrings.deduplicate(odd).collect()) == [(-1, 0), (4, 0), (4, 0), (4, 0), (6, 80)]
+
+
+def test_difference_cover():
+    for d in range(substrings.PERIOD):
+        assert any((c + d) % substrings.PERIOD in substrings.COVER for c in substrings.COVER)
+
+
+def test_bpe_equals_library(docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = registry.tokenizer_path()
+    lib = tokenizers.Tokenizer.from_file(path)
+    hard = ["", "aaaa<|endoftext|> b", " lead", "tail ", "two  spaces\n\n x", "don't 'LL 123４５ ½²", "😀👍🏽 é", "a" * 999, "\x00\x1c \x85"]
+    own = bpe.load(path)
+    ids, n = own.encode(hard)
+    at = 0
+    for t, k in zip(hard, n):
+        assert ids[at : at + k].tolist() == lib.encode(t, add_special_tokens=False).ids, t
+        at += k
+    for r in bpe.round_trip(docs, path).collect():
+        t = TEXTS[r.doc_id] or ""
+        e = lib.encode(t, add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(e), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(e, skip_special_tokens=False).encode()).hexdigest()
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert back == {i: t or "" for i, t in ROWS}
+    assert bpe.round_trip(empty, path).count() == 0
+
+
+def semi_global(a, b):
+    prev = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return min(prev)
+
+
+def test_leaks_equal_brute_force(spark, docs, empty):
+    items = [(1, " ".join(BASE[10:40])), (2, " ".join(changed(BASE[100:140], 4))), (3, "too short"), (4, None), (5, ""), (5, " ".join(BASE[50:60]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    norm = lambda t: [x for x in (re.sub(r"[\W_]+", "", w.lower()) for w in WORD.findall(t or "")) if x]
+    want = set()
+    for i, t in ROWS:
+        for k, item in items:
+            a = norm(item)
+            if len(a) >= decontaminate.LEAST_WORDS and semi_global(a, norm(t)) <= int(decontaminate.RATE * len(a)):
+                want.add((i, k, semi_global(a, norm(t))))
+    got = decontaminate.leaks(docs, bench)
+    assert {(r.doc_id, r.item_id, r.distance) for r in got.collect()} == want
+    kept = {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert kept == {i for i, _ in ROWS} - {w[0] for w in want}
+    assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def against_sql(spark, frame, statement, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in tables.items():
+        pdf = df.toArrow()
+        con.register(name, pdf)
+    cols = sorted(frame.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({statement})").fetchall()
+    return sorted(map(repr, (tuple(r) for r in frame.select(cols).collect()))), sorted(map(repr, want))
+
+
+def test_rules(spark, docs, empty):
+    got, want = against_sql(spark, rules.judge(docs), rules.SQL, documents=docs.select("doc_id", "text", "source"))
+    assert got == want and rules.judge(empty).count() == 0
+    bad = spark.createDataFrame([(i, "few words", "bad") for i in range(9)] + [(i, " ".join(BASE[i : i + 30]), "good") for i in range(20, 60)] + [(99, " ".join(BASE[:40]), "bad")], "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in rules.judge(bad).collect()}
+    assert not kept[99] and all(kept[i] for i in range(20, 60))
+
+
+def test_licenses(spark, docs, empty):
+    notices = [(900, "x\nReleased under the MIT License!\nmore"), (901, licenses.TEMPLATES["MIT"]), (902, licenses.TEMPLATES["ISC"].replace("fee", "charge")), (903, "\nReleased under\nthe MIT License.\n\nother"), (904, "the license of this software")]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(notices, "doc_id long, text string"))
+    got, want = against_sql(spark, licenses.scan(both), licenses.sql(), documents=both)
+    assert got == want
+    names = {(r.doc_id, r.license) for r in licenses.scan(both).collect()}
+    assert {(900, "MIT-notice"), (902, "ISC"), (903, "MIT-notice")} <= names and not any(i == 904 for i, _ in names)
+    assert licenses.scan(empty).count() == 0
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pii(spark, docs, empty):
+    texts = ["card 4929963689861572.", "again 4929963689861572", "4929 9636 8986 1572", "no 5927243074273351", "+1 (551) 555-0826", "+1 (551) 555-0827", "ip 10.2.3.4 and 300.1.1.1", "2024-02-29 2023-02-30 31/12/1999", "a.07@mail8.example.com é", None, "", "123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(df, "k").collect()}
+    card = re.search(r"\d{16}", out[0]).group()
+    assert card != "4929963689861572" and luhn(card) and card in out[1] and out[2].replace(" ", "") == card
+    assert out[3] == texts[3] and out[9] is None and out[10] == ""
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[4]) and out[4] != texts[4] and out[4] != out[5]
+    ip = re.match(r"ip (\d+)\.(\d+)\.(\d+)\.(\d+) and 300\.1\.1\.1", out[6])
+    assert ip and all(int(x) < 256 for x in ip.groups()) and "10.2.3.4" not in out[6]
+    assert "2023-02-30" in out[7] and "2024-02-29" not in out[7] and re.fullmatch(r"\d{4}-\d\d-\d\d 2023-02-30 \d\d/\d\d/\d{4}", out[7])
+    assert "mail8" not in out[8] and out[8].endswith(" é") and "123-45-6789" not in out[11]
+    assert {r.text for r in pii.pseudonymise(df, "other").collect()} != set(out.values())
+    assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(empty).count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    got = [r.p for r in df.select(pii.permute_digits(F.col("d"), "t", "k").alias("p")).collect()]
+    assert len(set(got)) == 1000 and all(len(x) == 3 for x in got)
+
+
+def test_warc(spark):
+    big, small = "é" * 600, "tiny"
+    rows = [(1, "http://a\r\nX: y", big), (2, "u", big), (9, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", ""), (7, "u", "z" * 1000), (None, "u", "q" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
+    got, want = against_sql(spark, warc.archive(pages), warc.SQL, pages=pages)
+    assert got == want
+    kinds = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(pages).collect()}
+    assert kinds[1] == kinds[2] == ("revisit", 9) and kinds[9] == ("response", None) and kinds[3] == kinds[4] == ("response", None)
+    assert warc.archive(pages.limit(0)).count() == 0
+
+
+def test_warc_rebuilds_records(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "body " * 400) for i in range(600)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a" / "payloads")).count() == 1
+    back = warc.read(spark, str(tmp_path / "a")).collect()
+    assert len(back) == 600 and all(bytes(r.payload).decode() == "body " * 400 and bytes(r.header).startswith(b"WARC/1.1\r\n") for r in back)
+
+
+@pytest.mark.parametrize("name,column,least", [("op6_quality", "quality", 0.95), ("op4_toxicity", "toxic", 0.95)])
+def test_classifiers_on_held_out_rows(spark, name, column, least):
+    d = D.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", column)
+    rows = registry.queries()[name](spark, d).join(labels, "doc_id").filter("held_out").collect()
+    assert len(rows) > 50 and sum(r.predicted == r[column] for r in rows) >= least * len(rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("classify", [quality.classify, toxicity.classify])
+def test_classifiers_without_labels(spark, docs, empty, classify):
+    none = spark.createDataFrame([], "doc_id long, label int")
+    assert {r.score for r in classify(docs, none).collect()} == {0.5}
+    ones = spark.createDataFrame([(i, 1) for i in range(20)] + [(None, 0), (3, None)], "doc_id long, label int")
+    assert {r.score for r in classify(docs, ones).collect()} == {1.0}
+    assert classify(empty, ones).count() == 0
+
+
+def test_toxic_context():
+    lexicon = toxicity.Lexicon({"=idiot": 4.0})
+    import pyarrow as pa
+
+    x = toxicity.features(pa.array(["You are an idiot.", "You are not an idiot.", "He said idiot.", "An idiot.", None, ""]), lexicon)
+    mass, targeted, negated, reported = (x[:, toxicity.FEATURES.index(k)] for k in ("mass", "targeted", "negated", "reported"))
+    assert targeted[0] > 0 and negated[1] > 0 and reported[2] > 0
+    assert mass[0] > 0 and mass[3] > 0 and mass[1] == 0 and not x[4:, 1:6].any()
