@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import spread
 from lectern.llm.graph import components
-from lectern.llm.spark import let_go, settle, shuffle_width
+from lectern.llm.spark import arrow_rows, let_go, settle, shuffle_width
 from lectern.llm.words import hash_words, slices, split_words, windows
 
 SHINGLE = 5
@@ -62,6 +62,8 @@ COUNTED, COMMON_LEAST, COMMON_MOST = 40, 3, 1 << 19
 SMALL_RUN = 8
 #: Members of a ring and of a block that are compared pair by pair; deeper levels at most.
 RING_PAIRS, BLOCK, PIVOTS, LEVELS = 1 << 17, 64, 4, 3
+#: Rows with whole sets that Python holds at once.
+WIDE_ROWS = 128
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -330,13 +332,15 @@ def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = settle(sets_of(docs, ids))
     links = None
     for level in range(LEVELS + 1):
-        measured = settle(distances(regions, sets))
+        with arrow_rows(docs.sparkSession, WIDE_ROWS):
+            measured = settle(distances(regions, sets))
         found = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("x").alias("b"))
         links = found if links is None else links.union(found)
         labels = settle(components(links))
         members = rings(measured.filter("star"), labels)
         large = (F.col("n") * F.col("n_rest") > RING_PAIRS) if level < LEVELS else F.lit(False)
-        links = links.union(settle(block_links(members.filter(~large), sets)))
+        with arrow_rows(docs.sparkSession, WIDE_ROWS):
+            links = links.union(settle(block_links(members.filter(~large), sets)))
         members = members.filter(large)
         if members.isEmpty():
             break
