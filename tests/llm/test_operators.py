@@ -242,9 +242,10 @@ def test_warc_rebuilds_records(spark, tmp_path):
     assert len(back) == 600 and all(bytes(r.payload).decode() == "body " * 400 and bytes(r.header).startswith(b"WARC/1.1\r\n") for r in back)
 
 
-@pytest.mark.parametrize("name,column,least", [("op6_quality", "quality", 0.95), ("op4_toxicity", "toxic", 0.95)])
-def test_classifiers_on_held_out_rows(spark, name, column, least):
-    d = D.replace("0.001", "0.01")
+@pytest.mark.parametrize("name,column,sf", [("op6_quality", "quality", "0.01"), ("op4_toxicity", "toxic", "0.1")])
+def test_classifiers_on_held_out_rows(spark, name, column, sf):
+    # sf0.01 has only some 35 toxic training rows, too few to learn the words of three of the languages
+    d, least = D.replace("0.001", sf), 0.95
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", column)
     rows = registry.queries()[name](spark, d).join(labels, "doc_id").filter("held_out").collect()
     assert len(rows) > 50 and sum(r.predicted == r[column] for r in rows) >= least * len(rows)
