@@ -454,6 +454,36 @@ def index_report(spark: SparkSession, d: str) -> DataFrame:
     return validate.index_report(parents, chunks, retrieval.average_length(texts), 64)
 
 
+@query
+def content_range(spark: SparkSession, d: str) -> DataFrame:
+    return layout.units(_blocks(spark, d), 2, 3).select("document_id", "source_block_id", "global_index")
+
+
+@query
+def font_statistics(spark: SparkSession, d: str) -> DataFrame:
+    spans = _blocks(spark, d).withColumn("is_bold", F.col("bold_ratio") > 0).withColumn("is_monospaced", F.col("monospaced_ratio") > 0)
+    return layout.font_statistics(spans, "document_id", "page_number")
+
+
+@query
+def manual_chapters(spark: SparkSession, d: str) -> DataFrame:
+    units = Corpus(spark, d).units
+    hints = units.select("document_id").distinct().select("document_id", F.lit(1).alias("hint_index"), F.concat(F.lit("Start of "), "document_id").alias("title"), F.lit(1).alias("page_number"), F.lit(1).alias("level"))
+    return headings.font_events(units, hints).select("document_id", "title", "anchor_index", "detection_method")
+
+
+@query
+def dense_text(spark: SparkSession, d: str) -> DataFrame:
+    text = retrieval.dense_text(F.lit(""), F.col("title"), F.col("heading_path"), F.col("text"))
+    return _chunks(spark, d).select("chunk_id", F.md5(text).alias("digest"))
+
+
+@query
+def unknown_ids(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return validate.unknown_ids(table(spark, d, "labels"), known, "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -286,6 +286,16 @@ SELECT query_id, position::INT AS position, upto > 600 AS truncated, least(n, 60
         "index_report": f"""{with_}{CHUNKS}, named AS (SELECT document_id, title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text AS t FROM chunks)
 SELECT (SELECT count(DISTINCT document_id) FROM chunks) AS document_count, (SELECT count(*) FROM sections WHERE indexable) AS parent_count, (SELECT count(*) FROM chunks) AS chunk_count,
 (SELECT round_even(avg(len(regexp_extract_all({casefold('t')}, '[\\p{{L}}\\p{{N}}_]+'))), 4) FROM named) AS average_lexical_length, 64 AS dense_dimension""",
+        "stable_point_id": f"""WITH h AS (SELECT doc_id, sha1(unhex('{T.POINT_NAMESPACE}') || encode('{T.POINT_PREFIX}' || printf('doc-%06d', doc_id))) AS s FROM documents)
+SELECT doc_id, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', s[17:17]) - 1) % 4 + 1, 1) || s[18:20] || '-' || s[21:32] AS point_id FROM h""",
+        "content_range": f"{with_}{BLOCKS} SELECT document_id, source_block_id, (row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1)::INT AS global_index FROM blocks WHERE page_number BETWEEN 2 AND 3",
+        "font_statistics": f"{with_}{BLOCKS} SELECT document_id, page_number, sum(length(text))::BIGINT AS characters, round_even(sum(CASE WHEN bold_ratio > 0 THEN length(text) ELSE 0 END) / sum(length(text)), 4) AS bold_ratio, round_even(sum(CASE WHEN mono > 0 THEN length(text) ELSE 0 END) / sum(length(text)), 4) AS monospaced_ratio, max(font_size) AS maximum_font_size FROM blocks GROUP BY ALL",
+        "manual_chapters": f"""{with_}{HEADINGS}, starts AS (SELECT * FROM leveled WHERE page_number = 1 AND NOT {_NUMERAL.format('ct')}
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY is_heading DESC, CASE WHEN is_heading THEN font_size END DESC NULLS LAST, CASE WHEN is_heading THEN bold_ratio END DESC NULLS LAST, block_index) = 1)
+SELECT document_id, 'Start of ' || document_id AS title, global_index::INT AS anchor_index, 'manual-chapter-anchor' AS detection_method FROM starts
+UNION ALL SELECT e.document_id, e.title, e.anchor_index::INT, 'font-heading' FROM events e LEFT JOIN starts s ON s.document_id = e.document_id AND s.global_index = e.anchor_index WHERE s.document_id IS NULL""",
+        "dense_text": f"{with_}{CHUNKS} SELECT chunk_id, md5('Title : ' || title || chr(10) || 'Section: ' || heading_path || chr(10) || chr(10) || text) AS digest FROM chunks",
+        "unknown_ids": "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
         "file_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
         "toc_parents": f"""WITH RECURSIVE {BLOCKS}, toc AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS o, CASE WHEN font_size = 16 THEN 1 WHEN font_size = 12 THEN 2 ELSE 3 END AS level FROM blocks WHERE head),
 ups AS (SELECT e.document_id, e.o, arg_max(p.level, p.o) AS lv, arg_max(p.o, p.o) AS up FROM toc e JOIN toc p ON p.document_id = e.document_id AND p.o < e.o AND p.level < e.level GROUP BY ALL)
