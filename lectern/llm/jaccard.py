@@ -61,7 +61,7 @@ COUNTED, COMMON_LEAST, COMMON_MOST = 40, 3, 1 << 19
 #: Runs up to this size are compared pair by pair.
 SMALL_RUN = 8
 #: Members of a ring and of a block that are compared pair by pair; deeper levels at most.
-RING_PAIRS, BLOCK, PIVOTS, LEVELS = 1 << 17, 64, 4, 3
+RING_PAIRS, BLOCK, PIVOTS, LEVELS = 1 << 17, 128, 8, 3
 #: Rows with whole sets that Python holds at once.
 WIDE_ROWS = 128
 
@@ -243,6 +243,33 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def intersections(token: np.ndarray, size: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` with the sets ``columns``, as products of 0/1 matrices.
+
+    Only shingles that both sides have take part, ``width`` of them at a time.
+    """
+    code = np.unique(token, return_inverse=True)[1].ravel()
+    owner = np.repeat(np.arange(len(size)), size)
+    sides = []
+    for own in (rows, columns):
+        place = np.full(len(size), -1)
+        place[own] = np.arange(len(own))
+        at = place[owner]
+        sides.append((code[at >= 0], at[at >= 0]))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    sides = [(np.searchsorted(common, c), at, np.isin(c, common)) for c, at in sides]
+    out = np.zeros((len(rows), len(columns)), np.int64)
+    for a in range(0, len(common), width):
+        parts = []
+        for (c, at, known), n in zip(sides, (len(rows), len(columns))):
+            here = known & (c >= a) & (c < a + width)
+            m = np.zeros((n, min(width, len(common) - a)), np.float32)
+            m[at[here], c[here] - a] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
 def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
     """``region, pivot, x, star, d, linked`` for ``region, pivot, x, star``.
 
@@ -299,28 +326,15 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         x, label, d = (table.column(c).to_numpy() for c in ("x", "label", "d"))
-        sets_ = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("s")]
-        size = np.array([len(s) for s in sets_])
-        root: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while root.get(v, v) != v:
-                v = root[v]
-            return v
-
-        a, b = [], []
-        rest = np.flatnonzero(~asks)
-        for u in np.flatnonzero(asks).tolist():
-            fit = (np.abs(d[rest] - d[u]) <= RADIUS + 1e-9) & (100 * np.minimum(size[rest], size[u]) >= PERCENT * np.maximum(size[rest], size[u])) & (x[rest] != x[u])
-            for v in rest[fit].tolist():
-                if find(label[u]) == find(label[v]):
-                    continue
-                both = shared(sets_[u], sets_[v])
-                if 100 * both >= PERCENT * (len(sets_[u]) + len(sets_[v]) - both):
-                    a.append(x[u])
-                    b.append(x[v])
-                    root[find(label[u])] = find(label[v])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        token, size = _flat(table.column("s"), np.uint64)
+        u, v = np.flatnonzero(asks), np.flatnonzero(~asks)
+        both = intersections(token, size, u, v)
+        union = size[u][:, None] + size[v][None, :] - both
+        near = np.abs(d[u][:, None] - d[v][None, :]) <= RADIUS + 1e-9
+        i, j = np.nonzero(near & (100 * both >= PERCENT * union) & (label[u][:, None] != label[v][None, :]))
+        # one link for each pair of components is enough
+        _, one = np.unique(np.stack([label[u][i], label[v][j]], axis=1), axis=0, return_index=True)
+        return pa.table([pa.array(x[u][i][one]), pa.array(x[v][j][one])], ["a", "b"])
 
     return rows.groupBy("region", "i", "j").applyInArrow(compare, "a long, b long")
 
