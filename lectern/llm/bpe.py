@@ -28,7 +28,7 @@ from lectern.llm.words import slices
 #: The split pattern of this family of vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _NONE = np.int32(2**31 - 1)
 
 
