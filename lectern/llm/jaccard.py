@@ -61,7 +61,7 @@ COUNTED, COMMON_LEAST, COMMON_MOST = 40, 3, 1 << 19
 #: Runs up to this size are compared pair by pair.
 SMALL_RUN = 8
 #: Members of a ring and of a block that are compared pair by pair; deeper levels at most.
-RING_PAIRS, BLOCK, PIVOTS, LEVELS = 1 << 17, 128, 8, 3
+RING_PAIRS, BLOCK, PIVOTS, LEVELS = 1 << 17, 256, 8, 3
 #: Rows with whole sets that Python holds at once.
 WIDE_ROWS = 128
 
