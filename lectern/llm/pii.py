@@ -29,10 +29,22 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\d+(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\d)"
+LOCAL_PHONE = r"(?<![\d+(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\d)"
 HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+OTHER = "|".join((EMAIL, IPV4, DATE, SSN, LOCAL_PHONE, HEX))
+#: A card by its layout: 13 to 19 digits in one group, or 4-4-4-4, 4-6-5 and 4-6-4 digits.
+LAYOUT = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)"
+#: After +1 ten digits; other countries stop before the next value, else take up to four groups.
+PHONE = (
+    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?\d{{2,4}}){{2,3}}?(?=[ .-](?:{OTHER}|{LAYOUT}))"
+    r"|\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2}(?:[ .-]?\d{2,4}(?!\.?\d))?(?!\d)"
+    rf"|{LOCAL_PHONE}"
+)
+#: A run of digit groups up to the next value of another format; ``_card`` finds the cards in it.
+CARD = rf"(?<!\d)(?=\d(?:(?:[ -](?!{OTHER}))?\d){{12}})\d++(?:[ -](?!{OTHER})\d++)*+"
 ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, HEX, CARD))
+CARD_DIGITS = (13, 19)
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -89,15 +101,63 @@ def only_digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def _card(m: Column, key: str) -> Column:
+def _one_card(m: Column, key: str) -> Column:
     def changed(d: Column) -> Column:
         body = permute_digits(F.left(d, F.length(d) - 1), "card", key)
         whole = let(body, lambda b: F.concat(b, ((10 - luhn_sum(b, 0) % 10) % 10).cast("string")))
-        return F.when(luhn_sum(d, 1) % 10 == 0, let(whole, lambda w: refill(m, w))).otherwise(m)
+        return let(whole, lambda w: refill(m, w))
 
     return let(only_digits(m), changed)
 
 
+def _spans(groups: Column, i: Column) -> Column:
+    """Spans ``text, last, laid`` of groups from ``i`` on that pass the Luhn check, shortest first; ``laid`` tells a card's layout."""
+
+    def span(j: Column) -> Column:
+        return F.struct(F.array_join(F.slice(groups, i + 1, j - i + 1), "").alias("text"), j.alias("last"))
+
+    def valid(s: Column) -> Column:
+        return let(only_digits(s["text"]), lambda d: F.length(d).between(*CARD_DIGITS) & (luhn_sum(d, 1) % 10 == 0))
+
+    all_of = F.transform(F.sequence(i, F.least(i + CARD_DIGITS[1] - 1, F.size(groups) - 1)), span)
+    near = F.filter(all_of, lambda s: F.length(s["text"]).between(CARD_DIGITS[0], 2 * CARD_DIGITS[1]))
+    return F.transform(F.filter(near, valid), lambda s: s.withField("laid", s["text"].rlike(rf"\A[ -]?(?:{LAYOUT})\z")))
+
+
+def _card(m: Column, key: str) -> Column:
+    """A run of digit groups with its cards replaced.
+
+    From the left, a card in one of the layouts goes first; else the longest
+    valid span that does not reach into a card in one of the layouts.  Where two
+    cards overlap and both pass the check, nothing tells them apart: the left one is taken.
+    """
+
+    def changed(groups: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(groups) - 1)
+
+        def pick(spans: Column) -> Column:
+            def choose(i: Column) -> Column:
+                own = F.get(spans, i)
+                laid = F.filter(own, lambda s: s["laid"])
+                free = F.filter(own, lambda s: ~F.exists(at, lambda j: (j > i) & (j <= s["last"]) & F.exists(F.get(spans, j), lambda x: x["laid"])))
+                return F.coalesce(F.get(laid, F.lit(0)), F.try_element_at(free, F.lit(-1)))
+
+            def step(s: Column, i: Column) -> Column:
+                def put(c: Column) -> Column:
+                    out = F.when(i < s["next"], F.lit("")).when(c.isNull(), F.get(groups, i)).otherwise(_one_card(c["text"], key))
+                    after = F.when((i >= s["next"]) & c.isNotNull(), c["last"] + 1).otherwise(s["next"])
+                    return F.struct(F.concat(s["out"], out).alias("out"), after.alias("next"))
+
+                return let(choose(i), put)
+
+            return F.aggregate(at, F.struct(F.lit("").alias("out"), F.lit(0).alias("next")), step, lambda s: s["out"])
+
+        return let(F.transform(at, lambda i: _spans(groups, i)), pick)
+
+    # each group with the separator before it
+    return let(F.split(m, "(?=[ -])"), changed)
+
+
 def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^\+(\d{1,3})", 1)
 

@@ -217,6 +217,20 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(empty).count() == 0
 
 
+def test_pii_beside_pii(spark):
+    """Values next to values: each is replaced as it is when it stands alone."""
+    alone = ["+1 (826) 555-4081", "+44 20 7946 0958", "190.137.223.204", "4929963689861572", "4929 9636 8986 1572", "123-45-6789", "2024-02-29", "555-123-4567", "a.07@mail8.example.com", "0123456789abcdef" * 2, "371449635398431"]
+    numbers = ["12", "1235", "3.5"]
+    joined = [(x, y) for x in alone for y in alone] + [(x, y) for x in alone for y in numbers if not x.startswith("+44")] + [(x, y) for x in numbers for y in alone]
+    texts = alone + [" ".join(p) for p in joined]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    by = dict(zip(alone, out)) | {n: n for n in numbers}
+    assert all(by[x] != x for x in alone)
+    wrong = [(t, o) for (x, y), t, o in zip(joined, texts[len(alone) :], out[len(alone) :]) if o != f"{by[x]} {by[y]}"]
+    assert not wrong, wrong
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = [r.p for r in df.select(pii.permute_digits(F.col("d"), "t", "k").alias("p")).collect()]
