@@ -9,15 +9,24 @@ compared with no template at all.  The same bound says how many bigrams of a
 template may be absent, hence a few words of which every match has one at
 least (``telling_words``); texts without any of them are not split into units.
 
+Notices that are neither are found as windows: runs of words over any lines and
+paragraphs, up to the whole text, from one bigram of the template to another.
+Only windows beside the matching lines and paragraphs are reported, the best of
+those that overlap, with the line of their first word.  Only templates of which
+a text has enough bigrams at all are tried.
+
 Null and empty texts, and units of fewer than two words, match nothing.  A row
 comes out for each document, unit and best template (ties: template name);
 repeated documents give repeated rows, and null ids are kept.  A paragraph of
-one line is only reported as that line.  Columns besides ``doc_id`` and
+one line is only reported as that line.  ``sql`` has the lines and paragraphs
+without the windows.  Columns besides ``doc_id`` and
 ``text`` are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,17 +75,24 @@ governing permissions and limitations under the License.""",
 }
 
 
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "), " "), lambda w: w != "")
+
+
+def adjacent(w: Column) -> Column:
+    """Word bigrams by their place."""
+    return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
+
+
 def bigrams(text: Column) -> Column:
     """Distinct word bigrams of the normalised text."""
-    word = F.filter(F.split(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "), " "), lambda w: w != "")
-    pairs = lambda w: F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
-    return let(word, pairs)
+    return let(words(text), lambda w: F.array_distinct(adjacent(w)))
 
 
 def template_rows(df: DataFrame, templates: dict[str, str]) -> list:
     spark = df.sparkSession
     rows = spark.createDataFrame(sorted(templates.items()), "name string, body string")
-    return rows.select("name", bigrams(F.col("body")).alias("b")).filter(F.size("b") > 0).orderBy("name").collect()
+    return rows.select("name", bigrams(F.col("body")).alias("b"), F.size(words(F.col("body"))).alias("n")).filter(F.size("b") > 0).orderBy("name").collect()
 
 
 def telling_words(known: list[list[str]], least: float) -> list[str]:
@@ -105,6 +121,47 @@ def telling_words(known: list[list[str]], least: float) -> list[str]:
         chosen.append(min(gain, key=lambda w: (-gain[w], w)))
 
 
+SPANS = "array<struct<first:int,last:int,dice:double,license:string>>"
+
+
+def windows(pairs: Column, taken: Column, known: list, least: float) -> Column:
+    """``first, last, dice, license`` of the windows that reach ``least`` and meet none of the word ranges ``taken``."""
+    low, high = least / (2 - least), (2 - least) / least
+    rows = [(k, r.name, list(r.b), len(r.b), math.ceil(low * len(r.b) - 1e-9), int(high * (r.n - 1) + 1e-9)) for k, r in enumerate(known)]
+    parts = ("order", "name", "b", "size", "need", "most")
+    templates = F.array(*(F.struct(*((F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(n) for n, v in zip(parts, row))) for row in rows))
+    every = F.array(*map(F.lit, sorted({x for r in known for x in r.b})))
+
+    def of(t: Column, own: Column) -> Column:
+        def from_hits(hits: Column) -> Column:
+            def from_start(a: Column) -> Column:
+                first = F.get(hits, a)
+                ends = F.sequence(a + t["need"] - 1, F.least(F.size(hits), a + t["most"]) - 1)
+                near = F.filter(F.transform(ends, lambda b: F.get(hits, b)), lambda j: j - first < t["most"])
+
+                def scored(j: Column) -> Column:
+                    dice = let(F.array_distinct(F.slice(pairs, first + 1, j - first + 1)), lambda x: 2.0 * F.size(F.array_intersect(x, own)) / (F.size(x) + t["size"]))
+                    return F.struct((-dice).alias("minus"), t["order"].alias("order"), first.alias("first"), (j + 1).alias("last"), t["name"].alias("license"))
+
+                return F.filter(F.transform(near, scored), lambda x: -x["minus"] >= least)
+
+            return F.when(F.size(hits) >= t["need"], F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - t["need"]), from_start)))
+
+        places = F.filter(F.transform(pairs, lambda x, i: F.when(F.array_contains(own, x), i)), lambda i: i.isNotNull())
+        return F.when(F.size(own) >= t["need"], let(places, from_hits))
+
+    def add(chosen: Column, x: Column) -> Column:
+        row = F.struct(x["first"].alias("first"), x["last"].alias("last"), (-x["minus"]).alias("dice"), x["license"].alias("license"))
+        meets = F.exists(chosen, lambda c: (c["first"] <= x["last"]) & (x["first"] <= c["last"]))
+        return F.when(meets, chosen).otherwise(F.concat(chosen, F.array(row))).cast(SPANS)
+
+    def all_of(present: Column) -> Column:
+        found = F.transform(templates, lambda t: let(F.array_intersect(present, t["b"]), lambda own: of(t, own)))
+        return F.array_sort(F.flatten(F.filter(found, lambda x: x.isNotNull())))
+
+    return F.filter(F.aggregate(let(F.array_intersect(pairs, every), all_of), taken.cast(SPANS), add), lambda c: c["dice"].isNotNull())
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
     """``doc_id, unit, line, license, dice`` of every unit that reaches ``least``."""
     known = template_rows(docs, templates)
@@ -120,17 +177,35 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
         return F.array_max(F.array(*found))
 
     unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), (i + 1).alias("line"), x.alias("body"))
-    lines = F.transform(F.split("text", "\n"), unit("line"))
-    paragraphs = F.filter(F.transform(F.split("text", "\n[ \\t\\r]*\n"), unit("paragraph")), lambda u: F.instr(F.trim(u["body"]), "\n") > 0)
-    scored = F.transform(F.concat(lines, paragraphs), lambda u: F.struct(u["unit"].alias("unit"), u["line"].alias("line"), let(bigrams(u["body"]), best).alias("best")))
-    matched = F.filter(scored, lambda u: u["best"]["dice"] >= least)
+    by_line, by_paragraph = F.split("text", "\n"), F.split("text", "\n[ \\t\\r]*\n")
+    lines = F.transform(by_line, unit("line"))
+    paragraphs = F.filter(F.transform(by_paragraph, unit("paragraph")), lambda u: F.instr(F.trim(u["body"]), "\n") > 0)
+    row = lambda kind, line, name, dice: F.struct(kind.alias("unit"), line.alias("line"), name.alias("license"), dice.alias("dice"))
+    scored = F.transform(F.concat(lines, paragraphs), lambda u: let(let(bigrams(u["body"]), best), lambda x: row(u["unit"], u["line"], x["license"], x["dice"])))
+    matched = F.filter(scored, lambda u: u["dice"] >= least)
+    sizes = lambda bodies: F.transform(bodies, lambda x: F.size(words(x)))
+    total = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+
+    def beside(units: Column, in_lines: Column, in_paragraphs: Column) -> Column:
+        def taken(u: Column) -> Column:
+            count = F.when(u["unit"] == "line", in_lines).otherwise(in_paragraphs)
+            return F.struct(total(count, u["line"] - 1).alias("first"), (total(count, u["line"]) - 1).alias("last"), F.lit(None).cast("double").alias("dice"), F.lit(None).cast("string").alias("license"))
+
+        def line(first: Column) -> Column:
+            upto = F.aggregate(in_lines, F.struct(F.lit(0).alias("sum"), F.lit(1).alias("line")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.when(a["sum"] + x <= first, a["line"] + 1).otherwise(a["line"]).alias("line")))
+            return upto["line"]
+
+        found = let(let(words(F.col("text")), adjacent), lambda pairs: windows(pairs, F.transform(units, taken), known, least))
+        return F.concat(units, F.transform(found, lambda x: row(F.lit("window"), line(x["first"]), x["license"], x["dice"])))
+
+    whole = let(matched, lambda u: let(sizes(by_line), lambda a: let(sizes(by_paragraph), lambda b: beside(u, a, b))))
     # an inner explode would compute the whole array once more to filter empty ones
     lower = F.lower("text")
     told = F.lit(False)
     for w in telling_words([r.b for r in known], least):
         told = told | F.contains(lower, F.lit(w))
-    rows = docs.filter(told).select("doc_id", F.explode_outer(matched).alias("u")).filter(F.col("u").isNotNull())
-    return rows.select("doc_id", "u.unit", "u.line", "u.best.license", F.round("u.best.dice", 6).alias("dice"))
+    rows = docs.filter(told).select("doc_id", F.explode_outer(whole).alias("u")).filter(F.col("u").isNotNull())
+    return rows.select("doc_id", "u.unit", "u.line", "u.license", F.round("u.dice", 6).alias("dice"))
 
 
 def sql(templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE) -> str:

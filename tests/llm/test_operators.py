@@ -197,6 +197,22 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_in_published_layouts(spark):
+    """Texts of several paragraphs, and notices that share their line with other words."""
+    T = licenses.TEMPLATES
+    mit = T["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    isc = T["ISC"].replace("copies. THE", "copies.\n\nTHE")
+    apache = T["Apache-2.0-header"].replace("License. You", "License.\nYou").replace("at http", "at\n\n    http").replace("2.0 Unless", "2.0\n\nUnless")
+    assert mit.count("\n\n") == isc.count("\n\n") + 1 == apache.count("\n\n") == 2
+    top = "MIT License\n\nCopyright (c) 2020 Foo Bar\n\n"
+    code = "\n\nimport os\nprint(os.name)"
+    shared = "Copyright 2020 Foo. Licensed under the Apache License, Version 2.0."
+    rows = [(1, mit), (2, top + mit + code), (3, isc), (4, apache), (5, "#!/bin/sh\n" + apache + code), (6, shared), (7, "x\nThis project is licensed under the MIT License and comes as it is"), (8, "Released under the MIT License."), (9, "a license\n\nof software"), (10, f"{shared}\n{shared}"), (None, mit), (8, "Released under the MIT License.")]
+    got = sorted((r.doc_id or 0, r.unit, r.line, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    W = "window"
+    assert got == [(0, W, 1, "MIT"), (1, W, 1, "MIT"), (2, W, 5, "MIT"), (3, W, 1, "ISC"), (4, W, 1, "Apache-2.0-header"), (5, W, 2, "Apache-2.0-header"), (6, W, 1, "Apache-2.0-notice"), (7, W, 2, "MIT-licensed"), (8, "line", 1, "MIT-notice"), (8, "line", 1, "MIT-notice"), (10, W, 1, "Apache-2.0-notice"), (10, W, 2, "Apache-2.0-notice")]
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
 
