@@ -119,9 +119,9 @@ class Block:
         found = []
         for (t, n), starts in todo.items():
             item, k, best = self.items[n], self.k[n], None
-            m, done = len(item), -1
+            m, done = len(item), None
             for s in sorted(starts):
-                if s <= done:
+                if done is not None and s <= done:
                     continue
                 # hits whose windows touch are looked at together
                 last = s

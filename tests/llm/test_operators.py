@@ -167,6 +167,15 @@ def test_leaks_equal_brute_force(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_at_the_start_of_a_slice(spark):
+    item = " ".join(f"p{i}" for i in range(20))
+    for n in (1, 2, 3):
+        docs = spark.createDataFrame([(1, " ".join(item.split()[n:]) + " and more")], "doc_id long, text string").coalesce(1)
+        bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+        assert [(r.doc_id, r.item_id, r.distance, r.first_word) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 7, n, 0)]
+        assert decontaminate.decontaminate(docs, bench).count() == 0
+
+
 def against_sql(spark, frame, statement, **tables):
     import duckdb
 
