@@ -13,8 +13,8 @@ bound whatever the size of the benchmark.
 
 Null and empty texts and items without words match nothing.  Repeated
 documents give repeated rows and repeated items their own rows; null ids are
-kept as they are.  Items of fewer than ``LEAST_WORDS`` words are too common to
-be evidence and are passed over.  Other columns are ignored.
+kept as they are.  Items of fewer than ``LEAST_WORDS`` words must occur
+unchanged; they are searched in blocks of their own.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ class Block:
 
     def __init__(self, ids: list, items: list[np.ndarray], rate: float):
         self.ids, self.items = ids, items
-        self.k = [int(rate * len(x)) for x in items]
+        self.k = [int(rate * len(x)) if len(x) >= LEAST_WORDS else 0 for x in items]
         cuts = [pieces(len(x), k) for x, k in zip(items, self.k)]
         self.q = min((b - a for c in cuts for a, b in c), default=1)
         keys, item, at, size = [], [], [], []
@@ -119,6 +119,10 @@ class Block:
         found = []
         for (t, n), starts in todo.items():
             item, k, best = self.items[n], self.k[n], None
+            if k == 0:
+                first = min(starts) - int(off[t])
+                found.append((t, n, 0, first, first + len(item) - 1))
+                continue
             m, done = len(item), None
             for s in sorted(starts):
                 if done is not None and s <= done:
@@ -140,21 +144,23 @@ class Block:
 
 def blocks(benchmark: DataFrame, rate: float) -> Iterator[Block]:
     """The benchmark in blocks of bounded size."""
-    ids: list = []
-    items: list[np.ndarray] = []
-    words = 0
+    open_: dict[bool, tuple[list, list[np.ndarray]]] = {True: ([], []), False: ([], [])}
+    words = {True: 0, False: 0}
     for row in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
         h, _ = symbols(pa.array([row.text]))
-        if len(h) < LEAST_WORDS:
+        if not len(h):
             continue
+        short = len(h) < LEAST_WORDS
+        ids, items = open_[short]
         ids.append(row.item_id)
         items.append(h)
-        words += len(h)
-        if words >= BLOCK_WORDS:
+        words[short] += len(h)
+        if words[short] >= BLOCK_WORDS:
+            yield Block(ids, items, rate)
+            open_[short], words[short] = ([], []), 0
+    for ids, items in open_.values():
+        if items:
             yield Block(ids, items, rate)
-            ids, items, words = [], [], 0
-    if items:
-        yield Block(ids, items, rate)
 
 
 def _match(docs: DataFrame, block: Block) -> DataFrame:

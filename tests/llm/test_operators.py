@@ -176,6 +176,14 @@ def test_leaks_at_the_start_of_a_slice(spark):
         assert decontaminate.decontaminate(docs, bench).count() == 0
 
 
+def test_short_items_are_searched_exactly(spark):
+    docs = spark.createDataFrame([(1, "say: the CAPITAL of France, is"), (2, "the capital of x France"), (3, "yes"), (4, "a b c d e f g and yes yes"), (5, "a b c d e f h"), (6, None)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "The capital of France"), (2, "Yes!"), (3, "a b c d e f g"), (4, "?"), (5, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.first_word, r.last_word) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(1, 1, 0, 1, 4), (3, 2, 0, 0, 0), (4, 2, 0, 8, 8), (4, 3, 0, 0, 6)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 5, 6]
+
+
 def against_sql(spark, frame, statement, **tables):
     import duckdb
 
