@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols (insult, threat, target, negation, report, plain) through
-a lexicon; small transducers for target, negation and reported speech are
-composed into one deterministic machine that reads the symbols of a clause and
-emits, for each insult or threat, the context it stands in.  A clause's weight
-is the sum of its emissions' lexicon weights; a document is scored by a
-logistic model over the weights of its matched clauses, never over isolated
-words of unmatched clauses.
+a lexicon; small transducers for insult, threat, target, negation and reported
+speech are composed into one deterministic machine that reads the symbols of a
+clause and emits, for each insult or threat it accepts, the context that stands
+in.  A threat is a threat verb with a target before or after it; a verb without
+one is not accepted and carries no weight.  An insult is accepted as predicate
+of a target or as a bare noun ("An idiot.").  A clause's weight is the sum of
+its accepted weights; a document is scored by a logistic model over them.
 
 The insult lexicon is learned: word stems (prefixes and whole words) whose
 document frequency in toxic training rows is high against other training rows,
@@ -78,11 +79,31 @@ def within(symbol: int, reach: int) -> Transducer:
     return Transducer(range(reach + 1), 0, step)
 
 
-GRAMMAR = within(TARGET, 4).compose(within(NEGATION, 3)).compose(within(REPORT, 8))
+def insult() -> Transducer:
+    """Accepts an insult, said of a target or as a bare noun; the target's own transducer tells which."""
+    return Transducer([0], 0, lambda state, s: (0, (s == INSULT,)))
+
+
+def threat(reach: int) -> Transducer:
+    """Accepts a threat verb and a target with fewer than ``reach`` symbols between them, at the later of the two."""
+
+    def step(state, s):
+        target, verb = state
+        if s == THREAT:
+            return (max(target - 1, 0), 0 if target else reach), (target > 0,)
+        if s == TARGET:
+            return (reach, 0), (verb > 0,)
+        return (max(target - 1, 0), max(verb - 1, 0)), (False,)
+
+    return Transducer(itertools.product(range(reach + 1), repeat=2), (0, 0), step)
+
+
+REACH, THREAT_WEIGHT = 4, 4.0
+GRAMMAR = insult().compose(threat(REACH)).compose(within(TARGET, REACH)).compose(within(NEGATION, 3)).compose(within(REPORT, 8))
 
 
 def tables(machine: Transducer) -> tuple[np.ndarray, np.ndarray, int]:
-    """Next state and output code (bits: target, negation, report) of each state and symbol."""
+    """Next state and output code (bits: insult, threat, target, negation, report) of each state and symbol."""
     index = {s: k for k, s in enumerate(machine.states)}
     go = np.zeros((len(index), 6), np.int64)
     out = np.zeros((len(index), 6), np.int64)
@@ -113,7 +134,7 @@ class Lexicon:
         for i, w in enumerate(words):
             if w in closed:
                 kind[i] = closed[w]
-                weight[i] = 4.0 if kind[i] == THREAT else 0.0
+                weight[i] = THREAT_WEIGHT if kind[i] == THREAT else 0.0
                 continue
             best = max([get(w[:n], 0.0) for n in STEM_LENGTHS if n <= len(w)] + [get("=" + w, 0.0)])
             if best > 0:
@@ -141,7 +162,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     hit = (kind == INSULT) | (kind == THREAT)
     n = len(off) - 1
-    mass, threat, top, hits = np.zeros((n, 8)), np.zeros(n), np.zeros(n), np.zeros(n)
+    mass, threats, top, hits = np.zeros((n, 8)), np.zeros(n), np.zeros(n), np.zeros(n)
     key = clause + doc  # clauses also end where a text ends
     at_hits = np.flatnonzero(hit)
     if len(at_hits):
@@ -152,21 +173,25 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
             if a == seen:
                 continue
             seen, state, total, d = a, _START, 0.0, doc[h]
-            last = b - int(np.argmax(hit[a:b][::-1]))
+            # a target behind the last hit may complete a threat
+            last = min(b - int(np.argmax(hit[a:b][::-1])) + REACH, b)
             for s, w in zip(kind[a:last].tolist(), weight[a:last].tolist()):
-                if w:
-                    context = _OUT_ROWS[state][s]
+                code = _OUT_ROWS[state][s]
+                if code & 3:
+                    # a threat has its target by its own pattern
+                    context = code >> 2 | (code & 2) >> 1
+                    w = THREAT_WEIGHT if code & 2 else w
                     mass[d, context] += w
                     hits[d] += 1
                     total += 0.0 if context & 6 else w
-                    if s == THREAT:
-                        threat[d] += w
+                    if code & 2:
+                        threats[d] += w
                 state = _GO_ROWS[state][s]
             top[d] = max(top[d], total)
     count = np.diff(off)
     direct = mass[:, 0] + mass[:, 1]
     long = np.log1p(count)
-    return np.stack([np.ones(n), np.log1p(direct), np.log1p(mass[:, 1]), np.log1p(mass[:, 2] + mass[:, 3]), np.log1p(mass[:, 4:].sum(1)), np.log1p(threat), long, top, np.log1p(direct) * long, np.log1p(1000 * direct / np.maximum(count, 20)), np.log1p(hits)], axis=1)
+    return np.stack([np.ones(n), np.log1p(direct), np.log1p(mass[:, 1]), np.log1p(mass[:, 2] + mass[:, 3]), np.log1p(mass[:, 4:].sum(1)), np.log1p(threats), long, top, np.log1p(direct) * long, np.log1p(1000 * direct / np.maximum(count, 20)), np.log1p(hits)], axis=1)
 
 
 def _sampled(labels: DataFrame, label: int) -> np.ndarray:

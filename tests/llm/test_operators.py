@@ -316,3 +316,16 @@ def test_toxic_context():
     mass, targeted, negated, reported = (x[:, toxicity.FEATURES.index(k)] for k in ("mass", "targeted", "negated", "reported"))
     assert targeted[0] > 0 and negated[1] > 0 and reported[2] > 0
     assert mass[0] > 0 and mass[3] > 0 and mass[1] == 0 and not x[4:, 1:6].any()
+
+
+def test_threats_need_a_target():
+    import pyarrow as pa
+
+    texts = ["Burn the wood.", "Beat two eggs and stir.", "They left. Beat two eggs.", "I will burn you.", "You will burn.", "Ich werde dich töten.", "I will not hurt you.", "She said: kill.", "He wrote that I kill you."]
+    x = toxicity.features(pa.array(texts), toxicity.Lexicon({"=idiot": 4.0}))
+    at = toxicity.FEATURES.index
+    carried = x[:, [at(k) for k in ("mass", "targeted", "negated", "reported", "threat", "clause", "hits")]]
+    assert not carried[[0, 1, 2, 7]].any()
+    assert (x[3:6, at("targeted")] > 0).all() and (x[3:6, at("threat")] > 0).all()
+    assert x[6, at("negated")] > 0 and x[6, at("mass")] == 0
+    assert x[8, at("reported")] > 0 and x[8, at("mass")] == 0
