@@ -41,6 +41,8 @@ LEXICON_ROWS = 12_000
 LEXICON_SIZE = 400
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
 LEAST_SHARE, LEAST_RATIO, MOST_WEIGHT = 0.02, 5.0, 8.0
+#: Beyond so many toxic rows the least share falls with their square root, as the noise of a count does.
+SHARE_ROWS = 330
 
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -230,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon({})
     share1, share0 = F.col("n1") / total.n1, (F.col("n0") + 0.5) / total.n0
     weight = F.least(F.log(share1 / share0), F.lit(MOST_WEIGHT))
-    kept = per.filter((F.col("stem") != "") & (share1 >= LEAST_SHARE) & (F.col("n1") >= 3) & (share1 >= LEAST_RATIO * share0))
+    kept = per.filter((F.col("stem") != "") & (share1 >= LEAST_SHARE * min(1.0, (SHARE_ROWS / total.n1) ** 0.5)) & (F.col("n1") >= 3) & (share1 >= LEAST_RATIO * share0))
     rows = kept.select("stem", weight.alias("w"), "n1").orderBy(F.col("n1") * F.col("w"), F.col("stem"), ascending=[False, True]).limit(LEXICON_SIZE).collect()
     return Lexicon({r.stem: float(r.w) for r in rows})
 

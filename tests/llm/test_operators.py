@@ -329,3 +329,11 @@ def test_threats_need_a_target():
     assert (x[3:6, at("targeted")] > 0).all() and (x[3:6, at("threat")] > 0).all()
     assert x[6, at("negated")] > 0 and x[6, at("mass")] == 0
     assert x[8, at("reported")] > 0 and x[8, at("mass")] == 0
+
+
+def test_small_family_of_insults_is_learned(spark):
+    text = lambda i: f"w{i} " + ("of a common slur" if i % 75 else "of a raregroup slur")
+    rows = [(i, text(i) if i < 1500 else f"w{i} of plain text", int(i < 1500)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    weight = toxicity.learn(df, df.select("doc_id", "label")).weight
+    assert "=raregroup" in weight and "=slur" in weight
