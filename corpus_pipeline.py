@@ -48,7 +48,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: The stages cannot be expressed in SQL; tests compare them with brute force.
+#: The stages cannot be expressed in SQL; tests compare each with its operator, not with independent code.
 ORACLE_SQL = None
 
 
