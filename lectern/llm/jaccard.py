@@ -22,9 +22,17 @@ that can change the components, exactly:
 4. The rest of a region is cut into rings of one radius around the pivot; by
    the triangle inequality a link joins members of the same or of adjacent
    rings, so each member is replicated to the next ring as well.  Rings whose
-   members are in one component are done.  Large rings become regions of
-   several new pivots taken from their unlinked members (back to 3), small
-   ones are joined member by member in blocks of bounded size.
+   members are in one component are done.
+5. A ring whose sets fill many blocks is split by several new pivots: each
+   member's home is the Voronoi region of its nearest pivot, and it is
+   replicated to every region whose pivot is at most two radii farther off, as
+   a member linked with one at home there must be.  Only members outside the
+   ring's main component look for partners, each in its home region.
+   This repeats as long as regions shrink by half; what is left is joined
+   member by member, in blocks of bounded bytes.
+
+How far a region is split depends on its size, but every branch finds the
+same links: what the pivots do not rule out is compared.
 
 The order of shingles only affects cost: those counted as frequent come last.
 Frequencies come from all documents; a bounded number of the most frequent
@@ -49,7 +57,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import spread
 from lectern.llm.graph import components
-from lectern.llm.spark import arrow_rows, let_go, settle, shuffle_width
+from lectern.llm.spark import arrow_rows, groups_for, let_go, settle
 from lectern.llm.words import hash_words, slices, split_words, windows
 
 SHINGLE = 5
@@ -60,8 +68,10 @@ RADIUS = 0.25
 COUNTED, COMMON_LEAST, COMMON_MOST = 40, 3, 1 << 19
 #: Runs up to this size are compared pair by pair.
 SMALL_RUN = 8
-#: Members of a ring and of a block that are compared pair by pair; deeper levels at most.
-RING_PAIRS, BLOCK, PIVOTS, LEVELS = 1 << 17, 256, 8, 3
+#: Bytes of sets on each side of a block (a set counts ``SET_BYTES`` more), blocks of a region that is not split further, and pivots of one that is.
+BLOCK_BYTES, SET_BYTES, LEAF_BLOCKS, PIVOTS = 4 << 20, 2048, 64, 8
+#: Bytes of input for each group of shingles that Python counts or sorts at once.
+GROUP_BYTES = 8 << 20
 #: Rows with whole sets that Python holds at once.
 WIDE_ROWS = 128
 
@@ -89,7 +99,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     shingles that the hash order alone would put first.  A slice sends each
     distinct shingle once, so a shingle of all documents is no hot key.
     """
-    buckets = 4 * shuffle_width(docs.sparkSession)
+    buckets = groups_for(docs, GROUP_BYTES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +180,8 @@ def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return fits & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) | (np.maximum(na, nb) == 0x3FFFFF)
 
 
-def first_regions(nodes: DataFrame) -> DataFrame:
+def first_regions(nodes: DataFrame, buckets: int) -> DataFrame:
     """Distinct ``pivot, x, star`` of all runs of nodes ``rep, n, prefix``; without ``star`` a pair of a small run."""
-    buckets = 4 * shuffle_width(nodes.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,35 +252,51 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def intersections(token: np.ndarray, size: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of the sets ``rows`` with the sets ``columns``, as products of 0/1 matrices.
+def links_between(token: np.ndarray, size: np.ndarray, rows: np.ndarray, columns: np.ndarray, near, width: int = 1024, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions in ``rows`` and ``columns`` whose sets link, among those for which ``near(rows, columns)`` holds.
 
-    Only shingles that both sides have take part, ``width`` of them at a time.
+    Intersections are products of 0/1 matrices over the shingles that both
+    sides have, ``tile`` rows and ``width`` shingles at a time.
     """
-    code = np.unique(token, return_inverse=True)[1].ravel()
-    owner = np.repeat(np.arange(len(size)), size)
-    sides = []
-    for own in (rows, columns):
-        place = np.full(len(size), -1)
-        place[own] = np.arange(len(own))
-        at = place[owner]
-        sides.append((code[at >= 0], at[at >= 0]))
-    common = np.intersect1d(sides[0][0], sides[1][0])
-    sides = [(np.searchsorted(common, c), at, np.isin(c, common)) for c, at in sides]
-    out = np.zeros((len(rows), len(columns)), np.int64)
-    for a in range(0, len(common), width):
-        parts = []
-        for (c, at, known), n in zip(sides, (len(rows), len(columns))):
-            here = known & (c >= a) & (c < a + width)
-            m = np.zeros((n, min(width, len(common) - a)), np.float32)
-            m[at[here], c[here] - a] = 1
-            parts.append(m)
-        out += (parts[0] @ parts[1].T).astype(np.int64)
-    return out
+    code = np.unique(token, return_inverse=True)[1].ravel().astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(size)])
+
+    def side(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return code[spread(first[own], size[own])], np.repeat(np.arange(len(own), dtype=np.int32), size[own])
+
+    of_rows, of_columns = side(rows), side(columns)
+    common = np.intersect1d(of_rows[0], of_columns[0])
+
+    def shared_only(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(common, c)
+        known = place < len(common)
+        known[known] = common[place[known]] == c[known]
+        order = np.argsort(place[known], kind="stable")
+        return place[known][order], at[known][order]
+
+    (rc, ra), (cc, ca) = shared_only(*of_rows), shared_only(*of_columns)
+    for low in range(0, len(rows), tile):
+        mine = (ra >= low) & (ra < low + tile)
+        tc, ta, n = rc[mine], ra[mine] - low, min(tile, len(rows) - low)
+        both = np.zeros((n, len(columns)), np.float32)
+        for a in range(0, len(common), width):
+            b = min(a + width, len(common))
+            own = slice(*np.searchsorted(tc, (a, b)))
+            if own.start == own.stop:
+                continue
+            other = slice(*np.searchsorted(cc, (a, b)))
+            x, y = np.zeros((n, b - a), np.float32), np.zeros((len(columns), b - a), np.float32)
+            x[ta[own], tc[own] - a] = 1
+            y[ca[other], cc[other] - a] = 1
+            both += x @ y.T
+        at = np.arange(low, low + n)
+        union = size[rows[at]][:, None] + size[columns][None, :] - both
+        i, j = np.nonzero((100 * both >= PERCENT * union) & near(at, np.arange(len(columns))))
+        yield i + low, j
 
 
 def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """``region, pivot, x, star, d, linked`` for ``region, pivot, x, star``.
+    """``region, pivot, x, star, d, linked`` and the size of ``x`` for ``region, pivot, x, star``.
 
     Both joins are plain sort-merge joins: one row of the sets meets the many
     rows of a hot pivot, and the skew join splits those.
@@ -279,7 +304,7 @@ def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, linked, held, p = [], [], None, None
+            d, linked, size, held, p = [], [], [], None, None
             for pb, xb in zip(batch.column("sp"), batch.column("sx")):
                 blob = pb.as_buffer()
                 if p is None or blob != held:
@@ -288,81 +313,115 @@ def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
                 both = shared(p, x)
                 union = len(p) + len(x) - both
                 d.append(1 - both / union)
+                size.append(len(x))
                 linked.append(100 * both >= PERCENT * union)
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("pivot"), batch.column("x"), batch.column("star"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["region", "pivot", "x", "star", "d", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("pivot"), batch.column("x"), batch.column("star"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_()), pa.array(size, pa.int64())], ["region", "pivot", "x", "star", "d", "linked", "size"])
 
     with_x = regions.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
     with_both = with_x.join(sets.select(F.col("doc_id").alias("pivot"), F.col("s").alias("sp")), "pivot")
-    return with_both.select("region", "pivot", "x", "star", "sx", "sp").mapInArrow(run, "region long, pivot long, x long, star boolean, d double, linked boolean")
+    return with_both.select("region", "pivot", "x", "star", "sx", "sp").mapInArrow(run, "region long, pivot long, x long, star boolean, d double, linked boolean, size long")
 
 
-def rings(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of unfinished rings: ``region, x, label, d, n, n_rest, rest``.
+def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the component of ``x`` as ``label``."""
+    label = components(links).select(F.col("id").alias("x"), F.col("component").alias("label"))
+    return members.join(label, "x", "left").withColumn("label", F.coalesce("label", "x"))
 
-    ``rest`` marks members outside the ring's most frequent component, ``n``
-    and ``n_rest`` count the ring's members and those.
-    """
-    label = labels.select(F.col("id").alias("x"), F.col("component").alias("label"))
-    member = measured.join(label, "x", "left").withColumn("label", F.coalesce("label", "x"))
+
+def rings(member: DataFrame) -> DataFrame:
+    """Members ``region, x, label, d, size, asks`` of rings with several components; ``asks`` marks those outside the most frequent one."""
     ring = F.least(F.floor(F.col("d") / RADIUS), F.lit(3)).cast("int")
     home = F.explode(F.array(ring, ring + 1)).alias("ring")
-    member = settle(member.select("region", "x", "label", "d", home).filter("ring < 4").select(F.xxhash64("region", "ring").alias("region"), "x", "label", "d").distinct())
-    sizes = member.groupBy("region", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("region").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
-    open_ = settle(main.filter(F.col("m.n") < F.col("n")).select("region", F.col("m.label").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("n_rest")))
-    return settle(member.join(open_, "region").withColumn("rest", F.col("label") != F.col("main")).drop("main"))
+    member = settle(member.select("region", "x", "label", "d", "size", home).filter("ring < 4").select(F.xxhash64("region", "ring").alias("region"), "x", "label", "d", "size").distinct())
+    count = member.groupBy("region", "label").agg(F.count("*").alias("n"))
+    main = count.groupBy("region").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
+    open_ = main.filter(F.col("m.n") < F.col("n")).select("region", F.col("m.label").alias("main"))
+    return member.join(open_, "region").withColumn("asks", F.col("label") != F.col("main")).drop("main")
+
+
+def weighed(members: DataFrame) -> DataFrame:
+    """``members`` of regions that still have something to ask, with the region's ``bytes`` and its blocks of all members and of those that ask."""
+    weight = 8 * F.col("size") + SET_BYTES
+    blocks = lambda b: F.ceil(b / BLOCK_BYTES).cast("int")
+    per = members.groupBy("region").agg(F.sum(weight).alias("bytes"), F.sum(F.when(F.col("asks"), weight)).alias("b"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    per = per.filter("b IS NOT NULL AND l0 <> l1").select("region", "bytes", blocks(F.col("bytes")).alias("n"), blocks(F.col("b")).alias("n_asks"))
+    return settle(members.join(per, "region"))
 
 
 def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``a, b`` found by comparing each ring's rest with all its members, block by block."""
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    every = lambda n: F.sequence(F.lit(0), blocks(F.col(n)) - 1)
-    own = lambda n: F.array(F.pmod(F.xxhash64("x", "region"), blocks(F.col(n))).cast("int"))
+    """Links ``a, b`` found by comparing the members that ask with all of their region, block by block."""
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("x", "region"), F.col(n)).cast("int")
     base = ("region", "x", "label", "d")
-    asked = members.filter("rest").select(*base, F.lit(True).alias("asks"), F.explode(own("n_rest")).alias("i"), F.col("n")).select(*base, "asks", "i", F.explode(every("n")).alias("j"))
-    others = members.select(*base, F.lit(False).alias("asks"), F.explode(every("n_rest")).alias("i"), F.col("n")).select(*base, "asks", "i", F.explode(own("n")).alias("j"))
-    rows = asked.unionByName(others).join(sets.select(F.col("doc_id").alias("x"), "s"), "x")
+    one = F.col("n") * F.col("n_asks") == 1
+    # a row of a single block both asks and answers
+    role = lambda asks, answers: F.struct(F.lit(asks).alias("asks"), F.lit(answers).alias("answers"))
+    single = members.filter(one).select(*base, F.lit(0).alias("i"), F.lit(0).alias("j"), "asks", F.lit(True).alias("answers"))
+    asked = members.filter(~one & F.col("asks")).select(*base, own("n_asks").alias("i"), F.explode(every("n")).alias("j"), role(True, False).alias("r")).select(*base, "i", "j", "r.*")
+    others = members.filter(~one).select(*base, F.explode(every("n_asks")).alias("i"), own("n").alias("j"), role(False, True).alias("r")).select(*base, "i", "j", "r.*")
+    rows = single.unionByName(asked).unionByName(others).join(sets.select(F.col("doc_id").alias("x"), "s"), "x")
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        asks, answers = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "answers"))
         x, label, d = (table.column(c).to_numpy() for c in ("x", "label", "d"))
         token, size = _flat(table.column("s"), np.uint64)
-        u, v = np.flatnonzero(asks), np.flatnonzero(~asks)
-        both = intersections(token, size, u, v)
-        union = size[u][:, None] + size[v][None, :] - both
-        near = np.abs(d[u][:, None] - d[v][None, :]) <= RADIUS + 1e-9
-        i, j = np.nonzero(near & (100 * both >= PERCENT * union) & (label[u][:, None] != label[v][None, :]))
-        # one link for each pair of components is enough
-        _, one = np.unique(np.stack([label[u][i], label[v][j]], axis=1), axis=0, return_index=True)
-        return pa.table([pa.array(x[u][i][one]), pa.array(x[v][j][one])], ["a", "b"])
+        u, v = np.flatnonzero(asks), np.flatnonzero(answers)
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (np.abs(d[u[i]][:, None] - d[v[j]][None, :]) <= RADIUS + 1e-9) & (label[u[i]][:, None] != label[v[j]][None, :])
+
+        a, b = [x[:0]], [x[:0]]
+        for i, j in links_between(token, size, u, v, near):
+            # one link for each pair of components is enough
+            _, first = np.unique(np.stack([label[u[i]], label[v[j]]], axis=1), axis=0, return_index=True)
+            a.append(x[u[i[first]]])
+            b.append(x[v[j[first]]])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return rows.groupBy("region", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def voronoi(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the regions of new pivots, without labels, and the links ``a, b`` of members to pivots.
+
+    A region's pivots are its members with the least hashes.  Home is the
+    nearest pivot, the one with the smaller id on ties.
+    """
+    order = F.struct(F.xxhash64("x").alias("h"), F.col("x").alias("p"))
+    # each member hands on itself, each partial list the least few of what it has seen
+    spread_ = members.groupBy("region", F.pmod(F.xxhash64("x", F.lit(1)), F.greatest(F.lit(1), F.col("n"))).alias("part"))
+    few = spread_.agg(F.slice(F.array_sort(F.collect_list(order)), 1, PIVOTS).alias("ps"))
+    pivots = few.groupBy("region").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ps"))), 1, PIVOTS).alias("ps")).select("region", F.explode("ps.p").alias("pivot"))
+    with arrow_rows(members.sparkSession, WIDE_ROWS):
+        measured = settle(distances(members.select("region", "x", F.lit(True).alias("star")).join(pivots, "region"), sets))
+    near = measured.groupBy("region", "x").agg(F.min(F.struct("d", "pivot")).alias("home"), F.collect_list(F.struct("pivot", "d")).alias("to"))
+    cells = near.select("region", "x", "home", F.explode("to").alias("t")).filter(F.col("t.d") <= F.col("home.d") + 2 * RADIUS + 1e-9)
+    rows = members.drop("d", "label", "n", "n_asks", "above").withColumnRenamed("bytes", "above").join(cells, ["region", "x"])
+    at_home = F.col("t.pivot") == F.col("home.pivot")
+    out = rows.select(F.xxhash64("region", "t.pivot").alias("region"), "x", "size", "above", F.col("t.d").alias("d"), (F.col("asks") & at_home).alias("asks"))
+    return out, measured.filter("linked AND pivot <> x").select(F.col("pivot").alias("a"), F.col("x").alias("b"))
+
+
 def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, component`` of the nodes ``rep, prefix`` that have a link."""
-    regions = settle(first_regions(nodes)).withColumn("region", F.col("pivot"))
+    spark = docs.sparkSession
+    regions = settle(first_regions(nodes, groups_for(docs, GROUP_BYTES))).withColumn("region", F.col("pivot"))
     ids = regions.select(F.col("pivot").alias("doc_id")).union(regions.select("x")).distinct()
     sets = settle(sets_of(docs, ids))
-    links = None
-    for level in range(LEVELS + 1):
-        with arrow_rows(docs.sparkSession, WIDE_ROWS):
-            measured = settle(distances(regions, sets))
-        found = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("x").alias("b"))
-        links = found if links is None else links.union(found)
-        labels = settle(components(links))
-        members = rings(measured.filter("star"), labels)
-        large = (F.col("n") * F.col("n_rest") > RING_PAIRS) if level < LEVELS else F.lit(False)
-        with arrow_rows(docs.sparkSession, WIDE_ROWS):
-            links = links.union(settle(block_links(members.filter(~large), sets)))
-        members = members.filter(large)
+    with arrow_rows(spark, WIDE_ROWS):
+        measured = settle(distances(regions, sets))
+    links = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("x").alias("b"))
+    members = weighed(rings(labelled(measured.filter("star"), links)).withColumn("above", F.lit(2**62)))
+    while True:
+        split = (F.col("n") * F.col("n_asks") > LEAF_BLOCKS) & (2 * F.col("bytes") <= F.col("above"))
+        with arrow_rows(spark, WIDE_ROWS):
+            links = links.union(settle(block_links(members.filter(~split), sets)))
+        members = members.filter(split)
         if members.isEmpty():
-            break
-        # the rest's members with the least hashes are the next pivots
-        ranked = members.filter("rest").groupBy("region").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("x"), F.greatest(F.lit(1), F.floor(F.col("n_rest") / (8 * PIVOTS)))) == 0, F.struct(F.xxhash64("x").alias("h"), F.col("x").alias("p"))))), 1, PIVOTS).alias("ps"))
-        pivots = ranked.select("region", F.explode("ps.p").alias("pivot"))
-        regions = settle(members.select("region", "x").join(pivots, "region").filter("x <> pivot").select(F.xxhash64("region", "pivot").alias("region"), "pivot", "x", F.lit(True).alias("star")))
-    return components(links)
+            return components(links)
+        cells, found = voronoi(members, sets)
+        links = links.union(found)
+        members = weighed(labelled(cells, links))
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def groups_for(df: DataFrame, size: int) -> int:
+    """Groups of about ``size`` bytes for the rows of ``df``, by Spark's estimate of their size, and some for each shuffle partition at least."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # without statistics Spark reports a number near the largest long
+    return max(4 * shuffle_width(df.sparkSession), -(-estimate // size) if estimate < 1 << 60 else 0)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within the block, jobs hand at most ``rows`` rows at once to Python: for rows that carry large values."""

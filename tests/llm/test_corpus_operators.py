@@ -67,12 +67,19 @@ def brute_components(rows):
     return {i: (len(s[i]), find(i)) for i in s}
 
 
-@pytest.mark.parametrize("small,ring", [(8, 1 << 17), (1, 1 << 17), (1, 4)])
-def test_jaccard_equals_brute_force(docs, monkeypatch, small, ring):
-    monkeypatch.setattr(jaccard, "SMALL_RUN", small)
-    monkeypatch.setattr(jaccard, "RING_PAIRS", ring)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
-    assert got == brute_components(ROWS)
+FAMILY = [(1000 + k, " ".join(changed(BASE[:120], n))) for k, n in enumerate((2, 3, 4, 5, 7, 9, 12, 15, 20, 30) * 8)]
+
+
+@pytest.mark.parametrize("small,block,leaf", [(8, 4 << 20, 64), (1, 4 << 20, 64), (1, 20_000, 1 << 30), (1, 20_000, 0), (1, 6_000, 2)])
+def test_jaccard_equals_brute_force(spark, docs, monkeypatch, small, block, leaf):
+    for name, value in (("SMALL_RUN", small), ("BLOCK_BYTES", block), ("SET_BYTES", 0 if block < 1 << 20 else 2048), ("LEAF_BLOCKS", leaf)):
+        monkeypatch.setattr(jaccard, name, value)
+    calls, split = [], jaccard.voronoi
+    monkeypatch.setattr(jaccard, "voronoi", lambda *a: calls.append(1) or split(*a))
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(FAMILY, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(rows).collect()}
+    assert got == brute_components(ROWS + FAMILY)
+    assert bool(calls) == (leaf < 64)
 
 
 def test_jaccard_odd_ids(spark, empty):
