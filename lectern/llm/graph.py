@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.spark import settle
+from lectern.llm.spark import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,17 +19,20 @@ def components(edges: DataFrame) -> DataFrame:
     harmless, rows with nulls are passed over, and no edges give no rows.
     """
     left = settle(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("label", F.col("id"))
-    left = left.filter("a <> b")
-    while not left.isEmpty():
+    labels = settle(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("label", F.col("id")))
+    open_ = left.filter("a <> b")
+    while not open_.isEmpty():
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-        near = left.union(left.select("b", "a")).groupBy("a").agg(F.min(order("b")).alias("m"))
-        point = settle(near.select(F.col("a").alias("v"), F.when(F.col("m") < order("a"), F.col("m.v")).otherwise(F.col("a")).alias("to")))
-        jump = point.select(F.col("v").alias("to"), F.col("to").alias("further"))
-        point = settle(point.join(jump, "to").select("v", F.col("further").alias("to")))
-        labels = settle(labels.join(point, labels.label == point.v, "left").select("id", F.coalesce("to", "label").alias("label")))
+        near = open_.union(open_.select("b", "a")).groupBy("a").agg(F.min(order("b")).alias("m"))
+        first = settle(near.select(F.col("a").alias("v"), F.when(F.col("m") < order("a"), F.col("m.v")).otherwise(F.col("a")).alias("to")))
+        jump = first.select(F.col("v").alias("to"), F.col("to").alias("further"))
+        point = settle(first.join(jump, "to").select("v", F.col("further").alias("to")))
+        moved = settle(labels.join(point, labels.label == point.v, "left").select("id", F.coalesce("to", "label").alias("label")))
         for end in ("a", "b"):
-            left = left.join(point.select(F.col("v").alias(end), F.col("to").alias("new")), end).drop(end).withColumnRenamed("new", end)
-        left = settle(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+            open_ = open_.join(point.select(F.col("v").alias(end), F.col("to").alias("new")), end).drop(end).withColumnRenamed("new", end)
+        rest = settle(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+        discard(first, point, labels, left)
+        labels, left, open_ = moved, rest, rest
     least = settle(labels.groupBy("label").agg(F.min("id").alias("component")))
+    discard(left)
     return labels.join(least, "label").select("id", "component")

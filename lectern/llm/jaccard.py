@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import spread
 from lectern.llm.graph import components
-from lectern.llm.spark import arrow_rows, groups_for, let_go, settle
+from lectern.llm.spark import groups_for, in_arrow, let_go, settle
 from lectern.llm.words import hash_words, slices, split_words, windows
 
 SHINGLE = 5
@@ -70,10 +70,10 @@ COUNTED, COMMON_LEAST, COMMON_MOST = 40, 3, 1 << 19
 SMALL_RUN = 8
 #: Bytes of sets on each side of a block (a set counts ``SET_BYTES`` more), blocks of a region that is not split further, and pivots of one that is.
 BLOCK_BYTES, SET_BYTES, LEAF_BLOCKS, PIVOTS = 4 << 20, 2048, 64, 8
+#: Bits of the filter that tells which documents' sets are needed.
+FILTER_BITS = 1 << 26
 #: Bytes of input for each group of shingles that Python counts or sorts at once.
 GROUP_BYTES = 8 << 20
-#: Rows with whole sets that Python holds at once.
-WIDE_ROWS = 128
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -124,7 +124,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
         many = n >= COMMON_LEAST
         return pa.table([pa.array(token[head][many].view(np.int64)), pa.array(n[many])], ["token", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(total, "token long, n long")
+    counted = in_arrow(docs.select("text"), count, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(total, "token long, n long")
     top = counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).select("token").toArrow()
     let_go(docs.sparkSession)
     return top.column("token").to_numpy().view(np.uint64)[::-1].copy()
@@ -156,7 +156,7 @@ def shingled(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     prefix.append(key[: len(s) - -(-PERCENT * len(s) // 100) + 1].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n_shingles", "digest", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefix binary")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, prefix binary")
 
 
 def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -224,21 +224,43 @@ def first_regions(nodes: DataFrame, buckets: int) -> DataFrame:
         pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
         return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(pair[:, 2] == 1)], ["pivot", "x", "star"])
 
-    dealt = nodes.select("rep", "n", "prefix").mapInArrow(deal, "bucket int, keys binary, owners binary, metas binary")
+    dealt = in_arrow(nodes.select("rep", "n", "prefix"), deal, "bucket int, keys binary, owners binary, metas binary")
     found = dealt.groupBy("bucket").applyInArrow(runs, "pivot long, x long, star boolean")
     return found.groupBy("pivot", "x").agg(F.bool_or("star").alias("star"))
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """One bit for each of ``FILTER_BITS`` hash values, set where an id of the frame has it; 8 MB at any number of ids."""
+    h = _filter_hash("doc_id") + 1
+    parts = ids.groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        own = np.frombuffer(bytes(r.bits), np.uint8)
+        out[(r.k - 1) * len(own) : r.k * len(own)] = own
+    return out
+
+
+def _filter_hash(c: str):
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, s`` (the set as bytes) of the documents in ``ids``."""
+    """``doc_id, s`` (the set as bytes) of the documents in ``ids``, and of few others.
+
+    A bitmap of id hashes goes to all tasks, so no text is shuffled; ids that
+    share a hash give sets that no later join asks for.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            h = batch.column("h").to_numpy()
+            for part in slices(batch.filter(pa.array(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1)), "text"):
                 sets = [s.tobytes() for s in shingle_sets(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary")
+    return in_arrow(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _filter_hash("doc_id").alias("h")), run, "doc_id long, s binary")
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -319,7 +341,7 @@ def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
 
     with_x = regions.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
     with_both = with_x.join(sets.select(F.col("doc_id").alias("pivot"), F.col("s").alias("sp")), "pivot")
-    return with_both.select("region", "pivot", "x", "star", "sx", "sp").mapInArrow(run, "region long, pivot long, x long, star boolean, d double, linked boolean, size long")
+    return in_arrow(with_both.select("region", "pivot", "x", "star", "sx", "sp"), run, "region long, pivot long, x long, star boolean, d double, linked boolean, size long")
 
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -336,7 +358,7 @@ def rings(member: DataFrame) -> DataFrame:
     count = member.groupBy("region", "label").agg(F.count("*").alias("n"))
     main = count.groupBy("region").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
     open_ = main.filter(F.col("m.n") < F.col("n")).select("region", F.col("m.label").alias("main"))
-    return member.join(open_, "region").withColumn("asks", F.col("label") != F.col("main")).drop("main")
+    return settle(member.join(open_, "region").withColumn("asks", F.col("label") != F.col("main")).drop("main"))
 
 
 def weighed(members: DataFrame) -> DataFrame:
@@ -392,8 +414,7 @@ def voronoi(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     spread_ = members.groupBy("region", F.pmod(F.xxhash64("x", F.lit(1)), F.greatest(F.lit(1), F.col("n"))).alias("part"))
     few = spread_.agg(F.slice(F.array_sort(F.collect_list(order)), 1, PIVOTS).alias("ps"))
     pivots = few.groupBy("region").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ps"))), 1, PIVOTS).alias("ps")).select("region", F.explode("ps.p").alias("pivot"))
-    with arrow_rows(members.sparkSession, WIDE_ROWS):
-        measured = settle(distances(members.select("region", "x", F.lit(True).alias("star")).join(pivots, "region"), sets))
+    measured = settle(distances(members.select("region", "x", F.lit(True).alias("star")).join(pivots, "region"), sets))
     near = measured.groupBy("region", "x").agg(F.min(F.struct("d", "pivot")).alias("home"), F.collect_list(F.struct("pivot", "d")).alias("to"))
     cells = near.select("region", "x", "home", F.explode("to").alias("t")).filter(F.col("t.d") <= F.col("home.d") + 2 * RADIUS + 1e-9)
     rows = members.drop("d", "label", "n", "n_asks", "above").withColumnRenamed("bytes", "above").join(cells, ["region", "x"])
@@ -404,18 +425,15 @@ def voronoi(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, component`` of the nodes ``rep, prefix`` that have a link."""
-    spark = docs.sparkSession
     regions = settle(first_regions(nodes, groups_for(docs, GROUP_BYTES))).withColumn("region", F.col("pivot"))
     ids = regions.select(F.col("pivot").alias("doc_id")).union(regions.select("x")).distinct()
     sets = settle(sets_of(docs, ids))
-    with arrow_rows(spark, WIDE_ROWS):
-        measured = settle(distances(regions, sets))
+    measured = settle(distances(regions, sets))
     links = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("x").alias("b"))
     members = weighed(rings(labelled(measured.filter("star"), links)).withColumn("above", F.lit(2**62)))
     while True:
         split = (F.col("n") * F.col("n_asks") > LEAF_BLOCKS) & (2 * F.col("bytes") <= F.col("above"))
-        with arrow_rows(spark, WIDE_ROWS):
-            links = links.union(settle(block_links(members.filter(~split), sets)))
+        links = links.union(settle(block_links(members.filter(~split), sets)))
         members = members.filter(split)
         if members.isEmpty():
             return components(links)
