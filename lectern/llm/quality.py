@@ -4,8 +4,9 @@ Each text gives a dozen statistics (length, symbols, capitals, repetition),
 transformed to be near Gaussian.  The two classes' covariances are shrunk
 towards their pooled covariance and its diagonal; the score is the logistic of
 the difference of the two Mahalanobis log-densities, with cached Cholesky
-factors.  Fitting sums counts, sums and outer products over all labelled rows
-of the training fold, so the driver sees a few hundred numbers at any size.
+factors.  Fitting sums counts, sums and outer products over at most
+``TRAINING_ROWS`` labelled rows of the training fold, those with the least
+hashes of their ids; the driver sees a few hundred numbers.
 
 Null and empty texts have the statistics of a text without words and are
 scored like any other row.  Rows of ``labels`` with nulls are passed over;
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.spark import settle
+from lectern.llm.spark import in_arrow, settle
 from lectern.llm.words import hash_words, slices, split_words, windows
 
 FEATURES = ("words", "word_length", "symbols", "bars", "bangs", "capitals", "digits", "stops", "distinct", "bigrams", "lines", "line_copies")
 DIM = len(FEATURES)
 THRESHOLD = 0.7
 
+#: Labelled rows that the model is fitted on at most (16 bytes each are sent to all tasks).
+TRAINING_ROWS = 100_000
 #: Shrinkage of a class covariance towards the pooled one, and of that towards its diagonal.
 TO_POOLED, TO_DIAGONAL = 0.1, 0.05
 
@@ -111,31 +114,40 @@ def featurise(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 x = features(part.column("text"))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
 class Quadratic:
-    """Means, Cholesky factors and log determinants of both classes; none if only ``prior`` is known."""
+    """Means, inverse Cholesky factors (lower triangles) and log determinants of both classes; none if only ``prior`` is known."""
 
     prior: float
     mean: np.ndarray | None = None
-    chol: np.ndarray | None = None
+    whiten: np.ndarray | None = None
     logdet: np.ndarray | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.mean is None:
             return np.full(len(x), self.prior)
-        density = [-0.5 * ((np.linalg.solve(self.chol[k], (x - self.mean[k]).T) ** 2).sum(0) + self.logdet[k]) for k in (0, 1)]
+        density = [-0.5 * ((((x - self.mean[k]) @ self.whiten[k].T) ** 2).sum(1) + self.logdet[k]) for k in (0, 1)]
         z = density[1] - density[0] + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _inverse(lower: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangle, row by row."""
+    out = np.zeros_like(lower)
+    for i in range(len(lower)):
+        out[i, i] = 1 / lower[i, i]
+        out[i, :i] = -lower[i, :i] @ out[:i, :i] / lower[i, i]
+    return out
+
+
 def from_sums(sums: dict[int, np.ndarray], dim: int = DIM) -> Quadratic:
     """The model from each class's [n, sum x, sum x x'] in one vector."""
     n = {k: float(sums[k][0]) if k in sums else 0.0 for k in (0, 1)}
@@ -147,12 +159,17 @@ def from_sums(sums: dict[int, np.ndarray], dim: int = DIM) -> Quadratic:
     pooled = (1 - TO_DIAGONAL) * pooled + TO_DIAGONAL * np.diag(np.diag(pooled)) + 1e-3 * np.eye(dim)
     chol = np.stack([np.linalg.cholesky((1 - TO_POOLED) * scatter[k] / n[k] + TO_POOLED * pooled) for k in (0, 1)])
     logdet = np.array([2 * np.log(np.diag(c)).sum() for c in chol])
-    return Quadratic(n[1] / sum(n.values()), mean, chol, logdet)
+    return Quadratic(n[1] / sum(n.values()), mean, np.stack([_inverse(c) for c in chol]), logdet)
+
 
+def training_rows(labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
+    """``doc_id, label`` of at most ``most`` labelled rows outside the held-out fold, by least id hash; small enough for a broadcast."""
+    rows = labels.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "label")
+    return F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most))
 
-def fit(featured: DataFrame, labels: DataFrame) -> Quadratic:
-    """Fit on labelled rows outside the held-out fold; ``labels`` has ``doc_id, label``."""
-    train = featured.join(labels.filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))), "doc_id").select("label", "x")
+
+def fit(train: DataFrame) -> Quadratic:
+    """Fit on rows ``label, x``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -165,7 +182,7 @@ def fit(featured: DataFrame, labels: DataFrame) -> Quadratic:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["label", "sums"])
 
-    parts = train.mapInArrow(run, "label int, sums array<double>").select("label", F.posexplode("sums"))
+    parts = in_arrow(train, run, "label int, sums array<double>").select("label", F.posexplode("sums"))
     rows = parts.groupBy("label", "pos").agg(F.sum("col").alias("v")).collect()
     sums: dict[int, np.ndarray] = {}
     for r in rows:
@@ -176,28 +193,25 @@ def fit(featured: DataFrame, labels: DataFrame) -> Quadratic:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document; ``labels`` has ``doc_id, label``."""
     featured = settle(featurise(docs))
-    model = fit(featured, labels)
+    model = fit(featured.join(training_rows(labels), "doc_id").select("label", "x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.score(batch.column("x").flatten().to_numpy().reshape(-1, DIM))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
-    scored = featured.mapInArrow(run, "doc_id long, score double")
+    scored = in_arrow(featured, run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score under ``threshold``.
-
-    Statistics are computed once for the fit and once more for the verdict,
-    which spares a shuffle of all texts.
-    """
-    model = fit(featurise(docs), labels)
+    """``docs`` without the rows that score under ``threshold``; only training rows and then each row once go to Python."""
+    chosen = training_rows(labels)
+    model = fit(featurise(docs.join(chosen, "doc_id", "left_semi")).join(chosen, "doc_id").select("label", "x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 yield part.filter(pa.array(model.score(features(part.column("text"))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

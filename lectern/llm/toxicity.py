@@ -12,7 +12,8 @@ its accepted weights; a document is scored by a logistic model over them.
 The insult lexicon is learned: word stems (prefixes and whole words) whose
 document frequency in toxic training rows is high against other training rows,
 counted over a bounded sample (``LEXICON_ROWS`` of each class, lowest id hash
-first).  The logistic weights use all labelled rows of the training fold.
+first).  The logistic weights use at most ``quality.TRAINING_ROWS`` labelled
+rows of the training fold.
 
 Null and empty texts have no clauses and get the score of a text without
 matches.  Label rows with nulls are passed over, repeated ones count each
@@ -32,13 +33,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.quality import held_out
-from lectern.llm.spark import settle
+from lectern.llm.bpe import spread
+from lectern.llm.quality import held_out, training_rows
+from lectern.llm.spark import discard, in_arrow, settle
 from lectern.llm.words import slices, split_words
 
 THRESHOLD = 0.3
 LEXICON_ROWS = 12_000
 LEXICON_SIZE = 400
+#: Files of the training rows.
+TRAINING_FILES = 8
+#: Bytes of text whose stems are counted at once.
+LEXICON_SLICE = 512 << 10
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
 LEAST_SHARE, LEAST_RATIO, MOST_WEIGHT = 0.02, 5.0, 8.0
 #: Beyond so many toxic rows the least share falls with their square root, as the noise of a count does.
@@ -155,6 +161,20 @@ def normalised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.DictionaryArray.from_arrays(pa.array(at, pa.int32()), bare), stop[at], off
 
 
+def stems(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Prefixes of all words and, from three letters on, each whole word behind ``=``; and the index of each one's word."""
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    parts, owners = [], []
+    for n in STEM_LENGTHS:
+        own = np.flatnonzero(size >= n)
+        parts.append(pc.utf8_slice_codeunits(words.take(pa.array(own)), 0, n))
+        owners.append(own)
+    own = np.flatnonzero(size >= 3)
+    parts.append(pc.binary_join_element_wise(pa.scalar("="), words.take(pa.array(own)), ""))
+    owners.append(own)
+    return pa.concat_arrays(parts), np.concatenate(owners)
+
+
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     words, stop, off = normalised(texts)
     kind, weight = lexicon.classes(words.dictionary.to_pylist())
@@ -196,36 +216,37 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return np.stack([np.ones(n), np.log1p(direct), np.log1p(mass[:, 1]), np.log1p(mass[:, 2] + mass[:, 3]), np.log1p(mass[:, 4:].sum(1)), np.log1p(threats), long, top, np.log1p(direct) * long, np.log1p(1000 * direct / np.maximum(count, 20)), np.log1p(hits)], axis=1)
 
 
-def _sampled(labels: DataFrame, label: int) -> np.ndarray:
-    own = labels.filter((F.col("label") == label) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    rows = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_ROWS).collect()
-    return np.array(sorted(r.doc_id for r in rows), np.int64)
+def _sampled(labels: DataFrame) -> DataFrame:
+    """``doc_id, label``: at most ``LEXICON_ROWS`` training rows of each class, small enough for a broadcast."""
+    own = labels.filter(~held_out(F.col("doc_id"))).distinct()
+    of = lambda k: own.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_ROWS)
+    return F.broadcast(of(0).union(of(1)))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Stems typical of toxic training rows; ``labels`` has ``doc_id, label``."""
-    ids = [_sampled(labels, k) for k in (0, 1)]
-    if not len(ids[1]) or not len(ids[0]):
-        return Lexicon({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pc.fill_null(batch.column("doc_id"), -1).to_numpy()
+            label = batch.column("label").to_numpy()
             for k in (0, 1):
-                mine = batch.filter(pa.array(np.isin(own, ids[k])))
-                for part in slices(mine, "text"):
+                for part in slices(batch.filter(pa.array(label == k)), "text", LEXICON_SLICE):
                     words, _, off = normalised(part.column("text"))
-                    known = words.dictionary.to_pylist()
-                    stems = [{w[:n] for n in STEM_LENGTHS if n <= len(w)} | ({"=" + w} if len(w) >= 3 else set()) for w in known]
-                    at = words.indices.to_numpy()
-                    count: dict[str, int] = {}
-                    for a, b in zip(off, off[1:]):
-                        for s in set().union(*(stems[i] for i in np.unique(at[a:b]).tolist())):
-                            count[s] = count.get(s, 0) + 1
-                    size = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(["", *count]), pa.array([k] * (len(count) + 1), pa.int32()), pa.array([size, *count.values()], pa.int64())], ["stem", "label", "n"])
-
-    counted = docs.select("doc_id", "text").mapInArrow(run, "stem string, label int, n long")
+                    # distinct words of each text, then their stems, distinct again
+                    at, doc = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(off) - 1), np.diff(off))
+                    pair = np.unique(doc * len(words.dictionary) + at)
+                    stem, owner = stems(words.dictionary)
+                    coded = stem.dictionary_encode()
+                    order = np.argsort(owner, kind="stable")
+                    code, first = coded.indices.to_numpy()[order], np.searchsorted(owner[order], np.arange(len(words.dictionary) + 1))
+                    word, n = pair % max(len(words.dictionary), 1), np.diff(first)
+                    hit = np.unique(np.repeat(pair // max(len(words.dictionary), 1), n[word]) * len(coded.dictionary) + code[spread(first[word], n[word])])
+                    count = np.bincount(hit % max(len(coded.dictionary), 1), minlength=len(coded.dictionary)) if len(hit) else np.zeros(len(coded.dictionary), np.int64)
+                    shown = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary])
+                    yield pa.RecordBatch.from_arrays([shown, pa.array(np.full(len(shown), k, np.int32)), pa.array(np.concatenate([[part.num_rows], count]))], ["stem", "label", "n"])
+
+    chosen = docs.select("doc_id", "text").join(_sampled(labels), "doc_id").select("text", "label")
+    counted = in_arrow(chosen, run, "stem string, label int, n long")
     per = counted.groupBy("stem").agg(*(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
     total = per.filter(F.col("stem") == "").first()
     if not total or not total.n0 or not total.n1:
@@ -263,7 +284,7 @@ def _total(rows: DataFrame, of, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], ["k", "v"])
 
     out = np.zeros(size)
-    for r in rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in in_arrow(rows, run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[r.k] = r.v
     return out
 
@@ -306,14 +327,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "x"])
 
-    featured = settle(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>"))
-    train = settle(featured.join(labels.filter(~held_out(F.col("doc_id"))), "doc_id").select("label", "x"))
+    featured = settle(in_arrow(docs.select("doc_id", "text"), run, "doc_id long, x array<double>"))
+    # read many times: a few files instead of one for each shuffle partition
+    train = settle(featured.join(training_rows(labels), "doc_id").select("label", "x").repartition(TRAINING_FILES))
     model = fit(train)
+    discard(train)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(-1, DIM)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    scored = featured.mapInArrow(score, "doc_id long, score double")
+    scored = in_arrow(featured, score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
