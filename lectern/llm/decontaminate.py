@@ -8,9 +8,11 @@ piece's first words, then Myers' bit-parallel algorithm gives the least edit
 distance of the item to any run of words around the hit.
 
 The benchmark is a stated query set: it is applied in blocks of at most
-``BLOCK_WORDS`` words, each sent to all tasks, so the broadcast has a fixed
-bound whatever the size of the benchmark.
+``BLOCK_WORDS`` words, ``SCAN_BLOCKS`` of them in one scan of the documents,
+so what is sent at once has a fixed bound whatever the size of the benchmark.
 
+Of places with the least distance the first is reported.  A very long text is
+searched as a whole; its cost grows with its length, repeated passages included.
 Null and empty texts and items without words match nothing.  Repeated
 documents give repeated rows and repeated items their own rows; null ids are
 kept as they are.  Items of fewer than ``LEAST_WORDS`` words must occur
@@ -19,6 +21,7 @@ unchanged; they are searched in blocks of their own.  Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.spark import in_arrow
 from lectern.llm.words import hash_words, slices, split_words, windows
 
 RATE = 0.15
 LEAST_WORDS = 8
-BLOCK_WORDS = 200_000
+#: Words of a block, and blocks that one scan of the documents looks for.
+BLOCK_WORDS, SCAN_BLOCKS = 200_000, 16
 SCHEMA = "doc_id long, item_id long, distance int, first_word long, last_word long"
 
 
@@ -123,15 +128,10 @@ class Block:
                 first = min(starts) - int(off[t])
                 found.append((t, n, 0, first, first + len(item) - 1))
                 continue
-            m, done = len(item), None
-            for s in sorted(starts):
-                if done is not None and s <= done:
-                    continue
-                # hits whose windows touch are looked at together
-                last = s
-                while any(last < x <= last + m for x in starts):
-                    last = max(x for x in starts if last < x <= last + m)
-                done = last
+            m, at = len(item), np.sort(np.fromiter(starts, np.int64))
+            # hits whose windows touch are looked at together
+            cut = np.flatnonzero(np.diff(at) > m)
+            for s, last in zip(at[np.concatenate([[0], cut + 1])].tolist(), at[np.concatenate([cut, [len(at) - 1]])].tolist()):
                 a, b = max(int(off[t]), s - k), min(int(off[t + 1]), last + m + k)
                 d, end = myers(item, h[a:b])
                 if d <= k and (best is None or d < best[0]):
@@ -163,23 +163,28 @@ def blocks(benchmark: DataFrame, rate: float) -> Iterator[Block]:
             yield Block(ids, items, rate)
 
 
-def _match(docs: DataFrame, block: Block) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+def _scans(docs: DataFrame, benchmark: DataFrame, rate: float) -> Iterator[list]:
+    """Broadcasts of the blocks that one scan of the documents looks for."""
+    found = blocks(benchmark, rate)
+    while own := list(itertools.islice(found, SCAN_BLOCKS)):
+        yield [docs.sparkSession.sparkContext.broadcast(b) for b in own]
 
+
+def _match(docs: DataFrame, sent: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = own.search(*symbols(part.column("text")))
-                if not rows:
-                    continue
-                text, item, distance, first, last = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(text)), pa.array([own.ids[n] for n in item], pa.int64()), pa.array(distance, pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-                    ["doc_id", "item_id", "distance", "first_word", "last_word"],
-                )
+                words = symbols(part.column("text"))
+                for own in sent:
+                    rows = own.value.search(*words)
+                    if rows:
+                        text, item, distance, first, last = zip(*rows)
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("doc_id").take(pa.array(text)), pa.array([own.value.ids[n] for n in item], pa.int64()), pa.array(distance, pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
+                            ["doc_id", "item_id", "distance", "first_word", "last_word"],
+                        )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return in_arrow(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -188,23 +193,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     Word positions count normalised words that are not empty.
     """
     found = docs.sparkSession.createDataFrame([], SCHEMA)
-    for block in blocks(benchmark, rate):
-        found = found.unionByName(_match(docs, block))
+    for sent in _scans(docs, benchmark, rate):
+        found = found.unionByName(_match(docs, sent))
     return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` without the documents in which an item was found; a null ``doc_id`` is judged by its own text."""
-    for block in blocks(benchmark, rate):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    for sent in _scans(docs, benchmark, rate):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    bad = {r[0] for r in sent.value.search(*symbols(part.column("text")))}
-                    keep = np.ones(part.num_rows, bool)
-                    keep[list(bad)] = False
+                    words, keep = symbols(part.column("text")), np.ones(part.num_rows, bool)
+                    for own in sent:
+                        keep[[r[0] for r in own.value.search(*words)]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(docs, run, docs.schema)
     return docs
