@@ -7,7 +7,11 @@ equal across documents, and different values stay different.  A card keeps a
 correct check digit, a phone number its country code and punctuation, a date
 its notation.  E-mail addresses and hexadecimal secrets, which have no numeric
 format, get a keyed digest in the same shape.  Values that fail validation
-(wrong check digit, octet over 255, impossible date) are left alone.
+(wrong check digit, octet over 255, impossible date, unissued number) are left
+alone.  Spellings of one phone number with its country code stay linked.
+
+The matches of a text are one array in its row, so a very long text costs
+memory in proportion to its matches.
 
 A null text stays null, an empty one empty.  Every input row gives one row;
 repeated rows and null ids are kept.  All columns of the input are passed on;
@@ -16,11 +20,14 @@ only ``text`` changes (and ``n_chars``, if present, follows it).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.rules import let
 
+KEY = "lectern.pii.key"
 ROUNDS = 8
 EPOCH, DAYS = "1900-01-01", 65536
 
@@ -45,6 +52,8 @@ PHONE = (
 CARD = rf"(?<!\d)(?=\d(?:(?:[ -](?!{OTHER}))?\d){{12}})\d++(?:[ -](?!{OTHER})\d++)*+"
 ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, HEX, CARD))
 CARD_DIGITS = (13, 19)
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -159,7 +168,7 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+(\d{1,3})", 1)
+    code = F.regexp_extract(m, rf"^\+({COUNTRY})", 1)
 
     def changed(d: Column) -> Column:
         k = F.length(code)
@@ -170,7 +179,22 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    return let(permute_digits(only_digits(m), "ssn", key), lambda w: refill(m, w))
+    """Areas 001 to 899 without 666, groups 01 to 99 and serials 0001 to 9999 are numbered without gaps and permuted."""
+
+    def changed(d: Column) -> Column:
+        number = lambda a, n: F.substring(d, a, n).cast("int")
+        area, group, serial = number(1, 3), number(4, 2), number(6, 4)
+        valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
+        place = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
+        pair = feistel(place, serial - 1, F.lit(898 * 99), F.lit(9999), "ssn", key)
+
+        def shown(p: Column) -> Column:
+            a = F.floor(p["l"] / 99)
+            return F.format_string("%03d-%02d-%04d", a + F.when(a >= 665, 2).otherwise(1), p["l"] % 99 + 1, p["r"] + 1)
+
+        return F.when(valid, let(pair, shown)).otherwise(m)
+
+    return let(only_digits(m), changed)
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -230,8 +254,22 @@ def replace(text: Column, key: str) -> Column:
     return F.when(text.rlike("[0-9@]"), whole).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str = "lectern") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced under ``key``."""
+def session_key(spark: SparkSession) -> str:
+    """The key in the setting ``lectern.pii.key``; where it is unset, a random one that the session keeps to itself."""
+    found = spark.conf.get(KEY, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY, found)
+    return found
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced under ``key``, or else the session's key.
+
+    Pseudonyms of different runs agree only under the same key, and whoever
+    knows it can undo them.
+    """
+    key = key or session_key(docs.sparkSession)
     changed = replace(F.col("text"), key)
     out = []
     for c in docs.columns:

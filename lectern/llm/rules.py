@@ -2,8 +2,13 @@
 
 Each text gets word, symbol and repetition counts and a pass or fail of the
 base rule.  Failures are summed by host; the hosts' failure rates are shrunk
-towards a beta prior fitted to all hosts by moments, and hosts whose shrunk
-rate is above ``MOST_RATE`` are rejected as a whole.
+towards a beta prior fitted to all hosts by moments.  Hosts whose shrunk rate
+stands out from the prior (above its mean by ``DEVIATIONS`` of its standard
+deviations, and above ``TIMES`` its mean) or is above ``MOST_RATE`` are
+rejected as a whole.
+
+A very long text is one array of words and window hashes in one row, some 30
+bytes for each word.
 
 A null or empty text has zero counts and fails the base rule (fewer than 20
 words).  Rows with a null host form one host of their own.  Every input row
@@ -22,7 +27,7 @@ from lectern.llm.spark import settle
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-MOST_RATE = 0.5
+MOST_RATE, DEVIATIONS, TIMES = 0.5, 3, 2
 WINDOW = 8
 
 
@@ -84,7 +89,9 @@ def host_verdicts(measured: DataFrame, most: float = MOST_RATE) -> DataFrame:
     strength = m * (1 - m) / v - 1 if 0 < m < 1 and 0 < v < m * (1 - m) else 2.0
     alpha, beta = (m * strength, (1 - m) * strength) if 0 < m < 1 else (1.0, 1.0)
     shrunk = (F.col("n_failed") + alpha) / (F.col("n_docs") + alpha + beta)
-    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk > most).alias("rejected"))
+    mean, size = alpha / (alpha + beta), alpha + beta
+    limit = min(most, max(TIMES * mean, mean + DEVIATIONS * (mean * (1 - mean) / (size + 1)) ** 0.5))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk > limit).alias("rejected"))
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -123,7 +130,7 @@ hosts AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS f FROM failed GRO
 moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
 prior AS (SELECT CASE WHEN m > 0 AND m < 1 THEN m * s ELSE 1 END AS a, CASE WHEN m > 0 AND m < 1 THEN (1 - m) * s ELSE 1 END AS b
   FROM (SELECT m, CASE WHEN m > 0 AND m < 1 AND v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 2 END AS s FROM moments)),
-verdicts AS (SELECT host, (f + a) / (n + a + b) > 0.5 AS rejected FROM hosts, prior)
+verdicts AS (SELECT host, (f + a) / (n + a + b) > least(0.5, greatest(2 * a / (a + b), a / (a + b) + 3 * sqrt(a * b / (a + b) ** 2 / (a + b + 1)))) AS rejected FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(rejected, FALSE) AS kept
 FROM failed LEFT JOIN verdicts ON failed.host IS NOT DISTINCT FROM verdicts.host

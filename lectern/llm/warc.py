@@ -86,10 +86,17 @@ def write(pages: DataFrame, path: str, least: int = LEAST_SHARED) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records rebuilt from both stores: ``page_id, header, payload``."""
+    """Records rebuilt from both stores: ``page_id, header, payload, record``.
+
+    ``record`` has a record's bytes: its header, its block (the payload of a
+    response, nothing for a revisit) and two line ends.  ``payload`` is the
+    page's content, which a revisit shares with the record it refers to.
+    """
     records = spark.read.parquet(f"{path}/records")
     payloads = spark.read.parquet(f"{path}/payloads").select("address", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt"), "payload")
-    return records.join(payloads, ["address", "salt"], "left").select("page_id", "header", "payload")
+    block = F.when(field(F.col("header").cast("string"), "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    rebuilt = F.concat("header", block, F.lit(b"\r\n\r\n"))
+    return records.join(payloads, ["address", "salt"], "left").select("page_id", "header", "payload", rebuilt.alias("record"))
 
 
 def field(head: Column, name: str) -> Column:

@@ -5,6 +5,7 @@ import random
 import re
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,7 +133,8 @@ def test_bpe_equals_library(docs, empty):
     lib = tokenizers.Tokenizer.from_file(path)
     hard = ["", "aaaa<|endoftext|> b", " lead", "tail ", "two  spaces\n\n x", "don't 'LL 123４５ ½²", "😀👍🏽 é", "a" * 999, "\x00\x1c \x85"]
     own = bpe.load(path)
-    ids, n = own.encode(hard)
+    hard += ["a \u2003b c", "x\x1c y", "it's they'll  go", "ſ ﬁ ǅ a.b c! d!? e., f", " ", "a<|endoftext|>"]
+    ids, n = own.encode(pa.array(hard))
     at = 0
     for t, k in zip(hard, n):
         assert ids[at : at + k].tolist() == lib.encode(t, add_special_tokens=False).ids, t
@@ -209,6 +211,15 @@ def test_rules(spark, docs, empty):
     bad = spark.createDataFrame([(i, "few words", "bad") for i in range(9)] + [(i, " ".join(BASE[i : i + 30]), "good") for i in range(20, 60)] + [(99, " ".join(BASE[:40]), "bad")], "doc_id long, text string, source string")
     kept = {r.doc_id: r.kept for r in rules.judge(bad).collect()}
     assert not kept[99] and all(kept[i] for i in range(20, 60))
+    # one host in twenty fails far more often than the prior of all hosts lets expect, though in less than half of its rows
+    good = lambda k: " ".join(BASE[k % 90 : k % 90 + 30])
+    rows = [(h * 100 + k, "few" if k < (18 if h == 7 else 2 + h % 3) else good(k), f"h{h}") for h in range(20) for k in range(50)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, want = against_sql(spark, rules.judge(many), rules.SQL, documents=many)
+    assert got == want
+    verdict = {r.host: r.rejected for r in rules.host_verdicts(rules.measure(many)).collect()}
+    assert {h for h, v in verdict.items() if v} == {"h7"}
+    assert {r.doc_id // 100 for r in rules.judge(many).filter("NOT base_failed AND NOT kept").collect()} == {7}
 
 
 def test_licenses(spark, docs, empty):
@@ -271,6 +282,28 @@ def test_pii_beside_pii(spark):
     assert not wrong, wrong
 
 
+def test_pii_links_spellings_and_validates(spark):
+    spellings = ["+1 (551) 555-0826", "+15515550826", "+1.551.555.0826", "+44 20 7946 0958", "+442079460958"]
+    numbers = ["001-01-0001", "899-99-9999", "665-10-2000", "667-10-2000"]
+    wrong = ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-3456", "123-45-0000"]
+    df = spark.createDataFrame(list(enumerate(spellings + numbers + wrong)), "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    digits = [re.sub(r"\D", "", x) for x in out]
+    assert len(set(digits[:3])) == 1 and digits[3] == digits[4] and digits[0][0] == "1" and digits[3][:2] == "44"
+    for x in out[5:9]:
+        assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x)
+    assert len({*out[5:9], *numbers}) == 8 and out[9:] == wrong
+    # without a key the session's own random one is used, the same for every stage
+    assert [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()] == [r.text for r in pii.pseudonymise(df, pii.session_key(spark)).orderBy("doc_id").collect()] != out
+
+
+@pytest.mark.parametrize("left,right", [(3, 7), (16, 16), (5, 1)])
+def test_feistel_is_a_permutation_of_pairs(spark, left, right):
+    df = spark.range(left * right).select(pii.feistel(F.floor(F.col("id") / right), F.col("id") % right, F.lit(left), F.lit(right), "t", "k").alias("p"))
+    got = {(r.p.l, r.p.r) for r in df.collect()}
+    assert got == {(a, b) for a in range(left) for b in range(right)}
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = [r.p for r in df.select(pii.permute_digits(F.col("d"), "t", "k").alias("p")).collect()]
@@ -294,6 +327,12 @@ def test_warc_rebuilds_records(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a" / "payloads")).count() == 1
     back = warc.read(spark, str(tmp_path / "a")).collect()
     assert len(back) == 600 and all(bytes(r.payload).decode() == "body " * 400 and bytes(r.header).startswith(b"WARC/1.1\r\n") for r in back)
+    body = b"body " * 400
+    digests = f"WARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}\r\nWARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nWARC-Payload-Length: 2000\r\nContent-Type: text/html; charset=utf-8\r\n"
+    for r in back:
+        kind, refers, block = ("response", "", body) if r.page_id == 599 else ("revisit", "WARC-Refers-To: <urn:page:599>\r\n", b"")
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{r.page_id}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: http://h/{r.page_id}\r\n{refers}{digests}Content-Length: {len(block)}\r\n\r\n"
+        assert bytes(r.record) == head.encode() + block + b"\r\n\r\n"
 
 
 @pytest.mark.parametrize("name,column,sf", [("op6_quality", "quality", "0.01"), ("op4_toxicity", "toxic", "0.1")])
@@ -306,6 +345,27 @@ def test_classifiers_on_held_out_rows(spark, name, column, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_equals_plain_discriminant(spark):
+    """Scores against an independent discriminant that inverts the covariances."""
+    import numpy as np
+
+    rows = [(i, " ".join(changed(BASE[: 20 + i % 60], 3)) + (" ### | |" if i % 3 else "."), int(i % 3 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = {r.doc_id: (r.held_out, r.score) for r in quality.classify(df, df.select("doc_id", "label")).collect()}
+    x = quality.features(pa.array([r[1] for r in rows]))
+    y, train = np.array([r[2] for r in rows]), np.array([not got[r[0]][0] for r in rows])
+    parts = [x[train & (y == k)] for k in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(len(p) * c for p, c in zip(parts, cov)) / train.sum()
+    pooled = 0.95 * pooled + 0.05 * np.diag(np.diag(pooled)) + 1e-3 * np.eye(x.shape[1])
+    z = np.full(len(x), np.log(len(parts[1]) / len(parts[0])))
+    for sign, p, c in zip((-1, 1), parts, cov):
+        c = 0.9 * c + 0.1 * pooled
+        d = x - p.mean(0)
+        z += sign * -0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) + np.linalg.slogdet(c)[1])
+    assert np.allclose([got[r[0]][1] for r in rows], 1 / (1 + np.exp(-np.clip(z, -500, 500))), atol=1e-6)
+
+
 @pytest.mark.parametrize("classify", [quality.classify, toxicity.classify])
 def test_classifiers_without_labels(spark, docs, empty, classify):
     none = spark.createDataFrame([], "doc_id long, label int")
@@ -317,8 +377,6 @@ def test_classifiers_without_labels(spark, docs, empty, classify):
 
 def test_toxic_context():
     lexicon = toxicity.Lexicon({"=idiot": 4.0})
-    import pyarrow as pa
-
     x = toxicity.features(pa.array(["You are an idiot.", "You are not an idiot.", "He said idiot.", "An idiot.", None, ""]), lexicon)
     mass, targeted, negated, reported = (x[:, toxicity.FEATURES.index(k)] for k in ("mass", "targeted", "negated", "reported"))
     assert targeted[0] > 0 and negated[1] > 0 and reported[2] > 0
@@ -326,8 +384,6 @@ def test_toxic_context():
 
 
 def test_threats_need_a_target():
-    import pyarrow as pa
-
     texts = ["Burn the wood.", "Beat two eggs and stir.", "They left. Beat two eggs.", "I will burn you.", "You will burn.", "Ich werde dich töten.", "I will not hurt you.", "She said: kill.", "He wrote that I kill you."]
     x = toxicity.features(pa.array(texts), toxicity.Lexicon({"=idiot": 4.0}))
     at = toxicity.FEATURES.index
