@@ -57,8 +57,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import spread
 from lectern.llm.graph import components
-from lectern.llm.spark import groups_for, in_arrow, let_go, settle
-from lectern.llm.words import hash_words, slices, split_words, windows
+from lectern.llm.spark import groups_for, in_arrow, let_go, settle, settle_bucketed, shuffle_width
+from lectern.llm.words import hash_words, release, slices, split_words, windows
 
 SHINGLE = 5
 PERCENT = 75
@@ -116,6 +116,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *blobs], ["bucket", "tokens", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
+        release()
         token, n = _flat(table.column("tokens"), np.uint64)[0], _flat(table.column("counts"), np.uint16)[0]
         order = np.argsort(token)
         token, n = token[order], n[order].astype(np.int64)
@@ -198,6 +199,7 @@ def first_regions(nodes: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *blobs], ["bucket", "keys", "owners", "metas"])
 
     def runs(table: pa.Table) -> pa.Table:
+        release()
         key, owner, meta = (_flat(table.column(c), t)[0] for c, t in (("keys", np.uint64), ("owners", np.int64), ("metas", np.uint32)))
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -229,38 +231,30 @@ def first_regions(nodes: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("pivot", "x").agg(F.bool_or("star").alias("star"))
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """One bit for each of ``FILTER_BITS`` hash values, set where an id of the frame has it; 8 MB at any number of ids."""
-    h = _filter_hash("doc_id") + 1
-    parts = ids.groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        own = np.frombuffer(bytes(r.bits), np.uint8)
-        out[(r.k - 1) * len(own) : r.k * len(own)] = own
-    return out
-
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``lectern_maybe``: true where ``doc_id`` is one of ``ids``, and for few others.
 
-def _filter_hash(c: str):
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    One bit for each of ``FILTER_BITS`` hash values goes to all tasks, 8 MB in
+    all at any number of ids, so no text is shuffled.
+    """
+    h = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    bits = ids.filter("doc_id IS NOT NULL").select(h().alias("h")).groupBy(F.bitmap_bucket_number("h").alias("lectern_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("lectern_bits"))
+    found = rows.withColumn("lectern_at", F.when(F.col("doc_id").isNotNull(), h())).withColumns({"lectern_k": F.bitmap_bucket_number("lectern_at"), "lectern_at": F.bitmap_bit_position("lectern_at")}).join(F.broadcast(bits), "lectern_k", "left")
+    byte = F.conv(F.hex(F.expr("substring(lectern_bits, CAST(lectern_at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col("lectern_at") % 8).cast("int")).bitwiseAND(1) == 1
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(bit, F.lit(False)).alias("lectern_maybe"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, s`` (the set as bytes) of the documents in ``ids``, and of few others.
-
-    A bitmap of id hashes goes to all tasks, so no text is shuffled; ids that
-    share a hash give sets that no later join asks for.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    """``doc_id, s`` (the set as bytes) of the documents in ``ids``, and of few others, which no later join asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            for part in slices(batch.filter(pa.array(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1)), "text"):
+            for part in slices(batch, "text"):
                 sets = [s.tobytes() for s in shingle_sets(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "s"])
 
-    return in_arrow(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _filter_hash("doc_id").alias("h")), run, "doc_id long, s binary")
+    return in_arrow(marked(docs.select("doc_id", "text"), ids).filter("lectern_maybe").select("doc_id", "text"), run, "doc_id long, s binary")
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -320,8 +314,9 @@ def links_between(token: np.ndarray, size: np.ndarray, rows: np.ndarray, columns
 def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
     """``region, pivot, x, star, d, linked`` and the size of ``x`` for ``region, pivot, x, star``.
 
-    Both joins are plain sort-merge joins: one row of the sets meets the many
-    rows of a hot pivot, and the skew join splits those.
+    ``sets`` is bucketed by document, so the first join shuffles no sets.  In
+    the second, one row of the sets meets the many rows of a hot pivot, and the
+    skew join splits those.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +335,9 @@ def distances(regions: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("pivot"), batch.column("x"), batch.column("star"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_()), pa.array(size, pa.int64())], ["region", "pivot", "x", "star", "d", "linked", "size"])
 
     with_x = regions.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
-    with_both = with_x.join(sets.select(F.col("doc_id").alias("pivot"), F.col("s").alias("sp")), "pivot")
+    # files without buckets, so that this join shuffles both sides and can split a hot pivot
+    of_pivots = settle(sets.join(regions.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    with_both = with_x.join(of_pivots.select(F.col("doc_id").alias("pivot"), F.col("s").alias("sp")), "pivot")
     return in_arrow(with_both.select("region", "pivot", "x", "star", "sx", "sp"), run, "region long, pivot long, x long, star boolean, d double, linked boolean, size long")
 
 
@@ -384,6 +381,7 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     rows = single.unionByName(asked).unionByName(others).join(sets.select(F.col("doc_id").alias("x"), "s"), "x")
 
     def compare(table: pa.Table) -> pa.Table:
+        release()
         asks, answers = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "answers"))
         x, label, d = (table.column(c).to_numpy() for c in ("x", "label", "d"))
         token, size = _flat(table.column("s"), np.uint64)
@@ -427,7 +425,7 @@ def linked_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, component`` of the nodes ``rep, prefix`` that have a link."""
     regions = settle(first_regions(nodes, groups_for(docs, GROUP_BYTES))).withColumn("region", F.col("pivot"))
     ids = regions.select(F.col("pivot").alias("doc_id")).union(regions.select("x")).distinct()
-    sets = settle(sets_of(docs, ids))
+    sets = settle_bucketed(sets_of(docs, ids), "doc_id", shuffle_width(docs.sparkSession))
     measured = settle(distances(regions, sets))
     links = measured.filter("linked").select(F.col("pivot").alias("a"), F.col("x").alias("b"))
     members = weighed(rings(labelled(measured.filter("star"), links)).withColumn("above", F.lit(2**62)))
@@ -461,10 +459,15 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that with the smallest id, of each component; rows without id stay."""
+    """``docs`` with one document, that with the smallest id, of each component; rows without id stay.
+
+    Only documents that may have to go, by a bitmap of their ids, are shuffled
+    to be compared with the ids exactly.
+    """
     found = settle(join(docs))
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    gone = found.filter("doc_id <> component_id").select("doc_id")
+    rows = marked(docs, gone)
+    kept = rows.filter("lectern_maybe").join(gone, "doc_id", "left_anti").unionByName(rows.filter("NOT lectern_maybe")).select(*docs.columns)
+    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
