@@ -8,7 +8,7 @@ difference cover: for any two positions there is an offset below 31 that takes
 both into the cover, so two equal windows of 50 words always have an equal
 anchor at the same offset in both.  An anchor found in one document only rules
 out the windows around it; the rest extends to full windows, which are hashed
-(96 bits) and compared by document id.
+(96 bits, of two independent hashes of each word) and compared by document id.
 
 Documents are dealt once into blocks of a few MB, in a bucketed table.  A block
 sends each distinct hash once, with its least document id, and gets back which
@@ -19,7 +19,8 @@ in the first step and take no part in the second.
 
 Null and empty texts have no words.  Every input row gives one row; rows with
 one ``doc_id`` never remove words of each other, and rows without ``doc_id``
-keep all words and remove none.  Other columns are ignored.
+keep all words and remove none.  Other columns are ignored.  A very long text
+is part of one block as a whole, which then is larger than the others.
 """
 
 from __future__ import annotations
@@ -34,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.jaccard import _flat
-from lectern.llm.spark import settle, settle_bucketed, shuffle_width
-from lectern.llm.words import hash_words, mix, split_words, windows
+from lectern.llm.spark import groups_for, settle, settle_bucketed, shuffle_width
+from lectern.llm.words import KEYS, hash_words, mix, release, split_words, windows
 
 WINDOW = 50
 #: A perfect difference set: every difference modulo 31 occurs once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-BLOCKS_PER_PARTITION = 4
+#: Bytes of input for each block of documents and each group of hashes.
+BLOCK_BYTES = 4 << 20
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -55,7 +57,8 @@ class Texts:
     def __init__(self, table: pa.Table):
         text = table.column("text").combine_chunks()
         self.flat, self.off = split_words(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
-        self.h = hash_words(self.flat)
+        coded = self.flat.dictionary_encode()
+        self.h, self.second = (hash_words(coded, key) for key in KEYS)
         self.n = np.diff(self.off)
         ids = table.column("doc_id")
         self.id = pc.fill_null(ids, 0).to_numpy()
@@ -74,8 +77,8 @@ class Texts:
         """128-bit hash of each usable document's words, as two columns."""
         out = np.zeros((len(self.n), 2), np.uint64)
         at = self.local.astype(np.uint64)
-        for k, seed in enumerate((np.uint64(0x9E3779B97F4A7C15), _SECOND)):
-            each = mix((self.h ^ seed) + mix(at * seed + seed))
+        for k, (h, seed) in enumerate(((self.h, np.uint64(0x9E3779B97F4A7C15)), (self.second, _SECOND))):
+            each = mix((h ^ seed) + mix(at * seed + seed))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
             out[:, k] = total[self.off[1:]] - total[self.off[:-1]]
         return out[self.usable]
@@ -84,7 +87,7 @@ class Texts:
         """96-bit hashes of the windows that start at flat positions ``at``, as two columns."""
         if not len(at):
             return np.zeros((0, 2), np.uint64)
-        second = windows(mix(self.h ^ _SECOND), WINDOW)[at] >> np.uint64(32)
+        second = windows(self.second, WINDOW)[at] >> np.uint64(32)
         return np.stack([windows(self.h, WINDOW)[at], second], axis=1)
 
     def digests(self, keep: np.ndarray | None = None) -> list[str]:
@@ -139,6 +142,7 @@ def first_step(texts: DataFrame, width: int) -> DataFrame:
     """``b, anchors, h1, h2``: for each block, the anchors it shares with other blocks and the whole texts that have an earlier copy in one."""
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
+        release()
         t = Texts(table)
         _, anchor = t.anchors()
         anchor = np.unique(anchor)
@@ -175,6 +179,7 @@ def second_step(texts: DataFrame, known: DataFrame, width: int) -> DataFrame:
     def extend(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _ROW.empty_table()
+        release()
         t, b = Texts(table), key[0].as_py()
         at, anchor = t.anchors()
         whole = t.whole()
@@ -260,11 +265,11 @@ def last_step(open_: DataFrame, early: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
-    width = shuffle_width(docs.sparkSession)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS_PER_PARTITION * width)).cast("int")
+    width, parts = shuffle_width(docs.sparkSession), groups_for(docs, BLOCK_BYTES)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     texts = settle_bucketed(docs.select("doc_id", "text", block.alias("b")), "b", width)
-    known = settle(first_step(texts, width))
-    rows = settle(second_step(texts, known, width))
+    known = settle(first_step(texts, parts))
+    rows = settle(second_step(texts, known, parts))
     early = earlier_windows(rows.filter("kind = 2"))
     rest = last_step(rows.filter("kind = 1").select("b", "doc_id", "text", "at"), early)
     return rows.filter("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(rest)

@@ -155,7 +155,7 @@ def normalised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     flat, off = split_words(pc.utf8_lower(pc.replace_substring(pc.fill_null(texts, ""), "\n", " ; ")))
     coded = flat.dictionary_encode()
     known = coded.dictionary
-    stop = pc.match_substring_regex(known, r"[.!?;:]+$").to_numpy(zero_copy_only=False)
+    stop = pc.match_substring_regex(known, r"[.!?;]+$").to_numpy(zero_copy_only=False)
     bare = pc.replace_substring_regex(known, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     at = coded.indices.to_numpy()
     return pa.DictionaryArray.from_arrays(pa.array(at, pa.int32()), bare), stop[at], off

@@ -56,12 +56,16 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     return flat, off
 
 
-def hash_words(flat: pa.Array) -> np.ndarray:
+#: Keys of the hash of words: the usual one, and that of a second, independent hash.
+KEYS = ("0123456789123456", "6543219876543210")
+
+
+def hash_words(flat: pa.Array, key: str = KEYS[0]) -> np.ndarray:
     """64-bit hash of each word; only distinct words are hashed."""
     if len(flat) == 0:
         return np.zeros(0, np.uint64)
-    coded = flat.dictionary_encode()
-    known = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    coded = flat if isinstance(flat, pa.DictionaryArray) else flat.dictionary_encode()
+    known = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), hash_key=key, categorize=False)
     return known[coded.indices.to_numpy()]
 
 

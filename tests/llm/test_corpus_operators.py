@@ -383,6 +383,54 @@ def test_toxic_context():
     assert mass[0] > 0 and mass[3] > 0 and mass[1] == 0 and not x[4:, 1:6].any()
 
 
+def plain_grammar(text, insults):
+    """Accepted weights of a text by the grammar's definition, looking at positions instead of states."""
+    near = lambda at, i, reach: any(0 < i - j <= reach for j in at)
+    closed = {w: k for k, words in toxicity.CLOSED.items() for w in words.split()}
+    total = dict.fromkeys(("direct", "targeted", "negated", "reported", "threat", "hits"), 0.0)
+    clauses, clause = [], []
+    for raw in text.lower().replace("\n", " ; ").split():
+        clause.append(re.sub(r"^[\W_]+|[\W_]+$", "", raw))
+        if raw[-1] in ".!?;":
+            clauses.append(clause)
+            clause = []
+    for words in [*clauses, clause]:
+        at = {k: [i for i, w in enumerate(words) if closed.get(w) == k] for k in toxicity.CLOSED}
+        T, reach = at[toxicity.TARGET], toxicity.REACH
+        hits = [(i, insults[w], False) for i, w in enumerate(words) if w in insults and w not in closed]
+        open_ = [v for v in at[toxicity.THREAT] if not near(T, v, reach)]
+        hits += [(v, toxicity.THREAT_WEIGHT, True) for v in at[toxicity.THREAT] if near(T, v, reach)]
+        for j in T:
+            verbs = [v for v in at[toxicity.THREAT] if v < j and not any(v < t < j for t in T)]
+            if verbs and verbs[-1] in open_ and j - verbs[-1] <= reach:
+                hits.append((j, toxicity.THREAT_WEIGHT, True))
+        for i, w, threat in hits:
+            negated, reported = near(at[toxicity.NEGATION], i, 3), near(at[toxicity.REPORT], i, 8)
+            targeted = threat or near(T, i, reach)
+            total["hits"] += 1
+            total["threat"] += w * threat
+            total["direct"] += w * (not negated and not reported)
+            total["targeted"] += w * (targeted and not negated and not reported)
+            total["negated"] += w * (negated and not reported)
+            total["reported"] += w * reported
+    return total
+
+
+def test_grammar_equals_its_definition():
+    import numpy as np
+
+    words = ["you", "they", "kill", "hurt", "not", "said", "idiot", "fool", "the", "tree", "walks", "idiot.", "you;", "said:", "so\nthen"]
+    texts = [" ".join(random.choice(words) for _ in range(random.randrange(0, 25))) for _ in range(400)]
+    texts += ["I will kill you.", "An idiot.", "idiot you are.", "You idiot.", "beat the eggs and burn the sugar", "He said: you idiot."]
+    insults = {"idiot": 4.0, "fool": 2.5}
+    x = toxicity.features(pa.array(texts), toxicity.Lexicon({f"={k}": v for k, v in insults.items()}))
+    at = toxicity.FEATURES.index
+    want = [plain_grammar(t, insults) for t in texts]
+    for name, key in (("mass", "direct"), ("targeted", "targeted"), ("negated", "negated"), ("reported", "reported"), ("threat", "threat"), ("hits", "hits")):
+        assert np.allclose(x[:, at(name)], np.log1p([w[key] for w in want])), name
+    assert x[-6, at("targeted")] > 0 and not x[-2, 1:6].any() and x[-1, at("reported")] > 0 and x[-1, at("mass")] == 0
+
+
 def test_threats_need_a_target():
     texts = ["Burn the wood.", "Beat two eggs and stir.", "They left. Beat two eggs.", "I will burn you.", "You will burn.", "Ich werde dich töten.", "I will not hurt you.", "She said: kill.", "He wrote that I kill you."]
     x = toxicity.features(pa.array(texts), toxicity.Lexicon({"=idiot": 4.0}))
