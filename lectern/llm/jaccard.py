@@ -351,11 +351,11 @@ def rings(member: DataFrame) -> DataFrame:
     """Members ``region, x, label, d, size, asks`` of rings with several components; ``asks`` marks those outside the most frequent one."""
     ring = F.least(F.floor(F.col("d") / RADIUS), F.lit(3)).cast("int")
     home = F.explode(F.array(ring, ring + 1)).alias("ring")
-    member = settle(member.select("region", "x", "label", "d", "size", home).filter("ring < 4").select(F.xxhash64("region", "ring").alias("region"), "x", "label", "d", "size").distinct())
+    member = settle(member.select("region", "x", "label", "d", "size", home).filter("ring < 4").select(F.xxhash64("region", "ring").alias("region"), "x", "label", "d", "size").distinct(), light=True)
     count = member.groupBy("region", "label").agg(F.count("*").alias("n"))
     main = count.groupBy("region").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
     open_ = main.filter(F.col("m.n") < F.col("n")).select("region", F.col("m.label").alias("main"))
-    return settle(member.join(open_, "region").withColumn("asks", F.col("label") != F.col("main")).drop("main"))
+    return settle(member.join(open_, "region").withColumn("asks", F.col("label") != F.col("main")).drop("main"), light=True)
 
 
 def weighed(members: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def weighed(members: DataFrame) -> DataFrame:
     blocks = lambda b: F.ceil(b / BLOCK_BYTES).cast("int")
     per = members.groupBy("region").agg(F.sum(weight).alias("bytes"), F.sum(F.when(F.col("asks"), weight)).alias("b"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     per = per.filter("b IS NOT NULL AND l0 <> l1").select("region", "bytes", blocks(F.col("bytes")).alias("n"), blocks(F.col("b")).alias("n_asks"))
-    return settle(members.join(per, "region"))
+    return settle(members.join(per, "region"), light=True)
 
 
 def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -445,13 +445,13 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     table = settle(shingled(docs, common_shingles(docs)))
     nodes = settle(table.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")))
-    linked = settle(linked_components(docs, nodes))
+    linked = settle(linked_components(docs, nodes), light=True)
     rows = table.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "rep"), "digest", "left")
     # a doc_id with several texts unites their components
     own = rows.filter("rep IS NOT NULL AND doc_id IS NOT NULL AND rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     split = table.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).filter("k > 1").isEmpty()
     if not split:
-        linked = settle(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(own)))
+        linked = settle(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(own)), light=True)
         rows = rows.withColumn("rep", F.when(F.col("rep").isNotNull(), F.col("doc_id")))
     out = rows.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -464,7 +464,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Only documents that may have to go, by a bitmap of their ids, are shuffled
     to be compared with the ids exactly.
     """
-    found = settle(join(docs))
+    found = settle(join(docs), light=True)
     gone = found.filter("doc_id <> component_id").select("doc_id")
     rows = marked(docs, gone)
     kept = rows.filter("lectern_maybe").join(gone, "doc_id", "left_anti").unionByName(rows.filter("NOT lectern_maybe")).select(*docs.columns)

@@ -43,9 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, light: bool = False) -> DataFrame:
     """Write the rows once into the shared folder and read them back.
 
+    ``light`` rows (ids and numbers) go into an eighth as many files as there
+    are shuffle partitions, since every later read opens them all.
+
     This cuts the lineage with files that survive the loss of an executor,
     and keeps an expensive stage from running again for each later use.
     ``discard`` removes the files when nothing will read them any more; what
@@ -54,7 +57,8 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     _settled[path] = spark
-    df.write.option("compression", "zstd").parquet(path)
+    rows = df.coalesce(max(1, shuffle_width(spark) // 8)) if light else df
+    rows.write.option("compression", "zstd").parquet(path)
     let_go(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_path = path

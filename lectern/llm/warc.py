@@ -66,7 +66,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST_SHARED) -> None:
     address = F.concat_ws(":", "sha256", "sha1", F.col("size").cast("string"))
     keyed = keyed.withColumn("address", F.when(F.col("size") >= least, address).otherwise(F.concat(address, F.lit("@"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))))
     groups = keyed.groupBy("address").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).withColumn("keys", F.ceil(F.col("n") / ROWS_PER_KEY).cast("int"))
-    groups = settle(groups)
+    groups = settle(groups, light=True)
     shared = groups.filter("n > 1").select("address", "holder", "keys")
     row = keyed.join(shared, "address", "left").withColumn("keys", F.coalesce("keys", F.lit(1)))
     row = row.withColumn("holder", F.coalesce("holder", "page_id"))
