@@ -94,10 +94,21 @@ def deduplicate(chunks: DataFrame, *order: str, scope: tuple[str, ...] = ("docum
     return hashed.withColumn("_k", F.row_number().over(place)).filter("_k = 1").drop("_k")
 
 
-def parents(sections: DataFrame) -> DataFrame:
-    """Parent records of the indexable sections."""
-    kept = sections.filter(F.coalesce("indexable", F.lit(True)))
-    return kept.select(
+def parents(sections: DataFrame, atoms_: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Parent records of the indexable sections, put together from their atoms.
+
+    A section without atoms (blank text) keeps its pages and has empty text.
+    ``documents`` (``document_id, freshness_warning``) gives the warning flag.
+    """
+    kept = sections.filter(F.coalesce("indexable", F.lit(True))).drop("text", "character_count", "source_block_ids", "contains_code", "citation")
+    atom = F.struct("block_order", "part", "text", "page_number", "likely_code_block", "source_block_id")
+    own = atoms_.groupBy("document_id", "section_id").agg(F.array_sort(F.collect_list(atom)).alias("a"))
+    rows = kept.join(own, ["document_id", "section_id"], "left").withColumn("a", F.coalesce("a", F.expr("filter(array(named_struct('block_order', 0, 'part', 0, 'text', '', 'page_number', 0, 'likely_code_block', false, 'source_block_id', '')), x -> false)")))
+    each = lambda name: F.transform("a", lambda x: x[name])
+    text = F.array_join(F.filter(F.transform("a", lambda x: T.strip(x["text"])), lambda t: t != ""), "\n\n")
+    rows = rows.withColumns({"text": text, "page_start": F.coalesce(F.array_min(each("page_number")), "page_start"), "page_end": F.coalesce(F.array_max(each("page_number")), "page_end")})
+    rows = with_freshness(rows, documents)
+    return rows.select(
         "schema_version",
         F.col("section_id").alias("parent_id"),
         "section_id",
@@ -111,14 +122,27 @@ def parents(sections: DataFrame) -> DataFrame:
         "text",
         F.length("text").cast("long").alias("character_count"),
         T.token_count(F.col("text")).alias("token_count_approx"),
-        "source_block_ids",
-        "contains_code",
-        "indexable",
-        "citation",
+        F.array_distinct(each("source_block_id")).alias("source_block_ids"),
+        F.exists("a", lambda x: F.coalesce(x["likely_code_block"], F.lit(False))).alias("contains_code"),
+        F.coalesce("indexable", F.lit(True)).alias("indexable"),
+        "freshness_warning",
+        "source",
+        cited("page_start", "page_end").alias("citation"),
         T.content_hash(F.col("text")).alias("content_hash"),
     )
 
 
+def cited(first: str, last: str) -> Column:
+    return F.struct(F.col("source.title").alias("document_title"), F.col("title").alias("section_title"), F.col(first).alias("page_start"), F.col(last).alias("page_end"))
+
+
+def with_freshness(rows: DataFrame, documents: DataFrame | None) -> DataFrame:
+    if documents is None:
+        return rows.withColumn("freshness_warning", F.lit(False))
+    flagged = documents.select("document_id", F.col("freshness_warning"))
+    return rows.join(flagged, "document_id", "left").withColumn("freshness_warning", F.coalesce("freshness_warning", F.lit(False)))
+
+
 def embedding_text(title: Column, heading_path: Column, year: Column, kind: Column, domain: Column, text: Column) -> Column:
     """Labelled header lines, an empty line, and the text."""
     labelled = lambda label, c: F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(label), c.cast("string")))
@@ -126,31 +150,46 @@ def embedding_text(title: Column, heading_path: Column, year: Column, kind: Colu
     return T.strip(F.concat_ws("\n", *head, F.when(year.isNotNull(), F.concat(F.lit("Publication year: "), year.cast("string"))), labelled("Document type: ", kind), labelled("Domain: ", domain), F.lit(""), text))
 
 
-def chunk_records(sections: DataFrame, blocks: DataFrame, most: int, overlap: int, least: int) -> DataFrame:
-    """Chunk records of the indexable sections, deduplicated within each document."""
+def chunk_records(sections: DataFrame, atoms_: DataFrame, most: int, overlap: int, least: int, documents: DataFrame | None = None, distinct: bool = True) -> DataFrame:
+    """Chunk records of the indexable sections, deduplicated within each document unless ``distinct`` is false.
+
+    ``documents`` (``document_id, title, publication_year, document_type,
+    domain, freshness_warning``) gives the embedding text's header; without it
+    the sections' source does, and type and domain are left out.
+    """
     kept = sections.filter(F.coalesce("indexable", F.lit(True)))
-    made = chunk(atoms(kept, blocks, most), most, overlap, "document_id", "section_id")
-    head = kept.select("document_id", "section_id", "title", "heading_path", "section_number")
+    made = chunk(atoms_, most, overlap, "document_id", "section_id")
+    head = kept.select("schema_version", "document_id", "section_id", "title", "heading_path", "section_number", "source")
+    if documents is not None:
+        head = head.join(documents.select("document_id", F.col("publication_year").alias("_year"), F.col("document_type").alias("_type"), F.col("domain").alias("_domain")), "document_id", "left")
+    else:
+        head = head.withColumns({"_year": F.col("source.publication_year"), "_type": F.lit(None).cast("string"), "_domain": F.lit(None).cast("string")})
     flags = F.array_compact(F.array(F.when(F.col("token_count") < least, "short-chunk"), F.when(F.col("contains_code"), "contains-code")))
-    rows = made.join(head, ["document_id", "section_id"]).select(
+    rows = with_freshness(made.join(head, ["document_id", "section_id"]), documents).select(
+        "schema_version",
         F.concat("section_id", F.format_string("/chunk-%03d", F.col("chunk_number"))).alias("chunk_id"),
         F.col("section_id").alias("parent_id"),
+        "section_id",
         "document_id",
         "section_number",
         "chunk_number",
         "title",
         "heading_path",
         "text",
+        embedding_text(F.col("source.title"), F.col("heading_path"), F.col("_year"), F.col("_type"), F.col("_domain"), F.col("text")).alias("embedding_text"),
         "page_start",
         "page_end",
         "source_block_ids",
         F.length("text").cast("long").alias("character_count"),
         F.col("token_count").alias("token_count_approx"),
         "contains_code",
+        "freshness_warning",
+        "source",
+        cited("page_start", "page_end").alias("citation"),
         flags.alias("quality_flags"),
         T.content_hash(F.col("text")).alias("content_hash"),
     )
-    return deduplicate(rows, "section_number", "chunk_number")
+    return deduplicate(rows, "section_number", "chunk_number") if distinct else rows
 
 
 def report(chunks: DataFrame, *keys: str) -> DataFrame:
@@ -164,3 +203,20 @@ def report(chunks: DataFrame, *keys: str) -> DataFrame:
         F.count_if(F.array_contains("quality_flags", "short-chunk")).alias("short_chunk_count"),
         F.count_if("contains_code").alias("chunks_with_code_count"),
     )
+
+
+def full_report(sections: DataFrame, blocks: DataFrame, made: DataFrame) -> DataFrame:
+    """Report of every document with sections, from its sections, blocks and chunks before deduplication.
+
+    Adds section, parent and duplicate counts and the distinct missing blocks
+    in order; a document without chunks has zeros.
+    """
+    indexable = F.coalesce("indexable", F.lit(True))
+    of_sections = sections.groupBy("document_id").agg(F.count("*").alias("source_section_count"), F.count_if(indexable).alias("indexable_section_count"), F.count_if(indexable).alias("parent_count"))
+    absent = blocks_of(sections.filter(indexable), blocks).filter("missing").groupBy("document_id").agg(F.array_sort(F.collect_set("source_block_id")).alias("missing_source_blocks"))
+    kept = deduplicate(made, "section_number", "chunk_number")
+    every = made.groupBy("document_id").agg(F.count("*").alias("_made"))
+    rows = of_sections.join(report(kept, "document_id"), "document_id", "left").join(every, "document_id", "left").join(absent, "document_id", "left")
+    rows = rows.fillna(0, [c for c in rows.columns if c.endswith(("_count", "_tokens", "_made"))])
+    rows = rows.withColumn("missing_source_blocks", F.coalesce("missing_source_blocks", F.array().cast("array<string>")))
+    return rows.withColumns({"duplicate_chunk_count": F.col("_made") - F.col("chunk_count"), "missing_source_block_count": F.size("missing_source_blocks").cast("long")}).drop("_made")

@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators.layout import half_point
 
-LEVELS = 9
+#: Levels that font headings have.
+FONT_LEVELS = 3
 ACCEPT = 0.64
 
 
 def body_font_size(units: DataFrame) -> DataFrame:
-    """``document_id, body_font_size``: the size of most characters outside code, first seen on ties; 10.0 without any."""
-    size = half_point(F.col("font_size"))
-    counted = units.filter(~F.col("likely_code_block")).withColumn("size", size).filter("size BETWEEN 6 AND 16")
-    weights = counted.groupBy("document_id", "size").agg(F.sum(F.length("text")).alias("n"), F.min("global_index").alias("first"))
-    best = weights.groupBy("document_id").agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("best"))
+    """``document_id, body_font_size``: the size of most characters outside code, first seen on ties; 10.0 without any.
+
+    Units with ``font_weights`` count each span by itself, others all their text in one size.
+    """
+    plain = units.filter(~F.col("likely_code_block"))
+    if "font_weights" in units.columns:
+        spans = plain.select("document_id", "global_index", F.posexplode("font_weights").alias("pos", "w"))
+        counted = spans.select("document_id", F.col("w.size").alias("size"), F.col("w.n").alias("n"), F.struct("global_index", "pos").alias("at"))
+    else:
+        counted = plain.select("document_id", half_point(F.col("font_size")).alias("size"), F.length("text").alias("n"), F.struct("global_index").alias("at"))
+    weights = counted.filter("size BETWEEN 6 AND 16").groupBy("document_id", "size").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+    order = W.partitionBy("document_id").orderBy(F.desc("n"), "at")
+    best = weights.withColumn("k", F.row_number().over(order)).filter("k = 1").select("document_id", F.col("size").alias("best"))
     return units.select("document_id").distinct().join(best, "document_id", "left").select("document_id", F.coalesce("best", F.lit(10.0)).alias("body_font_size"))
 
 
@@ -75,17 +84,26 @@ def manual_anchors(leveled: DataFrame, hints: DataFrame) -> DataFrame:
     return best.select("document_id", "hint_index", "a.*")
 
 
-def with_parents(events: DataFrame) -> DataFrame:
-    """``parent_event_id``: the latest earlier event at a lower level, if it is exactly one level up."""
+def deepest_level(events: DataFrame) -> int:
+    """The greatest level of any event, 1 without events."""
+    return events.agg(F.coalesce(F.max("level"), F.lit(1)).alias("n")).first().n
+
+
+def with_parents(events: DataFrame, deepest: int | None = None) -> DataFrame:
+    """``parent_event_id``: the latest earlier event at a lower level, if it is exactly one level up.
+
+    One window expression for each level up to ``deepest``, which is looked up
+    in the events where the caller does not know it.
+    """
     past = W.partitionBy("document_id").orderBy("anchor_index").rowsBetween(W.unboundedPreceding, -1)
     parent = F.lit(None).cast("string")
-    for k in range(1, LEVELS):
+    for k in range(1, deepest_level(events) if deepest is None else deepest):
         above = F.last(F.when(F.col("level") <= k, F.struct("level", "event_id")), ignorenulls=True).over(past)
         parent = F.when((F.col("level") == k + 1) & (above["level"] == k), above["event_id"]).otherwise(parent)
     return events.withColumn("parent_event_id", parent)
 
 
-def with_level_paths(events: DataFrame) -> DataFrame:
+def with_level_paths(events: DataFrame, deepest: int | None = None) -> DataFrame:
     """``heading_path`` where parents come from levels, by the same window as ``with_parents``.
 
     Nothing between an event and its parent is at the parent's level or above,
@@ -94,7 +112,8 @@ def with_level_paths(events: DataFrame) -> DataFrame:
     """
     past = W.partitionBy("document_id").orderBy("anchor_index").rowsBetween(W.unboundedPreceding, -1)
     latest = lambda k: F.last(F.when(F.col("level") <= k, F.struct("level", "title")), ignorenulls=True).over(past).alias(str(k))
-    rows = events.withColumn("_above", F.array(*(F.struct(F.coalesce(latest(k)["level"], F.lit(0)).alias("level"), latest(k)["title"].alias("title")) for k in range(1, LEVELS))))
+    above = [F.struct(F.coalesce(latest(k)["level"], F.lit(0)).alias("level"), latest(k)["title"].alias("title")) for k in range(1, deepest_level(events) if deepest is None else deepest)]
+    rows = events.withColumn("_above", F.array(*above) if above else F.array().cast("array<struct<level:int,title:string>>"))
     start = F.struct(F.array("title").alias("path"), F.lit(True).alias("on"))
     up = F.when(F.col("level") > 1, F.reverse(F.slice("_above", F.lit(1), F.col("level") - 1))).otherwise(F.slice("_above", 1, 0))
 
@@ -105,15 +124,16 @@ def with_level_paths(events: DataFrame) -> DataFrame:
     return rows.withColumn("heading_path", F.aggregate(up, start, climb, lambda acc: acc["path"])).drop("_above")
 
 
-def heading_paths(events: DataFrame, deepest: int = LEVELS) -> DataFrame:
+def heading_paths(events: DataFrame, deepest: int | None = None) -> DataFrame:
     """``document_id, event_id, heading_path``: titles from the top to the event.
 
-    A parent is one level up, so a chain has at most ``deepest`` steps; each
-    is a join on (document, event), and cycles end there as well.
+    A parent is one level up, so a chain has at most as many steps as there
+    are levels; each is a join on (document, event), and cycles end there as well.
+    A parent that is no event ends the path.
     """
     parents = events.select("document_id", F.col("event_id").alias("at"), F.col("title").alias("up_title"), F.col("parent_event_id").alias("up"))
     path = events.select("document_id", "event_id", F.array("title").alias("heading_path"), F.col("parent_event_id").alias("at"))
-    for _ in range(deepest - 1):
+    for _ in range((deepest_level(events) if deepest is None else deepest) - 1):
         path = path.join(parents, ["document_id", "at"], "left").select("document_id", "event_id", F.when(F.col("up_title").isNull(), F.col("heading_path")).otherwise(F.concat(F.array("up_title"), F.col("heading_path"))).alias("heading_path"), F.col("up").alias("at"))
     return path.select("document_id", "event_id", "heading_path")
 
@@ -134,8 +154,10 @@ def toc_anchors(toc: DataFrame, units: DataFrame) -> DataFrame:
     near = toc.withColumn("variants", T.title_variants(F.col("title"))).withColumn("offset", F.explode(F.array(*map(F.lit, (-1, 0, 1, 2)))))
     near = near.withColumn("unit_page", F.col("page_number") + F.col("offset"))
     pairs = near.join(marked, ["document_id", "unit_page"], "left")
-    score = F.when(F.col("offset") < 2, T.likely_similarity(F.col("variants"), F.col("text")))
-    pairs = pairs.withColumn("score", F.least(F.lit(1.0), score + F.when(F.col("heading"), 0.03).otherwise(0.0)) - F.abs("offset") * 0.04)
+    # pages two ahead serve the fallback only: their texts need no comparison, which a condition on the function would not spare
+    score = T.likely_similarity(F.col("variants"), F.col("text"))
+    scored = pairs.filter("offset < 2").withColumn("score", F.least(F.lit(1.0), score + F.when(F.col("heading"), 0.03).otherwise(0.0)) - F.abs("offset") * 0.04)
+    pairs = scored.unionByName(pairs.filter("offset = 2").withColumn("score", F.lit(None).cast("double")))
     per = pairs.groupBy("document_id", "toc_order", "toc_id", "parent_toc_id", "title", "level").agg(F.collect_list(F.when(F.col("global_index").isNotNull(), F.struct("offset", "global_index", "unit_page", "source_block_id", "score", "heading"))).alias("near"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,4 +192,53 @@ def toc_anchors(toc: DataFrame, units: DataFrame) -> DataFrame:
 def toc_parents(toc: DataFrame) -> DataFrame:
     """Outline rows (``document_id, toc_order, title, level, page_number``) with ids and parents by level."""
     events = toc.withColumn("event_id", F.format_string("toc-%04d", F.col("toc_order"))).withColumn("anchor_index", F.col("toc_order"))
+    # an outline's rows are few beside the text's
     return with_parents(events).withColumnRenamed("event_id", "toc_id").withColumnRenamed("parent_event_id", "parent_toc_id").drop("anchor_index")
+
+
+def toc_events(anchors: DataFrame) -> DataFrame:
+    """Heading events of the outline entries that were found; their parents are the outline's."""
+    found = anchors.filter("anchor_index IS NOT NULL")
+    return found.select(
+        "document_id",
+        F.col("toc_id").alias("event_id"),
+        F.col("parent_toc_id").alias("parent_event_id"),
+        T.collapse_whitespace(F.col("title")).alias("title"),
+        "level",
+        "anchor_index",
+        "anchor_page",
+        "anchor_block_id",
+        "anchor_score",
+        "detection_method",
+    )
+
+
+def toc_warnings(anchors: DataFrame, toc: DataFrame) -> DataFrame:
+    """``document_id, warnings``: one message for each outline entry that was not found, in outline order."""
+    lost = anchors.filter("anchor_index IS NULL").select("document_id", "toc_id").join(toc.select("document_id", "toc_id", "toc_order", "title", "page_number"), ["document_id", "toc_id"])
+    said = F.format_string("Could not resolve TOC entry '%s' on page %d.", F.col("title"), F.col("page_number"))
+    return lost.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("toc_order", said.alias("said")))), lambda x: x["said"]).alias("warnings"))
+
+
+MODES = ("auto", "toc", "font")
+
+
+def detection_modes(documents: DataFrame, toc: DataFrame) -> DataFrame:
+    """``document_id, detection_mode`` (toc or font) from ``section_detection``; any other value, null included, means toc where there is an outline."""
+    outlined = toc.select("document_id").distinct().withColumn("_toc", F.lit(True))
+    asked = F.col("section_detection")
+    mode = F.when(asked.isin("toc", "font"), asked).when(F.col("_toc"), "toc").otherwise("font")
+    return documents.select("document_id", "section_detection").join(outlined, "document_id", "left").select("document_id", mode.alias("detection_mode"))
+
+
+def detect(units: DataFrame, toc: DataFrame, modes: DataFrame, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Heading events of all documents with ``heading_path``, each by its mode, and the anchors of all outline entries.
+
+    ``toc`` has ``document_id, toc_order, toc_id, parent_toc_id, title, level, page_number``.
+    """
+    of = lambda rows, mode: rows.join(modes.filter(F.col("detection_mode") == mode).select("document_id"), "document_id", "left_semi")
+    anchors = toc_anchors(of(toc, "toc"), of(units, "toc"))
+    named = toc_events(anchors)
+    by_toc = named.join(heading_paths(named, deepest_level(toc)), ["document_id", "event_id"])
+    by_font = with_level_paths(with_parents(font_events(of(units, "font"), hints), FONT_LEVELS), FONT_LEVELS)
+    return by_font.unionByName(by_toc), anchors

@@ -105,6 +105,39 @@ def units(blocks: DataFrame, first_page: int = 1, last_page: int | None = None)
     return blocks.filter(inside).withColumns({"global_index": F.row_number().over(order) - 1, "likely_code_block": likely, "code_confidence": confidence})
 
 
+def units_of_pages(pages: DataFrame, first_page: Column | int = 1, last_page: Column | None = None) -> DataFrame:
+    """Units from nested pages (``blocks`` with ``lines`` of ``spans``): text and font statistics of each block that is no margin and not blank.
+
+    Spans count with their text stripped.  ``font_weights`` has characters by
+    half-point size in order of appearance.  The page bounds may be columns of
+    ``pages``; a null upper bound is none.
+    """
+    inside = F.col("page_number") >= first_page
+    if last_page is not None:
+        inside = inside & (last_page.isNull() | (F.col("page_number") <= last_page))
+    kept = flatten(pages.filter(inside))
+    size = lambda s: F.length(T.strip(s["text"]))
+    spans = F.filter(F.flatten(F.transform("lines", lambda x: x["spans"])), lambda s: size(s) > 0)
+    total = lambda own, when=None: F.aggregate(own, F.lit(0), lambda a, s: a + (size(s) if when is None else F.when(F.coalesce(s[when], F.lit(False)), size(s)).otherwise(0)))
+    rows = kept.withColumn("_s", F.coalesce(spans, F.expr("filter(array(named_struct('text', '', 'font_size', 0D, 'is_bold', false, 'is_monospaced', false)), x -> false)"))).withColumn("_n", total(F.col("_s")))
+    share = lambda when: F.when(F.col("_n") > 0, total(F.col("_s"), when) / F.col("_n")).otherwise(0.0)
+    order = W.partitionBy("document_id").orderBy("page_number", "block_index")
+    return rows.select(
+        "document_id",
+        (F.row_number().over(order) - 1).alias("global_index"),
+        "source_block_id",
+        "page_number",
+        "block_index",
+        "text",
+        F.size("lines").alias("line_count"),
+        F.coalesce("likely_code_block", F.lit(False)).alias("likely_code_block"),
+        F.coalesce(F.array_max(F.transform("_s", lambda s: s["font_size"])), F.lit(0.0)).alias("font_size"),
+        share("is_bold").alias("bold_ratio"),
+        share("is_monospaced").alias("monospaced_ratio"),
+        F.transform("_s", lambda s: F.struct(half_point(s["font_size"]).alias("size"), size(s).alias("n"))).alias("font_weights"),
+    )
+
+
 def font_statistics(spans: DataFrame, *keys: str) -> DataFrame:
     """Per block: characters, bold and monospaced shares, largest size, from spans ``text, font_size, is_bold, is_monospaced``."""
     size = F.length("text")
@@ -137,26 +170,96 @@ def repeated_margins(blocks: DataFrame) -> DataFrame:
     return seen.join(pages, "document_id").filter(F.col("pages") >= least).select("document_id", "signature", "pages")
 
 
-def remove_margins(blocks: DataFrame) -> DataFrame:
-    """Pages recounted without repeated margins: ``document_id, page_number, character_count, word_count, removed_count, has_native_text``."""
+def mark_margins(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``is_repeated_margin``."""
     marked = signatures(blocks)
     repeated = repeated_margins(blocks).select("document_id", "signature", F.lit(True).alias("hit"))
-    flagged = marked.join(repeated, ["document_id", "signature"], "left").withColumn("is_repeated_margin", F.coalesce("hit", F.lit(False)))
+    return marked.join(repeated, ["document_id", "signature"], "left").withColumn("is_repeated_margin", F.coalesce("hit", F.lit(False))).drop("hit", "signature")
+
+
+def remove_margins(blocks: DataFrame) -> DataFrame:
+    """Pages recounted without repeated margins: ``document_id, page_number, character_count, word_count, removed_count, has_native_text``."""
+    flagged = mark_margins(blocks)
     kept = F.when(~F.col("is_repeated_margin") & (T.strip(F.col("text")) != ""), F.struct("block_index", T.strip(F.col("text")).alias("t")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["t"]), "\n\n")
     pages = flagged.groupBy("document_id", "page_number").agg(body.alias("text"), F.count_if("is_repeated_margin").alias("removed_count"))
     return pages.select("document_id", "page_number", F.length("text").cast("long").alias("character_count"), T.word_count(F.col("text")).alias("word_count"), "removed_count", (F.col("text") != "").alias("has_native_text"))
 
 
-def page_report(pages: DataFrame) -> DataFrame:
-    """Extraction report per document from recounted pages."""
-    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("page_number")))), ",")
+def page_records(pages: DataFrame, blocks: DataFrame, images: DataFrame, tables: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """A record for each of ``pages`` (``document_id, page_number, width, height, rotation``).
+
+    ``blocks`` have ``block_index, text, is_repeated_margin,
+    likely_code_block``, ``images`` ``image_id, page_coverage_ratio``,
+    ``tables`` ``table_id``, all with document and page.  A page in ``errors``
+    (``extraction_error``) failed: it has no content, method ``failed`` and the
+    message.  Pages without images have coverage 0.
+    """
+    key = ["document_id", "page_number"]
+    clean = T.strip(F.col("text"))
+    kept = F.when(~F.col("is_repeated_margin") & (clean != ""), F.struct("block_index", clean.alias("t")))
+    gone = F.when(F.col("is_repeated_margin"), F.struct("block_index", clean.alias("t")))
+    texts = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda y: y["t"])
+    body = blocks.groupBy(*key).agg(F.array_join(texts(kept), "\n\n").alias("text"), texts(gone).alias("removed_margin_text"), F.bool_or("likely_code_block").alias("has_code"))
+    pictures = images.groupBy(*key).agg(F.array_sort(F.collect_list("image_id")).alias("image_ids"), F.max("page_coverage_ratio").alias("cover"))
+    grids = tables.groupBy(*key).agg(F.array_sort(F.collect_list("table_id")).alias("table_ids"))
+    rows = pages.join(body, key, "left").join(pictures, key, "left").join(grids, key, "left")
+    rows = rows.withColumn("extraction_error", F.lit(None).cast("string")) if errors is None else rows.join(errors.select(*key, "extraction_error"), key, "left")
+    well = F.col("extraction_error").isNull()
+    empty = F.array().cast("array<string>")
+    of = lambda c, default: F.when(well, F.coalesce(c, default)).otherwise(default)
+    rows = rows.withColumns({"text": of("text", F.lit("")), "image_ids": of("image_ids", empty), "table_ids": of("table_ids", empty), "removed_margin_text": of("removed_margin_text", empty), "cover": of("cover", F.lit(0.0)), "has_code": of("has_code", F.lit(False))})
+    return rows.select(
+        *key,
+        F.bround("width", 3).alias("width"),
+        F.bround("height", 3).alias("height"),
+        "rotation",
+        "text",
+        F.length("text").cast("long").alias("character_count"),
+        T.word_count(F.col("text")).alias("word_count"),
+        (F.col("text") != "").alias("has_native_text"),
+        F.when(well, "native").otherwise("failed").alias("extraction_method"),
+        "image_ids",
+        F.size("image_ids").alias("image_count"),
+        F.col("cover").alias("max_image_coverage_ratio"),
+        "table_ids",
+        F.size("table_ids").alias("table_count"),
+        "removed_margin_text",
+        F.size("removed_margin_text").alias("removed_count"),
+        "has_code",
+        "extraction_error",
+    )
+
+
+def extraction_report(pages: DataFrame, toc: DataFrame, images: DataFrame, tables: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One report for each document of ``page_records``, with its lists of pages and a warning for each failed page."""
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("page_number"))))
     n = F.col("character_count")
-    return pages.groupBy("document_id").agg(
+    failed = F.when(F.col("extraction_error").isNotNull(), F.struct("page_number", F.concat(F.lit("Page extraction failed on page "), F.col("page_number").cast("string"), F.lit(": "), F.col("extraction_error")).alias("said")))
+    rows = pages.groupBy("document_id").agg(
         F.count("*").alias("page_count"),
-        F.sum(n).alias("total_characters"),
-        F.sum("word_count").alias("total_words"),
-        F.sum("removed_count").alias("removed_margins"),
+        F.sum(n).alias("total_character_count"),
         listed(n == 0).alias("empty_pages"),
         listed((n > 0) & (n < 80)).alias("low_text_pages"),
+        listed((n < 50) & (F.col("max_image_coverage_ratio") >= 0.60)).alias("image_only_candidate_pages"),
+        listed(F.col("has_code")).alias("pages_with_code_blocks"),
+        listed(F.col("table_count") > 0).alias("pages_with_tables"),
+        listed(F.col("image_count") > 0).alias("pages_with_images"),
+        F.transform(F.array_sort(F.collect_list(failed)), lambda x: x["said"]).alias("warnings"),
+    )
+    for extra, name in ((toc, "toc_entry_count"), (images, "image_metadata_count"), (tables, "table_count"), (repeated, "repeated_margin_signature_count")):
+        rows = rows.join(extra.groupBy("document_id").agg(F.count("*").alias(name)), "document_id", "left").fillna(0, [name])
+    return rows.withColumns(
+        {
+            "empty_page_count": F.size("empty_pages").cast("long"),
+            "low_text_page_count": F.size("low_text_pages").cast("long"),
+            "schema_version": F.lit("1.0"),
+            "generated_at": utc_now(),
+            "ocr_used": F.lit(False),
+        }
     )
+
+
+def utc_now() -> Column:
+    """The query's time in UTC, as an ISO string."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

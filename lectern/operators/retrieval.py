@@ -7,6 +7,7 @@ reciprocal rank fusion with constant ``RRF_K`` over ranks from 0.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ from lectern.functions import text as T
 K1, B, RRF_K, EMPTY_LENGTH = 1.2, 0.75, 2, 256.0
 TOP_K, CANDIDATES, PER_PARENT, WINDOW = 8, 30, 2, 1
 PARENT_LIMIT, CONTEXT_BUDGET, LEAST_CUT = 1400, 6000, 50
-#: Queries and bytes of their vectors that go to all tasks at once.
-QUERY_BLOCK = 4096
-PLACES = 6
+#: Queries in a block, and blocks that one scan of the vectors serves.
+QUERY_BLOCK, SCAN_BLOCKS = 4096, 16
+#: Places of shown scores, and of those that ranks go by: sums of one set of terms in another order agree in these.
+PLACES, RANK_PLACES = 6, 9
 
+#: The stored fields of a chunk.
 PAYLOAD = ("chunk_id", "parent_id", "section_id", "document_id", "chunk_number", "title", "heading_path", "text", "page_start", "page_end", "source_block_ids", "contains_code", "freshness_warning", "source", "citation", "quality_flags", "content_hash", "token_count_approx", "character_count")
 
 
@@ -52,72 +55,99 @@ def terms(text: Column) -> Column:
 
 def average_length(texts: DataFrame, text: str = "text") -> DataFrame:
     """``avg_length``: mean number of words, each text counting 1 at least; ``EMPTY_LENGTH`` without texts."""
-    n = F.greatest(F.lit(1), F.size(terms(F.coalesce(F.col(text), F.lit("")))))
-    return texts.agg(F.coalesce(F.greatest(F.lit(1.0), F.avg(n)), F.lit(EMPTY_LENGTH)).alias("avg_length"))
+    return sizes(texts, text).select("avg_length")
 
 
-def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, term, tf, length``."""
+def postings(texts: DataFrame, key: str, text: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """``key, term, tf, length``; only terms in ``among`` (``term``), if given, which are picked before anything is grouped."""
     words = texts.select(key, terms(F.col(text)).alias("w"))
     rows = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    if among is not None:
+        rows = rows.join(among, "term", "left_semi")
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def weights(posted: DataFrame, n: int, avg: float, truncated: bool = False) -> DataFrame:
-    """``weight`` of each posting; ``truncated`` cuts it to an integer, as a strict index would."""
+def weight(avg: Column | float) -> Column:
+    """Weight of a posting ``tf, length``."""
     tf = F.col("tf")
-    w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg))
+
+
+def weights(posted: DataFrame, avg: Column | float, truncated: bool = False) -> DataFrame:
+    """``weight`` of each posting; ``truncated`` cuts it to an integer, as a strict index would."""
+    w = weight(avg)
     return posted.withColumn("weight", F.floor(w) if truncated else w)
 
 
-def bm25(posted: DataFrame, queries: DataFrame, key: str, n: int, avg: float, limit: int = CANDIDATES) -> DataFrame:
+def bm25(posted: DataFrame, queries: DataFrame, key: str, size: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """``query_id, key, score, rank`` (from 1) of the best ``limit`` texts of each query.
 
-    An equi-join on terms; document frequencies are counted for the queries'
-    terms only, and the top of each query is cut within partitions first.
+    ``size`` is one row ``n, avg_length``.  An equi-join on terms; document
+    frequencies are those of ``posted`` where it has ``df``, else they are
+    counted for the queries' terms only.  The top of each query is cut within
+    partitions first.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    hit = weights(posted, n, avg).join(asked.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    scored = hit.join(idf, "term").join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("idf") * F.col("weight")), PLACES).alias("score"))
+    hit = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    if "df" not in posted.columns:
+        hit = hit.join(hit.groupBy("term").agg(F.count("*").alias("df")), "term")
+    hit = hit.withColumn("_one", F.lit(1)).join(F.broadcast(size.select("n", "avg_length", F.lit(1).alias("_one"))), "_one")
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = hit.select(key, "term", (idf * weight(F.col("avg_length"))).alias("w"))
+    scored = weighted.join(asked, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
     return ranked(scored, key, limit)
 
 
+def sizes(texts: DataFrame, text: str = "text") -> DataFrame:
+    """One row ``n, avg_length`` of the texts."""
+    n = F.greatest(F.lit(1), F.size(terms(F.coalesce(F.col(text), F.lit("")))))
+    return texts.agg(F.count("*").alias("n"), F.coalesce(F.greatest(F.lit(1.0), F.avg(n)), F.lit(EMPTY_LENGTH)).alias("avg_length"))
+
+
 def ranked(scored: DataFrame, key: str, limit: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    """Ranks from 1 by score, then by key, of the first ``limit`` of each query; scores come out rounded."""
+    order = W.partitionBy("query_id").orderBy(F.desc("_fine"), key)
+    fine = scored.withColumn("_fine", F.round("score", RANK_PLACES))
+    return fine.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).withColumn("score", F.round("score", PLACES)).drop("_fine")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, key: str, limit: int = CANDIDATES) -> DataFrame:
-    """``query_id, key, score, rank`` by cosine of unit vectors ``embedding``.
+    """``query_id, key, score, rank`` by cosine of unit vectors ``embedding``; keys may be longs or strings.
 
-    Queries go to all tasks in blocks of at most ``QUERY_BLOCK``; each Arrow
-    batch is one matrix product and hands on its own best ``limit``.
+    Queries go to all tasks in blocks of at most ``QUERY_BLOCK``, several
+    blocks in one scan; each Arrow batch is one matrix product for a block and
+    hands on its own best ``limit`` of each query.
     """
-    asked = queries.select("query_id", "embedding")
-    found = None
-    rows = asked.toLocalIterator()
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-        ids = np.array([r.query_id for r in block])
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r.embedding for r in block], np.float64)))
+    kind = vectors.schema[key].dataType.simpleString()
+    schema = f"query_id long, {key} {kind}, score double"
+    found, rows = None, queries.select("query_id", "embedding").toLocalIterator()
+
+    def block() -> list:
+        return list(itertools.islice(rows, QUERY_BLOCK))
+
+    while own := [b for b in (block() for _ in range(SCAN_BLOCKS)) if b]:
+        sent = [vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in b], np.int64), np.array([r.embedding for r in b], np.float64))) for b in own]
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                own = batch.column(0).to_numpy()
-                score = np.round(q @ x.T, PLACES)
-                for i, s in zip(ids, score):
-                    top = np.lexsort((own, -s))[:limit]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), i)), pa.array(own[top]), pa.array(s[top])], ["query_id", key, "score"])
-
-        part = vectors.select(key, "embedding").mapInArrow(best, f"query_id long, {key} long, score double")
+                place = np.argsort(np.asarray(batch.column(0).to_pylist()), kind="stable").argsort()
+                for ids, q in (s.value for s in sent):
+                    score = q @ x.T
+                    # whatever could be among the best by rounded scores, then ties by key
+                    least = np.partition(score, max(score.shape[1] - limit, 0), axis=1)[:, max(score.shape[1] - limit, 0)] - 10.0**-RANK_PLACES
+                    i, j = np.nonzero(score >= least[:, None])
+                    order = np.lexsort((place[j], -np.round(score[i, j], RANK_PLACES), i))
+                    i, j = i[order], j[order]
+                    kept = np.arange(len(i)) - np.searchsorted(i, i) < limit
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[kept]]), batch.column(0).take(pa.array(j[kept])), pa.array(score[i[kept], j[kept]])], ["query_id", key, "score"])
+
+        part = vectors.select(key, "embedding").mapInArrow(best, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = vectors.sparkSession.createDataFrame([], f"query_id long, {key} long, score double")
+        found = vectors.sparkSession.createDataFrame([], schema)
     return ranked(found, key, limit)
 
 
@@ -126,7 +156,7 @@ def fuse(lists: list[DataFrame], key: str, limit: int | None = None, k: int = RR
     union = lists[0].select("query_id", key, "rank")
     for other in lists[1:]:
         union = union.unionByName(other.select("query_id", key, "rank"))
-    scored = union.groupBy("query_id", key).agg(F.round(F.sum(1.0 / (k + F.col("rank") - 1)), PLACES).alias("score"))
+    scored = union.groupBy("query_id", key).agg(F.sum(1.0 / (k + F.col("rank") - 1)).alias("score"))
     return ranked(scored, key, limit if limit is not None else 2**31 - 1)
 
 

@@ -43,8 +43,15 @@ def table_ids(spans: DataFrame, tables: DataFrame) -> DataFrame:
     return found.groupBy("document_id", "section_id").agg(F.array_distinct(F.transform(order, lambda x: x["table_id"])).alias("table_ids"))
 
 
-def build(units: DataFrame, events: DataFrame, least: int = LEAST_CHARACTERS) -> DataFrame:
-    """Section records from events (with ``parent_event_id``, and ``heading_path`` if known) and units."""
+def build(units: DataFrame, events: DataFrame, least: int = LEAST_CHARACTERS, documents: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """Section records from events (with ``parent_event_id``, and ``heading_path`` if known) and units.
+
+    ``documents`` (``document_id, title, author, publication_year,
+    source_filename, source_sha256``) gives source and citation; without it the
+    id stands for the title.  ``tables`` (``document_id, page_number,
+    table_index, table_id``) gives ``table_ids``, which are empty otherwise.
+    A parent event that is missing leaves ``parent_section_id`` null.
+    """
     named = numbered(events)
     ids = named.select("document_id", F.col("event_id").alias("parent_event_id"), F.col("section_id").alias("parent_section_id"))
     head = named.join(ids, ["document_id", "parent_event_id"], "left")
@@ -56,6 +63,15 @@ def build(units: DataFrame, events: DataFrame, least: int = LEAST_CHARACTERS) ->
     )
     text = T.strip(F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"))
     rows = head.join(body.withColumn("text", text), ["document_id", "event_id"])
+    none = lambda kind: F.lit(None).cast(kind)
+    if documents is None:
+        rows = rows.withColumns({"document_title": F.col("document_id"), "author": none("string"), "publication_year": none("int"), "source_filename": none("string"), "source_sha256": none("string")})
+    else:
+        rows = rows.join(documents.select("document_id", F.col("title").alias("document_title"), "author", "publication_year", "source_filename", "source_sha256"), "document_id", "left")
+    if tables is None:
+        rows = rows.withColumn("table_ids", F.array().cast("array<string>"))
+    else:
+        rows = rows.join(table_ids(rows, tables), ["document_id", "section_id"], "left").withColumn("table_ids", F.coalesce("table_ids", F.array().cast("array<string>")))
     short = F.length("text") < least
     flags = F.array_compact(F.array(F.when(F.endswith("detection_method", F.lit("fallback")), "fallback-heading-anchor"), F.when(short, "short-section"), F.when(F.col("anchor_score") < ACCEPT, "low-anchor-confidence")))
     return rows.select(
@@ -73,14 +89,24 @@ def build(units: DataFrame, events: DataFrame, least: int = LEAST_CHARACTERS) ->
         F.length("text").cast("long").alias("character_count"),
         T.word_count(F.col("text")).alias("word_count"),
         F.transform("parts", lambda p: p["source_block_id"]).alias("source_block_ids"),
+        "table_ids",
         "contains_code",
         (T.is_indexable_title(F.col("title")) & ~short).alias("indexable"),
         F.struct(F.col("detection_method").alias("method"), "anchor_page", "anchor_block_id", "anchor_score").alias("detection"),
-        F.struct(F.col("document_id").alias("document_title"), F.col("title").alias("section_title"), "page_start", "page_end").alias("citation"),
+        F.struct(F.col("document_title").alias("title"), "author", "publication_year", "source_filename", "source_sha256").alias("source"),
+        F.struct("document_title", F.col("title").alias("section_title"), "page_start", "page_end").alias("citation"),
         flags.alias("quality_flags"),
     )
 
 
+def full_report(sections: DataFrame, events: DataFrame, body: DataFrame, modes: DataFrame, warnings: DataFrame) -> DataFrame:
+    """``report`` with ``schema_version, detection_mode, body_font_size, heading_event_count, warnings``, for every document in ``modes``."""
+    counted = events.groupBy("document_id").agg(F.count("*").alias("heading_event_count"))
+    rows = modes.join(body, "document_id", "left").join(counted, "document_id", "left").join(report(sections), "document_id", "left").join(warnings, "document_id", "left")
+    zero = [c for c in rows.columns if c.endswith("_count")]
+    return rows.fillna(0, zero).withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>"))).withColumn("schema_version", F.lit(SCHEMA_VERSION))
+
+
 def report(sections: DataFrame) -> DataFrame:
     """Counts per document."""
     flagged = lambda f: F.count_if(F.array_contains("quality_flags", f))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -9,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, headings, layout, retrieval, sections, validate
+from lectern.operators import chunking, headings, index, layout, retrieval, sections, validate
 from lectern.plans import sql
-from lectern.plans.sql import LEAST, MOST, OVER
+from lectern.plans.sql import LEAST, LOST, MOST, OVER
 from lectern.sources import fixtures
 from lectern.sources.fixtures import table
-from lectern.sources.sinks import stage
+from lectern.sources.sinks import shared_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -34,10 +35,12 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 class Corpus:
-    """The stages of one query over the documents, each written once."""
+    """The stages of one query over the documents, each written once; ``lost`` takes blocks away before chunking."""
 
-    def __init__(self, spark: SparkSession, d: str):
+    def __init__(self, spark: SparkSession, d: str, lost: str | None = None):
+        self.documents = fixtures.records(_docs(spark, d))
         self.blocks = _blocks(spark, d)
+        self.lost = lost
 
     @cached_property
     def units(self) -> DataFrame:
@@ -45,15 +48,31 @@ class Corpus:
 
     @cached_property
     def events(self) -> DataFrame:
-        return stage(headings.with_level_paths(headings.with_parents(headings.font_events(self.units))))
+        found = headings.with_parents(headings.font_events(self.units), headings.FONT_LEVELS)
+        return stage(headings.with_level_paths(found, headings.FONT_LEVELS))
 
     @cached_property
     def sections(self) -> DataFrame:
-        return stage(sections.build(self.units, self.events))
+        return stage(sections.build(self.units, self.events, documents=self.documents))
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return self.units if self.lost is None else self.units.filter(f"NOT ({self.lost})")
+
+    @cached_property
+    def atoms(self) -> DataFrame:
+        return chunking.atoms(self.sections.filter("indexable"), self.found, MOST)
+
+    @cached_property
+    def parents(self) -> DataFrame:
+        return chunking.parents(self.sections, self.atoms, self.documents)
+
+    def made(self, distinct: bool = True) -> DataFrame:
+        return chunking.chunk_records(self.sections, self.atoms, MOST, OVER, LEAST, self.documents, distinct)
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunking.chunk_records(self.sections, self.units, MOST, OVER, LEAST)
+        return self.made()
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -163,9 +182,32 @@ def margin_removal(spark: SparkSession, d: str) -> DataFrame:
     return layout.remove_margins(fixtures.book_pages(_docs(spark, d)))
 
 
+def _book(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages of books without repeated margins, with images, tables and failures."""
+    blocks = fixtures.book_pages(_docs(spark, d))
+    marked = layout.mark_margins(blocks).withColumn("likely_code_block", layout.is_command(F.col("text")))
+    pages = blocks.select("document_id", "page_number", F.lit(612.0).alias("width"), "height", F.lit(0).alias("rotation")).distinct()
+    n = F.col("page_number")
+    images = pages.filter(n % 5 == 0).select("document_id", "page_number", F.explode(F.sequence(F.lit(1), F.when(n % 10 == 0, 2).otherwise(1))).alias("image_index"))
+    images = images.select("document_id", "page_number", F.concat("document_id", F.format_string("/page-%04d/image-%03d", n, F.col("image_index"))).alias("image_id"), ((n % 7) * 0.2 + F.col("image_index") * 0.1).alias("page_coverage_ratio"))
+    tables = pages.filter(n % 6 == 1).select("document_id", "page_number", F.concat("document_id", F.format_string("/page-%04d/table-001", n)).alias("table_id"))
+    errors = pages.filter(n % 97 == 3).select("document_id", "page_number", F.lit("cannot be read").alias("extraction_error"))
+    return layout.page_records(pages, marked, images, tables, errors), images, tables, layout.repeated_margins(blocks)
+
+
+@query
+def page_records(spark: SparkSession, d: str) -> DataFrame:
+    made = _book(spark, d)[0]
+    return made.select("document_id", "page_number", "width", "height", "rotation", "character_count", "word_count", "has_native_text", "extraction_method", "image_count", "max_image_coverage_ratio", "table_count", "extraction_error", "removed_count", "has_code", F.array_join("image_ids", ",").alias("image_ids"), F.array_join("table_ids", ",").alias("table_ids"), F.array_join("removed_margin_text", "|").alias("removed"), F.md5("text").alias("digest"))
+
+
 @query
 def page_report(spark: SparkSession, d: str) -> DataFrame:
-    return layout.page_report(layout.remove_margins(fixtures.book_pages(_docs(spark, d))))
+    pages, images, tables, repeated = _book(spark, d)
+    toc = pages.filter("page_number % 4 = 0").select("document_id", F.col("page_number").alias("toc_order"))
+    made = layout.extraction_report(stage(pages), toc, images, tables, repeated).drop("generated_at")
+    lists = [c for c, kind in made.dtypes if kind.startswith("array")]
+    return made.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|" if c == "warnings" else ",") for c in lists})
 
 
 @query
@@ -225,15 +267,24 @@ def section_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def section_records(spark: SparkSession, d: str) -> DataFrame:
-    keep = ("document_id", "section_id", "parent_section_id", "section_number", "title", "level", "page_start", "page_end", "character_count", "word_count", "contains_code", "indexable")
-    return _sections(spark, d).select(*keep, F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("source_block_ids", ",").alias("block_ids"), F.md5("text").alias("digest"))
+    c = Corpus(spark, d)
+    made = sections.build(c.units, c.events, documents=c.documents, tables=fixtures.page_tables(c.blocks))
+    keep = ("schema_version", "document_id", "section_id", "parent_section_id", "section_number", "title", "level", "page_start", "page_end", "character_count", "word_count", "contains_code", "indexable")
+    joined = [F.array_join(n, sep).alias(n) for n, sep in (("heading_path", " > "), ("source_block_ids", ","), ("table_ids", ","), ("quality_flags", ","))]
+    return made.select(*keep, *joined, F.md5("text").alias("digest"), "detection.method", "detection.anchor_page", "detection.anchor_block_id", "detection.anchor_score", *_source(), *_citation())
+
+
+def _source() -> list:
+    return [F.col(f"source.{n}").alias(f"source_{n.removeprefix('source_')}") for n in ("title", "author", "publication_year", "source_filename", "source_sha256")]
+
+
+def _citation() -> list:
+    return [F.concat_ws("|", "citation.document_title", "citation.section_title", F.col("citation.page_start").cast("string"), F.col("citation.page_end").cast("string")).alias("citation")]
 
 
 @query
 def section_table_ids(spark: SparkSession, d: str) -> DataFrame:
-    tables = _blocks(spark, d).select("document_id", "page_number").distinct()
-    tables = tables.withColumn("table_index", F.lit(1)).withColumn("table_id", F.concat("document_id", F.format_string("/page-%04d/table-001", F.col("page_number"))))
-    return sections.table_ids(_sections(spark, d), tables).select("document_id", "section_id", F.array_join("table_ids", ",").alias("table_ids"))
+    return sections.table_ids(_sections(spark, d), fixtures.page_tables(_blocks(spark, d))).select("document_id", "section_id", F.array_join("table_ids", ",").alias("table_ids"))
 
 
 @query
@@ -243,7 +294,40 @@ def indexable_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def section_report(spark: SparkSession, d: str) -> DataFrame:
-    return sections.report(_sections(spark, d))
+    c = Corpus(spark, d)
+    modes = c.documents.select("document_id", F.lit("font").alias("detection_mode"))
+    none = modes.select("document_id", F.array().cast("array<string>").alias("warnings")).limit(0)
+    made = sections.full_report(c.sections, c.events, headings.body_font_size(c.units), modes, none)
+    return made.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+def _outlines(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame, DataFrame]:
+    """Documents in turn in toc, font and auto mode; every fourth has no outline, and some entries point beyond the last page."""
+    c = Corpus(spark, d)
+    n = F.substring("document_id", 5, 6).cast("int")
+    toc = _toc(spark, d).filter(n % 4 != 3).withColumn("page_number", F.when(F.col("toc_order") % 9 == 8, F.col("page_number") + 1000).otherwise(F.col("page_number")))
+    asked = F.when(n % 3 == 0, "toc").when(n % 3 == 1, "font").otherwise("auto")
+    return c, toc, headings.detection_modes(c.documents.withColumn("section_detection", asked), toc)
+
+
+@query
+def detection_modes(spark: SparkSession, d: str) -> DataFrame:
+    return _outlines(spark, d)[2]
+
+
+@query
+def toc_sections(spark: SparkSession, d: str) -> DataFrame:
+    c, toc, modes = _outlines(spark, d)
+    events, _ = headings.detect(c.units, stage(toc), modes)
+    made = sections.build(c.units, stage(events), documents=c.documents)
+    return made.select("document_id", "section_id", "parent_section_id", "title", F.array_join("heading_path", " > ").alias("heading_path"), "page_start", "page_end", "indexable", "detection.method", F.array_join("quality_flags", ",").alias("quality_flags"), F.md5("text").alias("digest"))
+
+
+@query
+def toc_warnings(spark: SparkSession, d: str) -> DataFrame:
+    c, toc, modes = _outlines(spark, d)
+    toc = stage(toc.join(modes.filter("detection_mode = 'toc'").select("document_id"), "document_id", "left_semi"))
+    return headings.toc_warnings(headings.toc_anchors(toc, c.units), toc).withColumn("warnings", F.array_join("warnings", "|"))
 
 
 def _doc_atoms(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +343,7 @@ def split_oversized(spark: SparkSession, d: str) -> DataFrame:
 @query
 def section_atoms(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
-    return chunking.atoms(c.sections.filter("indexable"), c.units, MOST).select("document_id", "section_id", "source_block_id", "part", "page_number", "token_count")
+    return c.atoms.select("document_id", "section_id", "source_block_id", "part", "page_number", "token_count")
 
 
 @query
@@ -268,20 +352,31 @@ def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
     return made.select("document_id", "chunk_number", "token_count", "page_start", "page_end", T.content_hash(F.col("text")).alias("content_hash"))
 
 
+def _parent_fields(parents: DataFrame) -> DataFrame:
+    keep = ("schema_version", "document_id", "parent_id", "parent_section_id", "title", "level", "page_start", "page_end", "character_count", "token_count_approx", "contains_code", "indexable", "freshness_warning", "content_hash")
+    return parents.select(*keep, F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("source_block_ids", ",").alias("source_block_ids"), F.md5("text").alias("digest"), *_source(), *_citation())
+
+
 @query
 def parent_records(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.parents(_sections(spark, d)).select("document_id", "parent_id", "level", "page_start", "page_end", "character_count", "token_count_approx", "content_hash")
+    return _parent_fields(Corpus(spark, d).parents)
+
+
+@query
+def parent_records_lost(spark: SparkSession, d: str) -> DataFrame:
+    """Parents where code blocks, and all blocks of some sections, are missing."""
+    return _parent_fields(Corpus(spark, d, LOST).parents)
 
 
 @query
 def chunk_records(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_id", "parent_id", "document_id", "chunk_number", "page_start", "page_end", "character_count", "token_count_approx", "contains_code", "content_hash")
+    keep = ("schema_version", "chunk_id", "parent_id", "section_id", "document_id", "chunk_number", "title", "page_start", "page_end", "character_count", "token_count_approx", "contains_code", "freshness_warning", "content_hash")
+    return _chunks(spark, d).select(*keep, F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("source_block_ids", ",").alias("source_block_ids"), F.array_join("quality_flags", ",").alias("quality_flags"), F.md5("embedding_text").alias("embedding_digest"), *_source(), *_citation())
 
 
 @query
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
-    text = chunking.embedding_text(F.col("document_id"), F.col("heading_path"), F.lit(2024), F.lit(None).cast("string"), F.substring_index("document_id", "-", 1), F.col("text"))
-    return _chunks(spark, d).select("chunk_id", F.md5(text).alias("digest"))
+    return _chunks(spark, d).select("chunk_id", F.md5("embedding_text").alias("digest"))
 
 
 @query
@@ -291,8 +386,13 @@ def lexical_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def payload(spark: SparkSession, d: str) -> DataFrame:
-    stored = retrieval.payload(_chunks(spark, d))
-    return stored.select("chunk_id", F.from_json("payload", "parent_id string, token_count_approx long, contains_code boolean").alias("p")).select("chunk_id", "p.*")
+    """All stored fields, read back from their JSON."""
+    chunks = _chunks(spark, d)
+    stored = retrieval.payload(chunks)
+    fields = chunks.select(*retrieval.PAYLOAD).schema
+    p = stored.select(F.from_json("payload", fields).alias("p")).select("p.*")
+    keep = [c for c in retrieval.PAYLOAD if c not in ("heading_path", "text", "source_block_ids", "source", "citation", "quality_flags")]
+    return p.select(*keep, F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("source_block_ids", ",").alias("source_block_ids"), F.array_join("quality_flags", ",").alias("quality_flags"), F.md5("text").alias("digest"), *_source(), *_citation())
 
 
 @query
@@ -302,7 +402,9 @@ def chunk_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_report(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.report(_chunks(spark, d), "document_id")
+    """Full reports where code blocks, and all blocks of some sections, are missing."""
+    c = Corpus(spark, d, LOST)
+    return chunking.full_report(c.sections, c.found, stage(c.made(distinct=False))).withColumn("missing_source_blocks", F.array_join("missing_source_blocks", ","))
 
 
 @query
@@ -326,8 +428,8 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexical(texts: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    n, avg = texts.count(), retrieval.average_length(texts).first().avg_length
-    return retrieval.bm25(retrieval.postings(texts, key), asked, key, n, avg)
+    wanted = F.broadcast(asked.select(F.explode(retrieval.terms(F.col("text"))).alias("term")).distinct())
+    return retrieval.bm25(retrieval.postings(texts, key, among=wanted), asked, key, retrieval.sizes(texts))
 
 
 @query
@@ -449,11 +551,66 @@ def orphan_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def index_report(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
-    chunks, parents = stage(c.chunks), chunking.parents(c.sections)
+    chunks, parents = stage(c.chunks), c.parents
     texts = chunks.select(retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text")).alias("text"))
     return validate.index_report(parents, chunks, retrieval.average_length(texts), 64)
 
 
+def _index(spark: SparkSession, d: str) -> tuple[Corpus, index.Index]:
+    c = Corpus(spark, d)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.build(stage(c.chunks), path)
+    return c, index.Index(spark, path)
+
+
+@query
+def index_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d)[1].points.select("id", "chunk_id", "content_hash", F.posexplode("embedding").alias("k", "v"))
+    return rows.filter("round(v, 6) <> 0").select("id", "chunk_id", "content_hash", "k", F.round("v", 6).alias("v"))
+
+
+@query
+def index_postings(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)[1].postings.select("chunk_id", "term", "tf", "length", "df")
+
+
+@query
+def index_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)[1].statistics.select("n", F.bround("avg_length", 4).alias("avg_length"))
+
+
+@query
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)[1].search(_asked(spark, d)).select("query_id", "chunk_id", "parent_id", "score", "rank", "position")
+
+
+@query
+def search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Only documents of even number, in both branches."""
+    even = F.substring("document_id", 5, 6).cast("int") % 2 == 0
+    return _index(spark, d)[1].search(_asked(spark, d), document=even).select("query_id", "chunk_id", "parent_id", "score", "rank", "position")
+
+
+@query
+def search_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of overlapping chunks, merged, within a budget."""
+    c, found = _index(spark, d)
+    passages = found.answer(_asked(spark, d), c.parents, "neighbors", budget=900)[1]
+    return passages.select("query_id", "position", "context_type", "parent_id", "page_start", "page_end", F.array_join("chunk_ids", ",").alias("chunk_ids"), "truncated", "token_count_approx")
+
+
+@query
+def search_auto(spark: SparkSession, d: str) -> DataFrame:
+    c, found = _index(spark, d)
+    passages = found.answer(_asked(spark, d), c.parents, "auto", parent_limit=250)[1]
+    return passages.select("query_id", "position", "context_type", "parent_id", "page_start", "page_end", F.array_join("chunk_ids", ",").alias("chunk_ids"), "truncated", "token_count_approx")
+
+
+@query
+def context_none(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_context(spark, d, "none"))
+
+
 @query
 def content_range(spark: SparkSession, d: str) -> DataFrame:
     return layout.units(_blocks(spark, d), 2, 3).select("document_id", "source_block_id", "global_index")

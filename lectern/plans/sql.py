@@ -8,6 +8,8 @@ from lectern.operators import retrieval as R
 from lectern.sources.fixtures import COMMAND_LINES
 
 MOST, OVER, LEAST = 200, 40, 25
+#: Blocks that some queries take away: code, and the second page of every tenth document.
+LOST = "likely_code_block OR (page_number = 2 AND document_id LIKE '%1')"
 
 
 def quoted(text: str) -> str:
@@ -100,7 +102,7 @@ inside AS (SELECT n.document_id, n.event_id, n.section_id, u.global_index, u.pag
   JOIN units u ON u.document_id = n.document_id AND u.global_index >= n.anchor_index AND u.global_index < n.next_index),
 bodies AS (SELECT document_id, event_id, string_agg(text, chr(10) || chr(10) ORDER BY global_index) AS text, min(page_number) AS page_start, max(page_number) AS page_end,
   bool_or(likely_code_block) AS contains_code, count(*) AS n_blocks, string_agg(source_block_id, ',' ORDER BY global_index) AS block_ids FROM inside GROUP BY ALL),
-sections AS (SELECT n.document_id, n.section_id, p.section_id AS parent_section_id, n.section_number, n.title, heading_path, n.level, page_start, page_end, b.text, length(b.text) AS character_count,
+sections AS (SELECT n.document_id, n.section_id, p.section_id AS parent_section_id, n.section_number, n.title, heading_path, n.level, n.anchor_page, n.anchor_block_id, page_start, page_end, b.text, length(b.text) AS character_count,
   {words('b.text')} AS word_count, contains_code, n_blocks, block_ids, length(b.text) < 80 AS short,
   NOT regexp_matches({squeeze('n.title')}, {quoted(T.NON_INDEXABLE)}) AND length(b.text) >= 80 AS indexable
   FROM numbered n JOIN bodies b ON n.document_id = b.document_id AND n.event_id = b.event_id
@@ -121,16 +123,48 @@ ranges AS (
     JOIN LATERAL (SELECT q.i, q.lo FROM summed q WHERE {same('q', 'r')} AND q.i BETWEEN r.s AND r.e + 1 AND n.lo - q.lo <= least({over}, {most} - n.tok) ORDER BY q.i LIMIT 1) m ON TRUE) z)"""
 
 
-SECTION_ATOMS = f"""{SECTIONS},
-pieces AS (SELECT i.document_id, i.section_id, global_index, page_number, source_block_id, likely_code_block, generate_subscripts(p, 1) - 1 AS part, unnest(p) AS text
-  FROM (SELECT *, {slices('text', MOST)} AS p FROM inside) i JOIN sections s ON s.section_id = i.section_id AND s.document_id = i.document_id WHERE s.indexable),
+RECORDS = """recs AS (SELECT printf('doc-%06d', doc_id) AS document_id, 'Document ' || doc_id AS doc_title, lang AS author, (2000 + doc_id % 25)::INT AS publication_year,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'book' END AS document_type, source AS domain, printf('doc-%06d.txt', doc_id) AS source_filename, sha256(text) AS source_sha256, doc_id % 7 = 0 AS freshness_warning FROM documents)"""
+SOURCE = "doc_title AS source_title, author AS source_author, publication_year AS source_publication_year, source_filename, source_sha256"
+
+
+def section_atoms(lost: str = "FALSE") -> str:
+    """Atoms of the indexable sections from the blocks that are left, or of their text where none is."""
+    return f"""{SECTIONS}, {RECORDS},
+left_ AS (SELECT i.* FROM inside i JOIN sections s ON s.section_id = i.section_id AND s.document_id = i.document_id WHERE s.indexable AND NOT ({lost.replace('page_number', 'i.page_number').replace('document_id', 'i.document_id')})),
+own AS (SELECT document_id, section_id, global_index, page_number, source_block_id, likely_code_block, generate_subscripts(p, 1) - 1 AS part, unnest(p) AS text FROM (SELECT *, {slices('text', MOST)} AS p FROM left_)),
+bare AS (SELECT document_id, section_id, 0 AS global_index, page_start AS page_number, contains_code AS likely_code_block, generate_subscripts(p, 1) - 1 AS part, unnest(p) AS text
+  FROM (SELECT s.*, {slices('text', MOST)} AS p FROM sections s WHERE indexable AND NOT EXISTS (SELECT 1 FROM left_ l WHERE l.section_id = s.section_id))),
+pieces AS (SELECT document_id, section_id, global_index, page_number, source_block_id, likely_code_block, part, text FROM own
+  UNION ALL SELECT document_id, section_id, global_index, page_number, printf('section-fallback/%03d', part + 1), likely_code_block, part, text FROM bare),
 atoms AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY global_index, part) - 1 AS i, {tokens('text')} AS tok FROM pieces)"""
-CHUNKS = f"""{SECTION_ATOMS}, {ranges('section_id')},
+
+
+PARENTS = f"""joined AS (SELECT section_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text, min(page_number) AS page_start, max(page_number) AS page_end, bool_or(likely_code_block) AS contains_code,
+  string_agg(source_block_id, ',' ORDER BY i) FILTER (part = 0 OR source_block_id LIKE 'section-%') AS source_block_ids FROM atoms GROUP BY section_id),
+parents AS (SELECT '1.0' AS schema_version, s.document_id, s.section_id AS parent_id, s.parent_section_id, s.title, s.heading_path, s.level, j.page_start, j.page_end, j.text, length(j.text)::BIGINT AS character_count,
+  {tokens('j.text')}::BIGINT AS token_count_approx, j.contains_code, TRUE AS indexable, r.freshness_warning, {digest('j.text')} AS content_hash, j.source_block_ids, md5(j.text) AS digest, {SOURCE},
+  doc_title || '|' || s.title || '|' || j.page_start || '|' || j.page_end AS citation
+  FROM sections s JOIN joined j ON j.section_id = s.section_id JOIN recs r ON r.document_id = s.document_id WHERE s.indexable)"""
+
+
+def chunks(lost: str = "FALSE") -> str:
+    """``chunked`` has all chunks, ``chunks`` the first of each content in its document."""
+    return f"""{section_atoms(lost)}, {ranges('section_id')},
 made AS (SELECT r.section_id, r.k::INT AS chunk_number, string_agg(a.text, chr(10) || chr(10) ORDER BY a.i) AS text, sum(tok)::BIGINT AS token_count,
-  min(page_number) AS page_start, max(page_number) AS page_end, bool_or(likely_code_block) AS contains_code
+  min(page_number) AS page_start, max(page_number) AS page_end, bool_or(likely_code_block) AS contains_code,
+  string_agg(source_block_id, ',' ORDER BY a.i) FILTER (a.part = 0 OR a.i = r.s OR source_block_id LIKE 'section-%') AS source_block_ids
   FROM ranges r JOIN atoms a ON a.section_id = r.section_id AND a.i BETWEEN r.s AND r.e GROUP BY ALL),
-chunked AS (SELECT m.*, s.document_id, s.section_number, s.title, s.heading_path, section_id || printf('/chunk-%03d', chunk_number) AS chunk_id, {digest('m.text')} AS content_hash FROM made m JOIN sections s USING (section_id)),
+chunked AS (SELECT m.*, s.document_id, s.section_number, s.title, s.heading_path, section_id || printf('/chunk-%03d', chunk_number) AS chunk_id, {digest('m.text')} AS content_hash, freshness_warning, {SOURCE},
+  doc_title || '|' || s.title || '|' || m.page_start || '|' || m.page_end AS citation,
+  concat_ws(',', CASE WHEN token_count < {LEAST} THEN 'short-chunk' END, CASE WHEN m.contains_code THEN 'contains-code' END) AS quality_flags,
+  'Document: ' || doc_title || chr(10) || 'Section: ' || heading_path || chr(10) || 'Publication year: ' || publication_year || chr(10) || CASE WHEN document_type <> '' THEN 'Document type: ' || document_type || chr(10) ELSE '' END
+    || 'Domain: ' || domain || chr(10) || chr(10) || m.text AS embedding_text
+  FROM made m JOIN sections s USING (section_id) JOIN recs r ON r.document_id = s.document_id),
 chunks AS (SELECT * FROM chunked QUALIFY row_number() OVER (PARTITION BY document_id, content_hash ORDER BY section_number, chunk_number) = 1)"""
+
+
+CHUNKS = chunks()
 DOC_ATOMS = f"""{BLOCKS},
 pieces AS (SELECT document_id, pos, page_number, generate_subscripts(p, 1) - 1 AS part, unnest(p) AS text FROM (SELECT *, {slices('text', MOST)} AS p FROM blocks)),
 atoms AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pos, part) - 1 AS i, {tokens('text')} AS tok FROM pieces)"""
@@ -151,22 +185,53 @@ recounted AS (SELECT document_id, page_number, coalesce(string_agg(st, chr(10) |
 cleaned AS (SELECT document_id, page_number, length(text) AS character_count, {words('text')} AS word_count, removed_count, text <> '' AS has_native_text FROM recounted)"""
 
 
-def bm25(table: str, key: str, limit: int = R.CANDIDATES) -> str:
-    """``hits(query_id, key, score, rank)`` of all benchmark items over ``table``."""
+def bm25(table: str, key: str, limit: int = R.CANDIDATES, where: str = "") -> str:
+    """``hits(query_id, key, score, rank)`` of all benchmark items over ``table``; ``where`` picks keys after all statistics."""
     term = rf"regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+')"
     return f"""tokened AS (SELECT {key}, {term} AS w FROM {table}),
 size AS (SELECT count(*) AS n, greatest(1.0, avg(greatest(1, len(w)))) AS avg_length FROM tokened),
 posted AS (SELECT {key}, term, count(*) AS tf, any_value(length) AS length FROM (SELECT {key}, len(w) AS length, unnest(w) AS term FROM tokened) GROUP BY {key}, term),
 df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
 asked AS (SELECT DISTINCT item_id AS query_id, unnest({term}) AS term FROM benchmark),
-scored AS (SELECT query_id, {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({R.K1} + 1) / (tf + {R.K1} * (1 - {R.B} + {R.B} * length / avg_length))), {R.PLACES}) AS score
-  FROM asked JOIN posted USING (term) JOIN df USING (term), size GROUP BY query_id, {key}),
-hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM scored QUALIFY rank <= {limit})"""
+scored AS (SELECT query_id, {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({R.K1} + 1) / (tf + {R.K1} * (1 - {R.B} + {R.B} * length / avg_length))) AS fine
+  FROM asked JOIN posted USING (term) JOIN df USING (term), size{where} GROUP BY query_id, {key}),
+hits AS ({ranked('scored', key, limit)})"""
+
+
+def ranked(rows: str, key: str, limit: int) -> str:
+    """The first rows by ``fine`` in ``RANK_PLACES`` places, then by key, with the score as shown."""
+    return f"SELECT *, round(fine, {R.PLACES}) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(fine, {R.RANK_PLACES}) DESC, {key}) AS rank FROM {rows} QUALIFY rank <= {limit}"
 
 
 def dense(queries: str, where: str = "TRUE", limit: int = R.CANDIDATES) -> str:
-    return f"""near AS (SELECT q.query_id, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), {R.PLACES}) AS score FROM ({queries}) q, embeddings v WHERE {where}),
-dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= {limit})"""
+    return f"""near AS (SELECT q.query_id, v.vec_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS fine FROM ({queries}) q, embeddings v WHERE {where}),
+dense AS ({ranked('near', 'vec_id', limit)})"""
+
+
+def fused(lists: str, key: str, limit: int) -> str:
+    return f"""fusing AS (SELECT query_id, {key}, sum(1.0 / ({R.RRF_K} + rank - 1)) AS fine FROM ({lists}) GROUP BY ALL),
+fused AS ({ranked('fusing', key, limit)})"""
+
+
+def hashed(name: str, rows: str, key: str) -> str:
+    """``name(key, k, v)``: the unit vectors of hashed terms of ``rows(key, text)``, without zeros."""
+    return f"""{name}_t AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(regexp_extract_all({casefold('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM {rows}) GROUP BY ALL),
+{name}_k AS (SELECT {key}, k, sum(v) AS v FROM (SELECT {key}, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS k, CASE WHEN substr(md5(term), 5, 1) < '8' THEN 1.0 ELSE -1.0 END * sqrt(tf) AS v FROM {name}_t) GROUP BY ALL),
+{name} AS (SELECT {key}, k, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM {name}_k)"""
+
+
+def search(chosen: str = "TRUE") -> str:
+    """``found(query_id, chunk_id, parent_id, score, rank, position)`` of all benchmark items over the chunks for which ``chosen`` holds."""
+    named = "named AS (SELECT chunk_id, title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text AS text FROM chunks)"
+    return f"""{CHUNKS}, {named}, picked AS (SELECT chunk_id FROM chunks WHERE {chosen}),
+{bm25('named', 'chunk_id', where=' WHERE chunk_id IN (SELECT chunk_id FROM picked)')},
+dense_texts AS (SELECT chunk_id, embedding_text AS text FROM chunks JOIN picked USING (chunk_id)), questions AS (SELECT item_id AS query_id, text FROM benchmark),
+{hashed('cv', 'dense_texts', 'chunk_id')}, {hashed('qv', 'questions', 'query_id')},
+near AS (SELECT query_id, chunk_id, sum(qv.v * cv.v) AS fine FROM qv JOIN cv USING (k) GROUP BY ALL),
+dense AS ({ranked('near', 'chunk_id', R.CANDIDATES)}),
+{fused('SELECT query_id, chunk_id, rank FROM hits UNION ALL SELECT query_id, chunk_id, rank FROM dense', 'chunk_id', R.CANDIDATES)},
+capped AS (SELECT f.*, c.section_id AS parent_id, c.chunk_number FROM fused f JOIN chunks c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, c.section_id ORDER BY rank) <= {R.PER_PARENT}),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM capped QUALIFY position <= {R.TOP_K})"""
 
 
 PROBES = "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0"
@@ -178,19 +243,19 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS po
 FIRSTS = f"{HITS}, firsts AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY position) = 1)"
 
 
-def merged() -> str:
-    """Merges each first hit's neighbours by folding one turn after the other."""
+def merged(firsts: str | None = None, turns: str = "turns") -> str:
+    """Merges each first hit's neighbours by folding one chunk after the other."""
     norm = lambda a: f"list_transform({a}, lambda p: {squeeze(casefold('p'))})"
     parts = rf"list_filter(list_transform(regexp_split_to_array({strip('n.text')}, '\n\s*\n'), lambda p: {strip('p')}), lambda p: p <> '')"
     most = "least(len(f.acc), len(o.ps))"
     overlap = f"coalesce(list_max(list_filter(range(1, {most} + 1), lambda s: {norm('list_slice(f.acc, len(f.acc) - s + 1, len(f.acc))')} = {norm('list_slice(o.ps, 1, s)')})), 0)"
-    return f"""{FIRSTS},
-near AS (SELECT f.query_id, f.position, n.chunk_id, n.chunk_number, n.page_start, n.page_end, {parts} AS ps,
-  row_number() OVER (PARTITION BY f.query_id, f.position ORDER BY n.chunk_number) AS k FROM firsts f JOIN turns n ON n.parent_id = f.parent_id AND abs(n.chunk_number - f.chunk_number) <= {R.WINDOW}),
-folded AS (SELECT query_id, position, k, ps AS acc FROM near WHERE k = 1
-  UNION ALL SELECT f.query_id, f.position, o.k, list_concat(f.acc, list_slice(o.ps, {overlap} + 1, len(o.ps))) FROM folded f JOIN near o ON o.query_id = f.query_id AND o.position = f.position AND o.k = f.k + 1),
+    return f"""{firsts or FIRSTS},
+beside AS (SELECT f.query_id, f.position, n.chunk_id, n.chunk_number, n.page_start, n.page_end, {parts} AS ps,
+  row_number() OVER (PARTITION BY f.query_id, f.position ORDER BY n.chunk_number) AS k FROM firsts f JOIN {turns} n ON n.parent_id = f.parent_id AND abs(n.chunk_number - f.chunk_number) <= {R.WINDOW}),
+folded AS (SELECT query_id, position, k, ps AS acc FROM beside WHERE k = 1
+  UNION ALL SELECT f.query_id, f.position, o.k, list_concat(f.acc, list_slice(o.ps, {overlap} + 1, len(o.ps))) FROM folded f JOIN beside o ON o.query_id = f.query_id AND o.position = f.position AND o.k = f.k + 1),
 around AS (SELECT n.query_id, n.position, min(n.page_start) AS page_start, max(n.page_end) AS page_end, string_agg(n.chunk_id, ',' ORDER BY n.chunk_number) AS chunk_ids,
-  (SELECT array_to_string(acc, chr(10) || chr(10)) FROM folded f WHERE f.query_id = n.query_id AND f.position = n.position ORDER BY k DESC LIMIT 1) AS text FROM near n GROUP BY n.query_id, n.position)"""
+  (SELECT array_to_string(acc, chr(10) || chr(10)) FROM folded f WHERE f.query_id = n.query_id AND f.position = n.position ORDER BY k DESC LIMIT 1) AS text FROM beside n GROUP BY n.query_id, n.position)"""
 
 
 def auto(limit: int) -> str:
@@ -202,11 +267,43 @@ passages AS (SELECT f.query_id, f.position, CASE WHEN {up} THEN 'parent' ELSE 'n
   FROM firsts f JOIN convs c ON c.parent_id = f.parent_id JOIN around a ON a.query_id = f.query_id AND a.position = f.position)"""
 
 
+def found(mode: str, limit: int = R.PARENT_LIMIT, budget: int = R.CONTEXT_BUDGET) -> str:
+    """Passages around the hits of ``search``, within the budget."""
+    up = f"{tokens('c.text')} BETWEEN 1 AND {limit}" if mode == "auto" else "FALSE"
+    first = f"""{search()}, {PARENTS},
+turns AS (SELECT chunk_id, section_id AS parent_id, chunk_number, text, page_start, page_end FROM chunks),
+firsts AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY position) = 1)"""
+    return f"""{merged(first)},
+passages AS (SELECT f.query_id, f.position, CASE WHEN {up} THEN 'parent' ELSE 'neighbours' END AS context_type, f.parent_id,
+  CASE WHEN {up} THEN c.page_start ELSE a.page_start END AS page_start, CASE WHEN {up} THEN c.page_end ELSE a.page_end END AS page_end,
+  CASE WHEN {up} THEN '' ELSE a.chunk_ids END AS chunk_ids, CASE WHEN {up} THEN c.text ELSE a.text END AS text
+  FROM firsts f JOIN parents c ON c.parent_id = f.parent_id JOIN around a ON a.query_id = f.query_id AND a.position = f.position),
+counted AS (SELECT *, {tokens('text')} AS n, sum({tokens('text')}) OVER (PARTITION BY query_id ORDER BY position) AS upto FROM passages)
+SELECT query_id, position::INT AS position, context_type, parent_id, page_start, page_end, chunk_ids, upto > {budget} AS truncated, least(n, {budget} - (upto - n))::BIGINT AS token_count_approx
+FROM counted WHERE upto <= {budget} OR {budget} - (upto - n) >= {R.LEAST_CUT}"""
+
+
 def cut(c: str, n: str) -> str:
     """The first ``n`` tokens of ``c``: the least prefix with that many."""
     return rf"rtrim(regexp_extract({c}, '^(?:\s*(?:{T.TOKEN})){{' || {n} || '}}'))"
 
 
+RECORDED = f"""{BOOK},
+flagged AS (SELECT s.*, r.signature IS NOT NULL AS gone, {command('s.text')} AS cmd FROM signed s LEFT JOIN repeated r ON s.document_id = r.document_id AND s.signature = r.signature),
+joined AS (SELECT document_id, page_number, page_number % 97 = 3 AS failed, coalesce(string_agg(st, chr(10) || chr(10) ORDER BY block_index) FILTER (NOT gone AND st <> ''), '') AS t,
+  coalesce(string_agg(st, '|' ORDER BY block_index) FILTER (gone), '') AS rt, count(*) FILTER (gone) AS rn, bool_or(cmd) AS c FROM flagged GROUP BY document_id, page_number),
+whole AS (SELECT *, CASE WHEN failed THEN '' ELSE t END AS text, CASE WHEN failed THEN '' ELSE rt END AS removed, CASE WHEN failed THEN 0 ELSE rn END::INT AS removed_count, c AND NOT failed AS has_code,
+  CASE WHEN failed THEN 0 WHEN page_number % 10 = 0 THEN 2 WHEN page_number % 5 = 0 THEN 1 ELSE 0 END AS image_count, (page_number % 6 = 1 AND NOT failed)::INT AS table_count FROM joined),
+recorded AS (SELECT *, length(text)::BIGINT AS character_count, {words('text')}::BIGINT AS word_count, CASE WHEN image_count = 0 THEN 0 ELSE (page_number % 7) * 0.2::DOUBLE + image_count * 0.1::DOUBLE END AS max_image_coverage_ratio FROM whole)"""
+_LISTS = {
+    "empty_pages": "character_count = 0",
+    "low_text_pages": "character_count BETWEEN 1 AND 79",
+    "image_only_candidate_pages": "character_count < 50 AND max_image_coverage_ratio >= 0.6",
+    "pages_with_code_blocks": "has_code",
+    "pages_with_tables": "table_count > 0",
+    "pages_with_images": "image_count > 0",
+}
+_PARENT = "schema_version, document_id, parent_id, parent_section_id, title, level, page_start, page_end, character_count, token_count_approx, contains_code, indexable, freshness_warning, content_hash, heading_path, source_block_ids, digest, source_title, source_author, source_publication_year, source_filename, source_sha256, citation"
 _SHOWN = "query_id, position, context_type, parent_id, page_start, page_end, chunk_ids, sha256(text) AS text_sha256"
 _EXTRA = ", ".join(f"('commands', {k}, {quoted(t)}, {0.3 if k % 2 else 0.0}::DOUBLE)" for k, t in enumerate(COMMAND_LINES))
 _COMMANDS = f"""{BLOCKS}, every AS (SELECT document_id, pos, text, mono FROM blocks UNION ALL SELECT * FROM (VALUES {_EXTRA}) v(document_id, pos, text, mono))"""
@@ -234,30 +331,56 @@ per AS (SELECT document_id, (pos // 5)::INT AS block, sum(length(text)) AS total
 SELECT document_id, block, m / total >= 0.55 OR c / n >= 0.4 OR (m / total >= 0.3 AND c > 0) AS likely_code_block, round_even(greatest(m / total, c / n), 4) AS code_confidence FROM per""",
         "margin_signatures": f"{with_}{BOOK} SELECT document_id, signature, pages::BIGINT AS pages FROM repeated",
         "margin_removal": f"{with_}{PAGES} SELECT document_id, page_number, character_count::BIGINT AS character_count, word_count::BIGINT AS word_count, removed_count, has_native_text FROM cleaned",
-        "page_report": f"""{with_}{PAGES} SELECT document_id, count(*) AS page_count, sum(character_count)::BIGINT AS total_characters, sum(word_count)::BIGINT AS total_words, sum(removed_count)::BIGINT AS removed_margins,
-coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (character_count = 0), '') AS empty_pages,
-coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (character_count > 0 AND character_count < 80), '') AS low_text_pages FROM cleaned GROUP BY document_id""",
+        "page_report": f"""{with_}{RECORDED},
+listed AS (SELECT document_id, '1.0' AS schema_version, count(*) AS page_count, sum(character_count)::BIGINT AS total_character_count, FALSE AS ocr_used,
+  count(*) FILTER (character_count = 0) AS empty_page_count, count(*) FILTER (character_count BETWEEN 1 AND 79) AS low_text_page_count, {', '.join(f"coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER ({c}), '') AS {n}" for n, c in _LISTS.items())},
+  coalesce(string_agg('Page extraction failed on page ' || page_number || ': cannot be read', '|' ORDER BY page_number) FILTER (failed), '') AS warnings, count(*) FILTER (page_number % 4 = 0) AS toc_entry_count,
+  coalesce(sum(CASE WHEN page_number % 10 = 0 THEN 2 WHEN page_number % 5 = 0 THEN 1 END), 0)::BIGINT AS image_metadata_count, count(*) FILTER (page_number % 6 = 1) AS table_count FROM recorded GROUP BY document_id)
+SELECT l.*, (SELECT count(*) FROM repeated r WHERE r.document_id = l.document_id) AS repeated_margin_signature_count FROM listed l""",
+        "page_records": f"""{with_}{RECORDED} SELECT document_id, page_number, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 0 AS rotation, character_count, word_count, text <> '' AS has_native_text, CASE WHEN failed THEN 'failed' ELSE 'native' END AS extraction_method, image_count, max_image_coverage_ratio, table_count,
+  CASE WHEN failed THEN 'cannot be read' END AS extraction_error, removed_count, has_code, array_to_string(list_transform(range(1, image_count + 1), lambda i: document_id || printf('/page-%04d/image-%03d', page_number, i)), ',') AS image_ids,
+  CASE WHEN table_count > 0 THEN document_id || printf('/page-%04d/table-001', page_number) ELSE '' END AS table_ids, removed, md5(text) AS digest FROM recorded""",
         "body_font_size": f"{with_}{BODY} SELECT document_id, body_font_size FROM body",
         "heading_candidates": f"{with_}{HEADINGS} SELECT document_id, global_index::INT AS global_index, ct AS title FROM leveled WHERE is_heading",
         "heading_levels": f"{with_}{HEADINGS} SELECT document_id, global_index::INT AS global_index, level FROM leveled",
         "level_stack_parent": f"{with_}{HEADINGS} SELECT document_id, event_id, level, parent_event_id FROM tree",
         "heading_path": f"{with_}{PATHS} SELECT document_id, event_id, heading_path FROM path",
         "section_intervals": f"{with_}{SECTIONS} SELECT document_id, global_index::INT AS global_index, event_id FROM inside",
-        "section_records": f"{with_}{SECTIONS} SELECT document_id, section_id, parent_section_id, section_number::INT AS section_number, title, heading_path, level, page_start, page_end, character_count::BIGINT AS character_count, word_count::BIGINT AS word_count, contains_code, indexable, block_ids, md5(text) AS digest FROM sections",
+        "section_records": f"""{with_}{SECTIONS}, {RECORDS}, tabled AS (SELECT s.section_id, string_agg(t.document_id || printf('/page-%04d/table-001', t.page_number), ',' ORDER BY t.page_number) AS table_ids
+  FROM sections s JOIN (SELECT DISTINCT document_id, page_number FROM blocks) t ON t.document_id = s.document_id AND t.page_number BETWEEN s.page_start AND s.page_end GROUP BY ALL)
+SELECT '1.0' AS schema_version, s.document_id, s.section_id, parent_section_id, section_number::INT AS section_number, title, level, page_start, page_end, character_count::BIGINT AS character_count, word_count::BIGINT AS word_count, contains_code, indexable,
+  heading_path, block_ids AS source_block_ids, table_ids, CASE WHEN short THEN 'short-section' ELSE '' END AS quality_flags, md5(text) AS digest, 'font-heading' AS method, anchor_page, anchor_block_id, 1.0::DOUBLE AS anchor_score, {SOURCE},
+  doc_title || '|' || title || '|' || page_start || '|' || page_end AS citation
+FROM sections s JOIN recs USING (document_id) JOIN tabled t ON t.section_id = s.section_id""",
         "section_table_ids": f"""{with_}{SECTIONS}, tables AS (SELECT document_id, page_number, document_id || printf('/page-%04d/table-001', page_number) AS table_id FROM (SELECT DISTINCT document_id, page_number FROM blocks))
 SELECT s.document_id, s.section_id, string_agg(t.table_id, ',' ORDER BY t.page_number) AS table_ids FROM sections s JOIN tables t ON t.document_id = s.document_id AND t.page_number BETWEEN s.page_start AND s.page_end GROUP BY ALL""",
         "indexable_titles": f"{with_}{HEADINGS} SELECT document_id, event_id, NOT regexp_matches(title, {quoted(T.NON_INDEXABLE)}) AS indexable FROM events",
-        "section_report": f"{with_}{SECTIONS} SELECT document_id, count(*) AS section_count, count(*) FILTER (indexable) AS indexable_section_count, count(*) FILTER (NOT indexable) AS non_indexable_section_count, count(*) FILTER (contains_code) AS sections_with_code_count, count(*) FILTER (short) AS short_section_count, 0::BIGINT AS fallback_anchor_count, 0::BIGINT AS low_confidence_anchor_count FROM sections GROUP BY document_id",
+        "section_report": f"""{with_}{SECTIONS}, per AS (SELECT document_id, count(*) AS section_count, count(*) FILTER (indexable) AS indexable_section_count, count(*) FILTER (NOT indexable) AS non_indexable_section_count, count(*) FILTER (contains_code) AS sections_with_code_count, count(*) FILTER (short) AS short_section_count FROM sections GROUP BY document_id),
+counted AS (SELECT document_id, count(*) AS heading_event_count FROM events GROUP BY document_id)
+SELECT printf('doc-%06d', d.doc_id) AS document_id, '1.0' AS schema_version, 'font' AS detection_mode, body_font_size, coalesce(heading_event_count, 0) AS heading_event_count, coalesce(section_count, 0) AS section_count, coalesce(indexable_section_count, 0) AS indexable_section_count,
+  coalesce(non_indexable_section_count, 0) AS non_indexable_section_count, coalesce(sections_with_code_count, 0) AS sections_with_code_count, coalesce(short_section_count, 0) AS short_section_count, 0::BIGINT AS fallback_anchor_count, 0::BIGINT AS low_confidence_anchor_count, '' AS warnings
+FROM documents d LEFT JOIN body b ON b.document_id = printf('doc-%06d', d.doc_id) LEFT JOIN counted c ON c.document_id = printf('doc-%06d', d.doc_id) LEFT JOIN per p ON p.document_id = printf('doc-%06d', d.doc_id)""",
+        "detection_modes": f"""WITH {BLOCKS} SELECT printf('doc-%06d', doc_id) AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'toc' WHEN doc_id % 3 = 1 THEN 'font' WHEN doc_id % 4 <> 3 AND EXISTS (SELECT 1 FROM blocks b WHERE head AND b.document_id = printf('doc-%06d', doc_id)) THEN 'toc' ELSE 'font' END AS detection_mode FROM documents""",
         "split_oversized": f"{with_}{DOC_ATOMS} SELECT document_id, pos::INT AS pos, part::INT AS part, tok::BIGINT AS tokens, md5(text) AS digest FROM atoms",
-        "section_atoms": f"{with_}{SECTION_ATOMS} SELECT document_id, section_id, source_block_id, part::INT AS part, page_number, tok::BIGINT AS token_count FROM atoms",
+        "section_atoms": f"{with_}{section_atoms()} SELECT document_id, section_id, source_block_id, part::INT AS part, page_number, tok::BIGINT AS token_count FROM atoms",
         "overlap_chunks": f"{with_}{DOC_CHUNKS} SELECT document_id, chunk_number, token_count, page_start, page_end, {digest('text')} AS content_hash FROM chunks",
-        "parent_records": f"{with_}{SECTIONS} SELECT document_id, section_id AS parent_id, level, page_start, page_end, character_count::BIGINT AS character_count, {tokens('text')}::BIGINT AS token_count_approx, {digest('text')} AS content_hash FROM sections WHERE indexable",
-        "chunk_records": f"{with_}{CHUNKS} SELECT chunk_id, section_id AS parent_id, document_id, chunk_number, page_start, page_end, length(text)::BIGINT AS character_count, token_count AS token_count_approx, contains_code, content_hash FROM chunks",
-        "embedding_text": f"""{with_}{CHUNKS} SELECT chunk_id, md5('Document: ' || document_id || chr(10) || 'Section: ' || heading_path || chr(10) || 'Publication year: 2024' || chr(10) || 'Domain: ' || split_part(document_id, '-', 1) || chr(10) || chr(10) || text) AS digest FROM chunks""",
+        "parent_records": f"{with_}{section_atoms()}, {PARENTS} SELECT {_PARENT} FROM parents",
+        "parent_records_lost": f"{with_}{section_atoms(LOST)}, {PARENTS} SELECT {_PARENT} FROM parents",
+        "chunk_records": f"""{with_}{CHUNKS} SELECT '1.0' AS schema_version, chunk_id, section_id AS parent_id, section_id, document_id, chunk_number, title, page_start, page_end, length(text)::BIGINT AS character_count, token_count AS token_count_approx, contains_code, freshness_warning, content_hash,
+  heading_path, source_block_ids, quality_flags, md5(embedding_text) AS embedding_digest, source_title, source_author, source_publication_year, source_filename, source_sha256, citation FROM chunks""",
+        "embedding_text": f"{with_}{CHUNKS} SELECT chunk_id, md5(embedding_text) AS digest FROM chunks",
         "lexical_text": f"{with_}{CHUNKS} SELECT chunk_id, md5(title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text) AS digest FROM chunks",
-        "payload": f"{with_}{CHUNKS} SELECT chunk_id, section_id AS parent_id, token_count AS token_count_approx, contains_code FROM chunks",
+        "payload": f"""{with_}{CHUNKS} SELECT chunk_id, section_id AS parent_id, section_id, document_id, chunk_number, title, page_start, page_end, contains_code, freshness_warning, content_hash, token_count AS token_count_approx, length(text)::BIGINT AS character_count,
+  heading_path, source_block_ids, quality_flags, md5(text) AS digest, source_title, source_author, source_publication_year, source_filename, source_sha256, citation FROM chunks""",
         "chunk_dedup": f"SELECT doc_id, {digest('text')} AS content_hash FROM documents QUALIFY row_number() OVER (PARTITION BY source, content_hash ORDER BY doc_id) = 1",
-        "chunk_report": f"{with_}{CHUNKS} SELECT document_id, count(*) AS chunk_count, min(token_count) AS minimum_chunk_tokens, max(token_count) AS maximum_chunk_tokens, round_even(avg(token_count), 2) AS average_chunk_tokens, count(*) FILTER (token_count < {LEAST}) AS short_chunk_count, count(*) FILTER (contains_code) AS chunks_with_code_count FROM chunks GROUP BY document_id",
+        "chunk_report": f"""{with_}{chunks(LOST)}, gone AS (SELECT i.document_id, string_agg(DISTINCT source_block_id, ',' ORDER BY source_block_id) AS missing_source_blocks, count(DISTINCT source_block_id) AS missing_source_block_count
+  FROM inside i JOIN sections s ON s.section_id = i.section_id WHERE s.indexable AND ({LOST.replace('page_number', 'i.page_number').replace('document_id', 'i.document_id')}) GROUP BY i.document_id),
+per AS (SELECT document_id, count(*) AS source_section_count, count(*) FILTER (indexable) AS indexable_section_count, count(*) FILTER (indexable) AS parent_count FROM sections GROUP BY document_id),
+kept AS (SELECT document_id, count(*) AS chunk_count, min(token_count) AS minimum_chunk_tokens, max(token_count) AS maximum_chunk_tokens, round_even(avg(token_count), 2) AS average_chunk_tokens, count(*) FILTER (token_count < {LEAST}) AS short_chunk_count, count(*) FILTER (contains_code) AS chunks_with_code_count FROM chunks GROUP BY document_id),
+every AS (SELECT document_id, count(*) AS n FROM chunked GROUP BY document_id)
+SELECT p.*, coalesce(chunk_count, 0) AS chunk_count, coalesce(minimum_chunk_tokens, 0) AS minimum_chunk_tokens, coalesce(maximum_chunk_tokens, 0) AS maximum_chunk_tokens, coalesce(average_chunk_tokens, 0) AS average_chunk_tokens, coalesce(short_chunk_count, 0) AS short_chunk_count,
+  coalesce(chunks_with_code_count, 0) AS chunks_with_code_count, coalesce(n - chunk_count, 0) AS duplicate_chunk_count, coalesce(missing_source_block_count, 0) AS missing_source_block_count, coalesce(missing_source_blocks, '') AS missing_source_blocks
+FROM per p LEFT JOIN kept USING (document_id) LEFT JOIN every USING (document_id) LEFT JOIN gone USING (document_id)""",
         "missing_blocks": f"{with_}{SECTIONS} SELECT document_id, section_id, source_block_id FROM inside WHERE likely_code_block",
         "avg_doc_length": rf"SELECT round_even(greatest(1.0, avg(greatest(1, len(regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+'))))), 4) AS avg_length FROM documents",
         "bm25_postings": rf"""SELECT doc_id, term, count(*) AS tf, any_value(length)::INT AS length FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+') AS w FROM documents)) GROUP BY doc_id, term""",
@@ -265,12 +388,11 @@ SELECT s.document_id, s.section_id, string_agg(t.table_id, ',' ORDER BY t.page_n
         "dense_topk": f"WITH {dense(PROBES)} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
         "dense_topk_filtered": f"WITH {dense(PROBES, 'v.label = 3')} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
         "rrf_fusion": f"""WITH {bm25('documents', 'doc_id')}, {dense('SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id')},
-fused AS (SELECT query_id, doc_id, round(sum(1.0 / ({R.RRF_K} + rank - 1)), {R.PLACES}) AS score FROM (SELECT query_id, doc_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM dense) GROUP BY ALL)
-SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank FROM fused""",
+{fused('SELECT query_id, doc_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM dense', 'doc_id', 1 << 40)}
+SELECT query_id, doc_id, score, rank::INT AS rank FROM fused""",
         "hybrid_search": f"""WITH {bm25('documents', 'doc_id')}, {dense('SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id')},
-fused AS (SELECT query_id, doc_id, round(sum(1.0 / ({R.RRF_K} + rank - 1)), {R.PLACES}) AS score FROM (SELECT query_id, doc_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM dense) GROUP BY ALL),
-first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused QUALIFY rank <= {R.CANDIDATES}),
-capped AS (SELECT f.*, source AS parent_id FROM first f JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= {R.PER_PARENT})
+{fused('SELECT query_id, doc_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM dense', 'doc_id', R.CANDIDATES)},
+capped AS (SELECT f.*, source AS parent_id FROM fused f JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= {R.PER_PARENT})
 SELECT query_id, doc_id, parent_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS position FROM capped QUALIFY position <= {R.TOP_K}""",
         "diversify": f"WITH {HITS} SELECT query_id, chunk_id, parent_id, position::INT AS position FROM best",
         "context_child": f"WITH {HITS} SELECT query_id, position::INT AS position, 'child' AS context_type, parent_id, page_start, page_end, chunk_id AS chunk_ids, sha256(text) AS text_sha256 FROM best",
@@ -288,6 +410,19 @@ SELECT (SELECT count(DISTINCT document_id) FROM chunks) AS document_count, (SELE
 (SELECT round_even(avg(len(regexp_extract_all({casefold('t')}, '[\\p{{L}}\\p{{N}}_]+'))), 4) FROM named) AS average_lexical_length, 64 AS dense_dimension""",
         "stable_point_id": f"""WITH h AS (SELECT doc_id, sha1(unhex('{T.POINT_NAMESPACE}') || encode('{T.POINT_PREFIX}' || printf('doc-%06d', doc_id))) AS s FROM documents)
 SELECT doc_id, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', s[17:17]) - 1) % 4 + 1, 1) || s[18:20] || '-' || s[21:32] AS point_id FROM h""",
+        "index_points": f"""{with_}{CHUNKS}, texts AS (SELECT chunk_id, embedding_text AS text FROM chunks), {hashed('cv', 'texts', 'chunk_id')},
+ids AS (SELECT chunk_id, content_hash, sha1(unhex('{T.POINT_NAMESPACE}') || encode('{T.POINT_PREFIX}' || chunk_id)) AS h FROM chunks)
+SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS id, chunk_id, content_hash, k, round(v, 6) AS v FROM cv JOIN ids USING (chunk_id) WHERE round(v, 6) <> 0""",
+        "index_postings": rf"""{with_}{CHUNKS}, named AS (SELECT chunk_id, title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text AS text FROM chunks),
+worded AS (SELECT chunk_id, regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+') AS w FROM named),
+tallied AS (SELECT chunk_id, term, count(*) AS tf, any_value(n)::INT AS length FROM (SELECT chunk_id, len(w) AS n, unnest(w) AS term FROM worded) GROUP BY chunk_id, term)
+SELECT chunk_id, term, tf, length, count(*) OVER (PARTITION BY term) AS df FROM tallied""".replace("\\\\p", "\\p"),
+        "index_statistics": rf"""{with_}{CHUNKS}, named AS (SELECT chunk_id, title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text AS text FROM chunks)
+SELECT count(*) AS n, round_even(avg(len(regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+'))), 4) AS avg_length FROM named""".replace("\\\\p", "\\p"),
+        "search_hits": f"{with_}{search()} SELECT query_id, chunk_id, parent_id, score, rank::INT AS rank, position::INT AS position FROM best",
+        "search_filtered": f"{with_}{search('document_id[5:]::INT % 2 = 0')} SELECT query_id, chunk_id, parent_id, score, rank::INT AS rank, position::INT AS position FROM best",
+        "search_contexts": f"{with_}{found('neighbors', budget=900)}",
+        "search_auto": f"{with_}{found('auto', limit=250)}",
         "content_range": f"{with_}{BLOCKS} SELECT document_id, source_block_id, (row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1)::INT AS global_index FROM blocks WHERE page_number BETWEEN 2 AND 3",
         "font_statistics": f"{with_}{BLOCKS} SELECT document_id, page_number, sum(length(text))::BIGINT AS characters, round_even(sum(CASE WHEN bold_ratio > 0 THEN length(text) ELSE 0 END) / sum(length(text)), 4) AS bold_ratio, round_even(sum(CASE WHEN mono > 0 THEN length(text) ELSE 0 END) / sum(length(text)), 4) AS monospaced_ratio, max(font_size) AS maximum_font_size FROM blocks GROUP BY ALL",
         "manual_chapters": f"""{with_}{HEADINGS}, starts AS (SELECT * FROM leveled WHERE page_number = 1 AND NOT {_NUMERAL.format('ct')}

@@ -24,6 +24,28 @@ def document_id(c: str = "doc_id"):
     return F.format_string("doc-%06d", F.col(c))
 
 
+def records(documents: DataFrame) -> DataFrame:
+    """Document records: ``document_id, title, author, publication_year, document_type, domain, source_filename, source_sha256, freshness_warning``."""
+    n = F.col("doc_id")
+    return documents.select(
+        document_id().alias("document_id"),
+        F.concat(F.lit("Document "), n.cast("string")).alias("title"),
+        F.col("lang").alias("author"),
+        (2000 + n % 25).cast("int").alias("publication_year"),
+        F.when(n % 3 == 0, "").otherwise("book").alias("document_type"),
+        F.col("source").alias("domain"),
+        F.format_string("doc-%06d.txt", n).alias("source_filename"),
+        F.sha2("text", 256).alias("source_sha256"),
+        (n % 7 == 0).alias("freshness_warning"),
+    )
+
+
+def page_tables(blocks: DataFrame) -> DataFrame:
+    """One table on each page: ``document_id, page_number, table_index, table_id``."""
+    pages = blocks.select("document_id", "page_number").distinct()
+    return pages.withColumn("table_index", F.lit(1)).withColumn("table_id", F.concat("document_id", F.format_string("/page-%04d/table-001", F.col("page_number"))))
+
+
 def block_rows(documents: DataFrame) -> DataFrame:
     """``document_id, pos, page_number, block_index, source_block_id, text, font_size, bold_ratio, monospaced_ratio, line_count, y0, y1``."""
     block = lambda pos, text, size, head: F.struct(pos.alias("pos"), text.alias("text"), size.alias("font_size"), F.lit(head).alias("head"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,21 +47,47 @@ def upsert(rows: DataFrame, path: str, key: str = "id") -> DataFrame:
 
 
 def printable(hits: DataFrame, preview) -> DataFrame:
-    """One line for each hit."""
-    return hits.select(F.concat_ws("  ", F.col("position").cast("string"), F.round("score", 4).cast("string"), "chunk_id", preview).alias("line"))
+    """``query_id, position, line``: one line for each hit."""
+    return hits.select("query_id", "position", F.concat_ws("  ", F.col("position").cast("string"), F.round("score", 4).cast("string"), "chunk_id", preview).alias("line"))
 
 
-def stage(rows: DataFrame) -> DataFrame:
-    """Write a stage's result into the shared folder and read it back, so later stages do not compute it again.
+def passages(contexts: DataFrame) -> DataFrame:
+    """``query_id, position, line``: a head line and the text of each context."""
+    pages = F.concat(F.lit("pages "), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string"))
+    head = F.concat_ws("  ", F.concat(F.lit("["), "context_type", F.lit("]")), "parent_id", pages, F.when(F.col("truncated"), "truncated"))
+    return contexts.select("query_id", "position", F.concat_ws("\n", head, "text").alias("line"))
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is made
-    only where that setting is absent.
-    """
-    spark = rows.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local master without that setting gets a folder of its machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lectern.stage.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("lectern.stage.dir", folder)
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stage(rows: DataFrame) -> DataFrame:
+    """Write a stage's result into the shared folder and read it back, so later stages do not compute it again.
+
+    The files go when the driver ends.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+_staged: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_staged() -> None:
+    for spark, path in _staged:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
