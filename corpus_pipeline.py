@@ -48,7 +48,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: The stages cannot be expressed in SQL; tests compare each with its operator, not with independent code.
+#: The stages cannot be expressed in SQL; tests compare the rows of ``run`` with plain Python on a small fixture.
 ORACLE_SQL = None
 
 
