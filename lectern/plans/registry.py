@@ -13,7 +13,7 @@ from lectern.functions import text as T
 from lectern.operators import chunking, headings, index, layout, retrieval, sections, validate
 from lectern.plans import sql
 from lectern.plans.sql import LEAST, LOST, MOST, OVER
-from lectern.sources import fixtures
+from lectern.sources import fixtures, html
 from lectern.sources.fixtures import table
 from lectern.sources.sinks import shared_folder, stage
 
@@ -606,6 +606,17 @@ def search_auto(spark: SparkSession, d: str) -> DataFrame:
     return passages.select("query_id", "position", "context_type", "parent_id", "page_start", "page_end", F.array_join("chunk_ids", ",").alias("chunk_ids"), "truncated", "token_count_approx")
 
 
+@query
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return html.blocks(table(spark, d, "pages")).select("page_id", "block_index", "level", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def html_outline(spark: SparkSession, d: str) -> DataFrame:
+    rows = headings.toc_parents(html.outline(html.blocks(table(spark, d, "pages"))))
+    return rows.select("document_id", "toc_id", "parent_toc_id", "level", "title")
+
+
 @query
 def context_none(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_context(spark, d, "none"))

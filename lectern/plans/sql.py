@@ -5,6 +5,7 @@ from __future__ import annotations
 from lectern.functions import text as T
 from lectern.operators import layout
 from lectern.operators import retrieval as R
+from lectern.sources import html
 from lectern.sources.fixtures import COMMAND_LINES
 
 MOST, OVER, LEAST = 200, 40, 25
@@ -310,6 +311,18 @@ _COMMANDS = f"""{BLOCKS}, every AS (SELECT document_id, pos, text, mono FROM blo
 _H1 = "regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"
 
 
+def _html() -> str:
+    text = "CASE WHEN substr(piece, 2, 1) = chr(2) THEN substr(piece, 3) ELSE piece END"
+    bare = f"regexp_replace({text}, {quoted(html.TAG)}, '', 'g')"
+    for name, sign in html.REFERENCES:
+        bare = f"replace({bare}, {quoted(name)}, {quoted(sign)})"
+    body = f"regexp_replace(coalesce(html, ''), {quoted(html.LEFT_OUT)}, '', 'g')"
+    marked = f"regexp_replace(regexp_replace({body}, {quoted(html.HEADING)}, chr(1) || '\\1' || chr(2), 'g'), {quoted(html.CUT)}, chr(1), 'g')"
+    return f"""cuts AS (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS piece FROM (SELECT page_id, string_split({marked}, chr(1)) AS l FROM pages)),
+bare AS (SELECT page_id, i, CASE WHEN substr(piece, 2, 1) = chr(2) THEN substr(piece, 1, 1)::INT END AS level, {squeeze(bare)} AS text FROM cuts),
+shown AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block_index FROM bare WHERE text <> '')"""
+
+
 def queries() -> dict[str, str]:
     with_ = "WITH RECURSIVE "
     variants = lambda c: "list_sort(list_distinct(list_filter([" + ", ".join([squeeze(c), *(strip(f"regexp_replace({c}, {quoted(p)}, '')") for p in T.TITLE_PREFIXES)]) + "], lambda v: v <> '')))"
@@ -423,6 +436,10 @@ SELECT count(*) AS n, round_even(avg(len(regexp_extract_all({casefold('text')},
         "search_filtered": f"{with_}{search('document_id[5:]::INT % 2 = 0')} SELECT query_id, chunk_id, parent_id, score, rank::INT AS rank, position::INT AS position FROM best",
         "search_contexts": f"{with_}{found('neighbors', budget=900)}",
         "search_auto": f"{with_}{found('auto', limit=250)}",
+        "html_blocks": f"WITH {_html()} SELECT page_id, block_index::INT AS block_index, level, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM shown",
+        "html_outline": f"""WITH {_html()}, heads AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_index) AS o, level, text FROM shown WHERE level IS NOT NULL),
+ups AS (SELECT e.page_id, e.o, arg_max(p.level, p.o) AS lv, arg_max(p.o, p.o) AS up FROM heads e JOIN heads p ON p.page_id = e.page_id AND p.o < e.o AND p.level < e.level GROUP BY ALL)
+SELECT h.page_id::VARCHAR AS document_id, printf('toc-%04d', h.o) AS toc_id, CASE WHEN ups.lv = h.level - 1 THEN printf('toc-%04d', ups.up) END AS parent_toc_id, h.level, h.text AS title FROM heads h LEFT JOIN ups ON ups.page_id = h.page_id AND ups.o = h.o""",
         "content_range": f"{with_}{BLOCKS} SELECT document_id, source_block_id, (row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1)::INT AS global_index FROM blocks WHERE page_number BETWEEN 2 AND 3",
         "font_statistics": f"{with_}{BLOCKS} SELECT document_id, page_number, sum(length(text))::BIGINT AS characters, round_even(sum(CASE WHEN bold_ratio > 0 THEN length(text) ELSE 0 END) / sum(length(text)), 4) AS bold_ratio, round_even(sum(CASE WHEN mono > 0 THEN length(text) ELSE 0 END) / sum(length(text)), 4) AS monospaced_ratio, max(font_size) AS maximum_font_size FROM blocks GROUP BY ALL",
         "manual_chapters": f"""{with_}{HEADINGS}, starts AS (SELECT * FROM leveled WHERE page_number = 1 AND NOT {_NUMERAL.format('ct')}
