@@ -41,13 +41,18 @@ def atoms(sections: DataFrame, blocks: DataFrame, most: int) -> DataFrame:
 
 
 def pack(tokens: Column, most: int, overlap: int) -> Column:
-    """Inclusive index ranges ``s, e`` of greedy chunks over atoms of the given token counts.
+    """Inclusive index ranges ``s, e`` of greedy chunks over atoms of the given token counts."""
+    sums = F.aggregate(tokens, F.array(F.lit(0).cast("long")), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t)))
+    return pack_sums(sums, most, overlap)
+
+
+def pack_sums(sums: Column, most: int, overlap: int) -> Column:
+    """As ``pack``, for prefix sums of the token counts, 0 first.
 
     A chunk takes atoms while they fit; the next one starts at the earliest
     atom from which what is repeated stays within the overlap and leaves room
     for the atom that did not fit.  With prefix sums that is one comparison.
     """
-    sums = F.aggregate(tokens, F.array(F.lit(0).cast("long")), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t)))
 
     def fold(p: Column) -> Column:
         n = F.size(p) - 1
@@ -70,9 +75,12 @@ def pack(tokens: Column, most: int, overlap: int) -> Column:
 
 def chunk(atoms_: DataFrame, most: int, overlap: int, *keys: str) -> DataFrame:
     """``keys, chunk_number, text, token_count, page_start, page_end, contains_code, source_block_ids``; empty texts are left out after numbering."""
-    atom = F.struct("block_order", "part", "text", "token_count", "page_number", "likely_code_block", "source_block_id")
-    rows = atoms_.groupBy(*keys).agg(F.array_sort(F.collect_list(atom)).alias("atoms"))
-    ranges = rows.select(*keys, "atoms", F.posexplode(pack(F.transform("atoms", lambda a: a["token_count"]), most, overlap)).alias("k", "r"))
+    atom = F.struct("block_order", "part", "text", "token_count", "page_number", "likely_code_block", "source_block_id", "upto")
+    # prefix sums by a window: an array that grows atom by atom would be copied for each
+    order = W.partitionBy(*keys).orderBy("block_order", "part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = atoms_.withColumn("upto", F.sum("token_count").over(order)).groupBy(*keys).agg(F.array_sort(F.collect_list(atom)).alias("atoms"))
+    sums = F.concat(F.array(F.lit(0).cast("long")), F.transform("atoms", lambda a: a["upto"]))
+    ranges = rows.select(*keys, "atoms", F.posexplode(pack_sums(sums, most, overlap)).alias("k", "r"))
     own = ranges.select(*keys, (F.col("k") + 1).alias("chunk_number"), F.slice("atoms", F.col("r.s") + 1, F.col("r.e") - F.col("r.s") + 1).alias("a"))
     each = lambda name: F.transform("a", lambda x: x[name])
     return own.select(
