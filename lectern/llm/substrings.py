@@ -268,8 +268,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     width, parts = shuffle_width(docs.sparkSession), groups_for(docs, BLOCK_BYTES)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     texts = settle_bucketed(docs.select("doc_id", "text", block.alias("b")), "b", width)
-    known = settle(first_step(texts, parts))
-    rows = settle(second_step(texts, known, parts))
+    # every block sends a row to every place where hashes meet, so there are fewer of those
+    places = max(width, parts // 4)
+    known = settle(first_step(texts, places))
+    rows = settle(second_step(texts, known, places))
     early = earlier_windows(rows.filter("kind = 2"))
     rest = last_step(rows.filter("kind = 1").select("b", "doc_id", "text", "at"), early)
     return rows.filter("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(rest)
