@@ -85,6 +85,12 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import prefixes
+
+    return prefixes.trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import spelling
 
@@ -96,6 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lectern.llm import licenses, rules, warc
+    from lectern.llm import licenses, prefixes, rules, spelling, warc
 
-    return {"op2_rules": rules.SQL, "op3_licenses": licenses.sql(), "op10_warc": warc.SQL}
+    return {"op2_rules": rules.SQL, "op3_licenses": licenses.sql(), "op10_warc": warc.SQL, "op12_prefixes": prefixes.SQL, "op13_spelling": spelling.SQL}

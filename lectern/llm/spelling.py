@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import sql
 from lectern.llm.spark import discard, in_arrow, settle
 from lectern.llm.wavelet import Grid, code_points
 
@@ -210,3 +211,26 @@ def _roots(links: DataFrame) -> DataFrame:
         links.settled_path = moved.settled_path
         if over:
             return links
+
+
+# letters are ASCII or have two bytes in UTF-8
+_OCTETS = "flatten(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN ord(substr(s, i, 1)) < 128 THEN [ord(substr(s, i, 1))::BIGINT] ELSE [192 + ord(substr(s, i, 1))::BIGINT // 64, 128 + ord(substr(s, i, 1))::BIGINT % 64] END))"
+#: DuckDB SQL for ``variants`` of the table ``documents``.
+SQL = f"""{sql.CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '{RUN}')) r FROM documents),
+low AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w s, w, k FROM (SELECT doc_id, translate(r, '{CAPITALS}', '{SMALL}') w, count(*) k FROM runs GROUP BY 1, 2) WHERE length(w) > 5),
+hashed AS (SELECT w, k, {sql.crc32(_OCTETS)} h FROM low, crc),
+words AS (
+  SELECT word, sum(k)::BIGINT n FROM (SELECT k, CASE WHEN h % {DAMAGED} = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w) + 2)::INT) ELSE w END word FROM hashed)
+  WHERE length(word) > 5 GROUP BY word HAVING sum(k) > 4),
+less AS (SELECT DISTINCT word, i, left(word, i - 1) || substr(word, i + 1) rest FROM words, unnest(range(1, length(word) + 1)) u(i)),
+pairs AS (
+  SELECT a.word a, b.word b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest),
+best AS (
+  SELECT a word, count(*) n_near, arg_min(b, (-y.n, b)) form, max(y.n) form_n FROM pairs JOIN words y ON y.word = b GROUP BY a),
+told AS (SELECT w.word, w.n, coalesce(n_near, 0) n_near, CASE WHEN form_n >= 5 * w.n THEN form END form, CASE WHEN form_n >= 5 * w.n THEN form_n END form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+ways(word, root, k) AS (SELECT word, word, 0 FROM told UNION ALL SELECT v.word, t.form, k + 1 FROM ways v JOIN told t ON t.word = v.root WHERE t.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, k) root FROM ways GROUP BY word)
+SELECT t.word, t.form, e.root, t.n, t.n_near, t.form_n FROM told t JOIN ends e ON e.word = t.word"""
