@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.analysis import LANGUAGES
 from lectern.operators import index, retrieval, validate
 from lectern.plans import process
 from lectern.sources import sinks
@@ -31,7 +32,10 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--maximum-tokens", type=int)
     own.add_argument("--overlap-tokens", type=int)
     own = command("index", "index the chunks", "processed", "index")
-    own.add_argument("--recreate", action="store_true")
+    own.add_argument("--recreate", action="store_true", help="replace an index that exists")
+    own.add_argument("--update", action="store_true", help="bring an index that exists up to date; only what changed is indexed")
+    own.add_argument("--compact", action="store_true", help="fold an index's segments into one and remove older ones afterwards")
+    own.add_argument("--bm25-language", choices=sorted(LANGUAGES), default="english", help="of stop words and stems, kept in the index")
     own = command("search", "search the index", "processed", "index")
     own.add_argument("--query", action="append", required=True, help="may be given again")
     own.add_argument("--top-k", type=int, default=retrieval.TOP_K)
@@ -41,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--neighbor-window", type=int, default=retrieval.WINDOW)
     own.add_argument("--parent-token-limit", type=int, default=retrieval.PARENT_LIMIT)
     own.add_argument("--context-token-budget", type=int, default=retrieval.CONTEXT_BUDGET)
+    own.add_argument("--probes", type=int, help="vector cells to look at; all by default, which is exact")
+    own.add_argument("--json", action="store_true", help="print one JSON object for each query, with hits and contexts")
     own.add_argument("--output", help="also write hits and contexts here, as JSON lines")
     return top
 
@@ -68,24 +74,41 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[str]:
     parents, chunks = _corpus(spark, args)
     if args.command == "index":
         validate.validate(parents, chunks)
-        index.build(chunks, args.index, recreate=args.recreate)
-        r = validate.index_report(parents, chunks, spark.read.parquet(f"{args.index}/statistics"), index.DIMENSION)
-        sinks.json_document(index.described(r, chunks), f"{args.index}/manifest")
-        return [f"Chunks: {x.chunk_count}, parents: {x.parent_count}, documents: {x.document_count}" for x in r.collect()]
+        if args.update:
+            there = index.Index(spark, args.index).points.select("chunk_id")
+            index.update(chunks, args.index, removed=there.join(chunks.select("chunk_id"), "chunk_id", "left_anti"))
+        else:
+            index.build(chunks, args.index, recreate=args.recreate, language=args.bm25_language, facts={"parent_count": parents.count(), "processed_root": args.processed})
+        if args.compact:
+            index.compact(args.index, spark)
+            index.vacuum(args.index, spark)
+        told = index.described(spark, args.index)
+        return [f"Chunks: {told['chunk_count']}, parents: {told['parent_count']}, documents: {told['document_count']}"]
     found = index.Index(spark, args.index)
     queries = spark.createDataFrame(list(enumerate(args.query)), "query_id long, text string")
     only = F.col("document_id").isin(args.document) if args.document else None
     hits, passages = found.answer(
         queries, parents, args.context_mode, args.neighbor_window, args.parent_token_limit, args.context_token_budget,
-        document=only, candidates=args.candidate_limit, top=args.top_k, per_parent=args.maximum_per_parent,
+        document=only, candidates=args.candidate_limit, top=args.top_k, per_parent=args.maximum_per_parent, probes=args.probes,
     )
+    if args.output or args.json:
+        hits, passages = sinks.stage(hits), sinks.stage(passages)
     if args.output:
         sinks.json_lines(hits, f"{args.output}/hits")
         sinks.json_lines(passages, f"{args.output}/contexts")
+    if args.json:
+        return [r.answer for r in sinks.answers(queries, hits, passages, _retrieval(args, found)).orderBy("query_id").collect()]
     lines = sinks.printable(hits, T.preview(F.col("text"))).withColumn("kind", F.lit(0)).unionByName(sinks.passages(passages).withColumn("kind", F.lit(1)))
     return [r.line for r in lines.orderBy("query_id", "kind", "position").collect()]
 
 
+def _retrieval(args: argparse.Namespace, found: index.Index) -> dict:
+    """How an answer was found."""
+    told = index.described(found.spark, found.path)
+    kept = ("collection_name", "dense_model", "sparse_model", "bm25_language", "fusion")
+    return {k: told[k] for k in kept} | {"candidate_limit": args.candidate_limit, "top_k": args.top_k, "maximum_per_parent": args.maximum_per_parent, "context_mode": args.context_mode}
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     import sys
 

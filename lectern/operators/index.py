@@ -1,27 +1,70 @@
-"""The hybrid index: points, postings and statistics, built once; and search over it.
+"""The hybrid index: segments of points, vectors and postings under one manifest, and search over them.
 
-An index is a folder of three Parquet tables.  ``points`` has a row for each
-chunk (id, stored fields, unit vector), ``postings`` a row for each chunk and
-term with the term's document frequency, and ``statistics`` one row with the
-number of chunks and their average lexical length, which queries use.
+An index is a folder with ``manifest.json`` and Parquet tables.  What the
+manifest names is the index: a build or an update writes a new segment of each
+table first and then puts a new manifest in the old one's place by a rename, so a
+reader sees one version or the other, and a run that fails changes nothing.
+
+====================  =========================================================
+``points``            a row for each chunk: id, stored fields, words, range
+``vectors``           packed unit vectors by cell (``vectors``), in folders by cell
+``centroids``         the cells' centres
+``postings``          chunk, term, count and length, in folders by slot of the term, sorted by term and range
+``blocks``            for each term and range of chunks, what bounds the weights in it
+``terms``             changes of the terms' document frequencies
+``removed``           chunks of earlier segments that later ones replaced or took away
+====================  =========================================================
+
+A range is about ``RANGE`` chunks.  A search reads the blocks of its terms
+first.  The best posting of each block is a score that some chunk of its range
+reaches, and the bounds of all terms together are one that none exceeds; ranges
+that cannot reach the best ``candidates`` scores so far are left out before
+postings are read.  Their chunks may still turn up through other ranges' terms?
+No: a chunk is in one range, so it is read with all its terms or not at all, and
+ranks and scores are those of a search over everything.
+
+One writer at a time.  Empty chunks make an empty index, which finds nothing.
+Null titles and paths count as empty; chunks need distinct, non-null ids, which
+``validate`` checks.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import layout, retrieval
+from lectern.operators import vectors as V
+from lectern.sources import files
+from lectern.sources.sinks import stage
 
 DIMENSION = 64
+#: Chunks of a range; terms and ranges of one search that go into the scan as literals.
+RANGE, LITERALS = 64, 2000
+#: Documents that the manifest lists; of more it gives the number, and ``points`` has them.
+LISTED = 10_000
+MANIFEST = "manifest.json"
+#: Columns of the tables in folders of their own, which may be empty.
+COLUMNS = {
+    "postings": "term string, chunk_id string, document_id string, range int, tf long, length int, segment int, slot int",
+    "blocks": "term string, range int, most_tf long, least_length int, best_tf long, best_length int, n long, segment int, slot int",
+    "terms": "term string, change long, segment int, slot int",
+    "vectors": "keys array<string>, tags array<string>, matrix binary, segment int, cell int",
+}
 
 #: Turns rows ``key, text`` into ``key, embedding`` (unit vectors).
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 
+class StoreError(ValueError):
+    """An index that is not there, is there already, or does not fit what is put into it."""
+
+
 def hashed_terms(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
     """An encoder without a model: signed feature hashing of terms, square-root counts, unit length.
 
@@ -51,35 +94,289 @@ def lexical(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "document_id", retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text")).alias("text"))
 
 
-def points(chunks: DataFrame, encode: Encoder = hashed_terms) -> DataFrame:
-    """``id, chunk_id, document_id, embedding`` and the stored fields of each chunk, joined by chunk id."""
-    dense = chunks.select("chunk_id", retrieval.dense_text(F.col("embedding_text"), F.col("title"), F.col("heading_path"), F.col("text")).alias("text"))
-    stored = chunks.select(T.point_id(F.col("chunk_id")).alias("id"), *(c for c in retrieval.PAYLOAD if c in chunks.columns))
-    return stored.join(encode(dense, "chunk_id", "text"), "chunk_id")
+def points(chunks: DataFrame) -> DataFrame:
+    """``id, chunk_id, document_id``, the stored fields of each chunk and its number of ``words``."""
+    text = retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text"))
+    stored = [c for c in retrieval.PAYLOAD if c in chunks.columns]
+    return chunks.select(T.point_id(F.col("chunk_id")).alias("id"), *stored, F.greatest(F.lit(1), F.size(retrieval.terms(text))).cast("long").alias("words"))
+
+
+def _range(ranges: int) -> Column:
+    """The range of a chunk: neighbours of a document together, a long document in many."""
+    return F.pmod(F.xxhash64("document_id", F.floor(F.col("chunk_number") / RANGE)), F.lit(ranges)).cast("int")
+
+
+def _slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int")
+
+
+def _words(chunks: DataFrame, language: str | None) -> DataFrame:
+    text = retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text"))
+    return chunks.withColumn("w", retrieval.terms(text, language))
+
+
+def build(
+    chunks: DataFrame,
+    path: str,
+    encode: Encoder = hashed_terms,
+    recreate: bool = False,
+    language: str | None = None,
+    slots: int | None = None,
+    cells: int | None = None,
+    facts: dict | None = None,
+) -> None:
+    """Write the index of the chunks to ``path``; an existing one is an error unless it is recreated.
+
+    ``language`` chooses stop words and stems; ``slots`` (by default the number of
+    shuffle partitions) and ``cells`` how finely terms and vectors are clustered;
+    ``facts`` go into the manifest.
+    """
+    spark = chunks.sparkSession
+    old = _manifest(spark, path) if files.exists(spark, f"{path}/{MANIFEST}") else None
+    if old and not recreate:
+        raise StoreError(f"an index exists at {path}")
+    slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = {"version": 0, "segments": [], "chunk_count": 0, "word_total": 0, "language": language, "slots": slots, "cells": cells, "dimension": None, "facts": facts or {}}
+    manifest["next_segment"] = old["next_segment"] if old else 1
+    manifest["version"] = old["version"] if old else 0
+    _publish(spark, path, _with_segment(chunks, path, manifest, encode))
+
+
+def update(chunks: DataFrame, path: str, encode: Encoder = hashed_terms, removed: DataFrame | None = None) -> dict:
+    """Bring chunks into the index at ``path`` and take those named in ``removed`` (``chunk_id``) out; the new manifest.
+
+    A chunk whose id and ``content_hash`` are there already stays as it is.  One
+    whose id is there with other content replaces it.  Ids that are not there are
+    passed over in ``removed``; an id in both is replaced.  Costs grow with the
+    changes and one scan of the ids.
+    """
+    spark = chunks.sparkSession
+    own = Index(spark, path)
+    live = own.points.select("chunk_id", "segment", F.col("content_hash").alias("old_hash"))
+    known = live.select("chunk_id", F.col("old_hash").alias("content_hash"))
+    fresh = stage(chunks.join(known, ["chunk_id", "content_hash"], "left_anti"))
+    gone = fresh.select("chunk_id")
+    if removed is not None:
+        gone = gone.union(removed.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti"))
+    return _publish(spark, path, _with_segment(fresh, path, own.manifest, encode, stage(own.points.join(gone, "chunk_id", "left_semi"))))
+
+
+def compact(path: str, spark: SparkSession) -> dict:
+    """Fold all segments into one; searches find what they found."""
+    own = Index(spark, path)
+    empty = {"segments": [], "chunk_count": 0, "word_total": 0}
+    vectors = own.embeddings.select("chunk_id", "embedding")
+    return _publish(spark, path, _with_segment(own.points.drop("id", "words", "segment", "range"), path, own.manifest | empty | {"centroids": None}, from_table(vectors)))
+
+
+def vacuum(path: str, spark: SparkSession) -> list[str]:
+    """Remove the segments that the manifest no longer names, and name them; readers of older versions lose their files."""
+    kept = {f"segment={k}" for k in _manifest(spark, path)["segments"]}
+    stale = [f"{path}/{t}/{s}" for t in files.names(spark, path) if t != MANIFEST for s in files.names(spark, f"{path}/{t}") if s.startswith("segment=") and s not in kept]
+    for folder in stale:
+        files.remove(spark, folder)
+    return stale
+
+
+def _with_segment(chunks: DataFrame, path: str, manifest: dict, encode: Encoder, gone: DataFrame | None = None) -> dict:
+    """Write a segment of ``chunks`` that replaces the points ``gone``; the manifest with it."""
+    spark, k = chunks.sparkSession, manifest["next_segment"]
+    at = lambda table: f"{path}/{table}/segment={k}"
+    language, slots = manifest["language"], manifest["slots"]
+    ranges = max(1, -(-chunks.count() // RANGE))
+    points(chunks).withColumn("range", _range(ranges)).write.mode("overwrite").parquet(at("points"))
+    written = spark.read.parquet(at("points"))
+    sums = (F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+    added, taken = written.agg(*sums).first(), gone.agg(*sums).first() if gone is not None else None
+    n, total = (manifest[c] + a - (t or 0) for c, a, t in (("chunk_count", added.n, taken and taken.n), ("word_total", added.words, taken and taken.words)))
+    average = total / n if n else retrieval.EMPTY_LENGTH
 
+    rows = _words(written, language).select("chunk_id", "document_id", "range", F.greatest(F.lit(1), F.size("w")).alias("length"), F.explode("w").alias("term"))
+    posted = rows.groupBy("term", "chunk_id").agg(F.first("document_id").alias("document_id"), F.first("range").alias("range"), F.count("*").alias("tf"), F.first("length").alias("length"))
+    # sorted over all files, so a term of every chunk fills many; a file has few slots
+    dealt = posted.withColumn("slot", _slot(slots)).repartitionByRange("slot", "term", "range").sortWithinPartitions("slot", "term", "range")
+    dealt.write.mode("overwrite").partitionBy("slot").parquet(at("postings"))
+    again = _read(spark, "postings", [at("postings")])
+    best = F.max_by(F.struct("tf", "length"), retrieval.weight(F.lit(average))).alias("best")
+    blocks = again.groupBy("slot", "term", "range").agg(F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), best, F.count("*").alias("n"))
+    flat = blocks.select("slot", "term", "range", "most_tf", "least_length", F.col("best.tf").alias("best_tf"), F.col("best.length").alias("best_length"), "n")
+    flat.repartitionByRange("slot", "term", "range").sortWithinPartitions("slot", "term", "range").write.mode("overwrite").partitionBy("slot").parquet(at("blocks"))
+    changes = _read(spark, "blocks", [at("blocks")]).groupBy("slot", "term").agg(F.sum("n").alias("change"))
+    if gone is not None:
+        lost = _words(gone, language).select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg((-F.count("*")).alias("change"))
+        changes = changes.unionByName(lost.withColumn("slot", _slot(slots)))
+        gone.select("chunk_id", F.col("segment").alias("of"), "range").write.mode("overwrite").parquet(at("removed"))
+    changes.repartitionByRange("slot", "term").sortWithinPartitions("slot", "term").write.mode("overwrite").partitionBy("slot").parquet(at("terms"))
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, document_id, term, tf, length, df``; ``df`` counts the chunks of all documents."""
-    words = lexical(chunks).select("chunk_id", "document_id", retrieval.terms(F.col("text")).alias("w"))
-    rows = words.select("chunk_id", "document_id", F.greatest(F.lit(1), F.size("w")).alias("length"), F.explode("w").alias("term"))
-    posted = rows.groupBy("term", "chunk_id").agg(F.first("document_id").alias("document_id"), F.count("*").alias("tf"), F.first("length").alias("length"))
-    # a term of every chunk is joined like any other: the skew join splits it
-    return posted.join(posted.groupBy("term").agg(F.count("*").alias("df")), "term")
+    text = retrieval.dense_text(F.col("embedding_text") if "embedding_text" in chunks.columns else F.lit(""), F.col("title"), F.col("heading_path"), F.col("text"))
+    encoded = encode(chunks.select("chunk_id", text.alias("text")), "chunk_id", "text").filter("embedding IS NOT NULL")
+    keyed = encoded.join(written.select("chunk_id", "document_id"), "chunk_id").select(F.col("chunk_id").alias("key"), F.col("document_id").alias("tag"), "embedding")
+    first = keyed.select(F.size("embedding").alias("d")).first()
+    dimension = manifest["dimension"] or (first.d if first else None)
+    if first:
+        if dimension != first.d:
+            raise StoreError(f"vectors have {first.d} places, those of the index {dimension}")
+        if not manifest.get("centroids"):
+            centre, probes = V.centroids(keyed, added.n, dimension, manifest["cells"], retrieval.CANDIDATES)
+            spark.createDataFrame(list(enumerate(centre.tolist())), "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(at("centroids"))
+            manifest = manifest | {"centroids": k, "cells": len(centre), "probes": probes}
+        celled = V.with_cells(keyed, _centroids(spark, path, manifest)).repartitionByRange("cell", "key").sortWithinPartitions("cell")
+        V.pack(celled).write.mode("overwrite").partitionBy("cell").parquet(at("vectors"))
+    return manifest | {"segments": [*manifest["segments"], k], "next_segment": k + 1, "version": manifest["version"] + 1, "chunk_count": n, "word_total": int(total), "dimension": dimension}
 
 
-def build(chunks: DataFrame, path: str, encode: Encoder = hashed_terms, recreate: bool = False) -> None:
-    """Write the index of the chunks to ``path``; an existing one is an error unless it is recreated."""
-    mode = "overwrite" if recreate else "errorifexists"
-    points(chunks, encode).write.mode(mode).parquet(f"{path}/points")
-    postings(chunks).write.mode(mode).parquet(f"{path}/postings")
-    retrieval.sizes(lexical(chunks)).write.mode(mode).parquet(f"{path}/statistics")
+def _publish(spark: SparkSession, path: str, manifest: dict) -> dict:
+    """Put the manifest in its place, with the facts that a reader wants to know."""
+    own = Index(spark, path, manifest)
+    ids = own.points.select("document_id").distinct()
+    count = ids.count()
+    now = spark.range(1).select(layout.utc_now().alias("t")).first().t
+    told = {
+        "schema_version": "1.0", "created_at": now, "collection_name": path.rstrip("/").rpartition("/")[2], "dense_model": "hashed-terms", "dense_dimension": manifest["dimension"], "sparse_model": "bm25",
+        "bm25_language": manifest["language"], "bm25_average_document_length": round(own.average, 4), "distance": "cosine", "fusion": "rrf", "dense_vector_name": "dense", "sparse_vector_name": "bm25",
+        "document_ids": [r.document_id for r in ids.orderBy("document_id").collect()] if count <= LISTED else None, "document_count": count, "store_mode": "local", "store_path": path, "store_url": None,
+    }
+    files.write_text(spark, f"{path}/{MANIFEST}", json.dumps(told | manifest["facts"] | {"state": manifest}, indent=2, default=str))
+    return manifest
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    if not files.exists(spark, f"{path}/{MANIFEST}"):
+        raise StoreError(f"there is no index at {path}")
+    return json.loads(files.read_text(spark, f"{path}/{MANIFEST}"))["state"]
+
+
+def described(spark: SparkSession, path: str) -> dict:
+    """The manifest for readers: models, names, language, average length, documents, counts, place."""
+    told = json.loads(files.read_text(spark, f"{path}/{MANIFEST}"))
+    return {k: v for k, v in told.items() if k != "state"} | {"chunk_count": told["state"]["chunk_count"]}
+
+
+def _read(spark: SparkSession, name: str, paths: list[str]) -> DataFrame:
+    reader = spark.read.option("basePath", paths[0].rpartition("/")[0])
+    return (reader.schema(COLUMNS[name]) if name in COLUMNS else reader).parquet(*paths)
+
+
+def _centroids(spark: SparkSession, path: str, manifest: dict) -> np.ndarray:
+    rows = spark.read.parquet(f"{path}/centroids/segment={manifest['centroids']}").orderBy("cell").collect()
+    return np.array([r.centre for r in rows])
 
 
 class Index:
-    """An index that was written to a folder."""
+    """An index that was written to a folder, as it was when this was made."""
+
+    def __init__(self, spark: SparkSession, path: str, manifest: dict | None = None):
+        self.spark, self.path = spark, path
+        self.manifest = manifest or _manifest(spark, path)
+        self.language, self.n = self.manifest["language"], self.manifest["chunk_count"]
+        self.average = self.manifest["word_total"] / self.n if self.n else retrieval.EMPTY_LENGTH
+
+    def _table(self, name: str) -> DataFrame | None:
+        """All segments of a table; None where none has it."""
+        there = files.names(self.spark, f"{self.path}/{name}")
+        own = [f"{self.path}/{name}/segment={k}" for k in self.manifest["segments"] if f"segment={k}" in there]
+        return _read(self.spark, name, own) if own else None
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows ``segment, chunk_id`` without what later segments replaced."""
+        removed = self._table("removed")
+        if removed is None:
+            return rows
+        return rows.join(removed.select(F.col("of").alias("segment"), "chunk_id"), ["segment", "chunk_id"], "left_anti")
+
+    @property
+    def points(self) -> DataFrame:
+        return self._live(self._table("points"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """``chunk_id, document_id, term, tf, length, df`` of all chunks."""
+        return self._live(self._table("postings")).join(self._terms(), "term")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.points, self.postings, self.statistics = (spark.read.parquet(f"{path}/{t}") for t in ("points", "postings", "statistics"))
+    @property
+    def statistics(self) -> DataFrame:
+        return self.spark.range(1).select(F.lit(self.n).cast("long").alias("n"), F.lit(float(self.average)).alias("avg_length"))
+
+    @property
+    def embeddings(self) -> DataFrame:
+        """``segment, cell, chunk_id, document_id, embedding``."""
+        rows = V.unpack(self._table("vectors")).withColumnsRenamed({"key": "chunk_id", "tag": "document_id"})
+        return self._live(rows)
+
+    def _terms(self, among: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """``term, df`` of the terms that some chunk has."""
+        return among(self._table("terms")).groupBy("term").agg(F.sum("change").alias("df")).filter("df > 0")
+
+    def near(self, vectors: DataFrame, limit: int = retrieval.CANDIDATES, document: Column | None = None, probes: int | None = None) -> DataFrame:
+        """``query_id, chunk_id, score, rank`` of the nearest chunks of ``query_id, embedding``.
+
+        Exact unless ``probes`` cells are to do; ``manifest["probes"]`` suggests how many.
+        """
+        blocks = self._table("vectors")
+        if blocks is None:
+            return retrieval.ranked(self.spark.createDataFrame([], "query_id long, chunk_id string, score double"), "chunk_id", limit)
+        small, cells = V.few(vectors), self.manifest["cells"]
+        if probes is None or probes >= cells:
+            asked = V.everywhere(vectors, cells)
+        else:
+            asked = V.aimed(vectors, _centroids(self.spark, self.path, self.manifest), probes)
+            if small:
+                # the cells go into the scan, which then opens their folders only
+                blocks = blocks.filter(F.col("cell").isin([r.cell for r in asked.select("cell").distinct().collect()]))
+        if document is not None or "removed" in files.names(self.spark, self.path):
+            rows = self._live(V.unpack(blocks).withColumnsRenamed({"key": "chunk_id", "tag": "document_id"}))
+            rows = rows if document is None else rows.filter(document)
+            blocks = V.pack(rows.withColumnsRenamed({"chunk_id": "key", "document_id": "tag"}))
+        return retrieval.ranked(V.nearest(blocks, asked, limit, "chunk_id", small), "chunk_id", limit)
+
+    def spoken(self, queries: DataFrame, limit: int = retrieval.CANDIDATES, document: Column | None = None, pruned: bool = True) -> DataFrame:
+        """``query_id, chunk_id, score, rank`` of the chunks that fit ``query_id, text`` best by BM25.
+
+        ``pruned`` leaves ranges out that cannot reach the top; the rows are the
+        same.  With a condition on documents nothing is left out beforehand.
+        """
+        hits = self.candidates(queries, limit, pruned and document is None)
+        hits = hits if document is None else hits.filter(document)
+        scored = self._live(hits).groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * retrieval.weight(F.lit(self.average))).alias("score"))
+        return retrieval.ranked(scored, "chunk_id", limit)
+
+    def candidates(self, queries: DataFrame, limit: int = retrieval.CANDIDATES, pruned: bool = True) -> DataFrame:
+        """Postings of the queries' terms (``query_id``, ``idf``), of the ranges that may hold one of the best ``limit``."""
+        postings = self._table("postings")
+        if postings is None or not self.n:
+            return self.spark.createDataFrame([], "query_id long, segment int, chunk_id string, document_id string, term string, tf long, length int, idf double")
+        slots = self.manifest["slots"]
+        asked = queries.select("query_id", F.explode(F.array_distinct(retrieval.terms(F.col("text"), self.language))).alias("term")).withColumn("slot", _slot(slots))
+        wanted = asked.select("term", "slot").distinct().limit(LITERALS + 1).collect()
+        few = len(wanted) <= LITERALS
+        literal = F.col("slot").isin(sorted({r.slot for r in wanted})) & F.col("term").isin(sorted({r.term for r in wanted}))
+        among = lambda df: df.filter(literal) if few else df.join(asked.select("slot", "term").distinct(), ["slot", "term"], "left_semi")
+        weighed = asked.join(self._terms(among), "term").select("query_id", "term", retrieval.idf(F.lit(self.n), F.col("df")).alias("idf"))
+        rows = among(postings)
+        if not pruned:
+            return rows.join(weighed, "term")
+        kept = self._promising(among, weighed, limit)
+        ranges = kept.select("range").distinct().limit(LITERALS + 1).collect() if few else []
+        if few and len(ranges) <= LITERALS:
+            rows = rows.filter(F.col("range").isin(sorted(r.range for r in ranges)))
+        return rows.join(weighed, "term").join(kept, ["query_id", "segment", "range"])
+
+    def _promising(self, among: Callable[[DataFrame], DataFrame], weighed: DataFrame, limit: int) -> DataFrame:
+        """``query_id, segment, range`` of the ranges whose bound reaches the ``limit``-th best score that is sure to exist."""
+        avg = F.lit(self.average)
+        most = retrieval.weight(avg, F.col("most_tf"), F.col("least_length"))
+        sure = retrieval.weight(avg, F.col("best_tf"), F.col("best_length"))
+        bounds = among(self._table("blocks")).join(weighed, "term").groupBy("query_id", "segment", "range").agg(F.sum(F.col("idf") * most).alias("most"), F.max(F.col("idf") * sure).alias("sure"))
+        removed = self._table("removed")
+        if removed is not None:
+            # the best posting of such a range may be gone
+            touched = removed.select(F.col("of").alias("segment"), "range", F.lit(True).alias("touched")).distinct()
+            bounds = bounds.join(touched, ["segment", "range"], "left").withColumn("sure", F.when(F.col("touched").isNull(), F.col("sure"))).drop("touched")
+        order = F.row_number().over(retrieval.W.partitionBy("query_id").orderBy(F.desc_nulls_last("sure")))
+        reached = bounds.withColumn("k", order).filter((F.col("k") == limit) & F.col("sure").isNotNull()).select("query_id", F.col("sure").alias("reached"))
+        # sums in another order may differ behind the places that ranks go by
+        enough = F.col("reached").isNull() | (F.col("most") >= F.col("reached") - 10.0 ** -(retrieval.RANK_PLACES - 1))
+        return bounds.join(reached, "query_id", "left").filter(enough).select("query_id", "segment", "range")
 
     def search(
         self,
@@ -89,6 +386,7 @@ class Index:
         candidates: int = retrieval.CANDIDATES,
         top: int = retrieval.TOP_K,
         per_parent: int = retrieval.PER_PARENT,
+        probes: int | None = None,
     ) -> DataFrame:
         """The best chunks of each query ``query_id, text``: stored fields, ``score`` of the fusion, ``rank`` and ``position``.
 
@@ -98,11 +396,9 @@ class Index:
         """
         if top < 1 or candidates < top or per_parent < 1:
             raise ValueError(f"limits do not fit together: {top} results of {candidates} candidates, {per_parent} of a parent")
-        kept = (lambda df: df) if document is None else (lambda df: df.filter(document))
-        near = retrieval.dense(kept(self.points), encode(queries, "query_id", "text"), "chunk_id", candidates)
-        spoken = retrieval.bm25(kept(self.postings), queries, "chunk_id", self.statistics, candidates)
-        fused = retrieval.fuse([near, spoken], "chunk_id", candidates)
-        return retrieval.diversify(fused.join(self.points.drop("embedding"), "chunk_id"), most=per_parent, top=top)
+        near = self.near(encode(queries, "query_id", "text"), candidates, document, probes)
+        fused = retrieval.fuse([near, self.spoken(queries, candidates, document)], "chunk_id", candidates)
+        return retrieval.diversify(fused.join(self.points.drop("segment", "range", "words"), "chunk_id"), most=per_parent, top=top)
 
     def answer(self, queries: DataFrame, parents: DataFrame, mode: str = "auto", window: int = retrieval.WINDOW, parent_limit: int = retrieval.PARENT_LIMIT, budget: int = retrieval.CONTEXT_BUDGET, **options) -> tuple[DataFrame, DataFrame]:
         """Hits as ``search`` gives them, and the passages around them within the token budget."""
@@ -111,10 +407,3 @@ class Index:
         hits = self.search(queries, **options)
         passages = retrieval.contexts(hits, parents, self.points, mode, window, parent_limit)
         return hits, retrieval.within_budget(passages, budget)
-
-
-def described(report: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The index manifest: ``validate.index_report`` with the encoder, the fusion, the documents in order and the time."""
-    ids = F.array_sort(F.collect_set("document_id")).alias("document_ids")
-    rows = report.withColumn("_one", F.lit(1)).join(chunks.agg(ids).withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return rows.withColumns({"schema_version": F.lit("1.0"), "created_at": layout.utc_now(), "dense_model": F.lit("hashed-terms"), "sparse_model": F.lit("bm25"), "distance": F.lit("cosine"), "fusion": F.lit("rrf")})

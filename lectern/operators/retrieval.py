@@ -7,22 +7,19 @@ reciprocal rank fusion with constant ``RRF_K`` over ranks from 0.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import analysis
 from lectern.functions import text as T
+from lectern.operators import vectors as V
 
 K1, B, RRF_K, EMPTY_LENGTH = 1.2, 0.75, 2, 256.0
 TOP_K, CANDIDATES, PER_PARENT, WINDOW = 8, 30, 2, 1
 PARENT_LIMIT, CONTEXT_BUDGET, LEAST_CUT = 1400, 6000, 50
-#: Queries in a block, and blocks that one scan of the vectors serves.
-QUERY_BLOCK, SCAN_BLOCKS = 4096, 16
+#: Shares of the vectors that many queries meet.
+SHARES = 64
 #: Places of shown scores, and of those that ranks go by: sums of one set of terms in another order agree in these.
 PLACES, RANK_PLACES = 6, 9
 
@@ -49,8 +46,9 @@ def dense_text(embedding: Column, title: Column, heading_path: Column, text: Col
     return F.coalesce(F.nullif(T.strip(embedding), F.lit("")), T.strip(F.concat_ws("\n", *head, F.lit(""), T.strip(text))))
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(T.casefold(text), F.lit(rf"({T.WORD}+)"), F.lit(1))
+def terms(text: Column, language: str | None = None) -> Column:
+    """The index terms of a text: its case-folded words, or their stems without stop words in ``language``."""
+    return analysis.terms(text, language)
 
 
 def average_length(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -58,19 +56,24 @@ def average_length(texts: DataFrame, text: str = "text") -> DataFrame:
     return sizes(texts, text).select("avg_length")
 
 
-def postings(texts: DataFrame, key: str, text: str = "text", among: DataFrame | None = None) -> DataFrame:
+def postings(texts: DataFrame, key: str, text: str = "text", among: DataFrame | None = None, language: str | None = None) -> DataFrame:
     """``key, term, tf, length``; only terms in ``among`` (``term``), if given, which are picked before anything is grouped."""
-    words = texts.select(key, terms(F.col(text)).alias("w"))
+    words = texts.select(key, terms(F.col(text), language).alias("w"))
     rows = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
     if among is not None:
         rows = rows.join(among, "term", "left_semi")
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def weight(avg: Column | float) -> Column:
-    """Weight of a posting ``tf, length``."""
-    tf = F.col("tf")
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg))
+def weight(avg: Column | float, tf: Column | None = None, length: Column | None = None) -> Column:
+    """Weight of a posting ``tf, length``; it grows with ``tf`` and falls with ``length``."""
+    tf, length = F.col("tf") if tf is None else tf, F.col("length") if length is None else length
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+
+
+def idf(n: Column, df: Column) -> Column:
+    """Inverse document frequency of a term in ``df`` of ``n`` texts."""
+    return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
 def weights(posted: DataFrame, avg: Column | float, truncated: bool = False) -> DataFrame:
@@ -79,21 +82,21 @@ def weights(posted: DataFrame, avg: Column | float, truncated: bool = False) ->
     return posted.withColumn("weight", F.floor(w) if truncated else w)
 
 
-def bm25(posted: DataFrame, queries: DataFrame, key: str, size: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+def bm25(posted: DataFrame, queries: DataFrame, key: str, size: DataFrame, limit: int = CANDIDATES, language: str | None = None, truncated: bool = False) -> DataFrame:
     """``query_id, key, score, rank`` (from 1) of the best ``limit`` texts of each query.
 
     ``size`` is one row ``n, avg_length``.  An equi-join on terms; document
     frequencies are those of ``posted`` where it has ``df``, else they are
     counted for the queries' terms only.  The top of each query is cut within
-    partitions first.
+    partitions first.  ``truncated`` cuts the postings' weights to integers.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text"), language))).alias("term"))
     hit = posted.join(asked.select("term").distinct(), "term", "left_semi")
     if "df" not in posted.columns:
         hit = hit.join(hit.groupBy("term").agg(F.count("*").alias("df")), "term")
     hit = hit.withColumn("_one", F.lit(1)).join(F.broadcast(size.select("n", "avg_length", F.lit(1).alias("_one"))), "_one")
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = hit.select(key, "term", (idf * weight(F.col("avg_length"))).alias("w"))
+    own = weights(hit, F.col("avg_length"), truncated)
+    weighted = own.select(key, "term", (idf(F.col("n"), F.col("df")) * F.col("weight")).alias("w"))
     scored = weighted.join(asked, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
     return ranked(scored, key, limit)
 
@@ -114,41 +117,14 @@ def ranked(scored: DataFrame, key: str, limit: int) -> DataFrame:
 def dense(vectors: DataFrame, queries: DataFrame, key: str, limit: int = CANDIDATES) -> DataFrame:
     """``query_id, key, score, rank`` by cosine of unit vectors ``embedding``; keys may be longs or strings.
 
-    Queries go to all tasks in blocks of at most ``QUERY_BLOCK``, several
-    blocks in one scan; each Arrow batch is one matrix product for a block and
-    hands on its own best ``limit`` of each query.
+    Vectors are packed into blocks where they are and multiplied with blocks of
+    queries, which go to all tasks if they are few and otherwise meet the
+    vectors by shares of their keys.
     """
-    kind = vectors.schema[key].dataType.simpleString()
-    schema = f"query_id long, {key} {kind}, score double"
-    found, rows = None, queries.select("query_id", "embedding").toLocalIterator()
-
-    def block() -> list:
-        return list(itertools.islice(rows, QUERY_BLOCK))
-
-    while own := [b for b in (block() for _ in range(SCAN_BLOCKS)) if b]:
-        sent = [vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in b], np.int64), np.array([r.embedding for r in b], np.float64))) for b in own]
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                place = np.argsort(np.asarray(batch.column(0).to_pylist()), kind="stable").argsort()
-                for ids, q in (s.value for s in sent):
-                    score = q @ x.T
-                    # whatever could be among the best by rounded scores, then ties by key
-                    least = np.partition(score, max(score.shape[1] - limit, 0), axis=1)[:, max(score.shape[1] - limit, 0)] - 10.0**-RANK_PLACES
-                    i, j = np.nonzero(score >= least[:, None])
-                    order = np.lexsort((place[j], -np.round(score[i, j], RANK_PLACES), i))
-                    i, j = i[order], j[order]
-                    kept = np.arange(len(i)) - np.searchsorted(i, i) < limit
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[kept]]), batch.column(0).take(pa.array(j[kept])), pa.array(score[i[kept], j[kept]])], ["query_id", key, "score"])
-
-        part = vectors.select(key, "embedding").mapInArrow(best, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    return ranked(found, key, limit)
+    few = V.few(queries)
+    share = F.lit(0) if few else F.pmod(F.xxhash64(key), F.lit(SHARES))
+    blocks = V.pack(vectors.select(share.alias("cell"), F.col(key).alias("key"), F.lit(0).alias("tag"), F.col("embedding").cast("array<double>").alias("embedding")))
+    return ranked(V.nearest(blocks, V.everywhere(queries, 1 if few else SHARES), limit, key, few), key, limit)
 
 
 def fuse(lists: list[DataFrame], key: str, limit: int | None = None, k: int = RRF_K) -> DataFrame:

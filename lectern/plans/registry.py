@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -10,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, headings, index, layout, retrieval, sections, validate
+from lectern.operators import chunking, headings, index, layout, retrieval, sections, validate, vectors
 from lectern.plans import sql
 from lectern.plans.sql import LEAST, LOST, MOST, OVER
 from lectern.sources import fixtures, html
 from lectern.sources.fixtures import table
-from lectern.sources.sinks import shared_folder, stage
+from lectern.sources.sinks import own_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -432,13 +431,38 @@ def _lexical(texts: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     return retrieval.bm25(retrieval.postings(texts, key, among=wanted), asked, key, retrieval.sizes(texts))
 
 
+#: Languages by the code that documents carry.
+SPOKEN = {"en": "english", "de": "german", "fr": "french", "es": "spanish"}
+
+
+@query
+def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of each document in its own language."""
+    own = F.coalesce(*(F.when(F.col("lang") == code, retrieval.terms(F.col("text"), name)) for code, name in SPOKEN.items()), retrieval.terms(F.col("text")))
+    return _docs(spark, d).select("doc_id", F.size(own).cast("long").alias("n_terms"), F.md5(F.array_join(own, " ")).alias("digest"))
+
+
+@query
+def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over English stems; the average length counts words."""
+    posted = retrieval.postings(_docs(spark, d), "doc_id", language="english")
+    return retrieval.bm25(posted, _asked(spark, d), "doc_id", retrieval.sizes(_docs(spark, d)), language="english").select("query_id", "doc_id", "score", "rank")
+
+
+@query
+def bm25_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Weights cut to integers, as an index of integer weights has them."""
+    posted = retrieval.postings(_docs(spark, d), "doc_id")
+    return retrieval.bm25(posted, _asked(spark, d), "doc_id", retrieval.sizes(_docs(spark, d)), truncated=True).select("query_id", "doc_id", "score", "rank")
+
+
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(_docs(spark, d), _asked(spark, d), "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
-def _probes(vectors: DataFrame) -> DataFrame:
-    return vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+def _probes(rows: DataFrame) -> DataFrame:
+    return rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query
@@ -447,6 +471,32 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense(v, _probes(v), "vec_id")
 
 
+def _celled(spark: SparkSession, d: str) -> tuple:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("tag"), "embedding")
+    centre, probes = vectors.centroids(v, v.count(), v.select(F.size("embedding").alias("d")).first().d)
+    return stage(vectors.pack(vectors.with_cells(v, centre))), centre, probes
+
+
+@query
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Packed cells searched in full: the rows of ``dense_topk``."""
+    blocks, centre, _ = _celled(spark, d)
+    asked = _probes(table(spark, d, "embeddings"))
+    found = vectors.nearest(blocks, vectors.everywhere(asked, len(centre)), retrieval.CANDIDATES, "vec_id", vectors.few(asked))
+    return retrieval.ranked(found, "vec_id", retrieval.CANDIDATES).select("query_id", "vec_id", "score", "rank")
+
+
+@query
+def vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """For each query, how many of its exact neighbours a search of the suggested number of cells finds."""
+    blocks, centre, probes = _celled(spark, d)
+    asked = _probes(table(spark, d, "embeddings"))
+    few = vectors.few(asked)
+    top = lambda aimed: retrieval.ranked(vectors.nearest(blocks, aimed, retrieval.CANDIDATES, "vec_id", few), "vec_id", retrieval.CANDIDATES).select("query_id", "vec_id")
+    exact, near = top(vectors.everywhere(asked, len(centre))), top(vectors.aimed(asked, centre, probes))
+    return exact.join(near.withColumn("found", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("found").alias("found"))
+
+
 @query
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
@@ -556,16 +606,17 @@ def index_report(spark: SparkSession, d: str) -> DataFrame:
     return validate.index_report(parents, chunks, retrieval.average_length(texts), 64)
 
 
-def _index(spark: SparkSession, d: str) -> tuple[Corpus, index.Index]:
+def _index(spark: SparkSession, d: str, language: str | None = None) -> tuple[Corpus, index.Index]:
     c = Corpus(spark, d)
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    index.build(stage(c.chunks), path)
+    path = own_folder(spark, "index")
+    index.build(stage(c.chunks), path, language=language)
     return c, index.Index(spark, path)
 
 
 @query
 def index_points(spark: SparkSession, d: str) -> DataFrame:
-    rows = _index(spark, d)[1].points.select("id", "chunk_id", "content_hash", F.posexplode("embedding").alias("k", "v"))
+    own = _index(spark, d)[1]
+    rows = own.points.join(own.embeddings.select("chunk_id", "embedding"), "chunk_id").select("id", "chunk_id", "content_hash", F.posexplode("embedding").alias("k", "v"))
     return rows.filter("round(v, 6) <> 0").select("id", "chunk_id", "content_hash", "k", F.round("v", 6).alias("v"))
 
 
@@ -591,6 +642,44 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d)[1].search(_asked(spark, d), document=even).select("query_id", "chunk_id", "parent_id", "score", "rank", "position")
 
 
+@query
+def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Stems and stop words of English on both sides; the lexical branch alone."""
+    return _index(spark, d, "english")[1].spoken(_asked(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query
+def search_updated(spark: SparkSession, d: str) -> DataFrame:
+    """An index of older chunks, some of them changed or gone since, after an update: the hits are those of a new index."""
+    chunks, path = stage(Corpus(spark, d).chunks), own_folder(spark, "index")
+    even = F.substring("document_id", 5, 6).cast("int") % 2 == 0
+    stale = F.col("chunk_number") % 3 == 0
+    older = {c: F.when(stale, F.concat(c, F.lit(" stale"))).otherwise(F.col(c)) for c in ("text", "embedding_text", "content_hash")}
+    gone = chunks.filter(~even).withColumn("chunk_id", F.concat(F.lit("gone/"), "chunk_id"))
+    index.build(chunks.filter(even).withColumns(older).unionByName(gone), path)
+    index.update(chunks, path, removed=gone.select("chunk_id"))
+    return index.Index(spark, path).search(_asked(spark, d)).select("query_id", "chunk_id", "parent_id", "score", "rank", "position")
+
+
+@query
+def search_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """Two segments folded into one, then stale folders removed."""
+    chunks, path = stage(Corpus(spark, d).chunks), own_folder(spark, "index")
+    even = F.substring("document_id", 5, 6).cast("int") % 2 == 0
+    index.build(chunks.filter(even), path)
+    index.update(chunks.filter(~even), path)
+    index.compact(path, spark)
+    index.vacuum(path, spark)
+    return index.Index(spark, path).search(_asked(spark, d)).select("query_id", "chunk_id", "parent_id", "score", "rank", "position")
+
+
+@query
+def index_manifest(spark: SparkSession, d: str) -> DataFrame:
+    told = index.described(spark, _index(spark, d)[1].path)
+    row = (told["document_count"], told["chunk_count"], told["bm25_average_document_length"], told["dense_dimension"], ",".join(told["document_ids"] or []))
+    return spark.createDataFrame([row], "document_count long, chunk_count long, average_lexical_length double, dense_dimension int, document_ids string")
+
+
 @query
 def search_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours of overlapping chunks, merged, within a budget."""

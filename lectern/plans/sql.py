@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern.functions import text as T
+from lectern.functions.analysis import LANGUAGES
 from lectern.operators import layout
 from lectern.operators import retrieval as R
 from lectern.sources import html
@@ -186,15 +187,32 @@ recounted AS (SELECT document_id, page_number, coalesce(string_agg(st, chr(10) |
 cleaned AS (SELECT document_id, page_number, length(text) AS character_count, {words('text')} AS word_count, removed_count, text <> '' AS has_native_text FROM recounted)"""
 
 
-def bm25(table: str, key: str, limit: int = R.CANDIDATES, where: str = "") -> str:
+WORDS = rf"regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+')"
+
+
+def stemmed(words: str, name: str | None) -> str:
+    """The terms of a list of case-folded words in a language."""
+    if name is None:
+        return words
+    own = LANGUAGES[name]
+    out = f"list_filter({words}, lambda w: w NOT IN ({', '.join(map(quoted, sorted(own.stops)))}))"
+    for k, step in enumerate(own.steps, 1):
+        out = f"list_transform({out}, lambda w: regexp_replace(w, {quoted(step.pattern)}, {quoted(chr(92) + '1' + step.replacement)}))"
+        if k == own.undouble_after:
+            out = f"list_transform({out}, lambda w: CASE WHEN right(w, 2) IN ({', '.join(map(quoted, own.doubled.split()))}) THEN left(w, -1) ELSE w END)"
+    return f"list_transform({out}, lambda w: translate(w, {quoted(own.marked)}, {quoted(own.plain)}))" if own.marked else out
+
+
+def bm25(table: str, key: str, limit: int = R.CANDIDATES, where: str = "", language: str | None = None, truncated: bool = False) -> str:
     """``hits(query_id, key, score, rank)`` of all benchmark items over ``table``; ``where`` picks keys after all statistics."""
-    term = rf"regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+')"
-    return f"""tokened AS (SELECT {key}, {term} AS w FROM {table}),
-size AS (SELECT count(*) AS n, greatest(1.0, avg(greatest(1, len(w)))) AS avg_length FROM tokened),
+    term = stemmed(WORDS, language)
+    weight = f"tf * ({R.K1} + 1) / (tf + {R.K1} * (1 - {R.B} + {R.B} * length / avg_length))"
+    return f"""tokened AS (SELECT {key}, {term} AS w, len({WORDS}) AS n_words FROM {table}),
+size AS (SELECT count(*) AS n, greatest(1.0, avg(greatest(1, n_words))) AS avg_length FROM tokened),
 posted AS (SELECT {key}, term, count(*) AS tf, any_value(length) AS length FROM (SELECT {key}, len(w) AS length, unnest(w) AS term FROM tokened) GROUP BY {key}, term),
 df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
 asked AS (SELECT DISTINCT item_id AS query_id, unnest({term}) AS term FROM benchmark),
-scored AS (SELECT query_id, {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({R.K1} + 1) / (tf + {R.K1} * (1 - {R.B} + {R.B} * length / avg_length))) AS fine
+scored AS (SELECT query_id, {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * {f'floor({weight})' if truncated else weight}) AS fine
   FROM asked JOIN posted USING (term) JOIN df USING (term), size{where} GROUP BY query_id, {key}),
 hits AS ({ranked('scored', key, limit)})"""
 
@@ -221,10 +239,12 @@ def hashed(name: str, rows: str, key: str) -> str:
 {name} AS (SELECT {key}, k, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM {name}_k)"""
 
 
+NAMED = "named AS (SELECT chunk_id, title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text AS text FROM chunks)"
+
+
 def search(chosen: str = "TRUE") -> str:
     """``found(query_id, chunk_id, parent_id, score, rank, position)`` of all benchmark items over the chunks for which ``chosen`` holds."""
-    named = "named AS (SELECT chunk_id, title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text AS text FROM chunks)"
-    return f"""{CHUNKS}, {named}, picked AS (SELECT chunk_id FROM chunks WHERE {chosen}),
+    return f"""{CHUNKS}, {NAMED}, picked AS (SELECT chunk_id FROM chunks WHERE {chosen}),
 {bm25('named', 'chunk_id', where=' WHERE chunk_id IN (SELECT chunk_id FROM picked)')},
 dense_texts AS (SELECT chunk_id, embedding_text AS text FROM chunks JOIN picked USING (chunk_id)), questions AS (SELECT item_id AS query_id, text FROM benchmark),
 {hashed('cv', 'dense_texts', 'chunk_id')}, {hashed('qv', 'questions', 'query_id')},
@@ -399,6 +419,12 @@ FROM per p LEFT JOIN kept USING (document_id) LEFT JOIN every USING (document_id
         "bm25_postings": rf"""SELECT doc_id, term, count(*) AS tf, any_value(length)::INT AS length FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+') AS w FROM documents)) GROUP BY doc_id, term""",
         "bm25_topk": f"WITH {bm25('documents', 'doc_id')} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",
         "dense_topk": f"WITH {dense(PROBES)} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
+        "vector_topk": f"WITH {dense(PROBES)} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
+        "bm25_stemmed": f"WITH {bm25('documents', 'doc_id', language='english')} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",
+        "bm25_truncated": f"WITH {bm25('documents', 'doc_id', truncated=True)} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",
+        "stemmed_terms": "WITH termed AS (SELECT doc_id, CASE lang "
+        + " ".join(f"WHEN '{code}' THEN {stemmed(WORDS, name)}" for code, name in (("en", "english"), ("de", "german"), ("fr", "french"), ("es", "spanish")))
+        + f" ELSE {WORDS} END AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS n_terms, md5(array_to_string(w, ' ')) AS digest FROM termed",
         "dense_topk_filtered": f"WITH {dense(PROBES, 'v.label = 3')} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
         "rrf_fusion": f"""WITH {bm25('documents', 'doc_id')}, {dense('SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id')},
 {fused('SELECT query_id, doc_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM dense', 'doc_id', 1 << 40)}
@@ -433,6 +459,12 @@ SELECT chunk_id, term, tf, length, count(*) OVER (PARTITION BY term) AS df FROM
         "index_statistics": rf"""{with_}{CHUNKS}, named AS (SELECT chunk_id, title || chr(10) || replace(heading_path, ' > ', ' ') || chr(10) || text AS text FROM chunks)
 SELECT count(*) AS n, round_even(avg(len(regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+'))), 4) AS avg_length FROM named""".replace("\\\\p", "\\p"),
         "search_hits": f"{with_}{search()} SELECT query_id, chunk_id, parent_id, score, rank::INT AS rank, position::INT AS position FROM best",
+        "search_updated": f"{with_}{search()} SELECT query_id, chunk_id, parent_id, score, rank::INT AS rank, position::INT AS position FROM best",
+        "search_compacted": f"{with_}{search()} SELECT query_id, chunk_id, parent_id, score, rank::INT AS rank, position::INT AS position FROM best",
+        "search_stemmed": f"{with_}{CHUNKS}, {NAMED}, {bm25('named', 'chunk_id', language='english')} SELECT query_id, chunk_id, score, rank::INT AS rank FROM hits",
+        "index_manifest": rf"""{with_}{CHUNKS}, {NAMED}
+SELECT (SELECT count(DISTINCT document_id) FROM chunks) AS document_count, count(*) AS chunk_count, round_even(avg(greatest(1, len(regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+')))), 4) AS average_lexical_length, 64 AS dense_dimension,
+(SELECT string_agg(document_id, ',' ORDER BY document_id) FROM (SELECT DISTINCT document_id FROM chunks)) AS document_ids FROM named""",
         "search_filtered": f"{with_}{search('document_id[5:]::INT % 2 = 0')} SELECT query_id, chunk_id, parent_id, score, rank::INT AS rank, position::INT AS position FROM best",
         "search_contexts": f"{with_}{found('neighbors', budget=900)}",
         "search_auto": f"{with_}{found('auto', limit=250)}",

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources import files
+
 
 def json_lines(rows: DataFrame, path: str) -> None:
     """Compact JSON lines, replacing what was there."""
@@ -17,8 +19,11 @@ def json_lines(rows: DataFrame, path: str) -> None:
 
 
 def json_document(row: DataFrame, path: str) -> None:
-    """One record as one JSON file."""
-    row.coalesce(1).write.mode("overwrite").option("pretty", True).json(path)
+    """One record as one JSON file, which appears whole or not at all; nulls stay, as the record's readers expect every field."""
+    found = row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("t")).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"a JSON document is one record, not {'none' if not found else 'several'}")
+    files.write_text(row.sparkSession, path, found[0].t)
 
 
 def corpus(rows: DataFrame, path: str) -> None:
@@ -70,14 +75,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def answers(queries: DataFrame, hits: DataFrame, contexts: DataFrame, retrieval: dict) -> DataFrame:
+    """``query_id, answer``: for each query ``query_id, text`` a JSON object ``query, retrieval, hits, contexts``; hits and contexts are as few as their limits say."""
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        own = F.struct(*(c for c in rows.columns if c != "query_id"))
+        return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", own.alias("row")))).alias("_rows")).select("query_id", F.transform("_rows", lambda r: r["row"]).alias(name))
+
+    joined = queries.join(listed(hits, "hits"), "query_id", "left").join(listed(contexts, "contexts"), "query_id", "left")
+    lists = [F.coalesce(c, F.array()).alias(c) for c in ("hits", "contexts")]
+    how = F.struct(*(F.lit(v).alias(k) for k, v in retrieval.items()))
+    return joined.select("query_id", F.to_json(F.struct(F.col("text").alias("query"), how.alias("retrieval"), *lists), {"ignoreNullFields": "false"}).alias("answer"))
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def stage(rows: DataFrame) -> DataFrame:
     """Write a stage's result into the shared folder and read it back, so later stages do not compute it again.
 
     The files go when the driver ends.
     """
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
+    path = own_folder(spark, "stage")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -89,5 +113,4 @@ _staged: list[tuple[SparkSession, str]] = []
 def _remove_staged() -> None:
     for spark, path in _staged:
         with contextlib.suppress(Exception):  # the session may have ended before
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            files.remove(spark, path)
