@@ -3,27 +3,32 @@
 Words become symbols (insult, threat, target, negation, report, plain) through
 a lexicon; small transducers for insult, threat, target, negation and reported
 speech are composed into one deterministic machine that reads the symbols of a
-clause and emits, for each insult or threat it accepts, the context that stands
-in.  A threat is a threat verb with a target before or after it; a verb without
-one is not accepted and carries no weight.  An insult is accepted as predicate
-of a target or as a bare noun ("An idiot.").  A clause's weight is the sum of
-its accepted weights; a document is scored by a logistic model over them.
+clause up to its end and tells there which patterns the clause has.  A threat is
+a threat verb with a target behind it, or at the clause's end with a target
+before it; a subject before a verb that takes another object is no target, nor
+is that of a reporting verb.  An insult is said of a target before or behind it
+or is the clause's noun alone ("An idiot.").  A clause counts once, in one
+context, with the weight of its insults and of the threat; a document is scored
+by a logistic model over its clauses.
 
 The insult lexicon is learned: word stems (prefixes and whole words) whose
 document frequency in toxic training rows is high against other training rows,
 counted over a bounded sample (``LEXICON_ROWS`` of each class, lowest id hash
-first).  The logistic weights use at most ``quality.TRAINING_ROWS`` labelled
-rows of the training fold.
+first).  A stem must be in a number of toxic rows that grows with the root of
+theirs; the model keeps the ``LEXICON_SIZE`` stems of most weight times rows, so
+that it has a fixed size.  The logistic weights use at most
+``quality.TRAINING_ROWS`` labelled rows of the training fold.
 
 Null and empty texts have no clauses and get the score of a text without
-matches.  Label rows with nulls are passed over, repeated ones count each
-time.  With labels of one class only the score is that class's share, without
+matches; a very long one is read whole, clause by clause, in memory in
+proportion to it.  Label rows with nulls are passed over, repeated ones count
+once; of stems with equal weight the first in order are kept.  With labels of
+one class only the score is that class's share, without
 labels 0.5.  A null ``doc_id`` counts as not held out.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -46,9 +51,9 @@ TRAINING_FILES = 8
 #: Bytes of text whose stems are counted at once.
 LEXICON_SLICE = 512 << 10
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
-LEAST_SHARE, LEAST_RATIO, MOST_WEIGHT = 0.02, 5.0, 8.0
-#: Beyond so many toxic rows the least share falls with their square root, as the noise of a count does.
-SHARE_ROWS = 330
+LEAST_RATIO, MOST_WEIGHT = 5.0, 8.0
+#: A stem needs this many toxic rows, and this part of the square root of their number, which is the noise of a count.
+LEAST_ROWS, LEAST_ROOT = 3, 1 / 3
 
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -62,69 +67,85 @@ CLOSED = {
 
 
 class Transducer:
-    """A deterministic transducer: ``step(state, symbol)`` gives the next state and an output."""
+    """Deterministic: ``step(state, symbol)`` gives the next state, ``told(state)`` the flags at the end of what was read."""
 
-    def __init__(self, states: Sequence, start, step):
-        self.states, self.start, self.step = list(states), start, step
+    def __init__(self, start, step, told):
+        self.start, self.step, self.told = start, step, told
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols; outputs are joined."""
+        """Both read the same symbols; flags are joined."""
+        return Transducer((self.start, other.start), lambda s, x: (self.step(s[0], x), other.step(s[1], x)), lambda s: self.told(s[0]) + other.told(s[1]))
 
-        def step(state, symbol):
-            a, x = self.step(state[0], symbol)
-            b, y = other.step(state[1], symbol)
-            return (a, b), x + y
 
-        return Transducer(itertools.product(self.states, other.states), (self.start, other.start), step)
+def _since(left: int, reach: int, seen: bool) -> int:
+    """Symbols for which something seen still counts."""
+    return reach if seen else max(left - 1, 0)
 
 
-def within(symbol: int, reach: int) -> Transducer:
-    """Emits whether ``symbol`` stood among the last ``reach`` symbols."""
+def insult() -> Transducer:
+    """Whether the clause has an insult."""
+    return Transducer(False, lambda seen, x: seen or x == INSULT, lambda seen: (seen,))
 
-    def step(left, s):
-        return (reach if s == symbol else max(left - 1, 0)), (left > 0,)
 
-    return Transducer(range(reach + 1), 0, step)
+def target(reach: int) -> Transducer:
+    """Whether an insult has a target fewer than ``reach`` symbols before or behind it."""
 
+    def step(state, x):
+        before, behind, found = state
+        found = found or (x == INSULT and before > 0) or (x == TARGET and behind > 0)
+        return _since(before, reach, x == TARGET), _since(behind, reach, x == INSULT), found
 
-def insult() -> Transducer:
-    """Accepts an insult, said of a target or as a bare noun; the target's own transducer tells which."""
-    return Transducer([0], 0, lambda state, s: (0, (s == INSULT,)))
+    return Transducer((0, 0, False), step, lambda s: (s[2],))
 
 
 def threat(reach: int) -> Transducer:
-    """Accepts a threat verb and a target with fewer than ``reach`` symbols between them, at the later of the two."""
+    """Whether a threat verb has a target within ``reach`` behind it, or is last with one within ``reach`` before it."""
 
-    def step(state, s):
-        target, verb = state
-        if s == THREAT:
-            return (max(target - 1, 0), 0 if target else reach), (target > 0,)
-        if s == TARGET:
-            return (reach, 0), (verb > 0,)
-        return (max(target - 1, 0), max(verb - 1, 0)), (False,)
+    def step(state, x):
+        before, behind, last, found = state
+        found = found or (x == TARGET and behind > 0)
+        return _since(before, reach, x == TARGET), _since(behind, reach, x == THREAT), x == THREAT and before > 0, found
 
-    return Transducer(itertools.product(range(reach + 1), repeat=2), (0, 0), step)
+    return Transducer((0, 0, False, False), step, lambda s: (s[2] or s[3],))
 
 
-REACH, THREAT_WEIGHT = 4, 4.0
-GRAMMAR = insult().compose(threat(REACH)).compose(within(TARGET, REACH)).compose(within(NEGATION, 3)).compose(within(REPORT, 8))
+def under(symbol: int, reach: int) -> Transducer:
+    """Whether an insult or a threat verb has ``symbol`` within ``reach`` before it."""
+
+    def step(state, x):
+        left, found = state
+        return _since(left, reach, x == symbol), found or (x in (INSULT, THREAT) and left > 0)
+
+    return Transducer((0, False), step, lambda s: (s[1],))
 
 
-def tables(machine: Transducer) -> tuple[np.ndarray, np.ndarray, int]:
-    """Next state and output code (bits: insult, threat, target, negation, report) of each state and symbol."""
-    index = {s: k for k, s in enumerate(machine.states)}
-    go = np.zeros((len(index), 6), np.int64)
-    out = np.zeros((len(index), 6), np.int64)
-    for s, k in index.items():
-        for symbol in range(6):
-            to, bits = machine.step(s, symbol)
-            go[k, symbol] = index[to]
-            out[k, symbol] = sum(1 << i for i, b in enumerate(bits) if b)
-    return go, out, index[machine.start]
+class Machine:
+    """A transducer as tables that grow by the states that clauses reach."""
 
+    def __init__(self, of: Transducer):
+        self.of, self.states, self.go, self.told = of, {}, [], []
+        self.number(of.start)
 
-_GO, _OUT, _START = tables(GRAMMAR)
-_GO_ROWS, _OUT_ROWS = _GO.tolist(), _OUT.tolist()
+    def number(self, state) -> int:
+        if state not in self.states:
+            self.states[state] = len(self.states)
+            self.go.append([None] * 6)
+            self.told.append(self.of.told(state))
+        return self.states[state]
+
+    def read(self, symbols: list[int]) -> tuple[bool, ...]:
+        """The flags of a clause: insult, target, threat, negation, report."""
+        at, go = 0, self.go
+        for x in symbols:
+            to = go[at][x]
+            if to is None:
+                to = go[at][x] = self.number(self.of.step(next(s for s, k in self.states.items() if k == at), x))
+            at = to
+        return self.told[at]
+
+
+REACH, THREAT_WEIGHT = 4, 4.0
+GRAMMAR = Machine(insult().compose(target(REACH)).compose(threat(REACH)).compose(under(NEGATION, 3)).compose(under(REPORT, 8)))
 FEATURES = ("bias", "mass", "targeted", "negated", "reported", "threat", "words", "clause", "mass_by_words", "rate", "hits")
 DIM = len(FEATURES)
 
@@ -180,36 +201,29 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     kind, weight = lexicon.classes(words.dictionary.to_pylist())
     at = words.indices.to_numpy()
     kind, weight = kind[at], weight[at]
-    clause = np.concatenate([[0], np.cumsum(stop)[:-1]]) if len(stop) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    hit = (kind == INSULT) | (kind == THREAT)
+    # clauses also end where a text ends
+    key = (np.concatenate([[0], np.cumsum(stop)[:-1]]) if len(stop) else np.zeros(0, np.int64)) + doc
+    if len(kind) > 1:
+        # the subject of a reporting verb is nobody's target
+        kind[:-1][(kind[:-1] == TARGET) & (kind[1:] == REPORT) & (key[:-1] == key[1:])] = PLAIN
     n = len(off) - 1
     mass, threats, top, hits = np.zeros((n, 8)), np.zeros(n), np.zeros(n), np.zeros(n)
-    key = clause + doc  # clauses also end where a text ends
-    at_hits = np.flatnonzero(hit)
-    if len(at_hits):
-        starts = np.searchsorted(key, key[at_hits], "left").tolist()
-        ends = np.searchsorted(key, key[at_hits], "right").tolist()
-        seen = -1
-        for h, a, b in zip(at_hits.tolist(), starts, ends):
-            if a == seen:
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    if len(key):
+        insults = np.add.reduceat(np.where(kind == INSULT, weight, 0.0), first)
+        able = np.maximum.reduceat(((kind == INSULT) | (kind == THREAT)).astype(np.int8), first)
+        ends = np.concatenate([first[1:], [len(key)]])
+        for c in np.flatnonzero(able).tolist():
+            insulted, aimed, threatened, negated, reported = GRAMMAR.read(kind[first[c] : ends[c]].tolist())
+            if not insulted and not threatened:
                 continue
-            seen, state, total, d = a, _START, 0.0, doc[h]
-            # a target behind the last hit may complete a threat
-            last = min(b - int(np.argmax(hit[a:b][::-1])) + REACH, b)
-            for s, w in zip(kind[a:last].tolist(), weight[a:last].tolist()):
-                code = _OUT_ROWS[state][s]
-                if code & 3:
-                    # a threat has its target by its own pattern
-                    context = code >> 2 | (code & 2) >> 1
-                    w = THREAT_WEIGHT if code & 2 else w
-                    mass[d, context] += w
-                    hits[d] += 1
-                    total += 0.0 if context & 6 else w
-                    if code & 2:
-                        threats[d] += w
-                state = _GO_ROWS[state][s]
-            top[d] = max(top[d], total)
+            d, w = doc[first[c]], insults[c] + THREAT_WEIGHT * threatened
+            mass[d, (aimed or threatened) + 2 * negated + 4 * reported] += w
+            threats[d] += THREAT_WEIGHT * threatened
+            hits[d] += 1
+            if not negated and not reported:
+                top[d] = max(top[d], w)
     count = np.diff(off)
     direct = mass[:, 0] + mass[:, 1]
     long = np.log1p(count)
@@ -253,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon({})
     share1, share0 = F.col("n1") / total.n1, (F.col("n0") + 0.5) / total.n0
     weight = F.least(F.log(share1 / share0), F.lit(MOST_WEIGHT))
-    kept = per.filter((F.col("stem") != "") & (share1 >= LEAST_SHARE * min(1.0, (SHARE_ROWS / total.n1) ** 0.5)) & (F.col("n1") >= 3) & (share1 >= LEAST_RATIO * share0))
+    kept = per.filter((F.col("stem") != "") & (F.col("n1") >= max(LEAST_ROWS, LEAST_ROOT * total.n1**0.5)) & (share1 >= LEAST_RATIO * share0))
     rows = kept.select("stem", weight.alias("w"), "n1").orderBy(F.col("n1") * F.col("w"), F.col("stem"), ascending=[False, True]).limit(LEXICON_SIZE).collect()
     return Lexicon({r.stem: float(r.w) for r in rows})
 

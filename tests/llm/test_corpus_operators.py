@@ -395,24 +395,23 @@ def plain_grammar(text, insults):
             clauses.append(clause)
             clause = []
     for words in [*clauses, clause]:
-        at = {k: [i for i, w in enumerate(words) if closed.get(w) == k] for k in toxicity.CLOSED}
-        T, reach = at[toxicity.TARGET], toxicity.REACH
-        hits = [(i, insults[w], False) for i, w in enumerate(words) if w in insults and w not in closed]
-        open_ = [v for v in at[toxicity.THREAT] if not near(T, v, reach)]
-        hits += [(v, toxicity.THREAT_WEIGHT, True) for v in at[toxicity.THREAT] if near(T, v, reach)]
-        for j in T:
-            verbs = [v for v in at[toxicity.THREAT] if v < j and not any(v < t < j for t in T)]
-            if verbs and verbs[-1] in open_ and j - verbs[-1] <= reach:
-                hits.append((j, toxicity.THREAT_WEIGHT, True))
-        for i, w, threat in hits:
-            negated, reported = near(at[toxicity.NEGATION], i, 3), near(at[toxicity.REPORT], i, 8)
-            targeted = threat or near(T, i, reach)
-            total["hits"] += 1
-            total["threat"] += w * threat
-            total["direct"] += w * (not negated and not reported)
-            total["targeted"] += w * (targeted and not negated and not reported)
-            total["negated"] += w * (negated and not reported)
-            total["reported"] += w * reported
+        kinds = [toxicity.INSULT if w in insults and w not in closed else closed.get(w) for w in words]
+        # the subject of a reporting verb is no target
+        kinds = [None if k == toxicity.TARGET and kinds[i + 1 : i + 2] == [toxicity.REPORT] else k for i, k in enumerate(kinds)]
+        at = {k: [i for i, x in enumerate(kinds) if x == k] for k in (*toxicity.CLOSED, toxicity.INSULT)}
+        T, V, N, reach = at[toxicity.TARGET], at[toxicity.THREAT], at[toxicity.INSULT], toxicity.REACH
+        threat = any(near(V, t, reach) for t in T) or (V[-1:] == [len(words) - 1] and near(T, V[-1], reach))
+        if not N and not threat:
+            continue
+        aimed = threat or any(near(T, i, reach) for i in N) or any(near(N, t, reach) for t in T)
+        negated, reported = (any(near(at[k], i, n) for i in N + V) for k, n in ((toxicity.NEGATION, 3), (toxicity.REPORT, 8)))
+        w = sum(insults[words[i]] for i in N) + toxicity.THREAT_WEIGHT * threat
+        total["hits"] += 1
+        total["threat"] += toxicity.THREAT_WEIGHT * threat
+        total["direct"] += w * (not negated and not reported)
+        total["targeted"] += w * (aimed and not negated and not reported)
+        total["negated"] += w * (negated and not reported)
+        total["reported"] += w * reported
     return total
 
 
@@ -442,6 +441,22 @@ def test_threats_need_a_target():
     assert x[8, at("reported")] > 0 and x[8, at("mass")] == 0
 
 
+def test_subjects_are_no_targets():
+    texts = ["They beat eggs.", "People burn candles.", "You can burn a CD.", "I will kill you.", "idiot you are", "The idiot left.", "You and your idiot."]
+    x = toxicity.features(pa.array(texts), toxicity.Lexicon({"=idiot": 4.0}))
+    at = toxicity.FEATURES.index
+    assert not x[:3, at("threat")].any() and not x[:3, at("hits")].any() and x[3, at("threat")] > 0
+    assert x[4, at("targeted")] > 0 and x[6, at("targeted")] > 0 and x[5, at("targeted")] == 0 and x[5, at("mass")] > 0
+
+
+def test_repeated_labels_and_long_texts(spark):
+    rows = [(i, "you utter slur " * (20_000 if i == 4 else 1) if i % 2 else "plain words here", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    labels = df.select("doc_id", "label")
+    once, twice = (sorted(map(tuple, toxicity.classify(df, x).collect())) for x in (labels, labels.union(labels)))
+    assert [r[3] for r in once] == [r[3] for r in twice] and toxicity.learn(df, labels) == toxicity.learn(df, labels.union(labels))
+
+
 def test_small_family_of_insults_is_learned(spark):
     text = lambda i: f"w{i} " + ("of a common slur" if i % 75 else "of a raregroup slur")
     rows = [(i, text(i) if i < 1500 else f"w{i} of plain text", int(i < 1500)) for i in range(3000)]
