@@ -1,4 +1,4 @@
-"""Command line: ``python -m lectern sections|chunks|index|search``."""
+"""Command line: ``python -m lectern sections|chunks|files|index|search``."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from lectern.functions import text as T
 from lectern.functions.analysis import LANGUAGES
 from lectern.operators import index, retrieval, validate
 from lectern.plans import process
-from lectern.sources import sinks
+from lectern.sources import ledger, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,6 +36,9 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--update", action="store_true", help="bring an index that exists up to date; only what changed is indexed")
     own.add_argument("--compact", action="store_true", help="fold an index's segments into one and remove older ones afterwards")
     own.add_argument("--bm25-language", choices=sorted(LANGUAGES), default="english", help="of stop words and stems, kept in the index")
+    own = commands.add_parser("files", help="tell which source files changed since the last time, and record them")
+    own.add_argument("--sources", required=True)
+    own.add_argument("--ledger", required=True)
     own = command("search", "search the index", "processed", "index")
     own.add_argument("--query", action="append", required=True, help="may be given again")
     own.add_argument("--top-k", type=int, default=retrieval.TOP_K)
@@ -71,6 +74,10 @@ def run(spark: SparkSession, argv: Sequence[str]) -> list[str]:
     if args.command == "chunks":
         report = process.make_chunks(spark, args.manifest, args.processed, args.document, args.maximum_tokens, args.overlap_tokens)
         return [f"[OK] {r.document_id}: {r.parent_count} parents, {r.chunk_count} chunks, {r.duplicate_chunk_count} duplicates" for r in report.orderBy("document_id").collect()]
+    if args.command == "files":
+        found = sinks.stage(ledger.changes(spark, args.sources, args.ledger))
+        ledger.record(found, args.ledger)
+        return [f"[{r.change}] {r.path}" for r in found.orderBy("path").collect()]
     parents, chunks = _corpus(spark, args)
     if args.command == "index":
         validate.validate(parents, chunks)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,8 +142,8 @@ def toc_anchors(toc: DataFrame, units: DataFrame) -> DataFrame:
     """Outline entries (``document_id, toc_order, toc_id, parent_toc_id, title, page_number, level``) at their units.
 
     Similarities are computed set-wise for the pages within reach of each
-    entry; only the choice, which moves forward through the document entry by
-    entry, runs document by document over those short candidate lists.
+    entry; the choice, which moves forward through the document entry by entry,
+    is a fold over those short candidate lists.
     Unresolved entries come out with null anchors.
     """
     marked = with_body(units)
@@ -160,33 +157,55 @@ def toc_anchors(toc: DataFrame, units: DataFrame) -> DataFrame:
     pairs = scored.unionByName(pairs.filter("offset = 2").withColumn("score", F.lit(None).cast("double")))
     per = pairs.groupBy("document_id", "toc_order", "toc_id", "parent_toc_id", "title", "level").agg(F.collect_list(F.when(F.col("global_index").isNotNull(), F.struct("offset", "global_index", "unit_page", "source_block_id", "score", "heading"))).alias("near"))
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = []
-            for r in frame.itertuples():
-                least = 0
-                for e in sorted(r.entries, key=lambda e: e["toc_order"]):
-                    open_ = [u for u in e["near"] if u["global_index"] >= least]
-                    rank = {0: 0, 1: 1, -1: 2}
-                    scored = [u for u in open_ if u["offset"] in rank and u["score"] > 0]
-                    best = min(scored, key=lambda u: (-u["score"], rank[u["offset"]], u["global_index"]), default=None)
-                    ahead = sorted((u for u in open_ if u["offset"] >= 0), key=lambda u: u["global_index"])
-                    if best is not None and best["score"] >= ACCEPT:
-                        found, worth, how = best, round(best["score"], 4), "toc-text-anchor"
-                    elif ahead:
-                        found = next((u for u in ahead if u["heading"]), None)
-                        how = "toc-heading-fallback" if found is not None else "toc-page-fallback"
-                        found, worth = found if found is not None else ahead[0], 0.0
-                    else:
-                        found, worth, how = None, 0.0, "unresolved"
-                    if found is not None:
-                        least = found["global_index"] + 1
-                    place = (found["global_index"], found["unit_page"], found["source_block_id"]) if found is not None else (None, None, None)
-                    rows.append((r.document_id, e["toc_id"], e["parent_toc_id"], e["title"], e["level"], *place, worth, how))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANCHORS.split(", ")])
-
-    entries = per.groupBy("document_id").agg(F.collect_list(F.struct("toc_order", "toc_id", "parent_toc_id", "title", "level", "near")).alias("entries"))
-    return entries.mapInPandas(choose, ANCHORS)
+    entries = per.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("toc_order", "toc_id", "parent_toc_id", "title", "level", "near"))).alias("entries"))
+    return anchored(entries)
+
+
+def _placed(u: Column) -> Column:
+    return F.struct(*(u[c].alias(c) for c in ("global_index", "unit_page", "source_block_id")))
+
+
+def _choice(e: Column, least: Column) -> Column:
+    """``found, worth, how`` of an entry among its units from ``least`` on."""
+    open_ = F.filter(e["near"], lambda u: u["global_index"] >= least)
+    scored = F.filter(open_, lambda u: (u["offset"] < 2) & (u["score"] > 0))
+    order = lambda u: F.struct((-u["score"]).alias("less"), F.when(u["offset"] < 0, 2).otherwise(u["offset"]).alias("far"), *(u[c].alias(c) for c in ("global_index", "unit_page", "source_block_id")))
+    best = F.array_min(F.transform(scored, order))
+    ahead = F.filter(open_, lambda u: u["offset"] >= 0)
+    first, head = F.array_min(F.transform(ahead, _placed)), F.array_min(F.transform(F.filter(ahead, lambda u: u["heading"]), _placed))
+
+    def of(x: Column) -> Column:
+        good = F.coalesce(-x["best"]["less"] >= ACCEPT, F.lit(False))
+        found = F.when(good, _placed(x["best"])).otherwise(F.coalesce(x["head"], x["first"]))
+        how = F.when(good, "toc-text-anchor").when(x["head"].isNotNull(), "toc-heading-fallback").when(x["first"].isNotNull(), "toc-page-fallback").otherwise("unresolved")
+        return F.struct(found.alias("found"), F.when(good, F.bround(-x["best"]["less"], 4)).otherwise(0.0).alias("worth"), how.alias("how"))
+
+    return T.let(F.struct(best.alias("best"), first.alias("first"), head.alias("head")), of)
+
+
+def anchored(entries: DataFrame) -> DataFrame:
+    """Anchors of each document's ``entries`` in order, each behind the last that was found.
+
+    An entry has its outline fields and ``near``, the units within reach:
+    ``offset`` of their page, place, ``score`` and whether they are a
+    ``heading``.  The best score from ``ACCEPT`` on decides, the own page before
+    the next and the last one before equal scores, then the earlier unit;
+    otherwise the first heading, or unit, from the entry's page on.
+    """
+    fields = [f.split() for f in ANCHORS.split(", ")[1:]]
+    kind = f"struct<{','.join(f'{name}:{kind}' for name, kind in fields)}>"
+
+    def step(acc: Column, e: Column) -> Column:
+        def of(x: Column) -> Column:
+            place = [x["found"][c] for c in ("global_index", "unit_page", "source_block_id")]
+            values = (e["toc_id"], e["parent_toc_id"], e["title"], e["level"], *place, x["worth"], x["how"])
+            row = F.struct(*(v.cast(k).alias(name) for v, (name, k) in zip(values, fields)))
+            return F.struct(F.coalesce(x["found"]["global_index"].cast("int") + 1, acc["least"]).alias("least"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+        return T.let(_choice(e, acc["least"]), of)
+
+    start = F.struct(F.lit(0).alias("least"), F.array().cast(f"array<{kind}>").alias("rows"))
+    return entries.select("document_id", F.explode(F.aggregate("entries", start, step)["rows"]).alias("a")).select("document_id", "a.*")
 
 
 def toc_parents(toc: DataFrame) -> DataFrame:

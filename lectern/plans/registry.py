@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, headings, index, layout, retrieval, sections, validate, vectors
+from lectern.operators import chunking, headings, index, layout, retrieval, sections, tables, validate, vectors
 from lectern.plans import sql
 from lectern.plans.sql import LEAST, LOST, MOST, OVER
 from lectern.sources import fixtures, html
@@ -209,6 +209,14 @@ def page_report(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|" if c == "warnings" else ",") for c in lists})
 
 
+@query
+def page_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Tables in nested pages of the documents' lines."""
+    made = tables.tables(tables.spans_of(fixtures.page_spans(_docs(spark, d))))
+    text = F.array_join(F.transform("cells", lambda r: F.array_join(r, "\t")), "\n")
+    return made.select("table_id", "document_id", "page_number", "table_index", F.array_join(F.transform("bbox", lambda x: x.cast("int").cast("string")), ",").alias("bbox"), "row_count", "column_count", F.md5(text).alias("cells_md5"), F.md5("markdown").alias("markdown_md5"), "error")
+
+
 @query
 def body_font_size(spark: SparkSession, d: str) -> DataFrame:
     return headings.body_font_size(_units(spark, d))

@@ -190,6 +190,39 @@ cleaned AS (SELECT document_id, page_number, length(text) AS character_count, {w
 WORDS = rf"regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+')"
 
 
+def stretched(rows: str, name: str, start: str, end: str, group: str, order: str, gap: float) -> str:
+    """``rows`` with the number ``name`` of each stretch without a gap."""
+    return f"""(SELECT * EXCLUDE (fresh), sum(fresh::INT) OVER (PARTITION BY {group} ORDER BY {order} ROWS UNBOUNDED PRECEDING)::INT AS {name}
+  FROM (SELECT *, coalesce({start} - max({end}) OVER (PARTITION BY {group} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= {gap}, TRUE) AS fresh FROM {rows}))"""
+
+
+def grids() -> str:
+    """Tables of pages whose lines are laid out as the fixture says."""
+    banded = stretched("spans", "band", "y0", "y1", "doc_id", "y0, x0, t", 0.0)
+    return rf"""{LINES},
+worded AS (SELECT doc_id, pos, list_filter(regexp_split_to_array({strip('raw')}, '\s+'), lambda w: w <> '') AS w FROM lines),
+placed AS (SELECT doc_id, pos, 60.0 + 120.0 * ((generate_subscripts(w, 1) - 1) % 4) AS x0, unnest(w) AS t FROM worded WHERE pos % 7 IN (2, 3, 4)
+  UNION ALL SELECT doc_id, pos, 60.0, array_to_string(w, ' ') FROM worded WHERE pos % 7 NOT IN (2, 3, 4) AND len(w) > 0),
+spans AS (SELECT DISTINCT doc_id, x0::DOUBLE AS x0, (72.0 + 14.0 * pos)::DOUBLE AS y0, (x0 + 5.0 * length(t))::DOUBLE AS x1, (83.0 + 14.0 * pos)::DOUBLE AS y1, t FROM placed),
+celled AS (SELECT * FROM {stretched(banded, 'cell', 'x0', 'x1', 'doc_id, band', 'x0, y0, t', 12.0)}),
+bands AS (SELECT doc_id, band, min(y0) AS top, max(y1) AS bottom, max(cell) AS n FROM celled GROUP BY ALL),
+joined AS (SELECT *, NOT coalesce(n > 1 AND lag(n) OVER down > 1 AND top - lag(bottom) OVER down <= 1.5 * (lag(bottom) OVER down - lag(top) OVER down), FALSE) AS head FROM bands WINDOW down AS (PARTITION BY doc_id ORDER BY band)),
+runs AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY band ROWS UNBOUNDED PRECEDING) AS run FROM joined),
+kept AS (SELECT doc_id, band, dense_rank() OVER (PARTITION BY doc_id ORDER BY run) AS k FROM (SELECT * FROM runs WHERE n > 1 QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1)),
+owned AS (SELECT c.* EXCLUDE (cell), k FROM celled c JOIN kept USING (doc_id, band)),
+columned AS (SELECT * FROM {stretched('owned', 'col', 'x0', 'x1', 'doc_id, k', 'x0, y0, band, t', 12.0)}),
+cells AS (SELECT doc_id, k, band, col, string_agg(t, ' ' ORDER BY x0, y0, t) AS t FROM columned GROUP BY ALL),
+sizes AS (SELECT doc_id, k, max(col)::INT AS column_count, min(x0)::INT AS x0, min(y0)::INT AS y0, max(x1)::INT AS x1, max(y1)::INT AS y1 FROM columned GROUP BY ALL),
+full_rows AS (SELECT s.doc_id, s.k, b.band, list(coalesce(c.t, '') ORDER BY g) AS r
+  FROM sizes s JOIN kept b USING (doc_id, k) CROSS JOIN LATERAL unnest(range(1, s.column_count + 1)) u(g) LEFT JOIN cells c ON c.doc_id = s.doc_id AND c.k = s.k AND c.band = b.band AND c.col = g GROUP BY ALL),
+lists AS (SELECT doc_id, k, list(array_to_string(r, chr(9)) ORDER BY band) AS tabbed, list('|' || array_to_string(list_transform(r, lambda c: replace(c, '|', '\|')), '|') || '|' ORDER BY band) AS piped FROM full_rows GROUP BY ALL)
+SELECT printf('doc-%06d/page-0001/table-%03d', doc_id, k) AS table_id, printf('doc-%06d', doc_id) AS document_id, 1 AS page_number, k::INT AS table_index, concat_ws(',', x0, y0, x1, y1) AS bbox,
+  len(tabbed)::INT AS row_count, column_count, md5(array_to_string(tabbed, chr(10))) AS cells_md5,
+  CASE WHEN column_count > 1 THEN md5(array_to_string(list_concat([piped[1], '|' || repeat('---|', column_count)], piped[2:]), chr(10))) END AS markdown_md5,
+  CASE WHEN column_count < 2 THEN printf('Table Markdown conversion failed on page 1, table %d: no column is free from top to bottom', k) END AS error
+FROM lists JOIN sizes USING (doc_id, k)"""
+
+
 def stemmed(words: str, name: str | None) -> str:
     """The terms of a list of case-folded words in a language."""
     if name is None:
@@ -419,6 +452,7 @@ FROM per p LEFT JOIN kept USING (document_id) LEFT JOIN every USING (document_id
         "bm25_postings": rf"""SELECT doc_id, term, count(*) AS tf, any_value(length)::INT AS length FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all({casefold('text')}, '[\p{{L}}\p{{N}}_]+') AS w FROM documents)) GROUP BY doc_id, term""",
         "bm25_topk": f"WITH {bm25('documents', 'doc_id')} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",
         "dense_topk": f"WITH {dense(PROBES)} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
+        "page_grids": f"WITH {grids()}",
         "vector_topk": f"WITH {dense(PROBES)} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
         "bm25_stemmed": f"WITH {bm25('documents', 'doc_id', language='english')} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",
         "bm25_truncated": f"WITH {bm25('documents', 'doc_id', truncated=True)} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",

@@ -165,9 +165,9 @@ def manifest(spark: SparkSession, path: str, strict: bool = True) -> list[dict[s
     return entries
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` of files, read as binary."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, length, sha256`` of files, or of all below a folder, read as binary."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
