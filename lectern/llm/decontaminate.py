@@ -10,31 +10,34 @@ distance of the item to any run of words around the hit.
 The benchmark is a stated query set: it is applied in blocks of at most
 ``BLOCK_WORDS`` words, ``SCAN_BLOCKS`` of them in one scan of the documents,
 so what is sent at once has a fixed bound whatever the size of the benchmark.
+Tasks hash and pack the items; the driver only hands packed blocks on.
 
 Of places with the least distance the first is reported.  A very long text is
 searched as a whole; its cost grows with its length, repeated passages included.
 Null and empty texts and items without words match nothing.  Repeated
 documents give repeated rows and repeated items their own rows; null ids are
-kept as they are.  Items of fewer than ``LEAST_WORDS`` words must occur
-unchanged; they are searched in blocks of their own.  Other columns are ignored.
+kept as they are.  Items too short for one edit at the rate must occur
+unchanged.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.spark import in_arrow
+from lectern.llm.spark import in_arrow, settle
 from lectern.llm.words import hash_words, slices, split_words, windows
 
 RATE = 0.15
-LEAST_WORDS = 8
+#: Items whose pieces have fewer words are searched in blocks of their own, since a block looks for its shortest piece.
+SHORT_PIECE = 4
 #: Words of a block, and blocks that one scan of the documents looks for.
 BLOCK_WORDS, SCAN_BLOCKS = 200_000, 16
 SCHEMA = "doc_id long, item_id long, distance int, first_word long, last_word long"
@@ -89,7 +92,7 @@ class Block:
 
     def __init__(self, ids: list, items: list[np.ndarray], rate: float):
         self.ids, self.items = ids, items
-        self.k = [int(rate * len(x)) if len(x) >= LEAST_WORDS else 0 for x in items]
+        self.k = [int(rate * len(x)) for x in items]
         cuts = [pieces(len(x), k) for x, k in zip(items, self.k)]
         self.q = min((b - a for c in cuts for a, b in c), default=1)
         keys, item, at, size = [], [], [], []
@@ -142,35 +145,67 @@ class Block:
         return found
 
 
+def _packed(batches: Iterator[pa.RecordBatch], rate: float) -> Iterator[pa.RecordBatch]:
+    """Items with words, those of short pieces apart, in rows of about ``BLOCK_WORDS`` word hashes."""
+    open_: dict[bool, list] = {False: [], True: []}
+    size = {False: 0, True: 0}
+
+    def row(short: bool) -> pa.RecordBatch:
+        ids, items = zip(*open_[short])
+        open_[short], size[short] = [], 0
+        return pa.RecordBatch.from_arrays([pa.array([short]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([[len(x) for x in items]], pa.list_(pa.int64())), pa.array([np.concatenate(items).tobytes()])], ["short", "ids", "sizes", "words"])
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            (h, off), ids = symbols(part.column("text")), part.column("item_id").to_pylist()
+            for i, a, b in zip(ids, off.tolist(), off[1:].tolist()):
+                if b > a:
+                    short = (b - a) // (int(rate * (b - a)) + 1) < SHORT_PIECE
+                    open_[short].append((i, h[a:b]))
+                    size[short] += b - a
+                    if size[short] >= BLOCK_WORDS:
+                        yield row(short)
+    for short, own in open_.items():
+        if own:
+            yield row(short)
+
+
 def blocks(benchmark: DataFrame, rate: float) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size."""
+    """The benchmark in blocks of bounded size; tasks hash and pack the items, the driver joins what is packed small."""
+    rows = in_arrow(benchmark.select("item_id", "text").filter(F.col("text").isNotNull()), lambda batches: _packed(batches, rate), "short boolean, ids array<long>, sizes array<long>, words binary")
     open_: dict[bool, tuple[list, list[np.ndarray]]] = {True: ([], []), False: ([], [])}
-    words = {True: 0, False: 0}
-    for row in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
-        h, _ = symbols(pa.array([row.text]))
-        if not len(h):
-            continue
-        short = len(h) < LEAST_WORDS
-        ids, items = open_[short]
-        ids.append(row.item_id)
-        items.append(h)
-        words[short] += len(h)
-        if words[short] >= BLOCK_WORDS:
+    for r in rows.toLocalIterator():
+        ids, items = open_[r.short]
+        ids += r.ids
+        items += np.split(np.frombuffer(r.words, np.uint64), np.cumsum(r.sizes)[:-1])
+        if sum(map(len, items)) >= BLOCK_WORDS:
             yield Block(ids, items, rate)
-            open_[short], words[short] = ([], []), 0
+            open_[r.short] = ([], [])
     for ids, items in open_.values():
         if items:
             yield Block(ids, items, rate)
 
 
-def _scans(docs: DataFrame, benchmark: DataFrame, rate: float) -> Iterator[list]:
-    """Broadcasts of the blocks that one scan of the documents looks for."""
-    found = blocks(benchmark, rate)
-    while own := list(itertools.islice(found, SCAN_BLOCKS)):
-        yield [docs.sparkSession.sparkContext.broadcast(b) for b in own]
+def _scans(docs: DataFrame, benchmark: DataFrame, rate: float, scan: Callable[[DataFrame, list[Broadcast]], DataFrame], onward: bool) -> Iterator[DataFrame]:
+    """``scan(docs, sent)`` for the blocks of each scan; with ``onward`` over what the last one gave.
 
-
-def _match(docs: DataFrame, sent: list) -> DataFrame:
+    With several scans each result but the last is written before the next
+    blocks are sent, and its own are taken back: one scan's blocks are live.
+    """
+    found = blocks(benchmark, rate)
+    own = list(itertools.islice(found, SCAN_BLOCKS))
+    while own:
+        sent = [docs.sparkSession.sparkContext.broadcast(b) for b in own]
+        made, own = scan(docs, sent), list(itertools.islice(found, SCAN_BLOCKS))
+        if own:
+            made = settle(made)
+            for b in sent:
+                b.destroy()
+        docs = made if onward else docs
+        yield made
+
+
+def _match(docs: DataFrame, sent: list[Broadcast]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -193,22 +228,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     Word positions count normalised words that are not empty.
     """
     found = docs.sparkSession.createDataFrame([], SCHEMA)
-    for sent in _scans(docs, benchmark, rate):
-        found = found.unionByName(_match(docs, sent))
+    for part in _scans(docs, benchmark, rate, _match, False):
+        found = found.unionByName(part)
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without the documents in which an item was found; a null ``doc_id`` is judged by its own text."""
-    for sent in _scans(docs, benchmark, rate):
+def _kept(docs: DataFrame, sent: list[Broadcast]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, keep = symbols(part.column("text")), np.ones(part.num_rows, bool)
+                for own in sent:
+                    keep[[r[0] for r in own.value.search(*words)]] = False
+                yield part.filter(pa.array(keep))
+
+    return in_arrow(docs, run, docs.schema)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    words, keep = symbols(part.column("text")), np.ones(part.num_rows, bool)
-                    for own in sent:
-                        keep[[r[0] for r in own.value.search(*words)]] = False
-                    yield part.filter(pa.array(keep))
 
-        docs = in_arrow(docs, run, docs.schema)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """``docs`` without the documents in which an item was found; a null ``doc_id`` is judged by its own text."""
+    for docs in _scans(docs, benchmark, rate, _kept, True):  # noqa: B007
+        pass
     return docs

@@ -167,7 +167,7 @@ def test_leaks_equal_brute_force(spark, docs, empty):
     for i, t in ROWS:
         for k, item in items:
             a = norm(item)
-            if len(a) >= decontaminate.LEAST_WORDS and semi_global(a, norm(t)) <= int(decontaminate.RATE * len(a)):
+            if a and semi_global(a, norm(t)) <= int(decontaminate.RATE * len(a)):
                 want.add((i, k, semi_global(a, norm(t))))
     got = decontaminate.leaks(docs, bench)
     assert {(r.doc_id, r.item_id, r.distance) for r in got.collect()} == want
@@ -186,11 +186,44 @@ def test_leaks_at_the_start_of_a_slice(spark):
 
 
 def test_short_items_are_searched_exactly(spark):
-    docs = spark.createDataFrame([(1, "say: the CAPITAL of France, is"), (2, "the capital of x France"), (3, "yes"), (4, "a b c d e f g and yes yes"), (5, "a b c d e f h"), (6, None)], "doc_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(1, "say: the CAPITAL of France, is"), (2, "the capital of x France"), (3, "yes"), (4, "a b c d e f g and yes yes"), (5, "a b c d e f h"), (6, None), (7, "a b c d e x h")], "doc_id long, text string").coalesce(1)
     bench = spark.createDataFrame([(1, "The capital of France"), (2, "Yes!"), (3, "a b c d e f g"), (4, "?"), (5, None)], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.distance, r.first_word, r.last_word) for r in decontaminate.leaks(docs, bench).collect())
-    assert got == [(1, 1, 0, 1, 4), (3, 2, 0, 0, 0), (4, 2, 0, 8, 8), (4, 3, 0, 0, 6)]
-    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 5, 6]
+    # seven words may have one edit at the rate of 0.15, six none
+    assert got == [(1, 1, 0, 1, 4), (3, 2, 0, 0, 0), (4, 2, 0, 8, 8), (4, 3, 0, 0, 6), (5, 3, 1, 0, 5)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 6, 7]
+
+
+def test_scans_hold_their_own_blocks_only(spark, docs, monkeypatch):
+    items = [(k, " ".join(BASE[a : a + n])) for k, (a, n) in enumerate([(0, 5), (10, 30), (40, 8), (60, 40), (100, 7), (120, 25), (150, 60), (220, 3), (230, 33)])]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    want = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    kept = sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect())
+    live, most, send = set(), [], spark.sparkContext.broadcast
+    destroy = decontaminate.Broadcast.destroy
+
+    def sending(value):
+        b = send(value)
+        live.add(id(b))
+        most.append((len(live), sum(map(len, value.items))))
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", sending)
+    monkeypatch.setattr(decontaminate.Broadcast, "destroy", lambda b, *a: live.discard(id(b)) or destroy(b, *a))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(decontaminate, "SCAN_BLOCKS", 2)
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want and want
+    assert len(most) > 2 and max(n for n, _ in most) <= 2 and max(w for _, w in most) < 2 * (50 + 60)
+    live.clear()
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == kept and max(n for n, _ in most) <= 2
+
+
+def test_repeated_hits_in_a_very_long_text(spark):
+    item = " ".join(f"q{i % 9}" for i in range(27))
+    text = " ".join(["w"] * 300 + (item.split()[:20] + ["z"]) * 400 + item.split())
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").coalesce(1)
+    got = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.distance) for r in got] == [(1, 0)]
 
 
 def against_sql(spark, frame, statement, **tables):
