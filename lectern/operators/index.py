@@ -90,6 +90,11 @@ def from_table(vectors: DataFrame, column: str = "embedding") -> Encoder:
     return encode
 
 
+def _name(encode: Encoder) -> str:
+    """A model's name, for whose entry points it is the encoder, or a function's."""
+    return getattr(getattr(encode, "__self__", None), "name", None) or encode.__name__.replace("_", "-")
+
+
 def lexical(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "document_id", retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text")).alias("text"))
 
@@ -136,7 +141,7 @@ def build(
     if old and not recreate:
         raise StoreError(f"an index exists at {path}")
     slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = {"version": 0, "segments": [], "chunk_count": 0, "word_total": 0, "language": language, "slots": slots, "cells": cells, "dimension": None, "facts": facts or {}}
+    manifest = {"version": 0, "segments": [], "chunk_count": 0, "word_total": 0, "language": language, "slots": slots, "cells": cells, "dimension": None, "encoder": _name(encode), "facts": facts or {}}
     manifest["next_segment"] = old["next_segment"] if old else 1
     manifest["version"] = old["version"] if old else 0
     _publish(spark, path, _with_segment(chunks, path, manifest, encode))
@@ -232,7 +237,7 @@ def _publish(spark: SparkSession, path: str, manifest: dict) -> dict:
     count = ids.count()
     now = spark.range(1).select(layout.utc_now().alias("t")).first().t
     told = {
-        "schema_version": "1.0", "created_at": now, "collection_name": path.rstrip("/").rpartition("/")[2], "dense_model": "hashed-terms", "dense_dimension": manifest["dimension"], "sparse_model": "bm25",
+        "schema_version": "1.0", "created_at": now, "collection_name": path.rstrip("/").rpartition("/")[2], "dense_model": manifest["encoder"], "dense_dimension": manifest["dimension"], "sparse_model": "bm25",
         "bm25_language": manifest["language"], "bm25_average_document_length": round(own.average, 4), "distance": "cosine", "fusion": "rrf", "dense_vector_name": "dense", "sparse_vector_name": "bm25",
         "document_ids": [r.document_id for r in ids.orderBy("document_id").collect()] if count <= LISTED else None, "document_count": count, "store_mode": "local", "store_path": path, "store_url": None,
     }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, headings, index, layout, retrieval, sections, tables, validate, vectors
+from lectern.operators import chunking, encoders, headings, index, layout, retrieval, sections, tables, validate, vectors
 from lectern.plans import sql
 from lectern.plans.sql import LEAST, LOST, MOST, OVER
 from lectern.sources import fixtures, html
@@ -308,6 +308,16 @@ def section_report(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumn("warnings", F.array_join("warnings", "|"))
 
 
+@query
+def warned_report(spark: SparkSession, d: str) -> DataFrame:
+    """Section reports of documents whose outlines have entries that were not found: every third."""
+    c, toc = Corpus(spark, d), _toc(spark, d)
+    found = toc.withColumn("anchor_index", F.when(F.col("toc_order") % 3 > 0, F.col("toc_order")))
+    modes = c.documents.select("document_id", F.lit("toc").alias("detection_mode"))
+    made = sections.full_report(c.sections, c.events, headings.body_font_size(c.units), modes, headings.toc_warnings(found, toc))
+    return made.select("document_id", "detection_mode", "section_count", F.size("warnings").alias("n_warnings"), F.array_join("warnings", "|").alias("warnings"))
+
+
 def _outlines(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame, DataFrame]:
     """Documents in turn in toc, font and auto mode; every fourth has no outline, and some entries point beyond the last page."""
     c = Corpus(spark, d)
@@ -505,6 +515,13 @@ def vector_recall(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(near.withColumn("found", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("found").alias("found"))
 
 
+@query
+def dense_projected(spark: SparkSession, d: str) -> DataFrame:
+    """Documents near the benchmark items by a projection fitted on the documents."""
+    model = encoders.fit(_docs(spark, d), "doc_id", "text")
+    return retrieval.dense(model.documents(_docs(spark, d), "doc_id", "text"), model.queries(_asked(spark, d), "query_id", "text"), "doc_id").select("query_id", "doc_id", "score", "rank")
+
+
 @query
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
@@ -696,6 +713,14 @@ def search_contexts(spark: SparkSession, d: str) -> DataFrame:
     return passages.select("query_id", "position", "context_type", "parent_id", "page_start", "page_end", F.array_join("chunk_ids", ",").alias("chunk_ids"), "truncated", "token_count_approx")
 
 
+@query
+def search_merged_text(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of overlapping neighbours around the hits, each repeated passage once, before any budget."""
+    own = _index(spark, d)[1]
+    passages = retrieval.contexts(own.search(_asked(spark, d)), Corpus(spark, d).parents, own.points, "neighbors")
+    return passages.select("query_id", "position", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def search_auto(spark: SparkSession, d: str) -> DataFrame:
     c, found = _index(spark, d)

@@ -321,8 +321,8 @@ passages AS (SELECT f.query_id, f.position, CASE WHEN {up} THEN 'parent' ELSE 'n
   FROM firsts f JOIN convs c ON c.parent_id = f.parent_id JOIN around a ON a.query_id = f.query_id AND a.position = f.position)"""
 
 
-def found(mode: str, limit: int = R.PARENT_LIMIT, budget: int = R.CONTEXT_BUDGET) -> str:
-    """Passages around the hits of ``search``, within the budget."""
+def around(mode: str, limit: int = R.PARENT_LIMIT) -> str:
+    """``passages`` around the hits of ``search``."""
     up = f"{tokens('c.text')} BETWEEN 1 AND {limit}" if mode == "auto" else "FALSE"
     first = f"""{search()}, {PARENTS},
 turns AS (SELECT chunk_id, section_id AS parent_id, chunk_number, text, page_start, page_end FROM chunks),
@@ -331,7 +331,12 @@ firsts AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id,
 passages AS (SELECT f.query_id, f.position, CASE WHEN {up} THEN 'parent' ELSE 'neighbours' END AS context_type, f.parent_id,
   CASE WHEN {up} THEN c.page_start ELSE a.page_start END AS page_start, CASE WHEN {up} THEN c.page_end ELSE a.page_end END AS page_end,
   CASE WHEN {up} THEN '' ELSE a.chunk_ids END AS chunk_ids, CASE WHEN {up} THEN c.text ELSE a.text END AS text
-  FROM firsts f JOIN parents c ON c.parent_id = f.parent_id JOIN around a ON a.query_id = f.query_id AND a.position = f.position),
+  FROM firsts f JOIN parents c ON c.parent_id = f.parent_id JOIN around a ON a.query_id = f.query_id AND a.position = f.position)"""
+
+
+def found(mode: str, limit: int = R.PARENT_LIMIT, budget: int = R.CONTEXT_BUDGET) -> str:
+    """Passages around the hits of ``search``, within the budget."""
+    return f"""{around(mode, limit)},
 counted AS (SELECT *, {tokens('text')} AS n, sum({tokens('text')}) OVER (PARTITION BY query_id ORDER BY position) AS upto FROM passages)
 SELECT query_id, position::INT AS position, context_type, parent_id, page_start, page_end, chunk_ids, upto > {budget} AS truncated, least(n, {budget} - (upto - n))::BIGINT AS token_count_approx
 FROM counted WHERE upto <= {budget} OR {budget} - (upto - n) >= {R.LEAST_CUT}"""
@@ -426,6 +431,11 @@ counted AS (SELECT document_id, count(*) AS heading_event_count FROM events GROU
 SELECT printf('doc-%06d', d.doc_id) AS document_id, '1.0' AS schema_version, 'font' AS detection_mode, body_font_size, coalesce(heading_event_count, 0) AS heading_event_count, coalesce(section_count, 0) AS section_count, coalesce(indexable_section_count, 0) AS indexable_section_count,
   coalesce(non_indexable_section_count, 0) AS non_indexable_section_count, coalesce(sections_with_code_count, 0) AS sections_with_code_count, coalesce(short_section_count, 0) AS short_section_count, 0::BIGINT AS fallback_anchor_count, 0::BIGINT AS low_confidence_anchor_count, '' AS warnings
 FROM documents d LEFT JOIN body b ON b.document_id = printf('doc-%06d', d.doc_id) LEFT JOIN counted c ON c.document_id = printf('doc-%06d', d.doc_id) LEFT JOIN per p ON p.document_id = printf('doc-%06d', d.doc_id)""",
+        "warned_report": f"""{with_}{SECTIONS}, counted AS (SELECT document_id, count(*) AS section_count FROM sections GROUP BY document_id),
+outlined AS (SELECT document_id, text AS title, page_number, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS k FROM blocks WHERE font_size > 10),
+lost AS (SELECT document_id, count(*)::INT AS n_warnings, string_agg(printf('Could not resolve TOC entry ''%s'' on page %d.', title, page_number), '|' ORDER BY k) AS warnings FROM outlined WHERE k % 3 = 0 GROUP BY document_id)
+SELECT printf('doc-%06d', d.doc_id) AS document_id, 'toc' AS detection_mode, coalesce(section_count, 0) AS section_count, coalesce(n_warnings, 0) AS n_warnings, coalesce(warnings, '') AS warnings
+FROM documents d LEFT JOIN counted c ON c.document_id = printf('doc-%06d', d.doc_id) LEFT JOIN lost l ON l.document_id = printf('doc-%06d', d.doc_id)""",
         "detection_modes": f"""WITH {BLOCKS} SELECT printf('doc-%06d', doc_id) AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'toc' WHEN doc_id % 3 = 1 THEN 'font' WHEN doc_id % 4 <> 3 AND EXISTS (SELECT 1 FROM blocks b WHERE head AND b.document_id = printf('doc-%06d', doc_id)) THEN 'toc' ELSE 'font' END AS detection_mode FROM documents""",
         "split_oversized": f"{with_}{DOC_ATOMS} SELECT document_id, pos::INT AS pos, part::INT AS part, tok::BIGINT AS tokens, md5(text) AS digest FROM atoms",
         "section_atoms": f"{with_}{section_atoms()} SELECT document_id, section_id, source_block_id, part::INT AS part, page_number, tok::BIGINT AS token_count FROM atoms",
@@ -501,6 +511,7 @@ SELECT (SELECT count(DISTINCT document_id) FROM chunks) AS document_count, count
 (SELECT string_agg(document_id, ',' ORDER BY document_id) FROM (SELECT DISTINCT document_id FROM chunks)) AS document_ids FROM named""",
         "search_filtered": f"{with_}{search('document_id[5:]::INT % 2 = 0')} SELECT query_id, chunk_id, parent_id, score, rank::INT AS rank, position::INT AS position FROM best",
         "search_contexts": f"{with_}{found('neighbors', budget=900)}",
+        "search_merged_text": f"{with_}{around('neighbors')} SELECT query_id, position::INT AS position, chunk_ids, sha256(text) AS text_sha256 FROM passages",
         "search_auto": f"{with_}{found('auto', limit=250)}",
         "html_blocks": f"WITH {_html()} SELECT page_id, block_index::INT AS block_index, level, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM shown",
         "html_outline": f"""WITH {_html()}, heads AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_index) AS o, level, text FROM shown WHERE level IS NOT NULL),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern import cli
 from lectern.functions import analysis
-from lectern.operators import index, retrieval, vectors
+from lectern.operators import encoders, index, retrieval, vectors
 from lectern.plans import registry
 from lectern.sources import files, sinks
 
@@ -298,3 +298,44 @@ def test_command_line_of_the_index(spark, tmp_path):
     said = [json.loads(x) for x in cli.run(spark, ["search", *where, "--query", "brandnew", "--query", "xyzzy", "--json", "--context-mode", "child"])]
     assert [x["query"] for x in said] == ["brandnew", "xyzzy"] and said[0]["hits"][0]["chunk_id"] == "d3/0003"
     assert said[0]["retrieval"]["bm25_language"] == "spanish" and said[0]["contexts"][0]["text"] == "brandnew words"
+
+
+TOPICS = {"sea": "boat wave salt harbour anchor tide", "wood": "tree bark leaf root forest moss", "city": "street tram market bridge tower square"}
+
+
+def topical(n=240):
+    random.seed(12)
+    return [(i, topic := list(TOPICS)[i % 3], " ".join(random.choices(TOPICS[topic].split(), k=8) + random.choices(["and", "the", "of"], k=4))) for i in range(n)]
+
+
+def test_projection_finds_topics(spark, tmp_path):
+    rows = topical()
+    docs = spark.createDataFrame(rows, "key long, topic string, text string").repartition(4)
+    model = encoders.fit(docs, "key", "text", dimension=8, batch=7)
+    again = encoders.fit(docs.repartition(3), "key", "text", dimension=8, batch=7)
+    assert np.allclose(model.axes, again.axes) and np.array_equal(model.weight, again.weight)
+    asked = spark.createDataFrame([(1, "tide boat"), (2, "moss, moss; LEAF"), (3, ""), (4, None), (5, "unheard")], "query_id long, text string")
+    vectors_ = {r.query_id: np.array(r.embedding) for r in model.queries(asked, "query_id", "text").collect()}
+    assert all(not vectors_[k].any() for k in (3, 4, 5)) and np.isclose(np.linalg.norm(vectors_[1]), 1)
+    near = retrieval.dense(model.documents(docs, "key", "text"), model.queries(asked.filter("query_id < 3"), "query_id", "text"), "key", 40).collect()
+    topic = {r[0]: r[1] for r in rows}
+    assert {topic[r.key] for r in near if r.query_id == 1} == {"sea"} and {topic[r.key] for r in near if r.query_id == 2} == {"wood"}
+    model.save(spark, str(tmp_path / "m"))
+    loaded = encoders.load(spark, str(tmp_path / "m"), batch=1000)
+    texts = docs.filter("key < 50")
+    shown_ = lambda m: [(r.key, [round(v, 12) for v in r.embedding]) for r in m.documents(texts, "key", "text").orderBy("key").collect()]
+    assert shown_(loaded) == shown_(model)
+    none = encoders.fit(docs.limit(0), "key", "text", dimension=8)
+    assert not none.documents(texts, "key", "text").filter("exists(embedding, v -> v <> 0)").count() and none.documents(docs.limit(0), "key", "text").count() == 0
+
+
+def test_index_with_a_model_of_two_entry_points(spark, tmp_path):
+    rows = [chunk(i, text) for i, _, text in topical(60)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    model = encoders.fit(chunks, "chunk_id", "text", dimension=8)
+    index.build(chunks, str(tmp_path / "i"), model.documents, slots=2)
+    own = index.Index(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "anchor")], "query_id long, text string")
+    assert index.described(spark, str(tmp_path / "i"))["dense_model"] == "latent-terms" and own.manifest["dimension"] == 8
+    hits = own.search(asked, model.queries, top=8, per_parent=8).collect()
+    assert len(hits) == 8 and all(set(h.text.split()) & set(TOPICS["sea"].split()) for h in hits)
