@@ -368,6 +368,35 @@ def test_warc_rebuilds_records(spark, tmp_path):
         assert bytes(r.record) == head.encode() + block + b"\r\n\r\n"
 
 
+def test_slashed_dates_stay_apart(spark):
+    days = [f"{d:02d}/{m:02d}/{y}" for y in (1999, 2020) for m in range(1, 13) for d in range(1, 32)]
+    df = spark.createDataFrame([(t,) for t in days], "t string").withColumn("p", pii.replace(F.col("t"), "k"))
+    import datetime
+
+    def known(t):
+        out = set()
+        for a, b in (("m", "d"), ("d", "m")):
+            x = dict(zip((a, b, "y"), map(int, t.split("/"))))
+            try:
+                out.add((a, datetime.date(x["y"], x["m"], x["d"])))
+            except ValueError:
+                pass
+        return out
+
+    got = {r.t: r.p for r in df.collect()}
+    real = [t for t in days if known(t)]
+    assert len({got[t] for t in real}) == len(set(real)) and all(got[t] == t for t in days if not known(t))
+    assert all(known(got[t]) for t in real)
+    # what can only be day first stays so
+    assert all(int(got[t][:2]) > 12 for t in real if int(t[:2]) > 12) and sum(got[t] != t for t in real) > 0.98 * len(real)
+
+
+def test_padded_addresses(spark):
+    texts = ["192.168.001.001", "192.168.1.1", "8.8.8.8", "010.000.000.001"]
+    got = [r.p for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("p", pii.replace(F.col("t"), "k")).orderBy("k").collect()]
+    assert [len(x) for x in (got[0], got[3])] == [15, 15] and [int(x) for x in got[0].split(".")] == [int(x) for x in got[1].split(".")] and got[2] != texts[2]
+
+
 @pytest.mark.parametrize("name,column,sf", [("op6_quality", "quality", "0.01"), ("op4_toxicity", "toxic", "0.1")])
 def test_classifiers_on_held_out_rows(spark, name, column, sf):
     # sf0.01 has only some 35 toxic training rows, too few to learn the words of three of the languages
