@@ -46,11 +46,20 @@ _SPECIAL = str.maketrans({c: "\\" + c for c in "$.\\"})
 PREFIX_PATTERN = r"^\s*(?:" + "|".join(p.translate(_SPECIAL) for p in COMMAND_PREFIXES) + ")"
 
 
+
+
+def _alternative(pattern: str) -> str:
+    """A pattern without its start, which all of them share."""
+    rest = pattern.removeprefix("(?i)").removeprefix(r"^\s*")
+    return f"(?i:{rest})" if pattern.startswith("(?i)") else f"(?:{rest})"
+
+
+#: One pattern for all: a line is turned into a Java string once instead of once for each.
+COMMAND = r"^\s*(?:" + "|".join(map(_alternative, (PREFIX_PATTERN, *COMMAND_PATTERNS))) + ")"
+
+
 def is_command(line: Column) -> Column:
-    found = line.rlike(PREFIX_PATTERN)
-    for p in COMMAND_PATTERNS:
-        found = found | line.rlike(p)
-    return found
+    return line.rlike(COMMAND)
 
 
 def span_fields(flags: Column) -> Column:
@@ -153,8 +162,9 @@ def margin_signature(text: Column, y0: Column, y1: Column, height: Column) -> Co
     """``top:`` or ``bottom:`` and the normalised text of a block in a page's margin, else null."""
     region = F.when(y1 <= height * 0.12, "top").when(y0 >= height * 0.88, "bottom")
     body = T.strip(text)
-    normal = T.margin_text(body)
-    return F.when((height > 0) & (F.length(body) <= 180) & (normal != ""), F.concat(region, F.lit(":"), normal))
+    # most blocks are in no margin or too long: their text is not normalised
+    signed = T.let(T.margin_text(body), lambda n: F.when(n != "", F.concat(region, F.lit(":"), n)))
+    return F.when((height > 0) & region.isNotNull(), F.when(F.length(body) <= 180, signed))
 
 
 def signatures(blocks: DataFrame) -> DataFrame:
