@@ -18,6 +18,8 @@ from lectern.operators import vectors as V
 K1, B, RRF_K, EMPTY_LENGTH = 1.2, 0.75, 2, 256.0
 TOP_K, CANDIDATES, PER_PARENT, WINDOW = 8, 30, 2, 1
 PARENT_LIMIT, CONTEXT_BUDGET, LEAST_CUT = 1400, 6000, 50
+#: Terms that go into a scan as literals; more are joined.
+LITERALS = 5000
 #: Shares of the vectors that many queries meet.
 SHARES = 64
 #: Places of shown scores, and of those that ranks go by: sums of one set of terms in another order agree in these.
@@ -59,7 +61,14 @@ def average_length(texts: DataFrame, text: str = "text") -> DataFrame:
 def postings(texts: DataFrame, key: str, text: str = "text", among: DataFrame | None = None, language: str | None = None) -> DataFrame:
     """``key, term, tf, length``; only terms in ``among`` (``term``), if given, which are picked before anything is grouped."""
     words = texts.select(key, terms(F.col(text), language).alias("w"))
-    rows = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    own = F.col("w")
+    if among is not None:
+        wanted = among.select("term").distinct().limit(LITERALS + 1).collect()
+        if len(wanted) <= LITERALS:
+            # the words that nobody asked for do not leave their text
+            known, among = sorted(r.term for r in wanted), None
+            own = F.filter(own, lambda w: w.isin(known))
+    rows = words.select(key, F.size("w").alias("length"), F.explode(own).alias("term"))
     if among is not None:
         rows = rows.join(among, "term", "left_semi")
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))

@@ -445,7 +445,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexical(texts: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    wanted = F.broadcast(asked.select(F.explode(retrieval.terms(F.col("text"))).alias("term")).distinct())
+    wanted = asked.select(F.explode(retrieval.terms(F.col("text"))).alias("term")).distinct()
     return retrieval.bm25(retrieval.postings(texts, key, among=wanted), asked, key, retrieval.sizes(texts))
 
 
