@@ -154,6 +154,13 @@ def font_statistics(spans: DataFrame, *keys: str) -> DataFrame:
     return spans.filter(size > 0).groupBy(*keys).agg(F.sum(size).alias("characters"), share("is_bold").alias("bold_ratio"), share("is_monospaced").alias("monospaced_ratio"), F.max("font_size").alias("maximum_font_size"))
 
 
+def font_histogram(spans: DataFrame, *keys: str) -> DataFrame:
+    """Per key and size in half points (``size``) the ``characters`` of spans ``text, font_size``, their texts stripped; blank ones do not count, spans without a size have 0."""
+    n = F.length(T.strip(F.col("text")))
+    sized = spans.filter(n > 0).withColumns({"size": half_point(F.coalesce(F.col("font_size"), F.lit(0.0))), "_n": n})
+    return sized.groupBy(*keys, "size").agg(F.sum("_n").alias("characters"))
+
+
 def half_point(size: Column) -> Column:
     return F.bround(size * 2) / 2
 

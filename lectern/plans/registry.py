@@ -755,6 +755,13 @@ def font_statistics(spark: SparkSession, d: str) -> DataFrame:
     return layout.font_statistics(spans, "document_id", "page_number")
 
 
+@query
+def font_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Characters by half-point size, in each document and on each page."""
+    spans = _blocks(spark, d).withColumn("font_size", F.col("font_size") + F.col("page_number") % 4 * 0.25)
+    return layout.font_histogram(spans, "document_id", "page_number")
+
+
 @query
 def manual_chapters(spark: SparkSession, d: str) -> DataFrame:
     units = Corpus(spark, d).units

@@ -463,6 +463,7 @@ FROM per p LEFT JOIN kept USING (document_id) LEFT JOIN every USING (document_id
         "bm25_topk": f"WITH {bm25('documents', 'doc_id')} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",
         "dense_topk": f"WITH {dense(PROBES)} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
         "page_grids": f"WITH {grids()}",
+        "font_histogram": f"WITH {BLOCKS} SELECT document_id, page_number, round_even((font_size + page_number % 4 * 0.25) * 2, 0) / 2 AS size, sum(length({strip('text')}))::BIGINT AS characters FROM blocks WHERE {strip('text')} <> '' GROUP BY ALL",
         "vector_topk": f"WITH {dense(PROBES)} SELECT query_id, vec_id, score, rank::INT AS rank FROM dense",
         "bm25_stemmed": f"WITH {bm25('documents', 'doc_id', language='english')} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",
         "bm25_truncated": f"WITH {bm25('documents', 'doc_id', truncated=True)} SELECT query_id, doc_id, score, rank::INT AS rank FROM hits",
