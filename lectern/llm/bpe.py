@@ -34,9 +34,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,;:!?]"
 #: Pre-tokens that are merged at once.
-MERGED = 50_000
-#: Pre-tokens in a generation of the cache.
-CACHE_WORDS = 200_000
+MERGED = 20_000
+#: Pre-tokens in a generation of the cache; bytes of text that are encoded at once.
+CACHE_WORDS, SLICE = 100_000, 1 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, count = bpe.encode(part.column("text"))
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), ids)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
@@ -313,7 +313,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, n = bpe.encode(part.column("text"))
                 of_ids = [hashlib.sha256(t[:-1]).hexdigest() for t in bpe.decimal.join(ids, n)]
                 of_text = [hashlib.sha256(t).hexdigest() for t in bpe.decode(ids, n)]
