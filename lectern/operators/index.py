@@ -46,6 +46,8 @@ from lectern.sources.sinks import stage
 DIMENSION = 64
 #: Chunks of a range; terms and ranges of one search that go into the scan as literals.
 RANGE, LITERALS = 64, 2000
+#: Chunks for each slot of terms at least.
+SLOT = 1000
 #: Documents that the manifest lists; of more it gives the number, and ``points`` has them.
 LISTED = 10_000
 MANIFEST = "manifest.json"
@@ -133,14 +135,14 @@ def build(
     """Write the index of the chunks to ``path``; an existing one is an error unless it is recreated.
 
     ``language`` chooses stop words and stems; ``slots`` (by default the number of
-    shuffle partitions) and ``cells`` how finely terms and vectors are clustered;
+    shuffle partitions, of few chunks fewer) and ``cells`` how finely terms and vectors are clustered;
     ``facts`` go into the manifest.
     """
     spark = chunks.sparkSession
     old = _manifest(spark, path) if files.exists(spark, f"{path}/{MANIFEST}") else None
     if old and not recreate:
         raise StoreError(f"an index exists at {path}")
-    slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots or min(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count() // SLOT + 1)
     manifest = {"version": 0, "segments": [], "chunk_count": 0, "word_total": 0, "language": language, "slots": slots, "cells": cells, "dimension": None, "encoder": _name(encode), "facts": facts or {}}
     manifest["next_segment"] = old["next_segment"] if old else 1
     manifest["version"] = old["version"] if old else 0
