@@ -54,3 +54,12 @@ def test_paragraphs_and_preview(spark):
     assert column(spark, ["a\n \nb\n\n\nc ", ""], T.split_paragraphs) == [["a", "b", "c"], []]
     assert column(spark, ["x" * 301, "x" * 300], T.preview) == ["x" * 297 + "...", "x" * 300]
     assert unicodedata.normalize("NFKC", "ﬁ") == column(spark, ["ﬁ"], T.nfkc)[0]
+
+
+def test_white_space_is_what_the_pattern_takes(spark):
+    rows = spark.range(1, 0x3100).select(F.decode(F.encode(F.expr("from_json(concat('[\"\\\\u', lpad(hex(id), 4, '0'), '\"]'), 'array<string>')[0]"), "UTF-8"), "UTF-8").alias("x"))
+    rows = rows.select(F.concat("x", F.lit("a"), "x", "x", F.lit("b "), "x").alias("c")).filter("c IS NOT NULL")
+    strip, spaces = F.regexp_replace("c", r"(?U)^\s+|\s+\z", ""), F.regexp_replace("c", r"(?U)\s+", " ")
+    assert rows.count() > 12000
+    assert rows.filter(~T.strip(F.col("c")).eqNullSafe(strip) | ~T.squeeze(F.col("c")).eqNullSafe(F.regexp_replace(spaces, "^ | $", ""))).count() == 0
+    assert "regexp" not in rows.select(T.strip(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
