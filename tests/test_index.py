@@ -339,3 +339,28 @@ def test_index_with_a_model_of_two_entry_points(spark, tmp_path):
     assert index.described(spark, str(tmp_path / "i"))["dense_model"] == "latent-terms" and own.manifest["dimension"] == 8
     hits = own.search(asked, model.queries, top=8, per_parent=8).collect()
     assert len(hits) == 8 and all(set(h.text.split()) & set(TOPICS["sea"].split()) for h in hits)
+
+
+def test_a_build_encodes_each_chunk_once(spark, tmp_path):
+    """The sample, the ranges and the cells read what the encoder gave, they do not call for it again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(texts, key, text):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        plain = index.hashed_terms(texts, key, text)
+        return plain.mapInArrow(run, plain.schema)
+
+    index.build(spark.createDataFrame(corpus(spark, 60), CHUNK), str(tmp_path / "i"), counting, slots=2, cells=3)
+    assert seen.value == 60 and index.Index(spark, str(tmp_path / "i")).embeddings.count() == 60
+
+
+def test_postings_are_counted_where_the_words_are(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["é", "e", "é", "z", "z", "z"])], "k int, w array<string>")
+    made = rows.select("k", retrieval.counted(F.col("w")).alias("c"))
+    got = {r.k: [tuple(x) for x in r.c] for r in made.collect()}
+    assert got == {1: [("a", 1), ("b", 2)], 2: [], 3: [], 4: [("e", 1), ("z", 3), ("é", 2)]}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
