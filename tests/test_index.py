@@ -364,3 +364,10 @@ def test_postings_are_counted_where_the_words_are(spark):
     got = {r.k: [tuple(x) for x in r.c] for r in made.collect()}
     assert got == {1: [("a", 1), ("b", 2)], 2: [], 3: [], 4: [("e", 1), ("z", 3), ("é", 2)]}
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
+
+
+def test_manifest_query_has_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(index, "LISTED", 3)
+    row = registry.queries()["index_manifest"](spark, "/root/testdata/sf0.001").first()
+    ids = row.document_ids.split(",")
+    assert len(ids) == row.document_count > 3 and ids == sorted(set(ids))
