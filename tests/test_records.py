@@ -218,3 +218,12 @@ def test_skeleton_boxes_and_lines(spark, tmp_path):
         assert sorted(r.line for r in readers.bad_lines(spark, str(f), "a int").collect()) == [98, 195, 292, 389, 486, 501]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_units_find_their_sections_in_one_exchange(spark):
+    units = spark.createDataFrame([("d", k, f"t{k}") for k in range(6)], "document_id string, global_index int, text string")
+    events = spark.createDataFrame([("d", 1, "e1"), ("d", 4, "e4")], "document_id string, anchor_index int, event_id string")
+    made = sections.assign(units, events)
+    assert sorted((r.global_index, r.event_id) for r in made.collect()) == [(1, "e1"), (2, "e1"), (3, "e1"), (4, "e4"), (5, "e4")]
+    assert made.columns == ["document_id", "global_index", "text", "event_id"]
+    assert made._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
