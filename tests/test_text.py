@@ -63,3 +63,19 @@ def test_white_space_is_what_the_pattern_takes(spark):
     assert rows.count() > 12000
     assert rows.filter(~T.strip(F.col("c")).eqNullSafe(strip) | ~T.squeeze(F.col("c")).eqNullSafe(F.regexp_replace(spaces, "^ | $", ""))).count() == 0
     assert "regexp" not in rows.select(T.strip(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarity_equals_the_plain_matcher():
+    from difflib import SequenceMatcher
+
+    pairs = [("Chapter 3: Walking Nations", t) for t in ("walking nations", "nations walking far away from here", "", "CHAPTER 3 walking", "ﬁne ß")] + [("a", "ab"), ("abc", "cba abc")]
+    for title, text in pairs:
+        plain = lambda x: T._words(T._collapse(x))
+        bare = lambda x: "".join(ch for ch in plain(x) if ch.isascii() and ch.isalnum())
+        ratios = [SequenceMatcher(None, bare(title), bare(text)).ratio(), SequenceMatcher(None, plain(title), plain(text)).ratio()] if bare(text) else [0.0]
+        full, cut = T.similarity([title], text), T.similarity([title], text, 0.6)
+        assert full >= round(max(ratios), 4) and (cut == full or (cut < 0.6 and full < 0.6))
+    T._forms.cache_clear()
+    T.similarity(["one title"], "a text")
+    T.similarity(["one title"], "a text")
+    assert T._forms.cache_info().hits == 2
