@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern import cli
 from lectern.functions import text as T
+from lectern.plans import registry
 from lectern.operators import chunking, headings, index, layout, retrieval, sections
 
 BLOCKS = "document_id string, source_block_id string, text string, page_number int, likely_code_block boolean"
@@ -227,3 +228,16 @@ def test_units_find_their_sections_in_one_exchange(spark):
     assert sorted((r.global_index, r.event_id) for r in made.collect()) == [(1, "e1"), (2, "e1"), (3, "e1"), (4, "e4"), (5, "e4")]
     assert made.columns == ["document_id", "global_index", "text", "event_id"]
     assert made._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_stages_by_document_deal_no_text_again(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = registry.Corpus(spark, "/root/testdata/sf0.001")
+        placed = sections.assign(c.units, c.events, together=True)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (placed, c.atoms)]
+        assert all("Exchange" not in plan and "SortMergeJoin" in plan for plan in plans)
+        assert placed.count() == sections.assign(c.units, c.events).count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
