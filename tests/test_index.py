@@ -371,3 +371,14 @@ def test_manifest_query_has_all_documents(spark, monkeypatch):
     row = registry.queries()["index_manifest"](spark, "/root/testdata/sf0.001").first()
     ids = row.document_ids.split(",")
     assert len(ids) == row.document_count > 3 and ids == sorted(set(ids))
+
+
+def test_postings_are_packed_by_term_and_range(spark, tmp_path):
+    chunks = spark.createDataFrame(corpus(spark, 60), CHUNK).coalesce(1)
+    index.build(chunks, str(tmp_path / "i"), slots=2, cells=2)
+    own = index.Index(spark, str(tmp_path / "i"))
+    packed = own._table("postings")
+    assert packed.count() == packed.select("term", "range").distinct().count() < own.postings.count()
+    plain = retrieval.postings(index.lexical(chunks), "chunk_id")
+    rows = lambda df: sorted((r.chunk_id, r.term, r.tf, r.length) for r in df.collect())
+    assert rows(own.postings) == rows(plain)
