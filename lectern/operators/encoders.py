@@ -75,6 +75,9 @@ class Projection:
         """``key, embedding`` of documents."""
         return self._encode(texts, key, text, False)
 
+    #: as ``index.carries`` marks it
+    documents.carries = True
+
     def queries(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         """``key, embedding`` of queries."""
         return self._encode(texts, key, text, True)

@@ -382,3 +382,38 @@ def test_postings_are_packed_by_term_and_range(spark, tmp_path):
     plain = retrieval.postings(index.lexical(chunks), "chunk_id")
     rows = lambda df: sorted((r.chunk_id, r.term, r.tf, r.length) for r in df.collect())
     assert rows(own.postings) == rows(plain)
+
+
+def test_a_build_deals_no_texts_and_small_postings(spark, tmp_path, monkeypatch):
+    """Ranges are chunks as they lie; postings carry neither lengths nor what follows from their lists; bounds are no table of their own."""
+    dealt = []
+    plain = type(spark.range(1)).repartitionById
+    monkeypatch.setattr(type(spark.range(1)), "repartitionById", lambda rows, *a: (dealt.append(rows.columns), plain(rows, *a))[1])
+    monkeypatch.setattr(index, "RANGE", 7)
+    chunks = spark.createDataFrame(corpus(spark, 60), CHUNK).repartition(3)
+    index.build(chunks, str(tmp_path / "i"), slots=2, cells=2)
+    own = index.Index(spark, str(tmp_path / "i"))
+    assert dealt == [["term", "range", "places", "tfs", "least_length", "best_tf", "best_length", "slot"]]
+    assert not os.path.exists(tmp_path / "i/blocks")
+    assert own.points.groupBy("range").count().selectExpr("max(count) AS n").first().n <= 7
+    assert own.points.select("range", "place").distinct().count() == 60
+    rows = lambda df: sorted((r.chunk_id, r.term, r.tf, r.length) for r in df.collect())
+    assert rows(own.postings) == rows(retrieval.postings(index.lexical(chunks), "chunk_id"))
+
+
+def test_compacting_reads_vectors_and_encodes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    rows = corpus(spark, 40)
+    index.build(spark.createDataFrame(rows[:20], CHUNK), path, slots=2, cells=2)
+    index.update(spark.createDataFrame(rows[20:], CHUNK), path)
+    vectors_ = lambda: sorted((r.chunk_id, r.document_id, tuple(r.embedding)) for r in index.Index(spark, path).embeddings.collect())
+    before = vectors_()
+    dealt = []
+    monkeypatch.setattr(index, "from_table", lambda *a: dealt.append(a))
+    index.compact(path, spark)
+    assert vectors_() == before and len(before) == 40 and not dealt
+
+
+def test_kept_chunks_come_back_whole(spark):
+    rows = spark.createDataFrame([("a", "T", "Title: x\n\nT"), ("b", "été", "été"), ("c", "x", "other"), ("d", "x", "")], "chunk_id string, text string, embedding_text string")
+    assert sorted(registry._kept(rows).collect()) == sorted(rows.collect())
