@@ -54,17 +54,26 @@ def tables(spans: DataFrame, gap: float = GAP, row_gap: float = ROW_GAP) -> Data
     Cells without text are empty strings.  Where a table's spans leave no column
     free from top to bottom, it has one column, no markdown and an error.
     """
-    words = spans.filter(_boxed() & (T.strip(F.col("text")) != "")).select(*PAGE, "x0", "y0", "x1", "y1", T.strip(F.col("text")).alias("text")).distinct()
+    # all that follows is within a page: spans that lie by page already are not dealt again, and repeated ones are found beside each other
+    same = W.partitionBy(*PAGE).orderBy("y0", "x0", "text", "x1", "y1")
+    words = spans.filter(_boxed() & (T.strip(F.col("text")) != "")).select(*PAGE, "x0", "y0", "x1", "y1", T.strip(F.col("text")).alias("text"))
+    fresh = F.lag("text").over(same).isNull()
+    for c in ("y0", "x0", "text", "x1", "y1"):
+        fresh = fresh | (F.lag(c).over(same) != F.col(c))
+    words = words.withColumn("_fresh", fresh).filter("_fresh").drop("_fresh")
     banded = _stretches(words, "band", "y0", "y1", PAGE, ("y0", "x0", "text"), 0.0)
     celled = _stretches(banded, "cell", "x0", "x1", (*PAGE, "band"), ("x0", "y0", "text"), gap)
-    bands = celled.groupBy(*PAGE, "band").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.max("cell").alias("n"))
+    # a band keeps its spans with it, so that those of tables need no join
+    span = F.struct("x0", "y0", "x1", "y1", "text")
+    bands = celled.groupBy(*PAGE, "band").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.max("cell").alias("n"), F.collect_list(span).alias("spans"))
+    bands = bands.withColumn("spans", F.when(F.col("n") > 1, F.col("spans")))
     down = W.partitionBy(*PAGE).orderBy("band")
     close = (F.lag("n").over(down) > 1) & (F.col("top") - F.lag("bottom").over(down) <= row_gap * (F.lag("bottom").over(down) - F.lag("top").over(down)))
     joined = bands.withColumn("first", ~F.coalesce(close & (F.col("n") > 1), F.lit(False)))
     runs = joined.withColumn("run", F.sum(F.col("first").cast("int")).over(down.rowsBetween(W.unboundedPreceding, W.currentRow)))
     whole = W.partitionBy(*PAGE, "run")
     kept = runs.filter("n > 1").withColumn("rows", F.count("*").over(whole)).filter("rows > 1").withColumn("table_index", F.dense_rank().over(W.partitionBy(*PAGE).orderBy("run")))
-    own = celled.join(kept.select(*PAGE, "band", "table_index"), [*PAGE, "band"])
+    own = kept.select(*PAGE, "band", "table_index", F.explode("spans").alias("s")).select(*PAGE, "band", "table_index", "s.*")
     key = (*PAGE, "table_index")
     columned = _stretches(own, "column", "x0", "x1", key, ("x0", "y0", "band", "text"), gap)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "text"))), lambda s: s["text"]), " ")

@@ -149,3 +149,8 @@ def test_json_objects_and_collections(spark, tmp_path):
         assert spark.table(name).count() == 2
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_tables_deal_their_pages_once(spark):
+    plan = registry.queries()["page_grids"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
