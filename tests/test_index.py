@@ -417,3 +417,18 @@ def test_compacting_reads_vectors_and_encodes_nothing(spark, tmp_path, monkeypat
 def test_kept_chunks_come_back_whole(spark):
     rows = spark.createDataFrame([("a", "T", "Title: x\n\nT"), ("b", "été", "été"), ("c", "x", "other"), ("d", "x", "")], "chunk_id string, text string, embedding_text string")
     assert sorted(registry._kept(rows).collect()) == sorted(rows.collect())
+
+
+@pytest.mark.parametrize("literals", [5000, 1])
+def test_stemmed_postings_of_asked_terms(spark, monkeypatch, literals):
+    """Only words that become asked terms leave their texts; counts and lengths are those of all postings."""
+    monkeypatch.setattr(retrieval, "LITERALS", literals)
+    texts = spark.createDataFrame([(1, "The walks, walking; nation nations"), (2, "walked the boxes"), (3, ""), (4, None), (5, "the of"), (6, "other words")], "k int, text string")
+    asked = spark.createDataFrame([("walk",), ("nation",), ("absent",), ("walk",)], "term string")
+    rows = lambda df: sorted((r.k, r.term, r.tf, r.length) for r in df.collect())
+    every = retrieval.postings(texts, "k", language="english")
+    want = rows(every.join(asked.distinct(), "term", "left_semi"))
+    some = retrieval.postings(texts, "k", among=asked, language="english")
+    assert rows(some) == want == [(1, "nation", 2, 4), (1, "walk", 2, 4), (2, "walk", 1, 2)]
+    # one pattern for each step and distinct word: none in the plan that reads the texts
+    assert "regexp_replace" not in some._jdf.queryExecution().executedPlan().toString()
