@@ -432,3 +432,17 @@ def test_stemmed_postings_of_asked_terms(spark, monkeypatch, literals):
     assert rows(some) == want == [(1, "nation", 2, 4), (1, "walk", 2, 4), (2, "walk", 1, 2)]
     # one pattern for each step and distinct word: none in the plan that reads the texts
     assert "regexp_replace" not in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_full_searches_send_queries_once_and_fill_blocks(spark, monkeypatch):
+    """Blocks are cut by cell only; each query goes out once, not for each cell, and the hits are those of joins by cell."""
+    run = lambda: sorted(map(tuple, registry.queries()["vector_topk"](spark, "/root/testdata/sf0.001").collect()))
+    sent, plain = [], vectors.everywhere
+    monkeypatch.setattr(vectors, "everywhere", lambda queries, cells: (sent.append(cells), plain(queries, cells))[1])
+    once = run()
+    monkeypatch.setattr(vectors, "SENT_ONCE", 1)
+    assert once == run() and once and sent[0] is None and sent[1] > 1
+    blocks, centre, _ = registry._celled(spark, "/root/testdata/sf0.001")
+    sizes = blocks.selectExpr("cell", "size(keys) AS n").collect()
+    assert sum(r.n for r in sizes) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert len(sizes) <= len(centre) + 4
