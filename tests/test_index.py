@@ -446,3 +446,16 @@ def test_full_searches_send_queries_once_and_fill_blocks(spark, monkeypatch):
     sizes = blocks.selectExpr("cell", "size(keys) AS n").collect()
     assert sum(r.n for r in sizes) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert len(sizes) <= len(centre) + 4
+
+
+def test_index_report_keeps_no_texts(spark, monkeypatch):
+    """Counts are those of the parents and chunks themselves; what is kept for them has no texts."""
+    kept, plain = [], registry.stage
+    monkeypatch.setattr(registry, "stage", lambda rows, by=None: (kept.append((by, rows.columns)), plain(rows, by))[1])
+    row = registry.queries()["index_report"](spark, "/root/testdata/sf0.001").first()
+    assert [columns for by, columns in kept if by is None] == [["document_id", "words"]]
+    c = registry.Corpus(spark, "/root/testdata/sf0.001")
+    chunks = c.chunks
+    assert (row.parent_count, row.chunk_count) == (c.parents.count(), chunks.count())
+    texts = chunks.select(retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text")).alias("text"))
+    assert row.average_lexical_length == round(retrieval.average_length(texts).first().avg_length, 4)
