@@ -459,3 +459,22 @@ def test_index_report_keeps_no_texts(spark, monkeypatch):
     assert (row.parent_count, row.chunk_count) == (c.parents.count(), chunks.count())
     texts = chunks.select(retrieval.lexical_text(F.col("title"), F.col("heading_path"), F.col("text")).alias("text"))
     assert row.average_lexical_length == round(retrieval.average_length(texts).first().avg_length, 4)
+
+
+@pytest.mark.parametrize("pairs", [1 << 19, 1])
+def test_filtered_searches_hand_on_the_best_of_each_task(spark, tmp_path, asked, monkeypatch, pairs):
+    """Rows that are ranked are those of the tasks' best, not one for each query and chunk."""
+    monkeypatch.setattr(index, "RANGE", 16)
+    monkeypatch.setattr(index, "PAIRS", pairs)
+    chunks = spark.createDataFrame(corpus(spark) + [chunk(i, "common copy of itself") for i in range(900, 960)], CHUNK).repartition(3)
+    index.build(chunks, str(tmp_path / "i"), slots=4, cells=2)
+    own = index.Index(spark, str(tmp_path / "i"))
+    met, plain = [], retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda scored, key, limit: (met.append(scored.count()), plain(scored, key, limit))[1])
+    found = shown(own.spoken(asked, 3, document=F.col("document_id") != "d3"))
+    monkeypatch.setattr(retrieval, "ranked", plain)
+    texts = index.lexical(chunks)
+    every = retrieval.bm25(retrieval.postings(texts, "chunk_id"), asked, "chunk_id", retrieval.sizes(texts), 1000).filter("chunk_id NOT LIKE 'd3/%'")
+    assert found == shown(every.drop("rank").transform(lambda rows: plain(rows, "chunk_id", 3)))
+    if pairs > 1:
+        assert met[0] <= 3 * len(QUERIES) * 4
