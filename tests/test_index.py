@@ -478,3 +478,17 @@ def test_filtered_searches_hand_on_the_best_of_each_task(spark, tmp_path, asked,
     assert found == shown(every.drop("rank").transform(lambda rows: plain(rows, "chunk_id", 3)))
     if pairs > 1:
         assert met[0] <= 3 * len(QUERIES) * 4
+
+
+def test_contexts_search_once_and_send_few_hits(spark, tmp_path, asked, monkeypatch):
+    index.build(spark.createDataFrame(corpus(spark), CHUNK), str(tmp_path / "i"), slots=4, cells=2)
+    own = index.Index(spark, str(tmp_path / "i"))
+    parents = own.points.select("parent_id", "text", "page_start", "page_end").dropDuplicates(["parent_id"])
+    rows = lambda df: sorted(map(str, df.collect()))
+    for mode in ("neighbors", "auto"):
+        passages = own.answer(asked, parents, mode)[1]
+        # the search ran before, and its hits are read
+        assert scanned(passages, "postings") == [] and scanned(passages, "vectors") == []
+        with monkeypatch.context() as many:
+            many.setattr(index, "SENT", 0)
+            assert rows(passages) == rows(own.answer(asked, parents, mode)[1])
