@@ -1,6 +1,8 @@
 """Sections by outline, records from atoms, deep outlines and the command line, against plain Python."""
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +252,33 @@ def test_headings_with_odd_beginnings(spark):
     assert all(a == b for a, b in got.values()) and [k for k, (a, _) in sorted(got.items()) if a] == [0, 1, 6]
     # regular expressions stand behind conditions only, so what most rows share is not made for all of them
     assert "CASE WHEN" in rows.select(headings._explicit(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_commands_in_few_steps(spark):
+    """One pattern takes the lines of all patterns, and a line of one long word takes no time that grows with its square."""
+    random.seed(5)
+    bits = ["sudo ", "ls", " ", "  ", "-", "--a", "-x", "|", " | ", ">", ">>", "<", "\n", "\t", "a.b/c", "main", "(", ")", "x)", "()", "Ä", "_", "=", "A_B", "1.2.3.4", "é >", "\x85"]
+    lines = ["".join(random.choices(bits, k=random.randrange(1, 7))) for _ in range(6000)]
+    rows = spark.createDataFrame([(x,) for x in lines], "text string")
+    plain = F.lit(False)
+    for p in (layout.PREFIX_PATTERN, *layout.COMMAND_PATTERNS):
+        plain = plain | F.col("text").rlike(p)
+    assert rows.filter(layout.is_command(F.col("text")) != plain).count() == 0
+    assert 500 < rows.filter(plain).count() < 5500
+    start = time.perf_counter()
+    assert spark.range(1).filter(layout.is_command(F.concat(F.repeat(F.lit("a"), F.lit(3000)), F.repeat(F.lit(" ä"), F.lit(300_000)), F.col("id").cast("string")))).count() == 0
+    assert time.perf_counter() - start < 10
+
+
+def test_slices_are_counted_once(spark):
+    random.seed(6)
+    bits = ["wort", "é", "_", "7", ".", "...", " ", "  ", "\n", "\u2003", "-", "\xad", "a1_b"]
+    lines = [None, "", " \n", *("".join(random.choices(bits, k=random.randrange(1, 60))) for _ in range(500))]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, text string")
+    for most in (1, 3, 200):
+        plain = F.transform(T.split_tokens(F.col("text"), most), lambda s: F.struct(s.alias("text"), T.token_count(s).alias("tokens")))
+        assert rows.filter(~T.split_counted(F.col("text"), most).eqNullSafe(plain)).count() == 0
+    # a text is counted by one pattern and cut by another; its slices are not counted again
+    cut = chunking.atoms(spark.createDataFrame([section(1, ["a"])], SECTION), spark.createDataFrame([("d", "a", "x " * 500, 1, False)], BLOCKS), 200)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    assert [r.token_count for r in cut.orderBy("part").collect()] == [200, 200, 100]
