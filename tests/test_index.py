@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,3 +493,16 @@ def test_contexts_search_once_and_send_few_hits(spark, tmp_path, asked, monkeypa
         with monkeypatch.context() as many:
             many.setattr(index, "SENT", 0)
             assert rows(passages) == rows(own.answer(asked, parents, mode)[1])
+
+
+@pytest.mark.parametrize("name", [None, *sorted(analysis.LANGUAGES)])
+def test_a_word_is_stemmed_once_where_it_is_packed(spark, name):
+    """The plain stemmer gives what the columns give, sees a word once for all texts, and words of one stem are one term."""
+    stem, calls = analysis.stemmer(name), []
+    texts = [["walking", "walked", "boxes", "walking"], [], ["walking", "nationen", "zz"], VOCAB]
+    own = spark.createDataFrame([(t,) for t in texts], "w array<string>")
+    want = [r.t for r in own.select(analysis.stems(F.col("w"), name).alias("t")).collect()]
+    assert [[stem(w) if stem else w for w in t] for t in texts] == want
+    row, code, n, words = index._tallied(pa.array(texts, pa.list_(pa.string())), stem and (lambda w: (calls.append(w), stem(w))[1]))
+    assert {(r, words[c]): k for r, c, k in zip(row, code, n)} == {(i, w): t.count(w) for i, t in enumerate(want) for w in t}
+    assert len(calls) == len(set(calls)) and len(words) == len(set(words))
