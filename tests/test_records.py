@@ -282,3 +282,13 @@ def test_slices_are_counted_once(spark):
     cut = chunking.atoms(spark.createDataFrame([section(1, ["a"])], SECTION), spark.createDataFrame([("d", "a", "x " * 500, 1, False)], BLOCKS), 200)
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
     assert [r.token_count for r in cut.orderBy("part").collect()] == [200, 200, 100]
+
+
+def test_parents_of_few_hits_are_those_of_all(spark, monkeypatch):
+    c = registry.Corpus(spark, "/root/testdata/sf0.001")
+    hits = c.sections.filter("indexable AND document_id < 'doc-000020' AND character_count % 3 = 0").select("document_id", F.col("section_id").alias("parent_id"))
+    want = sorted(map(str, c.parents.join(hits, ["document_id", "parent_id"], "left_semi").select(c.parents.columns).collect()))
+    few = c.parents_of(hits)
+    assert sorted(map(str, few.collect())) == want and len(want) > 5
+    monkeypatch.setattr(registry.index, "SENT", 0)
+    assert c.parents_of(hits) is c.parents
