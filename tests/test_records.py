@@ -292,3 +292,9 @@ def test_parents_of_few_hits_are_those_of_all(spark, monkeypatch):
     assert sorted(map(str, few.collect())) == want and len(want) > 5
     monkeypatch.setattr(registry.index, "SENT", 0)
     assert c.parents_of(hits) is c.parents
+
+
+def test_merged_texts_make_the_stages_once(spark, monkeypatch):
+    made, plain = [], registry.layout.units
+    monkeypatch.setattr(registry.layout, "units", lambda *a: (made.append(a), plain(*a))[1])
+    assert registry.search_merged_text(spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
