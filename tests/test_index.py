@@ -506,3 +506,29 @@ def test_a_word_is_stemmed_once_where_it_is_packed(spark, name):
     row, code, n, words = index._tallied(pa.array(texts, pa.list_(pa.string())), stem and (lambda w: (calls.append(w), stem(w))[1]))
     assert {(r, words[c]): k for r, c, k in zip(row, code, n)} == {(i, w): t.count(w) for i, t in enumerate(want) for w in t}
     assert len(calls) == len(set(calls)) and len(words) == len(set(words))
+
+
+def test_stages_are_released_and_settings_stay(spark):
+    before = spark.conf.get(sinks.TIDY, None)
+    rows = sinks.stage(spark.range(9).withColumnRenamed("id", "k"), "k")
+    (path, name), there = rows._staged, lambda p: os.path.exists(p.removeprefix("file://"))
+    assert there(path) and spark.catalog.tableExists(name)
+    sinks.release(rows)
+    assert not there(path) and not spark.catalog.tableExists(name)
+    with sinks.tidy(spark):
+        assert spark.conf.get(sinks.TIDY) == "true"
+    assert spark.conf.get(sinks.TIDY, None) == before
+
+
+def test_removed_vectors_are_left_out_without_unpacking(spark, tmp_path, asked, monkeypatch):
+    rows, path = corpus(spark, 30), str(tmp_path / "i")
+    index.build(spark.createDataFrame(rows, CHUNK), path, slots=2, cells=2)
+    index.update(spark.createDataFrame([], CHUNK), path, removed=spark.createDataFrame([(r[0],) for r in rows[::3]], "chunk_id string"))
+    own, made, plain = index.Index(spark, path), [], vectors.unpack
+    monkeypatch.setattr(vectors, "unpack", lambda *a: (made.append(a), plain(*a))[1])
+    found = lambda: sorted(map(tuple, own.near(index.hashed_terms(asked, "query_id", "text"), 3).collect()))
+    ahead = found()
+    assert not made and {r[1] for r in ahead}.isdisjoint(r[0] for r in rows[::3])
+    # where the first look may miss some, all are looked at
+    monkeypatch.setattr(index, "AHEAD", 1)
+    assert found() == ahead and made
